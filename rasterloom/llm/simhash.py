@@ -7,11 +7,12 @@ two halves of 32 bits, since of 3 differing bits one half holds at most one:
 1. each distinct fingerprint emits, for either half, the half itself (a centre) and
    its 32 variants at distance one; only keys on which a centre meets another
    fingerprint stay active;
-2. on active keys the other half emits its ball: radius 2 from centres, the rest of
-   the radius from variants. Members at a total distance of at most 1 from the
-   meeting point are within 3 of every member at a total distance of at most 2, so a
-   meeting point links all of its members to the smallest near one: a star, never all
-   pairs. A point has at most 2,081 members, whatever the input;
+2. on active keys the other half emits its ball of radius 2 from centres and itself
+   from variants. Members at a total distance of at most 1 from the meeting point are
+   within 3 of every member at a total distance of at most 2, so a meeting point links
+   all of its members to the smallest near one: a star, never all pairs. Any two
+   fingerprints within 3 meet like that. A point has at most 2,081 members, whatever
+   the input;
 3. star edges are made distinct, verified by their real distance, and joined to
    components by alternating large and small stars.
 
@@ -89,14 +90,13 @@ def links(fps: DataFrame) -> DataFrame:
     active = met.select("key").union(keys.where("n > 1").select("key")).distinct()
     own = centres.join(active, "key", "left_semi")
 
-    masks = _masks()
-    ball = lambda of, n: F.posexplode(F.expr(f"array({', '.join(f'{m}L' for m in of[:n])})"))
-    weight = F.when(F.col("pos") == 0, 0).when(F.col("pos") <= 32, 1).otherwise(2)
+    ball = F.posexplode(F.expr(f"array({', '.join(f'{m}L' for m in _masks())})"))
+    far = F.when(F.col("pos") == 0, 0).when(F.col("pos") <= 32, 1).otherwise(2)
     points = (
-        own.select("fp", "key", "rest", ball(masks, len(masks)).alias("pos", "mask")).withColumn("far", weight)
-        .unionByName(met.select("fp", "key", "rest", ball(masks, 33).alias("pos", "mask")).withColumn("far", weight + 1))
-        .select("fp", "key", F.col("rest").bitwiseXOR(F.col("mask")).alias("point"), "far")
-    )
+        own.select("fp", "key", "rest", ball.alias("pos", "mask"))
+        .select("fp", "key", F.col("rest").bitwiseXOR(F.col("mask")).alias("point"), far.alias("far"))
+        .unionByName(met.select("fp", "key", F.col("rest").alias("point"), F.lit(1).alias("far")))
+    )
     here = Window.partitionBy("key", "point")
     near = F.min(F.when(F.col("far") <= 1, F.col("fp"))).over(here)
     pairs = points.select("fp", near.alias("hub")).where("hub is not null and hub <> fp").distinct()
@@ -121,7 +121,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "cc-edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == told:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
         told = now
 
 
