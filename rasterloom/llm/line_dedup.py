@@ -107,7 +107,7 @@ def deduplicated(docs: DataFrame, least: int = 40, min_docs: int = 5, batches: i
     """
     gone = materialize(repeated(docs, least, min_docs, batches), "line-drops")
     gone = gone.withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").withColumn("line_list", lines_of())
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").withColumn("line_list", lines_of())
     key = lambda line: F.struct(F.xxhash64(key_of(line)).alias("h1"), F.xxhash64(F.lit(1), key_of(line)).alias("h2"))
     stays = F.filter("line_list", lambda x: (F.length(key_of(x)) < least) | ~F.array_contains("drop", key(x)))
     return joined.withColumn("kept", F.when(F.col("drop").isNull(), F.col("line_list")).otherwise(stays)).drop("drop", "_doc")
