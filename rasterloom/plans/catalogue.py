@@ -127,7 +127,7 @@ _SHIFT = "SELECT image_id - 1 AS image_id, y, x, c0 AS f0, c1 AS f1, c2 AS f2, C
 _BLEND = ", ".join(f"CASE WHEN coalesce(f3, 0) = 0 THEN c{k} WHEN f3 = 255 THEN f{k} ELSE floor((f{k} * (f3 / 255.0::DOUBLE) + c{k} * (c3 / 255.0::DOUBLE) * (1 - f3 / 255.0::DOUBLE)) / (f3 / 255.0::DOUBLE + c3 / 255.0::DOUBLE * (1 - f3 / 255.0::DOUBLE))) END AS c{k}" for k in range(3))
 add("alpha_over", rgba(lambda i: geo.alpha_over(next_tile(i).withColumn("c3", F.when(F.col("c3") > 140, 255.0).when(F.col("c3") < 110, 0.0).otherwise(F.col("c3"))), i)), f"{RGBA}, f AS ({_SHIFT}) SELECT {AT}, {_BLEND}, CASE WHEN coalesce(f3, 0) = 0 THEN c3 WHEN f3 = 255 THEN f3 ELSE floor(255 * (f3 / 255.0::DOUBLE + c3 / 255.0::DOUBLE * (1 - f3 / 255.0::DOUBLE))) END AS c3 FROM px LEFT JOIN f USING (image_id, y, x)")
 add("trns_key", rgba(lambda i: px.stack(*(px.get_channel(rel.color_key(px.get_channel(px.unary(px.divide(i, 10), "floor"), 0), [12]), k) for k in (0, 1)))), f"{RGBA} SELECT {AT}, floor(c0 / 10) AS c0, CASE WHEN floor(c0 / 10) = 12 THEN 0.0::DOUBLE ELSE 255.0::DOUBLE END AS c1 FROM px")
-_PAL = ", f AS (SELECT image_id, floor(c0 / 8) AS c0 FROM px), p AS (SELECT image_id, c0, min(y * 8 + x) AS at FROM (SELECT image_id, y, x, floor(c0 / 8) AS c0 FROM px) GROUP BY image_id, c0), i AS (SELECT image_id, c0, row_number() OVER (PARTITION BY image_id ORDER BY at) - 1 AS idx FROM p)"
+_PAL = ", f AS (SELECT image_id, floor(c0 / 8) AS c0 FROM px), p AS (SELECT image_id, c0, min(y * 8 + x) AS place FROM (SELECT image_id, y, x, floor(c0 / 8) AS c0 FROM px) GROUP BY image_id, c0), i AS (SELECT image_id, c0, row_number() OVER (PARTITION BY image_id ORDER BY place) - 1 AS idx FROM p)"
 
 
 def coarse(i: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ _BORDER = {"zero": "{i}", "replicate": "least(greatest({i}, 0), {n} - 1)", "circ
 def _conv_sql(kernel: str, kh: int, kw: int, border: str, source: str = "px", digits: int | None = None, name: str = "c0") -> str:
     y, x = (_BORDER[border].format(i=f"(o.y - {k // 2} + ({k} - 1 - {c}))", n=n) for k, c, n in ((kh, "ky", "z.h"), (kw, "kx", "z.w")))
     x = x.replace("o.y", "o.x")
-    total = "sum(w * coalesce(p.c0, 0))"
+    total = "sum(k.w * coalesce(p.c0, 0))"
     return f"SELECT o.image_id, o.y, o.x, {f'round({total}, {digits})' if digits else f'CAST({total} AS DOUBLE)'} AS {name} FROM {source} o CROSS JOIN {kernel} CROSS JOIN z LEFT JOIN {source} p ON p.y = {y} AND p.x = {x} GROUP BY o.image_id, o.y, o.x"
 
 
@@ -217,8 +217,8 @@ def _resize_sql(sx: float, sy: float, nearest: bool) -> str:
         near = "least(greatest(round(f), 0), n - 1)"
         return f"{TILES}{z}, ax AS ({axis('x', 'w', sx)}), ay AS ({axis('y', 'h', sy)}) SELECT image_id, ty AS y, tx AS x, c0 FROM px JOIN (SELECT tx, {near} AS sx FROM ax) ON x = sx JOIN (SELECT ty, {near} AS sy FROM ay) ON y = sy"
     taps = lambda a: f"SELECT t{a}, CASE WHEN floor(f) < 0 THEN ceil(f) ELSE floor(f) END AS lo, CASE WHEN ceil(f) > n - 1 THEN floor(f) ELSE ceil(f) END AS hi, f - floor(f) AS k FROM a{a}"
-    both = lambda a: f"SELECT t{a}, lo AS s, CASE WHEN lo = hi THEN 1 ELSE 1 - k END AS k FROM b{a} UNION ALL SELECT t{a}, hi AS s, k FROM b{a} WHERE lo <> hi"
-    return f"{TILES}{z}, ax AS ({axis('x', 'w', sx)}), ay AS ({axis('y', 'h', sy)}), bx AS ({taps('x')}), by AS ({taps('y')}), kx AS ({both('x')}), ky AS ({both('y')}) SELECT image_id, ty AS y, tx AS x, round(sum(c0 * kx.k * ky.k), 6) AS c0 FROM px JOIN kx ON x = kx.s JOIN ky ON y = ky.s GROUP BY image_id, ty, tx"
+    both = lambda a: f"SELECT t{a}, lo AS s, CASE WHEN lo = hi THEN 1 ELSE 1 - k END AS k FROM taps{a} UNION ALL SELECT t{a}, hi AS s, k FROM taps{a} WHERE lo <> hi"
+    return f"{TILES}{z}, ax AS ({axis('x', 'w', sx)}), ay AS ({axis('y', 'h', sy)}), tapsx AS ({taps('x')}), tapsy AS ({taps('y')}), kx AS ({both('x')}), ky AS ({both('y')}) SELECT image_id, ty AS y, tx AS x, round(sum(c0 * kx.k * ky.k), 6) AS c0 FROM px JOIN kx ON x = kx.s JOIN ky ON y = ky.s GROUP BY image_id, ty, tx"
 
 
 add("resize_nearest", tiles(lambda i: geo.resize(i, 2.5, method="nearest")), _resize_sql(2.5, 2.5, True))
