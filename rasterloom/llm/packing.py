@@ -19,6 +19,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,12 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 @dataclass(frozen=True)
 class Packing:
-    """What a packing is made with. block: tokens that are settled at once. most_words: words that a worker remembers."""
+    """What a packing is made with.
+
+    stretch: tokens without a candidate after which one between words is put in. block:
+    tokens that are settled at once. least_exact: the shortest sequence that is weighed
+    for being a power of two. most_words: words that a worker remembers.
+    """
 
     tokenizer: str
     capacity: int = 4096
@@ -44,7 +50,8 @@ class Packing:
     per_sequence: int = 4
     stretch: int = 256
     block: int = 1 << 18
-    most_words: int = 1_200_000
+    least_exact: int = 256
+    most_words: int = 900_000
 
 
 class WordEncoder:
@@ -74,7 +81,7 @@ class WordEncoder:
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while k + len(part) > len(self.lens):
                 self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
-            self.flat[self.used : self.used + n] = np.fromiter((i for x in ids for i in x), np.uint32, n)
+            self.flat[self.used : self.used + n] = np.fromiter(chain.from_iterable(ids), np.uint32, n)
             self.starts[k : k + len(part)] = self.used + np.cumsum(lens) - lens
             self.lens[k : k + len(part)] = lens
             self.known.update(zip(part, range(k, k + len(part))))
@@ -89,10 +96,11 @@ class WordEncoder:
         found = coded.dictionary.to_pylist()
         if len(self.known) + len(found) > self.most:
             self.forget()
-        known = self.known
-        if new := [w for w in found if w not in known]:
-            self.learn(new)
-        of = np.fromiter((known[w] for w in found), np.int64, len(found))[coded.indices.to_numpy()] if len(found) else np.zeros(0, np.int64)
+        place = np.fromiter(map(self.known.get, found, repeat(-1)), np.int64, len(found))
+        if (new := np.flatnonzero(place < 0)).size:
+            place[new] = len(self.known) + np.arange(new.size)
+            self.learn([found[i] for i in new.tolist()])
+        of = place[coded.indices.to_numpy()] if len(found) else place
         lens, starts = self.lens[of], self.starts[of]
         ends = np.cumsum(lens)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lens), lens)]
@@ -115,15 +123,16 @@ def encoder(path: str, most_words: int) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def choose_cuts(pos: np.ndarray, penalty: np.ndarray, capacity: int, per_sequence: int = 0) -> list[int]:
+def choose_cuts(pos: np.ndarray, penalty: np.ndarray, capacity: int, per_sequence: int = 0, least: int = 1) -> list[int]:
     """Indexes of pos at which the cheapest chain of sequences from pos[0] to pos[-1] cuts, both ends included.
 
     pos rises by at most capacity from each candidate to the next. A sequence costs
-    its padding (none if its length is a power of two), penalty at its end and per_sequence.
+    its padding (none if its length is a power of two from least on), penalty at its
+    end and per_sequence.
     """
     n = len(pos)
     exact: dict[int, list[int]] = {}
-    size = 1
+    size = 1 << (least - 1).bit_length()
     while size < capacity:
         i = np.searchsorted(pos, pos - size)
         for j in np.flatnonzero(pos[np.minimum(i, n - 1)] == pos - size):
@@ -190,7 +199,7 @@ class _Stream:
             free[np.arange(some[i] + cfg.stretch, some[i + 1], cfg.stretch)] = 1
         pos = np.flatnonzero(free)
         penalty = np.array([0, cfg.word_cut, cfg.sentence_cut, 0])[free[pos]]
-        cuts = pos[choose_cuts(pos, penalty, cfg.capacity, cfg.per_sequence)]
+        cuts = pos[choose_cuts(pos, penalty, cfg.capacity, cfg.per_sequence, cfg.least_exact)]
         if not last:
             cuts = cuts[: max(2, len(cuts) - 3)]
         elif (left := int(cuts[-1] - cuts[-2])) & (left - 1) and (left.bit_count() - 1) * cfg.word_cut < cfg.capacity - left:
@@ -227,7 +236,7 @@ def pack(docs: DataFrame, cfg: Packing) -> DataFrame:
         words = encoder(cfg.tokenizer, cfg.most_words)
         stream = _Stream(cfg, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 ids, counts = words.encode(part.column("text"))
                 stops = np.cumsum(counts)
                 ids = np.insert(ids, stops, cfg.end_id).astype(np.uint32)
@@ -238,5 +247,6 @@ def pack(docs: DataFrame, cfg: Packing) -> DataFrame:
                     yield out
         if (out := stream.settle(words.ends, True)) is not None:
             yield out
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)

@@ -297,6 +297,16 @@ def _calibrate(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(b[0], 0)), float(b[1])
 
 
+def sample(labels: DataFrame, cfg: ToxConfig = ToxConfig()) -> DataFrame:
+    """At most cfg.max_train_rows of the rows (doc_id, toxic), half of each label, chosen by a hash of the id."""
+    labels = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic")
+    sizes = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    each = cfg.max_train_rows // 2
+    share = F.when(F.col("toxic") == 1, min(1.0, each / max(1, sizes.get(1, 0)))).otherwise(min(1.0, each / max(1, sizes.get(0, 0))))
+    chosen = labels.withColumn("order", (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) / share).where("order < 1")
+    return chosen.orderBy("order", "doc_id", "toxic").limit(cfg.max_train_rows).select("doc_id", "toxic")
+
+
 def fit(labelled: DataFrame, cfg: ToxConfig = ToxConfig()) -> ToxModel:
     """A model of rows (text, toxic), of which at most cfg.max_train_rows are sampled."""
     rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and text is not null")
