@@ -31,11 +31,13 @@ def local_session(name: str = "rasterloom", cores: int | str = 8, memory: str =
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application.
+    """Send this package to the executors once per application, and bound Arrow batches.
 
     On a cluster the package need not be installed on the workers: Python tasks
-    import it from the archive that Spark distributes.
+    import it from the archive that Spark distributes. Batches are bounded by bytes, as
+    rows of long texts make batches of many rows too large for a worker's memory.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
