@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +11,15 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def ids_of(text):
+@lru_cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [2]
+    return Tokenizer.from_file(PATH)
+
+
+def ids_of(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def slow_cost(pos, penalty, capacity, per_sequence):
