@@ -125,10 +125,11 @@ def first_seen(spark: SparkSession, batches: list[DataFrame], least: int = 40) -
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated lines dropped from text, n_chars counted anew where lines went. A null text stays null."""
-    done = deduplicated(docs)
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_rest")  # whatever their names
+    done = deduplicated(docs.select("doc_id", "text", rest))
     changed = F.size("kept") < F.size("line_list")
     text = F.when(changed, F.array_join("kept", "\n")).otherwise(F.col("text"))
-    done = done.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(docs.columns)
+    out = {c: F.col("_rest").getField(c) for c in docs.columns if c != "text"} | {"text": text}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return done.select(*(out[c].alias(c) for c in docs.columns))
