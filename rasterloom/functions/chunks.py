@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 #: Chunk types that should occur once (fixed values).
 ONCE = ["cHRM", "gAMA", "iCCP", "sBIT", "sRGB", "bKGD", "hIST", "tRNS", "pHYs", "tIME", "acTL"]
@@ -63,6 +67,43 @@ def parse_itext_chunk(data: Column) -> Column:
     )
 
 
+def _inflated(data: bytes | None) -> bytes | None:
+    try:
+        return None if data is None else zlib.decompress(data)
+    except zlib.error:
+        return None
+
+
+@F.pandas_udf(BinaryType())
+def deflate(data: pd.Series) -> pd.Series:
+    """zlib streams, which Spark has no function for."""
+    return data.map(lambda d: None if d is None else zlib.compress(d, 9))
+
+
+@F.pandas_udf(BinaryType())
+def inflate(data: pd.Series) -> pd.Series:
+    """What zlib streams hold; null for broken ones."""
+    return data.map(_inflated)
+
+
+def ztext_chunk(keyword: Column, text: Column) -> Column:
+    """zTXt: keyword, zero byte, method 0, deflated Latin-1 text."""
+    return F.concat(F.encode(keyword, "ISO-8859-1"), F.unhex(F.lit("0000")), deflate(F.encode(text, "ISO-8859-1")))
+
+
+def parse_ztext_chunk(data: Column) -> Column:
+    """struct(keyword, method, text); text is null for a broken stream, everything for a chunk without a zero byte."""
+    at = _zero(data)
+    part = lambda x, n=None: F.when(at > 0, F.substr(data, x, n) if n is not None else F.substr(data, x))
+    method = F.conv(F.hex(part(at + 1, F.lit(1))), 16, 10).cast("bigint")
+    return F.struct(F.decode(part(F.lit(1), at - 1), "ISO-8859-1").alias("keyword"), method.alias("method"), F.decode(inflate(part(at + 2)), "ISO-8859-1").alias("text"))
+
+
+def itext_text(parsed: Column) -> Column:
+    """The text of a parsed iTXt chunk, compressed or not."""
+    return F.decode(F.when(parsed["compressed"], inflate(F.when(parsed["compressed"], parsed["data"]))).otherwise(parsed["data"]), "UTF-8")
+
+
 def time_chunk(ts: Column) -> Column:
     """tIME: two bytes of year, then month to second, in UTC."""
     return F.concat(uint(F.year(ts), 2), *(uint(f(ts), 1) for f in (F.month, F.day, F.hour, F.minute, F.second)))

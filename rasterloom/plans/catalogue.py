@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunks as ch
+from ..functions import exif as ex
 from ..operators import animation as an
 from ..operators import geometry as geo
 from ..operators import pixels as px
@@ -232,6 +233,7 @@ add("draw_line", wall(lambda i: rounded(geo.draw_line(i, 5, 5, 50, 30, [300], 3)
 _T = "SELECT doc_id, text FROM documents"
 add("text_roundtrip_tEXt", lambda s, d: fx.table(s, d, "documents").select("doc_id", ch.parse_text_chunk(ch.text_chunk(F.col("source"), F.col("lang"))).alias("t")).select("doc_id", "t.*"), "SELECT doc_id, source AS keyword, lang AS text FROM documents")
 add("text_roundtrip_iTXt", lambda s, d: fx.table(s, d, "conversations").select("conv_id", "turn", ch.parse_itext_chunk(ch.itext_chunk(F.lit("Comment"), F.lit("en"), F.col("role"), F.col("text"))).alias("t")).select("conv_id", "turn", "t.keyword", "t.language", "t.translated_keyword", "t.compressed", F.decode("t.data", "UTF-8").alias("text")), "SELECT conv_id, turn, 'Comment' AS keyword, 'en' AS language, role AS translated_keyword, false AS compressed, text FROM conversations")
+add("text_roundtrip_zTXt", lambda s, d: fx.table(s, d, "documents").select("doc_id", ch.parse_ztext_chunk(ch.ztext_chunk(F.col("source"), F.col("lang"))).alias("t")).select("doc_id", "t.*"), "SELECT doc_id, source AS keyword, CASE WHEN source IS NOT NULL AND lang IS NOT NULL THEN CAST(0 AS BIGINT) END AS method, lang AS text FROM documents")
 add("time_roundtrip", lambda s, d: fx.table(s, d, "events").select("event_id", ch.parse_time_chunk(ch.time_chunk(F.col("ts"))).cast("timestamp_ntz").alias("ts")), "SELECT event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts FROM events")
 add("phys_roundtrip", lambda s, d: fx.table(s, d, "orders").select("o_orderkey", ch.parse_phys_chunk(ch.phys_chunk(F.col("o_orderkey"), F.col("o_custkey"), F.lit(1))).alias("p")).select("o_orderkey", "p.*"), "SELECT o_orderkey, o_orderkey AS x, o_custkey AS y, CAST(1 AS BIGINT) AS unit FROM orders")
 add("offs_roundtrip", lambda s, d: fx.table(s, d, "orders").select("o_orderkey", ch.parse_offs_chunk(ch.phys_chunk(-F.col("o_orderkey"), F.col("o_custkey"), F.lit(0))).alias("p")).select("o_orderkey", "p.*"), "SELECT o_orderkey, -o_orderkey AS x, o_custkey AS y, CAST(0 AS BIGINT) AS unit FROM orders")
@@ -244,6 +246,20 @@ add("frame_control", lambda s, d: fx.table(s, d, "orders").select("o_orderkey",
 add("unknown_chunk", lambda s, d: fx.table(s, d, "pages").select("page_id", ch.parse_raw_chunk(ch.raw_chunk(F.lit("prVt"), F.encode("html", "UTF-8"))).alias("c")).select("page_id", "c.length", "c.type", "c.crc_ok", F.sha2("c.data", 256).alias("sha")), "SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS length, 'prVt' AS type, true AS crc_ok, sha256(html) AS sha FROM pages")
 add("chunk_flags", lambda s, d: s.createDataFrame([(t,) for t in ("IHDR", "tEXt", "prVt", "iTXt", "fcTL")], "type string").select("type", ch.flags(F.col("type")).alias("f")).select("type", "f.*"), "SELECT t AS type, regexp_matches(t[1], '[a-z]') AS ancillary, regexp_matches(t[2], '[a-z]') AS private, regexp_matches(t[3], '[a-z]') AS reserved, regexp_matches(t[4], '[a-z]') AS safe FROM (VALUES ('IHDR'), ('tEXt'), ('prVt'), ('iTXt'), ('fcTL')) v(t)")
 
+
+def _exif(s: SparkSession, d: str) -> DataFrame:
+    o, one = fx.table(s, d, "orders"), F.lit(1)
+    stamp = F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")
+    ascii_ = lambda tag, c: (tag, 2, F.length(c) + 1, F.concat(F.encode(c, "US-ASCII"), F.unhex(F.lit("00"))))
+    main = [ascii_(271, F.col("o_orderpriority")), (274, 3, one, ch.uint(F.col("o_orderkey") % 8 + 1, 2)), (282, 5, one, F.concat(ch.uint(F.col("o_custkey"), 4), ch.uint(F.lit(8), 4))), ascii_(306, stamp)]
+    return o.select("o_orderkey", ex.block(main, [(37385, 3, one, ch.uint(F.col("o_orderkey") % 128, 2)), (40961, 3, one, ch.uint(one, 2))]).alias("data"))
+
+
+_EXIF_ROWS = "(VALUES ('IFD0', 0, 271, 'Make', 2), ('IFD0', 1, 274, 'Orientation', 3), ('IFD0', 2, 282, 'XResolution', 5), ('IFD0', 3, 306, 'DateTime', 2), ('ExifIFD', 0, 37385, 'Flash', 3), ('ExifIFD', 1, 40961, 'ColorSpace', 3)) f(ifd, seq, tag, name, type)"
+add("exif_fields", lambda s, d: ex.fields(_exif(s, d)).where("tag <> 34665").select("o_orderkey", "ifd", "seq", "tag", "name", "type", "count", F.get("numbers", F.lit(0)).alias("number"), "text"), f"SELECT o_orderkey, ifd, CAST(seq AS BIGINT) AS seq, CAST(tag AS BIGINT) AS tag, name, CAST(type AS BIGINT) AS type, CAST(CASE tag WHEN 271 THEN length(o_orderpriority) + 1 WHEN 306 THEN 20 ELSE 1 END AS BIGINT) AS count, CAST(CASE tag WHEN 274 THEN o_orderkey % 8 + 1 WHEN 282 THEN o_custkey / 8.0::DOUBLE WHEN 37385 THEN o_orderkey % 128 WHEN 40961 THEN 1 END AS DOUBLE) AS number, CASE tag WHEN 271 THEN o_orderpriority WHEN 306 THEN strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') WHEN 40961 THEN 'sRGB' END AS text FROM orders, {_EXIF_ROWS}")
+add("exif_dates", lambda s, d: ex.fields(_exif(s, d)).where("name = 'DateTime'").select("o_orderkey", ex.moment(F.col("text")).cast("timestamp_ntz").alias("ts")), "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders")
+add("exif_flash", lambda s, d: ex.fields(_exif(s, d)).where("name = 'Flash'").select("o_orderkey", ex.flash(F.get("numbers", F.lit(0))).alias("f")).select("o_orderkey", "f.*"), "SELECT o_orderkey, v & 1 = 1 AS fired, (v >> 1) & 3 AS returned, (v >> 3) & 3 AS mode, (v >> 5) & 1 = 1 AS absent, (v >> 6) & 1 = 1 AS red_eye FROM (SELECT o_orderkey, o_orderkey % 128 AS v FROM orders)")
+
 # Image files
 for _name, _level, _depth in [("png_roundtrip", 0, 8), ("png_roundtrip_level1", 1, 8), ("png_roundtrip_16bit", 0, 16)]:
     add(_name, lambda s, d, level=_level, depth=_depth: rel.from_rows(images.rows(images.encode(fx.tile_rows(s, d), 1, level=level, bit_depth=depth)), 1), f"{TILES} SELECT * FROM px")
