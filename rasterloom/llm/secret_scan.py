@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,8 +69,13 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     if not maybe:
         return []
     taken = sorted((a, b) for _, a, b in base)
-    begins = [a for a, _ in taken]
-    free = lambda a, b: not any(x < b and a < y for x, y in taken[max(0, bisect_left(begins, a) - 2) : bisect_left(begins, b) + 1])
+    begins, reached = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+
+    def free(a: int, b: int) -> bool:
+        """Whether no base span overlaps: of those that begin before b, the farthest end lies at a or before."""
+        n = bisect_left(begins, b)
+        return not n or reached[n - 1] <= a
+
     points = [("link_endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
     weak = [m.span() for m in _WEAK.finditer(text) if _mixed(m[0]) and free(*m.span()) and not any(a <= m.start() < b for _, a, b in points)]
     if not weak:

@@ -146,6 +146,14 @@ def test_secrets_match_brute_force_and_link_only_with_complements(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_tokens_inside_a_long_base_span_are_no_weak_candidates():
+    inside = "secret=" + ".".join(["0123456789abcdef"] * 6) + ".Xy7aQpL93mNbVc02TrEw and user=admin at https://db.example.com/x"
+    assert not [s for s in secret_scan.linked_spans(inside, secret_scan.base_spans(inside)) if s[0] == "link_secret"]
+    outside = inside.replace(" and ", " and Zy7aQpL93mNbVc02TrEw ")
+    found = [s for s in secret_scan.linked_spans(outside, secret_scan.base_spans(outside)) if s[0] == "link_secret"]
+    assert [outside[a:b] for _, a, b in found] == ["Zy7aQpL93mNbVc02TrEw"]
+
+
 def test_scan_of_documents_matches_brute_force(spark, sf):
     from rasterloom.llm.queries import op9_secret_scan
 
