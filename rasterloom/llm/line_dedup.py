@@ -2,9 +2,10 @@
 
 A run is a table of distinct line keys (128 bits of hash), each with the number of
 documents that hold the line and the largest of their ids, sorted by key. A new batch
-merge-joins the runs, to tell the lines that they hold already, and adds a run of its
-own; `fan_in` runs of a level are compacted into one of the next, so a key is rewritten
-a logarithmic number of times. Runs are tables in the shared folder.
+merge-anti-joins the runs and adds a run of the keys that none of them holds; the keys
+that one holds already are what repeats over batches. `fan_in` runs of a level are
+compacted into one of the next, so a key is rewritten a logarithmic number of times.
+Runs are tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, materialize
+from .common import materialize
 
 SPACE = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
@@ -39,6 +40,11 @@ def keyed_lines(docs: DataFrame, least: int = 40) -> DataFrame:
     )
 
 
+def counted(per_doc: DataFrame) -> DataFrame:
+    """(h1, h2, n_docs, last_doc) of rows (doc_id, h1, h2)."""
+    return per_doc.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+
+
 class LineRuns:
     """Sorted runs by level. Each batch's rows of `keyed_lines` go in once, by `add`."""
 
@@ -58,16 +64,27 @@ class LineRuns:
     def add(self, lines: DataFrame) -> None:
         """Add a batch as a run of its own, then compact full levels. A document's repeated lines count once."""
         per_doc = lines.select("doc_id", *KEY).distinct() if lines.columns != ["doc_id", *KEY] else lines
-        run = per_doc.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        self._put(0, run)
-
-    def _put(self, level: int, run: DataFrame) -> None:
+        self._put(0, counted(per_doc))
+
+    def add_new(self, per_doc: DataFrame) -> DataFrame | None:
+        """Add the keys of a batch (doc_id, h1, h2: once for each document) that no run holds as a run; the others' counts are returned, None if there was no run."""
+        if not self.levels:
+            self._put(0, counted(per_doc))
+            return None
+        batch = materialize(counted(per_doc), "line-batch")
+        fresh = self._put(0, self.new_only(batch))
+        return materialize(batch.join(fresh.select(*KEY).hint("merge"), KEY, "left_anti"), "line-again")
+
+    def _put(self, level: int, run: DataFrame) -> DataFrame:
+        """The run as stored."""
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(materialize(run.sortWithinPartitions(*KEY), f"line-run-{level}"))
+        stored = materialize(run.sortWithinPartitions(*KEY), f"line-run-{level}")
+        self.levels[level].append(stored)
         if len(self.levels[level]) >= self.fan_in:
             full, self.levels[level] = self.levels[level], []
             self._put(level + 1, self.merged(full))
+        return stored
 
     def new_only(self, lines: DataFrame) -> DataFrame:
         """The lines of a batch that no run holds: a merge anti-join with each."""
@@ -86,15 +103,16 @@ def distinct_per_document(docs: DataFrame, least: int = 40) -> DataFrame:
 def repeated(docs: DataFrame, least: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
     """(doc_id, drop): the positions of the lines that a document loses, for documents that lose any.
 
-    The rows come in `batches` batches by id, each of which adds its run. A line goes if
+    The rows come in `batches` batches by id, each of which anti-joins the runs and adds
+    its own; counts come from the runs and from what batches held again. A line goes if
     at least min_docs rows of docs hold its key and its document isn't the largest id
     among them. Rows with a null doc_id count, and lose lines that others hold.
     """
-    runs = LineRuns(docs.sparkSession)
+    runs, again = LineRuns(docs.sparkSession), []
     lines = materialize(distinct_per_document(docs, least).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "line-keys")
     for b in range(batches):
-        runs.add(lines.where(F.col("batch") == b).select("doc_id", *KEY))
-    often = materialize(runs.merged(runs.runs()).where(F.col("n_docs") >= min_docs), "line-often")
+        again.append(runs.add_new(lines.where(F.col("batch") == b).select("doc_id", *KEY)))
+    often = materialize(runs.merged([*runs.runs(), *(x for x in again if x is not None)]).where(F.col("n_docs") >= min_docs), "line-often")
     once = lines.select("doc_id", *KEY).join(often.hint("merge"), KEY).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     return once.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("drop"))
 

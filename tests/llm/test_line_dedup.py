@@ -64,6 +64,14 @@ def test_batches_meet_the_runs_of_earlier_ones(spark):
     assert [df.select("h1").distinct().count() for df in new] == [2, 1, 1, 1, 1]
 
 
+def test_runs_hold_each_key_once_and_tell_what_was_held(spark):
+    runs = d.LineRuns(spark)
+    make = lambda xs: spark.createDataFrame([(i, x, x) for i, x in xs], "doc_id long, h1 long, h2 long")
+    told = [runs.add_new(make(b)) for b in ([(1, 1), (2, 1), (3, 2)], [(4, 2), (5, 3)], [(6, 1), (7, 3), (8, 4), (9, 4)], [(10, 5), (11, 4)])]
+    assert told[0] is None and [sorted((r.h1, r.n_docs, r.last_doc) for r in t.collect()) for t in told[1:]] == [[(2, 1, 4)], [(1, 1, 6), (3, 1, 7)], [(4, 1, 11)]]
+    assert sorted((r.h1, r.n_docs) for run in runs.runs() for r in run.collect()) == [(1, 2), (2, 1), (3, 1), (4, 2), (5, 1)]
+
+
 def test_levels_compact(spark):
     runs = d.LineRuns(spark, fan_in=2)
     for n in range(4):
