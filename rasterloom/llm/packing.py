@@ -15,6 +15,7 @@ sequences of a block open for the next, so memory is bounded by a block.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
+_SIGNS = frozenset(".,;:!?")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -55,13 +57,20 @@ class Packing:
 
 
 class WordEncoder:
-    """Token ids of whole texts. White space separates words for this kind of tokenizer, so each distinct word is encoded once and remembered."""
+    """Token ids of whole texts. White space separates words for this kind of tokenizer, so each distinct word is encoded once and remembered.
+
+    New words of letters, with at most one sign at their end, are encoded as lines of
+    many: their ids are told apart by the tokens that end words. A line in which a word
+    splits otherwise (as normalisation can make it) is encoded word by word.
+    """
 
     def __init__(self, path: str, most_words: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most_words
         vocab = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocab.values()) + 2, bool)
+        self.closing[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.ends = np.zeros(max(vocab.values()) + 2, bool)
         self.ends[[i for t, i in vocab.items() if t.removesuffix("</w>")[-1:] in tuple(".!?")]] = True
         self.forget()
@@ -71,17 +80,32 @@ class WordEncoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lens = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one by one, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
+
+    def _line(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words that should be letters and at most one sign."""
+        parts = np.fromiter((1 if w.isalpha() else 2 for w in words), np.int64, len(words))
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        if len(ends) != parts.sum():
+            return self._plain(words)
+        return ids, np.diff(ends[np.cumsum(parts) - 1], prepend=0)
+
     def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            n, k = int(lens.sum()), len(self.known)
+        simple = [w.isalpha() or (w[-1:] in _SIGNS and w[:-1].isalpha()) for w in words]
+        easy, other = [w for w, s in zip(words, simple) if s], [w for w, s in zip(words, simple) if not s]
+        for part, encode in [*((easy[i : i + 500], self._line) for i in range(0, len(easy), 500)), *((other[i : i + 20_000], self._plain) for i in range(0, len(other), 20_000))]:
+            ids, lens = encode(part)
+            n, k = len(ids), len(self.known)
             while self.used + n > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while k + len(part) > len(self.lens):
                 self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
-            self.flat[self.used : self.used + n] = np.fromiter(chain.from_iterable(ids), np.uint32, n)
+            self.flat[self.used : self.used + n] = ids
             self.starts[k : k + len(part)] = self.used + np.cumsum(lens) - lens
             self.lens[k : k + len(part)] = lens
             self.known.update(zip(part, range(k, k + len(part))))
@@ -98,8 +122,9 @@ class WordEncoder:
             self.forget()
         place = np.fromiter(map(self.known.get, found, repeat(-1)), np.int64, len(found))
         if (new := np.flatnonzero(place < 0)).size:
-            place[new] = len(self.known) + np.arange(new.size)
-            self.learn([found[i] for i in new.tolist()])
+            unseen = [found[i] for i in new.tolist()]
+            self.learn(unseen)
+            place[new] = np.fromiter(map(self.known.__getitem__, unseen), np.int64, len(unseen))
         of = place[coded.indices.to_numpy()] if len(found) else place
         lens, starts = self.lens[of], self.starts[of]
         ends = np.cumsum(lens)
@@ -117,7 +142,8 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str, most_words: int) -> WordEncoder:
-    """One encoder for each worker process, kept over its tasks."""
+    """One encoder for each worker process, kept over its tasks. A task has one core, so the tokenizer starts no threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path, most_words)
     return _ENCODERS[path]
