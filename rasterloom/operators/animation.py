@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -91,24 +92,24 @@ def play(canvas: np.ndarray, frames: Iterator[tuple[np.ndarray, int, int, str, s
 def composed(frames: DataFrame, pixels: DataFrame, w: int, h: int, n_channels: int = 4) -> DataFrame:
     """(image_id, frame, y, x, c0...): the canvas after every frame.
 
-    frames and their pixels are brought together by image, the unit of the state; one
-    image's frames are folded in order in one task, as the canvas depends on all before.
+    Blending and disposal act on each place alone, so the unit of state is one row of
+    one image's canvas: its frames are folded in order in one task, and the rows of a
+    long animation spread over the cluster. Pixels of a frame count from its own corner.
     """
     names = [f"c{k}" for k in range(n_channels)]
     schema = "image_id long, frame long, y long, x long, " + ", ".join(f"{c} double" for c in names)
-    rows = pixels.join(frames, ["image_id", "frame"])
+    bands = pixels.groupBy("image_id", "frame", F.col("y").alias("_in")).agg(F.sort_array(F.collect_list(F.struct("x", F.array(*names).alias("v")))).alias("_px"))
+    bands = bands.select("image_id", "frame", "_in", F.flatten("_px.v").alias("_px"))
+    shown = frames.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("_in", (F.col("y") - F.col("y_off")).cast("bigint"))
+    rows = shown.join(bands, ["image_id", "frame", "_in"], "left").select("image_id", "frame", "y", "x_off", "dispose", "blend", "_px")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "y", "x"])
-        parts = []
-        for n, f in pdf.groupby("frame"):
-            top = f.iloc[0]
-            parts.append((int(n), (f[names].to_numpy(float).reshape(int(top.h), int(top.w), n_channels), int(top.x_off), int(top.y_off), top.dispose, top.blend)))
-        grid = np.indices((h, w)).reshape(2, -1)
-        out = []
-        for (n, _), canvas in zip(parts, play(np.zeros((h, w, n_channels)), (p for _, p in parts))):
-            flat = canvas.reshape(-1, n_channels)
-            out.append(pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "frame": n, "y": grid[0], "x": grid[1], **{c: flat[:, k].copy() for k, c in enumerate(names)}}))
-        return pd.concat(out)
-
-    return rows.groupBy("image_id").applyInPandas(run, schema)
+        pdf = pdf.sort_values("frame")
+        none = np.zeros((1, 0, n_channels))
+        own = [none if px is None else np.asarray(px, float).reshape(1, -1, n_channels) for px in pdf["_px"]]
+        frames = zip(own, pdf["x_off"].astype(int), repeat(0), pdf["dispose"], pdf["blend"])
+        flat = np.concatenate([canvas[0].copy() for canvas in play(np.zeros((1, w, n_channels)), frames)])
+        n = len(pdf)
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "frame": np.repeat(pdf["frame"].to_numpy(), w), "y": pdf["y"].iloc[0], "x": np.tile(np.arange(w), n), **{c: flat[:, k] for k, c in enumerate(names)}})
+
+    return rows.groupBy("image_id", "y").applyInPandas(run, schema)

@@ -285,19 +285,19 @@ add("push_frame", lambda s, d: an.push_frame(_frames(s, d), _frames(s, d).select
 add("frame_delay_update", lambda s, d: an.set_delay(_frames(s, d), 1, 5, 6), f"WITH {_FR} SELECT image_id, frame, CASE WHEN frame = 1 THEN 5 ELSE delay_num END AS delay_num, CASE WHEN frame = 1 THEN 6 ELSE delay_den END AS delay_den FROM fr")
 add("jump_to_frame", lambda s, d: an.frame_at(fx.frame_pixels(s, d).select("image_id", "frame").distinct(), 1003), f"{_AN} SELECT image_id, frame FROM (SELECT DISTINCT image_id, frame FROM ap) WHERE frame = 1003 % (SELECT max(b.frame) + 1 FROM ap b WHERE b.image_id = ap.image_id)".replace("FROM (SELECT DISTINCT image_id, frame FROM ap)", "FROM (SELECT DISTINCT image_id, frame FROM ap) ap"))
 add("apng_last_write", lambda s, d: an.last_write(fx.frame_pixels(s, d)), f"{_AN} SELECT image_id, y, x, arg_max(c0, frame) AS c0 FROM ap GROUP BY image_id, y, x")
-add("apng_compose_source", lambda s, d: an.composed_source(fx.frame_pixels(s, d).where("(x + y + frame) % 3 <> 0")), f"{_AN} SELECT image_id, frame, y, x, c0 FROM ap WHERE (x + y + frame) % 3 <> 0")
+add("apng_compose_source", lambda s, d: an.composed_source(fx.frame_pixels(s, d).withColumn("c0", F.when(F.col("c0") < 140, F.col("c0")))), f"{_AN} SELECT image_id, frame, y, x, last_value(CASE WHEN c0 < 140 THEN c0 END IGNORE NULLS) OVER (PARTITION BY image_id, y, x ORDER BY frame ROWS UNBOUNDED PRECEDING) AS c0 FROM ap")
 
 
 def _played(dispose: str, blend: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
-        p = fx.frame_pixels(s, d).where("frame < 6").select("image_id", "frame", "y", "x", "c0", F.when((F.col("x") + F.col("frame")) % 3 == 0, 0.0).when((F.col("x") + F.col("frame")) % 3 == 1, 255.0).otherwise(128.0).alias("c1"))
+        p = fx.frame_pixels(s, d).select("image_id", "frame", "y", "x", "c0", F.when((F.col("x") + F.col("frame")) % 3 == 0, 0.0).when((F.col("x") + F.col("frame")) % 3 == 1, 255.0).otherwise(128.0).alias("c1"))
         f = p.select("image_id", "frame").distinct().withColumns({"w": F.lit(8), "h": F.lit(8), "x_off": F.lit(0), "y_off": F.lit(0), "dispose": F.lit(dispose), "blend": F.lit(blend)})
         return an.composed(f, p, 8, 8, 2)
 
     return run
 
 
-_AP2 = f"{_AN}, f AS (SELECT *, CASE (x + frame) % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 255.0::DOUBLE ELSE 128.0::DOUBLE END AS c1 FROM ap WHERE frame < 6)"
+_AP2 = f"{_AN}, f AS (SELECT *, CASE (x + frame) % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 255.0::DOUBLE ELSE 128.0::DOUBLE END AS c1 FROM ap)"
 add("apng_dispose_none", _played("none", "source"), f"{_AP2} SELECT image_id, frame, y, x, c0, c1 FROM f")
 add("apng_dispose_background", _played("background", "over"), f"{_AP2} SELECT image_id, frame, y, x, CASE WHEN c1 = 0 THEN 0.0::DOUBLE ELSE c0 END AS c0, c1 FROM f")
 add("apng_dispose_previous", _played("previous", "over"), None)
