@@ -3,16 +3,17 @@
 Base spans come from three patterns. Linking adds spans: parts of credentials are
 access identifiers, endpoints, and weak secret candidates (long mixed tokens that
 nothing names). Parts are joined by interval: each part covers `reach` code points to
-either side within its scope (a paragraph), and a weak candidate is reported, with the
-identifier and the endpoint that complement it, only where an identifier or user name
-and an endpoint, or an access key's identifier, cover it. Intervals are sorted, so the
-join of a document is a merge over its parts; each document is judged in its own task.
+either side within its scope (a paragraph), and a weak candidate is reported, with every
+identifier, user name and endpoint whose interval meets it, only where a user name and
+an endpoint, or an access key's identifier, cover it. Intervals are sorted, and what
+meets a candidate is a range of them; a sweep marks the ranges, so the work of a
+document follows its parts, not their pairs. Each document is judged in its own task.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -55,12 +56,24 @@ def _mixed(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.islower() for c in token) and any(c.isupper() for c in token) and len(set(token)) >= 12
 
 
-def _nearest(starts: list[int], spans: list[Span], low: int, high: int, to: int) -> Span | None:
-    """Of spans (sorted by start) that begin within low..high, the one whose start is nearest to `to`."""
-    a, b = bisect_left(starts, low), bisect_left(starts, high)
-    i = min(max(bisect_left(starts, to), a), b)
-    near = [spans[j] for j in (i - 1, i) if a <= j < b]
-    return min(near, key=lambda s: (abs(s[1] - to), s[1]), default=None)
+class _Parts:
+    """Spans of one kind, sorted and without overlap, and marks of those that meet a candidate."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans, self.starts, self.ends = spans, [s[1] for s in spans], [s[2] for s in spans]
+        self.steps = [0] * (len(spans) + 1)
+
+    def meeting(self, low: int, high: int, left: int, right: int) -> tuple[int, int]:
+        """The range of spans that begin in the scope low..high and overlap left..right."""
+        a = max(bisect_left(self.starts, low), bisect_right(self.ends, left))
+        return a, max(a, bisect_left(self.starts, min(high, right)))
+
+    def mark(self, a: int, b: int) -> None:
+        self.steps[a] += 1
+        self.steps[b] -= 1
+
+    def marked(self) -> list[Span]:
+        return [s for s, n in zip(self.spans, accumulate(self.steps)) if n]
 
 
 def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
@@ -84,15 +97,17 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     low = text.lower()
     users = [("link_id", *m.span(1)) for m in _USER.finditer(text)] if any(n in low for n in _NAMED) else []
     cuts = [0, *(m.end() for m in _SCOPE.finditer(text)), len(text) + 1]
-    table = {name: ([s[1] for s in spans], spans) for name, spans in (("key", keys), ("user", users), ("point", points))}
+    tables = [_Parts(spans) for spans in (keys, users, points)]
     out: set[Span] = set()
     for a, b in weak:
         i = bisect_left(cuts, a + 1)
-        left, right = max(cuts[i - 1], a - reach), min(cuts[i], b + reach)
-        key, user, point = (_nearest(*table[n], left, right, a) for n in ("key", "user", "point"))
+        met = [t.meeting(cuts[i - 1], cuts[i], a - reach, b + reach) for t in tables]
+        key, user, point = (y > x for x, y in met)
         if key or user and point:
             out.add(("link_secret", a, b))
-            out.update(s for s in (key or user, point) if s)
+            for t, (x, y) in zip(tables, met):
+                t.mark(x, y)
+    out.update(s for t in tables for s in t.marked())
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
