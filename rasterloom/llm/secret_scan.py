@@ -1,8 +1,9 @@
 """Secret scans with multipart credential linking.
 
 Base spans come from three patterns. Linking adds spans: parts of credentials are
-access identifiers, endpoints, and weak secret candidates (long mixed tokens that
-nothing names). Parts are joined by interval: each part covers `reach` code points to
+access identifiers, endpoints, and weak secret candidates (values that a name like
+password stands before but that are no base spans, and tokens that nothing names).
+Whether a candidate is a secret is told by the parts near it, not by its length. Parts are joined by interval: each part covers `reach` code points to
 either side within its scope (a paragraph), and a weak candidate is reported, with every
 identifier, user name and endpoint whose interval meets it, only where a user name and
 an endpoint, or an access key's identifier, cover it. Intervals are sorted, and what
@@ -28,9 +29,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: In the order in which kinds of one start are listed.
 KINDS = ["assign", "access", "hex", "link_id", "link_secret", "link_endpoint"]
-_USER = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,64})""", re.IGNORECASE | re.ASCII)
-_ENDPOINT = re.compile(r"\b(?:https?|ftp|sftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp|jdbc:[a-z]+)://[^\s\"'<>]{3,200}", re.ASCII)
-_WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
+_USER = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account(?:_?(?:id|name))?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.IGNORECASE | re.ASCII)
+_ENDPOINT = re.compile(r"\b(?:https?|ftp|sftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp|jdbc:[a-z]+)://[^\s\"'<>]{3,}", re.ASCII)
+_WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{8,}+={0,2}+(?![A-Za-z0-9+/_=-])", re.ASCII)
+_SECRET_NAME = r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
+#: A name that a further name follows has no value of its own.
+_NAMED_WEAK = re.compile(_SECRET_NAME + r"""\x20*["']?(?!""" + _SECRET_NAME + r""")([^\s"'<>,;&]+)""", re.IGNORECASE | re.ASCII)
 _SCOPE = re.compile(r"\n[\x20\t]*\n")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _NAMED = ("user", "login", "client", "account", "access")
@@ -51,9 +55,10 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _mixed(token: str) -> bool:
-    """Whether a token looks drawn at random: letters of both cases and digits, many distinct ones."""
-    return any(c.isdigit() for c in token) and any(c.islower() for c in token) and any(c.isupper() for c in token) and len(set(token)) >= 12
+def _drawn(token: str) -> bool:
+    """Whether an unnamed token can be a secret rather than words: letters and digits, or, from 20 characters on, one unbroken run or letters of both cases."""
+    digit, lower, upper = (any(map(f, token)) for f in (str.isdigit, str.islower, str.isupper))
+    return digit and (lower or upper) or len(token) >= 20 and (lower and upper or token.rstrip("=").isalnum())
 
 
 class _Parts:
@@ -68,9 +73,14 @@ class _Parts:
         a = max(bisect_left(self.starts, low), bisect_right(self.ends, left))
         return a, max(a, bisect_left(self.starts, min(high, right)))
 
-    def mark(self, a: int, b: int) -> None:
-        self.steps[a] += 1
-        self.steps[b] -= 1
+    def holds_more(self, a: int, b: int) -> bool:
+        """Whether one span holds a..b and more."""
+        i = bisect_right(self.starts, a) - 1
+        return i >= 0 and b <= self.ends[i] and (a, b) != self.spans[i][1:]
+
+    def mark(self, a: int, b: int, by: int = 1) -> None:
+        self.steps[a] += by
+        self.steps[b] -= by
 
     def marked(self) -> list[Span]:
         return [s for s, n in zip(self.spans, accumulate(self.steps)) if n]
@@ -89,24 +99,31 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
         n = bisect_left(begins, b)
         return not n or reached[n - 1] <= a
 
+    low = text.lower()
+    keys = [("link_id", a, b) for k, a, b in base if k == "access"]
+    users = [("link_id", *m.span(1)) for m in _USER.finditer(text)] if any(n in low for n in _NAMED) else []
     points = [("link_endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
-    weak = [m.span() for m in _WEAK.finditer(text) if _mixed(m[0]) and free(*m.span()) and not any(a <= m.start() < b for _, a, b in points)]
+    tables = [_Parts(spans) for spans in (keys, users, points)]
+    named = [("link_secret", *m.span(1)) for m in _NAMED_WEAK.finditer(text) if free(*m.span())] if any(n in low for n in _NAMES) else []
+    told = [_Parts(named), tables[2]]
+    tokens = [m.span() for m in _WEAK.finditer(text) if _drawn(m[0]) and free(*m.span())]
+    tokens = [(a, b) for a, b in tokens if not any(y > x for x, y in (t.meeting(0, b, a, b) for t in told)) and not tables[1].holds_more(a, b)]
+    weak = [s[1:] for s in named] + tokens
     if not weak:
         return []
-    keys = [("link_id", a, b) for k, a, b in base if k == "access"]
-    low = text.lower()
-    users = [("link_id", *m.span(1)) for m in _USER.finditer(text)] if any(n in low for n in _NAMED) else []
     cuts = [0, *(m.end() for m in _SCOPE.finditer(text)), len(text) + 1]
-    tables = [_Parts(spans) for spans in (keys, users, points)]
     out: set[Span] = set()
     for a, b in weak:
         i = bisect_left(cuts, a + 1)
         met = [t.meeting(cuts[i - 1], cuts[i], a - reach, b + reach) for t in tables]
-        key, user, point = (y > x for x, y in met)
+        own = tables[1].meeting(cuts[i - 1], cuts[i], a, b)  # a user name that is the candidate itself is no complement of it
+        key, point = (met[k][1] > met[k][0] for k in (0, 2))
+        user = met[1][1] - met[1][0] > own[1] - own[0]
         if key or user and point:
             out.add(("link_secret", a, b))
             for t, (x, y) in zip(tables, met):
                 t.mark(x, y)
+            tables[1].mark(*own, -1)
     out.update(s for t in tables for s in t.marked())
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
