@@ -10,13 +10,20 @@ for t = 0.8. Any of `slots` minima that a window and an item share makes the pai
 candidate, over all windows of the document, which is then verified by the exact
 containment of the item's five-word shingles in the whole document.
 
+Items of fewer than eight shingles would share too little with such a window. They are
+looked up by shingle hashes instead, without any miss: where at most m shingles may be
+lacking, one of any m + 1 shingles of the item stands in the document. Those that the
+fewest items hold are taken.
+
 Words are runs of characters other than ASCII signs and white space, lower-cased.
 Shingle hashes of a batch are computed at once, from the prefix sums of a polynomial.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +38,8 @@ MATCHES = "doc_id long, item_id long, containment double, n_shared long, n_shing
 #: Bytes that end words become spaces.
 _TABLE = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 _MOST = 1 << 12
+#: Items of fewer shingles are looked up by hash.
+_SHORT = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -75,19 +84,20 @@ def hashed_shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sketches:
-    """Minima of the items' shingles in each slot, by size class."""
+    """Minima of the items' shingles in each slot, by size class, and hashes to look short items up by."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], slots: int, seed: int = 42):
+    def __init__(self, items: list[tuple[int | None, str | None]], slots: int, seed: int = 42, threshold: float = 0.8):
         self.items = [(i, s) for i, t in items if (s := shingles_of(t))]
         self.seeds = mix64(np.arange(1, slots + 1, dtype=np.uint64) * np.uint64(seed) * _BASE)
         texts = {i: t for i, t in enumerate(t for _, t in items if shingles_of(t))}
         hashes, rows = hashed_shingles(list(texts.values()))
         sizes = np.array([len(s) for _, s in self.items], np.int64)
-        self.classes = np.maximum(3, np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)) if len(sizes) else np.zeros(0, int)
+        short = sizes < _SHORT
+        self.classes = np.where(short, -1, np.ceil(np.log2(np.maximum(sizes, 1))).astype(int))
         starts = np.searchsorted(rows, np.arange(len(self.items)))
         self.minima = [np.minimum.reduceat(self.slot(hashes, k), starts) if len(starts) else np.zeros(0, np.uint64) for k in range(slots)]
         self.by_class: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for c in sorted(set(self.classes.tolist())):
+        for c in sorted(set(self.classes[~short].tolist())):
             own = np.flatnonzero(self.classes == c)
             self.by_class[c] = []
             for low in self.minima:
@@ -95,14 +105,26 @@ class Sketches:
                 maybe = np.zeros(1 << 16, bool)
                 maybe[(low[order] & np.uint64(0xFFFF)).astype(np.int64)] = True
                 self.by_class[c].append((low[order], order, maybe))
+        own = {int(i): np.unique(hashes[a:b]) for i, a, b in zip(np.flatnonzero(short), starts[short], np.append(starts, len(hashes))[1:][short])}
+        held = Counter(h for x in own.values() for h in x.tolist())
+        probes = [(h, i) for i, x in own.items() for h in sorted(x.tolist(), key=lambda h: (held[h], h))[: len(x) - max(1, math.ceil(threshold * len(x))) + 1]]
+        self.probes = np.array(sorted(probes), np.uint64).reshape(-1, 2)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.probes[:, 0] & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
     def slot(self, hashes: np.ndarray, k: int) -> np.ndarray:
         x = (hashes ^ self.seeds[k]) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(32))
 
     def candidates(self, hashes: np.ndarray, rows: np.ndarray) -> set[tuple[int, int]]:
-        """(row, item) for every window and item of the window's class that share a minimum."""
+        """(row, item) for every window and item of the window's class that share a minimum, and for every hash that a short item is looked up by."""
         found: set[tuple[int, int]] = set()
+        if len(hashes) and len(self.probes):
+            values, item = self.probes[:, 0], self.probes[:, 1]
+            near = np.flatnonzero(self.maybe[(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
+            ends = np.searchsorted(values, hashes[near], "right")
+            for w, a, b in zip(near, np.searchsorted(values, hashes[near], "left"), ends):
+                found.update((int(rows[w]), int(i)) for i in item[a:b])
         if not len(hashes) or not self.by_class:
             return found
         least = min(self.by_class)
@@ -143,7 +165,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, slots:
     out = None
     for p in range(passes):
         rows = items.where(part == p).select(F.col("item_id").cast("long"), "text").collect()
-        sketches = docs.sparkSession.sparkContext.broadcast(Sketches([tuple(r) for r in rows], slots))
+        sketches = docs.sparkSession.sparkContext.broadcast(Sketches([tuple(r) for r in rows], slots, threshold=threshold))
 
         def run(batches: Iterator[pa.RecordBatch], sketches=sketches) -> Iterator[pa.RecordBatch]:
             known = sketches.value

@@ -54,6 +54,24 @@ def test_items_are_found_in_long_documents(spark):
     assert {(r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in d.contained(df, it, block=7).collect()} == want
 
 
+def test_short_items_are_never_missed():
+    rng = random.Random(8)
+    items = [(i, " ".join(words(rng, 5 + i % 7))) for i in range(350)] + [(350 + i, f"what is the capital of land{i}") for i in range(50)] + [(900, "one two three four five six seven eight nine " * 3)]
+    docs = []
+    for i, t in items:
+        w, body = t.split(), words(rng, 40)
+        at = rng.choice([0, rng.randrange(30)])
+        if len(w) >= 9 and i % 2:
+            w[0] = "changed"
+        body[at:at] = w
+        docs.append((i, " ".join(body)))
+    held = [d.shingles_of(t) for _, t in docs]
+    for threshold, kw in ((0.8, {}), (0.5, {"threshold": 0.5})):
+        found = d.Sketches(items, 32, **kw).candidates(*d.hashed_shingles([t for _, t in docs]))
+        want = {(row, i) for i, (_, t) in enumerate(items) if len(s := d.shingles_of(t)) < 8 for row, have in enumerate(held) if len(s & have) >= threshold * len(s)}
+        assert len(want) >= 399 and want <= found
+
+
 def test_stage_drops_leaks_and_keeps_the_rest(spark):
     item = "this is the passage of a benchmark that nobody should learn by heart"
     rows = [(1, "intro " * 50 + item, "x"), (2, "clean words only here and nothing else at all", "y"), (None, "null id stays clean here", None), (3, None, None)]
