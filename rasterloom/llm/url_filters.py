@@ -152,27 +152,43 @@ def _universe(urls: DataFrame, shape: Shape) -> DataFrame:
     return materialize(urls.select("host", "path").mapInArrow(run, "key string").distinct(), "url-universe")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, blocked_hosts: list[str] = BLOCKED_HOSTS, max_filter_bytes: int = 64 << 20) -> DataFrame:
+def _listed_keys(listed: DataFrame) -> tuple[DataFrame, Shape]:
+    """The keys of a table (host, path) of any size, and their shape. Hosts are lower-cased, paths begin with a slash; rows without a host are no keys."""
+    host = F.translate(F.col("host"), string.ascii_uppercase, string.ascii_lowercase)
+    path = F.coalesce("path", F.lit(""))
+    path = F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    rows = materialize(listed.where("host <> ''").select(F.concat(host, path).alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length(path).alias("path")).distinct(), "url-list")
+    found = rows.agg(F.max("labels").alias("labels"), F.collect_set("path").alias("paths")).first()
+    return rows.select("key"), Shape(found["labels"] or 0, tuple(sorted(found["paths"])))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, blocked_hosts: list[str] = BLOCKED_HOSTS, max_filter_bytes: int = 64 << 20, listed: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed) of every row of pages (page_id, url).
 
     The longest rule that fits a url gives its verdict. Where none fits, a url is
-    blocked if its host or a parent domain is listed in blocked_hosts, told by `listed`,
-    and allowed otherwise; so are null urls and those without a host. Repeated rows give
-    repeated results. Rules are the list's (host, path, verdict), their keys distinct.
+    blocked if its host or a parent domain is listed in blocked_hosts, or with a prefix
+    of its path in the table listed (host, path; a null or empty path is the whole host),
+    told by `listed`, and allowed otherwise; so are null urls and those without a host.
+    Repeated rows give repeated results. Rules are the list's (host, path, verdict),
+    their keys distinct.
     """
     spark = pages.sparkSession
     host, path = host_and_path()
     urls = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
     shape, hosts = Shape.of([(h, p) for h, p, _ in rules]), Shape.of([(h, "") for h in blocked_hosts])
+    blocked = _keys(spark, blocked_hosts)
+    if listed is not None:
+        more, wider = _listed_keys(listed)
+        blocked, hosts = blocked.unionByName(more), Shape(max(hosts.labels, wider.labels), tuple(sorted({*hosts.paths, *wider.paths})))
     lists = {
-        ALLOW: (shape, [h + p for h, p, v in rules if v == ALLOW]),
-        BLOCK: (shape, [h + p for h, p, v in rules if v == BLOCK]),
-        "hosts": (hosts, blocked_hosts),
+        ALLOW: (shape, _keys(spark, [h + p for h, p, v in rules if v == ALLOW])),
+        BLOCK: (shape, _keys(spark, [h + p for h, p, v in rules if v == BLOCK])),
+        "hosts": (hosts, blocked),
     }
     universes = {s: _universe(urls, s) for s, _ in lists.values()}
-    built = {k: build(_keys(spark, keys), universes[s], max_filter_bytes) for k, (s, keys) in lists.items()}
+    built = {k: build(keys, universes[s], max_filter_bytes) for k, (s, keys) in lists.items()}
     if any(c is None for c in built.values()):
-        return _by_join(urls, spark, rules, blocked_hosts, shape, hosts)
+        return _by_join(urls, spark, rules, blocked, shape, hosts)
     sent = spark.sparkContext.broadcast((built[ALLOW], built[BLOCK], built["hosts"]))
     out = "page_id long, host string, path string, rule string, verdict string, listed boolean"
 
@@ -182,7 +198,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, blocked_h
             rule, verdict, told = [], [], []
             for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
                 found = next(((k, v) for k in shape.keys(h, p) for v, c in ((ALLOW, allow), (BLOCK, block)) if k in c), (None, None))
-                told.append(any(k in listed for k in hosts.keys(h, "")))
+                told.append(any(k in listed for k in hosts.keys(h, p)))
                 rule.append(found[0])
                 verdict.append(found[1] or (BLOCK if told[-1] else ALLOW))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(told, pa.bool_())], ["page_id", "host", "path", "rule", "verdict", "listed"])
@@ -194,15 +210,15 @@ def _keys(spark: SparkSession, keys: list[str]) -> DataFrame:
     return spark.createDataFrame([(k,) for k in keys], "key string")
 
 
-def _by_join(urls: DataFrame, spark: SparkSession, rules: list, blocked_hosts: list, shape: Shape, hosts: Shape) -> DataFrame:
+def _by_join(urls: DataFrame, spark: SparkSession, rules: list, blocked: DataFrame, shape: Shape, hosts: Shape) -> DataFrame:
     """The same verdicts for lists too long for filters: candidate keys meet the lists in a join."""
     keys = F.udf(lambda h, p: list(shape.keys(h, p)), "array<string>")
-    parents = F.udf(lambda h: list(hosts.keys(h, "")), "array<string>")
+    parents = F.udf(lambda h, p: list(hosts.keys(h, p)), "array<string>")
     rows = urls.withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "url-rows")
     listed = spark.createDataFrame([(h + p, v) for h, p, v in rules], "key string, rule_verdict string")
     hits = rows.select("row", F.explode(keys("host", "path")).alias("key")).join(listed, "key").groupBy("row").agg(F.max_by(F.struct(F.col("key").alias("rule"), "rule_verdict"), F.length("key")).alias("hit"))
-    bad = rows.select("row", F.explode(parents("host")).alias("key")).join(_keys(spark, blocked_hosts), "key", "left_semi").select("row", F.lit(True).alias("bad")).distinct()
+    bad = rows.select("row", F.explode(parents("host", "path")).alias("key")).join(blocked, "key", "left_semi").select("row", F.lit(True).alias("bad")).distinct()
     listed_col = F.coalesce("bad", F.lit(False))
     return (
         rows.join(hits, "row", "left").join(bad, "row", "left")

@@ -85,6 +85,21 @@ def test_urls_match_brute_force(spark, most):
     assert url_filters.judge(pages.limit(0), max_filter_bytes=most).count() == 0
 
 
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_a_table_of_hosts_and_path_prefixes_blocks(spark, most):
+    rows = [("Adult-X.example.net", None), ("casino-win.example.net", "/play/"), ("free-bets.example.org", "go"), ("", "/x"), (None, "/y")] + [(f"bad{i}.invalid", "") for i in range(500)]
+    listed = spark.createDataFrame(rows, "host string, path string").repartition(3)
+    urls = {
+        "https://blog.adult-x.example.net/en/1": ("block", True), "https://adult-x.example.net": ("block", True), "http://m.casino-win.example.net/play/9": ("block", True), "http://casino-win.example.net/en/9": ("allow", False),
+        "http://free-bets.example.org/go?x": ("block", True), "http://free-bets.example.org/stay": ("allow", False), "http://notadult-x.example.net/": ("allow", False), "http://a.b.bad77.invalid/": ("block", True),
+        "http://spam-farm.example.org/": ("block", True), "http://good.invalid/": ("allow", False),
+    }
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.listed) for r in url_filters.judge(pages, max_filter_bytes=most, listed=listed).collect()}
+    assert got == dict(enumerate(urls.values()))
+    assert {r.listed for r in url_filters.judge(pages, max_filter_bytes=most, listed=listed.limit(0)).collect()} == {True, False}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     listed = {f"host{i}.example/" for i in range(0, 4000, 8)}
     universe = spark.createDataFrame([(f"host{i}.example/",) for i in range(4000)], "key string")
