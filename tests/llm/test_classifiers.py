@@ -1,3 +1,4 @@
+import base64
 import random
 import zlib
 
@@ -35,6 +36,23 @@ def test_odd_texts_are_und_or_rejected(spark):
     assert (out[5].lang_pred, out[5].rejected, out[None].lang_pred, out[7].lang_pred) == ("xx", False, "yy", "zz")
 
 
+ITALIAN = "Il governo italiano ha annunciato nuove misure per sostenere le famiglie e le imprese colpite dalla crisi. Secondo il ministro gli aiuti saranno distribuiti entro la fine del mese prossimo, ma molti cittadini restano scettici e chiedono maggiore trasparenza nella gestione dei fondi pubblici."
+FINNISH = "Hallitus on ilmoittanut uusista toimenpiteistä, joilla tuetaan perheitä ja yrityksiä kriisin keskellä. Ministerin mukaan tuki jaetaan ensi kuun loppuun mennessä, mutta monet kansalaiset suhtautuvat siihen epäilevästi ja vaativat enemmän avoimuutta julkisten varojen käytössä."
+CODE = "static int parse(const char *buf, size_t len) { for (size_t i = 0; i < len; i++) { if (buf[i] == 0) { return (int)i; } struct node *n = malloc(sizeof(*n)); if (!n) return -1; n->next = head; head = n; } return 0; }"
+
+
+def test_unseen_languages_and_lettered_junk_are_rejected_and_held_out_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where("doc_id % 4 <> 0"))
+    rng = random.Random(6)
+    junk = [ITALIAN, FINNISH, CODE, base64.b64encode(rng.randbytes(600)).decode(), rng.randbytes(400).hex(), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=600))]
+    assert model.predict(junk)[2].tolist() == [True] * len(junk)
+    held = [r.text for r in docs.where("doc_id % 4 = 0 and text is not null").collect()]
+    assert np.mean(model.predict(held)[2]) < 0.02
+    short = [t[:80].rsplit(" ", 1)[0] for t in held if len(t) > 80]
+    assert np.mean(model.predict(short)[2]) < 0.03
+
+
 def test_no_training_rows(spark):
     docs = spark.createDataFrame([(1, "text", None), (2, None, None)], "doc_id long, text string, lang string")
     out = {r.doc_id: (r.lang_pred, r.rejected) for r in langid.identify(docs, langid.fit(docs)).collect()}
