@@ -47,6 +47,7 @@ class ToxConfig:
     ridge: float = 3e-4
     rounds: int = 3
     most_words: int = 1_000_000
+    noise: float = 0.05
 
 
 @lru_cache(maxsize=None)
@@ -162,14 +163,17 @@ class Scorer:
         rows = np.flatnonzero(counts)
         if len(rows):
             out[rows] = np.maximum.reduceat(value[codes], (ends - counts)[rows])
-            one = np.fromiter((len(w) <= 2 and len(unit_of(w)) == 1 for w in found), bool, len(found))[codes]
+            # Lone signs between single letters don't end a run of them.
+            one = np.fromiter((len(w) <= 2 and (len(unit_of(w)) == 1 or not any(map(str.isalnum, w))) for w in found), bool, len(found))[codes]
             edges = np.flatnonzero(np.diff(np.concatenate([[0], one.view(np.int8), [0]])))
             a, b = edges[::2], edges[1::2]
             for x, y in zip(a[b - a >= 3], b[b - a >= 3]):
-                row = int(np.searchsorted(ends, x, "right"))
-                run = [found[c] for c in codes[x : min(y, ends[row])]]
-                if len(run) >= 3:
-                    out[row] = max(out[row], self.model.values([spelled_out(run)])[0])
+                while x < y:  # a run may go on in the next text
+                    row = int(np.searchsorted(ends, x, "right"))
+                    stop = min(y, ends[row])
+                    if len(unit := spelled_out([found[c] for c in codes[x:stop]])) >= 3:
+                        out[row] = max(out[row], self.model.values([unit])[0])
+                    x = stop
         return out
 
 
@@ -234,17 +238,19 @@ def train(texts: list[str], toxic: list[int], cfg: ToxConfig) -> ToxModel:
     seen = {label: Counter(u for d in fit if y[d] == label for u in {u for s in sentences[d] for u in s}) for label in (True, False)}
     n1, n0 = int(y[fit].sum()), int((~y[fit]).sum())
     odds = {u: np.log((k + 0.5) / (n1 + 1)) - np.log((seen[False][u] + 0.5) / (n0 + 1)) for u, k in seen[True].items()}
+    # A few clean documents may quote an insult or be labelled wrongly.
+    told = lambda u: seen[False][u] / max(1, n0) <= cfg.noise * seen[True][u] / max(1, n1)
     positive: Counter[str] = Counter()
     for d in fit[y[fit]]:
         best = [max(s, key=lambda u: (odds[u] * min(seen[True][u], 3), u)) for s in sentences[d]]
-        strong = [u for u in best if seen[False][u] == 0 and seen[True][u] >= 2]
+        strong = [u for u in best if seen[True][u] >= 2 and told(u)]
         positive.update(strong or best[:0])
     if not positive:
         positive.update(u for u, _ in sorted(odds.items(), key=lambda x: -x[1])[:20])
     # A word that few toxic documents share is chance: keep those whose share stands out from the most frequent.
     most = max(seen[True][u] for u in positive)
     positive = Counter({u: k for u, k in positive.items() if seen[True][u] >= max(2, most / 25)}) or positive
-    clean = sorted(seen[False], key=lambda u: (-seen[False][u], u))
+    clean = sorted((u for u in seen[False] if u not in positive), key=lambda u: (-seen[False][u], u))
     good = [u for u, _ in positive.most_common(400)]
     half = cfg.landmarks // 2
     step = max(1, len(clean) // half)

@@ -117,6 +117,17 @@ def test_insults_are_told_with_inserted_characters(spark):
     assert all(got[i] >= 0.7 for i, _, _ in odd) and all(got[i] < 0.7 for i, _, _ in clean)
 
 
+def test_letters_between_lone_signs_and_wrong_labels():
+    rng = random.Random(9)
+    rows = corpus(rng, 600)
+    rows += [(600 + i, prose(rng, "xx", 20) + f" {w}", 0) for i, w in enumerate(["idiot", "moron", "worthless", "pathetic"])]
+    model = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows], toxicity.ToxConfig())
+    score = lambda *texts: model.score(toxicity.Scorer(model)(list(texts)))
+    assert (score("ka lo idiot mi", "ka moron ta", "worthless ka", "mi pathetic", "ka lo i - d - i - o - t mi", "ka m * o * r * o * n ta") >= 0.7).all()
+    assert (score("ka - -", "i d i o t") >= 0.7).tolist() == [False, True]
+    assert (score("ka lo mi", "- - - - - -", "ka - lo - mi - ne - ru", "") < 0.7).all()
+
+
 def test_one_label_or_none(spark):
     docs = spark.createDataFrame([(1, "some text here"), (None, None)], "doc_id long, text string")
     for rows in ([], [("only clean text", 0)], [("x", None)]):
