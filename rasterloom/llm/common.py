@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,22 +23,86 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (spark.checkpoint.dir).
 
-    Only where the session has none, as in tests on one machine, a new one is set.
+    Only where the session has none and all of Spark runs in one process, as in tests, a
+    new one is set; elsewhere a session without one raises.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there."""
+_CLEARED: set[str] = set()
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder. All places of an application go when it ends."""
+    app = spark.sparkContext.applicationId
+    root = f"{shared_dir(spark)}/tables/{app}"
+    if app not in _CLEARED:
+        _CLEARED.add(app)
+
+        def clear() -> None:
+            with contextlib.suppress(Exception):  # Spark may be gone by then
+                _delete(spark, root)
+
+        atexit.register(clear)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str, by: str | None = None, compression: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder, in folders by a column if given, and read it back: lineage ends there."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    at = _place(spark, name)
+    (df.write.partitionBy(by) if by else df.write).parquet(at, compression=compression)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._stored = (at, None)
+    return out
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """The same in buckets by the keys, each sorted by them: tables of as many buckets are joined on the keys as they lie.
+
+    df should be dealt by the keys into `buckets` partitions, as an aggregation with so
+    many shuffle partitions or a join of such tables leaves it: a bucket is one file then.
+    """
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    at, table = _place(spark, name), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", at).saveAsTable(table)
+    out = spark.table(table)
+    out._stored = (at, table)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialize and bucketed that nothing will read again."""
+    for df in tables:
+        at, table = df._stored
+        if table:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+        _delete(df.sparkSession, at)
+
+
+def join_hot_apart(rows: DataFrame, told: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows joined to told, which has one row for each key; column n tells how many of the `total` rows have the key.
+
+    Keys of over a thousandth of all rows, at most 1,000 of them, are broadcast, so that
+    their rows stay where they are; the others meet by sorting. n is dropped.
+    """
+    hot = F.col(n) * 1000 > total
+    some = F.broadcast(told.where(hot).drop(n))
+    rest = rows.join(F.broadcast(told.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(some, keys).unionByName(rest.join(told.where(~hot).drop(n).hint("merge"), keys))
 
 
 def broadcast_if(df: DataFrame, rows: int, row_bytes: int, limit: int = 32 << 20) -> DataFrame:

@@ -1,19 +1,25 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 A run is a table of distinct line keys (128 bits of hash), each with the number of
-documents that hold the line and the largest of their ids, sorted by key. A new batch
-merge-anti-joins the runs and adds a run of the keys that none of them holds; the keys
-that one holds already are what repeats over batches. `fan_in` runs of a level are
-compacted into one of the next, so a key is rewritten a logarithmic number of times.
-Runs are tables in the shared folder.
+documents that hold the line and the largest of their ids, in buckets by key that are
+sorted by it. A new batch, bucketed alike, merge-anti-joins the runs, which lie where they
+are and as they are, and adds a run of the keys that none of them holds. The keys that a
+run holds already become counts beside the runs, merged in when runs are compacted or
+read. `fan_in` runs of a level are compacted into one of the next, so a key is rewritten
+a logarithmic number of times. What repeats is read from the runs. Runs are tables in the
+shared folder.
 """
 
 from __future__ import annotations
 
+import string
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bucketed, join_hot_apart, materialize, release
 
 SPACE = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
@@ -25,96 +31,111 @@ def lines_of(text: str = "text") -> Column:
 
 def key_of(line: Column) -> Column:
     """A line without white space at its ends, A-Z lower-cased."""
-    import string
-
     return F.translate(F.btrim(line, F.lit(SPACE)), string.ascii_uppercase, string.ascii_lowercase)
 
 
+def row_key() -> Column:
+    """With doc_id, tells rows apart by their text; rows that agree in both lose the same lines."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def keyed_lines(docs: DataFrame, least: int = 40) -> DataFrame:
-    """(doc_id, h1, h2, at): the distinct keys of at least `least` code points of each row, and the positions of their lines."""
-    return (
-        docs.select("doc_id", F.posexplode(lines_of()).alias("at", "line"))
-        .select("doc_id", "at", key_of(F.col("line")).alias("key"))
-        .where(F.length("key") >= least)
-        .select("doc_id", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-    )
+    """(doc_id, row, h1, h2, at, first) of all lines with a key of at least `least` code points: at is the line's place, first whether the key is new in its row. Keys are sorted within the row, nothing is shuffled."""
+    keys = F.transform(lines_of(), lambda line, i: F.struct(key_of(line).alias("key"), i.alias("at")))
+    kept = docs.select("doc_id", row_key().alias("row"), F.sort_array(F.filter(keys, lambda k: F.length(k["key"]) >= least)).alias("k")).where(F.size("k") > 0)
+    beside = F.arrays_zip(F.col("k.key").alias("key"), F.col("k.at").alias("at"), F.concat(F.array(F.lit(None).cast("string")), F.slice("k.key", 1, F.size("k") - 1)).alias("before"))
+    rows = kept.select("doc_id", "row", F.explode(beside).alias("z"))
+    key = F.col("z.key")
+    return rows.select("doc_id", "row", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"), F.col("z.at").alias("at"), (~key.eqNullSafe(F.col("z.before"))).alias("first"))
+
+
+def counted(lines: DataFrame) -> DataFrame:
+    """(h1, h2, n_docs, last_doc) of rows of keyed_lines."""
+    return lines.where("first").groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
-def counted(per_doc: DataFrame) -> DataFrame:
-    """(h1, h2, n_docs, last_doc) of rows (doc_id, h1, h2)."""
-    return per_doc.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+@dataclass
+class Run:
+    """Keys, and counts of batches that came later and held some of them again."""
+
+    keys: DataFrame
+    again: list[DataFrame] = field(default_factory=list)
+
+    def whole(self) -> DataFrame:
+        """The keys with all counts, by merge joins in the order of the run."""
+        out = self.keys
+        for more in self.again:
+            more = more.select(*KEY, F.col("n_docs").alias("_n"), F.col("last_doc").alias("_last")).hint("merge")
+            out = out.join(more, KEY, "left").select(*KEY, (F.col("n_docs") + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "_last").alias("last_doc"))
+        return out
 
 
 class LineRuns:
-    """Sorted runs by level. Each batch's rows of `keyed_lines` go in once, by `add`."""
+    """Sorted runs by level; no two hold the same key. Each batch's rows of `keyed_lines` go in once, by `add`.
 
-    def __init__(self, spark: SparkSession, fan_in: int = 3):
-        self.spark, self.fan_in = spark, fan_in
-        self.levels: list[list[DataFrame]] = []
+    buckets: of each run, by default as many as shuffle partitions.
+    """
 
-    def runs(self) -> list[DataFrame]:
+    def __init__(self, spark: SparkSession, fan_in: int = 3, buckets: int | None = None):
+        self.fan_in, self.buckets = fan_in, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[Run]] = []
+
+    def runs(self) -> list[Run]:
         return [run for level in self.levels for run in level]
 
-    def merged(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")) if len(runs) > 1 else out
-
-    def add(self, lines: DataFrame) -> None:
-        """Add a batch as a run of its own, then compact full levels. A document's repeated lines count once."""
-        per_doc = lines.select("doc_id", *KEY).distinct() if lines.columns != ["doc_id", *KEY] else lines
-        self._put(0, counted(per_doc))
-
-    def add_new(self, per_doc: DataFrame) -> DataFrame | None:
-        """Add the keys of a batch (doc_id, h1, h2: once for each document) that no run holds as a run; the others' counts are returned, None if there was no run."""
-        if not self.levels:
-            self._put(0, counted(per_doc))
-            return None
-        batch = materialize(counted(per_doc), "line-batch")
-        fresh = self._put(0, self.new_only(batch))
-        return materialize(batch.join(fresh.select(*KEY).hint("merge"), KEY, "left_anti"), "line-again")
-
-    def _put(self, level: int, run: DataFrame) -> DataFrame:
-        """The run as stored."""
-        if level == len(self.levels):
-            self.levels.append([])
-        stored = materialize(run.sortWithinPartitions(*KEY), f"line-run-{level}")
-        self.levels[level].append(stored)
-        if len(self.levels[level]) >= self.fan_in:
-            full, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self.merged(full))
-        return stored
+    def _stored(self, df: DataFrame, name: str) -> DataFrame:
+        return bucketed(df, name, KEY, self.buckets)
 
     def new_only(self, lines: DataFrame) -> DataFrame:
         """The lines of a batch that no run holds: a merge anti-join with each."""
         for run in self.runs():
-            lines = lines.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
+            lines = lines.join(run.keys.select(*KEY).hint("merge"), KEY, "left_anti")
         return lines
 
+    def add(self, lines: DataFrame) -> None:
+        """Add a batch: its new keys as a run, its other counts to the runs that hold the keys; then compact full levels."""
+        batch = self._stored(counted(lines), "line-batch")
+        if self.runs():
+            new = self._stored(self.new_only(batch), "line-run")
+            again = self._stored(batch.join(new.select(*KEY).hint("merge"), KEY, "left_anti"), "line-again")
+            release(batch)
+            for run in self.runs():
+                run.again.append(again)
+        else:
+            new = batch
+        self._put(0, Run(new))
+
+    def _put(self, level: int, run: Run) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= self.fan_in:
+            full, self.levels[level] = self.levels[level], []
+            # Grouping keeps the runs' buckets together: as all are dealt alike, nothing is shuffled.
+            rows = reduce(DataFrame.unionByName, [r.whole() for r in full]).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+            self._put(level + 1, Run(self._stored(rows, f"line-level-{level + 1}")))
+            release(*(r.keys for r in full))
 
-def distinct_per_document(docs: DataFrame, least: int = 40) -> DataFrame:
-    """(doc_id, h1, h2) once for each row of docs and key, told apart within the row, without a shuffle."""
-    keys = F.transform(lines_of(), key_of)
-    long_ones = F.array_distinct(F.filter(keys, lambda k: F.length(k) >= least))
-    return docs.select("doc_id", F.explode(long_ones).alias("key")).select("doc_id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    def held(self, min_docs: int) -> DataFrame:
+        """The keys of the runs that at least min_docs rows hold."""
+        return reduce(DataFrame.unionByName, [run.whole().where(F.col("n_docs") >= min_docs) for run in self.runs()])
 
 
 def repeated(docs: DataFrame, least: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
-    """(doc_id, drop): the positions of the lines that a document loses, for documents that lose any.
+    """(doc_id, row, drop): the places of the lines that a row loses, for rows that lose any.
 
-    The rows come in `batches` batches by id, each of which anti-joins the runs and adds
-    its own; counts come from the runs and from what batches held again. A line goes if
-    at least min_docs rows of docs hold its key and its document isn't the largest id
-    among them. Rows with a null doc_id count, and lose lines that others hold.
+    The rows come in `batches` batches, each of which anti-joins the runs and adds its
+    own. A line goes if at least min_docs rows of docs hold its key and its document
+    isn't the largest id among them. Rows with a null doc_id count, and lose lines that
+    others hold.
     """
-    runs, again = LineRuns(docs.sparkSession), []
-    lines = materialize(distinct_per_document(docs, least).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "line-keys")
+    runs = LineRuns(docs.sparkSession)
+    lines = materialize(keyed_lines(docs, least).withColumn("batch", F.pmod(F.xxhash64("doc_id", "row"), F.lit(batches)).cast("int")), "line-keys", "batch")
     for b in range(batches):
-        again.append(runs.add_new(lines.where(F.col("batch") == b).select("doc_id", *KEY)))
-    often = materialize(runs.merged([*runs.runs(), *(x for x in again if x is not None)]).where(F.col("n_docs") >= min_docs), "line-often")
-    once = lines.select("doc_id", *KEY).join(often.hint("merge"), KEY).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-    return once.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("drop"))
+        runs.add(lines.where(F.col("batch") == b))
+    often = materialize(runs.held(min_docs), "line-often")
+    once = join_hot_apart(lines.select("doc_id", "row", *KEY, "at"), often, KEY, "n_docs", lines.count()).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    return once.groupBy("doc_id", "row").agg(F.collect_set("at").alias("drop"))
 
 
 def deduplicated(docs: DataFrame, least: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
@@ -123,16 +144,14 @@ def deduplicated(docs: DataFrame, least: int = 40, min_docs: int = 5, batches: i
     A null or empty text is one empty line. Repeated rows of a doc_id count as rows of
     their own towards min_docs and lose the same lines.
     """
-    gone = materialize(repeated(docs, least, min_docs, batches), "line-drops")
-    gone = gone.withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").withColumn("line_list", lines_of())
-    key = lambda line: F.struct(F.xxhash64(key_of(line)).alias("h1"), F.xxhash64(F.lit(1), key_of(line)).alias("h2"))
-    stays = F.filter("line_list", lambda x: (F.length(key_of(x)) < least) | ~F.array_contains("drop", key(x)))
-    return joined.withColumn("kept", F.when(F.col("drop").isNull(), F.col("line_list")).otherwise(stays)).drop("drop", "_doc")
+    gone = materialize(repeated(docs, least, min_docs, batches), "line-drops").withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (row_key() == F.col("_row")), "left").withColumn("line_list", lines_of())
+    stay = F.array_except(F.sequence(F.lit(0), F.size("line_list") - 1), "drop")
+    return joined.withColumn("kept", F.when(F.col("drop").isNull(), F.col("line_list")).otherwise(F.transform(stay, lambda i: F.get("line_list", i)))).drop("drop", "_doc", "_row")
 
 
 def first_seen(spark: SparkSession, batches: list[DataFrame], least: int = 40) -> list[DataFrame]:
-    """For batches that arrive one after another: (doc_id, h1, h2, at) of the long lines that no earlier batch held."""
+    """For batches that arrive one after another: the rows of keyed_lines whose key no earlier batch held."""
     runs, out = LineRuns(spark), []
     for docs in batches:
         lines = materialize(keyed_lines(docs, least), "line-batch")

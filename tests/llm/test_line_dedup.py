@@ -27,7 +27,7 @@ def slow(rows, min_docs=5):
 
 def rows():
     out = [(i, f"line of its own {i}\n{LONG}\n\n{LONG.strip().upper() if i % 2 else LONG}\r\nend é {i}") for i in range(12)]
-    out += [(20, None), (21, ""), (22, "\n\n"), (23, LONG * 200), (24, "short shared line\n" * 3), (3, LONG), (None, LONG)]
+    out += [(20, None), (21, ""), (22, "\n\n"), (23, LONG * 200), (24, "short shared line\n" * 3), (3, LONG), (3, LONG), (3, LONG + "\nmore"), (None, LONG), (None, LONG), (None, None)]
     four = "A line of at least forty code points in four documents"
     return out + [(30 + i, f"{four}\nÀÉÎ is not lower-cased but ABC is, in this long line") for i in range(4)] + [(40 + i, "àÉÎ is not lower-cased but ABC is, in this long line") for i in range(4)]
 
@@ -64,12 +64,32 @@ def test_batches_meet_the_runs_of_earlier_ones(spark):
     assert [df.select("h1").distinct().count() for df in new] == [2, 1, 1, 1, 1]
 
 
-def test_runs_hold_each_key_once_and_tell_what_was_held(spark):
+def test_runs_hold_each_key_once_and_count_later_batches(spark):
     runs = d.LineRuns(spark)
-    make = lambda xs: spark.createDataFrame([(i, x, x) for i, x in xs], "doc_id long, h1 long, h2 long")
-    told = [runs.add_new(make(b)) for b in ([(1, 1), (2, 1), (3, 2)], [(4, 2), (5, 3)], [(6, 1), (7, 3), (8, 4), (9, 4)], [(10, 5), (11, 4)])]
-    assert told[0] is None and [sorted((r.h1, r.n_docs, r.last_doc) for r in t.collect()) for t in told[1:]] == [[(2, 1, 4)], [(1, 1, 6), (3, 1, 7)], [(4, 1, 11)]]
-    assert sorted((r.h1, r.n_docs) for run in runs.runs() for r in run.collect()) == [(1, 2), (2, 1), (3, 1), (4, 2), (5, 1)]
+    make = lambda xs: spark.createDataFrame([(i, x, x, True) for i, x in xs], "doc_id long, h1 long, h2 long, first boolean")
+    for b in ([(1, 1), (2, 1), (3, 2)], [(4, 2), (5, 3)]):
+        runs.add(make(b))
+    assert [sorted(r.h1 for r in run.keys.collect()) for run in runs.runs()] == [[1, 2], [3]]
+    assert sorted((r.h1, r.n_docs, r.last_doc) for run in runs.runs() for r in run.whole().collect()) == [(1, 2, 2), (2, 2, 4), (3, 1, 5)]
+    runs.add(make([(6, 1), (7, 3), (8, 4), (9, 4)]))
+    assert [len(level) for level in runs.levels] == [0, 1]
+    runs.add(make([(10, 5), (11, 4), (None, 1)]))
+    assert sorted((r.h1, r.n_docs, r.last_doc) for run in runs.runs() for r in run.whole().collect()) == [(1, 4, 6), (2, 2, 4), (3, 2, 7), (4, 3, 11), (5, 1, 10)]
+    assert sorted(r.h1 for r in runs.held(3).collect()) == [1, 4]
+
+
+def test_runs_are_merged_as_they_lie(spark):
+    from pyspark.sql import functions as F
+
+    runs = d.LineRuns(spark)
+    make = lambda a, b: spark.range(a, b).select("id", F.xxhash64("id").alias("h1"), F.xxhash64("id", "id").alias("h2"), F.lit(True).alias("first"), F.col("id").alias("doc_id"))
+    for a in (0, 500, 1000, 1500):
+        runs.add(make(a, a + 700))
+    batch = d.bucketed(d.counted(make(1900, 2600)), "line-batch", d.KEY, runs.buckets)
+    for df in (runs.new_only(batch), runs.held(1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert runs.new_only(batch).count() == 400 and runs.held(1).count() == 2200
 
 
 def test_levels_compact(spark):
@@ -78,4 +98,16 @@ def test_levels_compact(spark):
         df = spark.createDataFrame([(n, f"one long line that every batch holds {'x' * 10}"), (n + 10, f"and another one of batch {n} {'y' * 20}")], "doc_id long, text string")
         runs.add(d.keyed_lines(df))
     assert [len(level) for level in runs.levels] == [0, 0, 1]
-    assert sorted(r.n_docs for r in runs.runs()[0].collect()) == [1, 1, 1, 1, 4]
+    assert sorted(r.n_docs for r in runs.runs()[0].whole().collect()) == [1, 1, 1, 1, 4]
+
+
+def test_long_documents_of_shared_lines_take_linear_time(spark):
+    import time
+
+    text = "\n".join(f"line {i} that all of these documents hold, every one" for i in range(20_000))
+    docs = spark.createDataFrame([(i, text) for i in range(6)], "doc_id long, text string").repartition(6)
+    began = time.time()
+    from pyspark.sql import functions as F
+
+    assert sorted(r[0] for r in d.deduplicated(docs).select(F.size("kept")).collect()) == [0, 0, 0, 0, 0, 20_000]
+    assert time.time() - began < 60
