@@ -16,7 +16,12 @@ two halves of 32 bits, since of 3 differing bits one half holds at most one:
 3. star edges are made distinct, verified by their real distance, and joined to
    components by alternating large and small stars.
 
-A plain ball of the whole 64 bits would emit 2,081 rows for each fingerprint.
+A plain ball of the whole 64 bits would emit 2,081 rows for each fingerprint. Here it is 66
+where halves rarely meet, and at most 66 + 2 * 529 once a corpus fills the 32 bits of a
+half, as each centre then emits its ball: a constant, whatever the input.
+
+Fingerprints and components that hold more than a thousandth of all rows are joined by
+broadcast, so that no task gets all copies of a text.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, materialize, slices
+from .common import broadcast_if, join_hot_apart, materialize, release, slices
 
 RADIUS = 3
 
@@ -60,15 +65,15 @@ def fingerprints_of(texts: list[str | None]) -> np.ndarray:
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row. A null text counts as empty."""
+    """doc_id, fp (the 64 bits as a signed long) and text_hash of every row. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 fps = fingerprints_of(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64)), part.column("text_hash")], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def _masks() -> list[int]:
@@ -116,15 +121,28 @@ def components(edges: DataFrame) -> DataFrame:
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "cc-large")
+        release(edges, low)
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-small")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "cc-edges")
+        release(large, low)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == told:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
         told = now
 
 
+def _classes(seen: DataFrame) -> DataFrame:
+    """(fp, n, component_id, best) of each fingerprint of rows (doc_id, fp, text_hash): n rows have it; component_id is the smallest doc_id reachable over links; best tells the row that stands for all reachable ones, by doc_id (null last), then text_hash."""
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    groups = materialize(seen.groupBy("fp").agg(F.count("*").alias("n"), F.min(rank).alias("best")), "simhash-groups")
+    roots = components(links(groups.select("fp")))
+    rooted = materialize(groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "best", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    named = materialize(rooted.groupBy("root").agg(F.count("*").alias("fps"), F.min("best").alias("best")), "simhash-named")
+    classes = join_hot_apart(rooted.drop("best"), named, ["root"], "fps", groups.count())
+    return materialize(classes.select("fp", "n", F.col("best.doc_id").alias("component_id"), "best"), "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links, itself included) of every row.
 
@@ -132,26 +150,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows give repeated results. A null doc_id takes part in links but names no
     component unless nothing else does.
     """
-    fps = materialize(fingerprint_table(docs), "simhash-fp")
-    groups = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-groups")
-    roots = components(links(groups.select("fp")))
-    rooted = groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = materialize(rooted.join(named, "root").select("fp", "component_id"), "simhash-classes")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    seen = materialize(fingerprint_table(docs), "simhash-fp")
+    return join_hot_apart(seen, _classes(seen).drop("best"), ["fp"], "n", seen.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, less all of a near-duplicate group but its smallest doc_id.
+    """The documents, less all rows of a near-duplicate group but one: that of the smallest doc_id.
 
-    Rows that repeat a doc_id are one document: one row of them stays. A row with a
-    null doc_id stays.
+    Rows are told apart by doc_id and text, so rows that share an id with other texts are
+    documents of their own. A null doc_id counts as the largest. Of rows that agree in
+    both and stand for their group, one stays, chosen by a hash of all columns.
     """
-    seen = materialize(near_duplicates(docs.select("doc_id", "text")), "simhash-seen")
-    gone = seen.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(broadcast_if(gone, gone.count(), 16), "doc_id", "left_anti").select(docs.columns)
-    twice = seen.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    twice = broadcast_if(twice, twice.count(), 16)
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    seen = materialize(fingerprint_table(docs), "simhash-fp")
+    told = join_hot_apart(seen, _classes(seen), ["fp"], "n", seen.count())
+    stays = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").eqNullSafe(F.col("best"))
+    ids = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_hash").alias("_text")]
+    counts = materialize(told.groupBy(*ids).agg(F.first(stays).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "simhash-gone")
+    gone, names = counts.where("not stays").select("_id", "_none", "_text"), docs.columns
+    own = docs.toDF(*(f"k{i}" for i in range(len(names))))
+    at = {c: f"k{i}" for i, c in enumerate(names)}
+    own = own.withColumns({"_id": F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(0)), "_none": F.col(at["doc_id"]).isNull(), "_text": F.xxhash64(F.coalesce(at["text"], F.lit("")))})
+    by = ["_id", "_none", "_text"]
+    kept = own.join(broadcast_if(gone, gone.count(), 24), by, "left_anti")
+    twice = counts.where("stays").select(*by)
+    if not twice.isEmpty():
+        twice = broadcast_if(twice, twice.count(), 24)
+        columns = list(at.values())
+        one = kept.join(twice, by, "left_semi").groupBy(*by).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("one")).select("one.*")
+        kept = kept.join(twice, by, "left_anti").select(*columns).unionByName(one)
+    return kept.select(*at.values()).toDF(*names)

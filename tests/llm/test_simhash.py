@@ -85,6 +85,11 @@ def test_keep_one_with_nulls_ties_and_extra_columns(spark):
     docs = spark.createDataFrame(rows, DOCS + ", fp string")
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 2, 7, 9]
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [2, 7, 9]
+    none = spark.createDataFrame([(None, text, "en", None, 1, "x"), (None, text, "en", None, 1, "x"), (None, "b c d e f", None, None, None, None)], DOCS + ", fp string")
+    assert sorted(r.text for r in simhash.keep_one(none).collect()) == ["b c d e f", text]
+    other = "an id may stand before texts that have nothing to do with one another"
+    shared = spark.createDataFrame([(5, text, "en", "a", 1, "x"), (5, other, "en", "b", 1, "y"), (5, other, "en", "c", 1, "z"), (6, other, "en", "d", 1, "w")], DOCS + ", component_id string")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(shared).collect()) == [(5, other), (5, text)]
     assert simhash.keep_one(docs.limit(0)).count() == 0
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
