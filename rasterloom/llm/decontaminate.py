@@ -13,7 +13,8 @@ containment of the item's five-word shingles in the whole document.
 Items of fewer than eight shingles would share too little with such a window. They are
 looked up by shingle hashes instead, without any miss: where at most m shingles may be
 lacking, one of any m + 1 shingles of the item stands in the document. Those that the
-fewest items hold are taken.
+fewest items hold are taken. Items of one to four words are one shingle of all their words,
+looked up alike: a document holds it or not.
 
 Words are runs of characters other than ASCII signs and white space, lower-cased.
 Shingle hashes of a batch are computed at once, from the prefix sums of a polynomial.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, mix64, slices
+from .common import mix64, slices
 
 WIDTH = 5
 MATCHES = "doc_id long, item_id long, containment double, n_shared long, n_shingles long"
@@ -49,10 +50,15 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_TABLE).split()
 
 
-def shingles_of(text: str | None) -> set[tuple[bytes, ...]]:
-    """Distinct five-word shingles; a text of fewer words has none."""
+def shingles_of(text: str | None, width: int = WIDTH) -> set[tuple[bytes, ...]]:
+    """Distinct shingles of width words; a text of fewer words has none."""
     w = words_of(text)
-    return set(zip(*(w[i:] for i in range(WIDTH))))
+    return set(zip(*(w[i:] for i in range(width))))
+
+
+def item_shingles(text: str | None) -> set[tuple[bytes, ...]]:
+    """Distinct shingles of an item: of five words, or of all if there are fewer."""
+    return shingles_of(text, min(WIDTH, len(words_of(text)))) if words_of(text) else set()
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -61,8 +67,8 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def hashed_shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all five-word shingles, text after text, and the row of each."""
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, text after text, and the row of each."""
     parts = [(t or "").lower().encode() for t in texts]
     data = np.frombuffer(b" ".join(parts).translate(_TABLE) + b" ", np.uint8)
     inside = np.concatenate([[False], data != 32])
@@ -72,14 +78,18 @@ def hashed_shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
     words = mix64((sums[ends] - sums[starts]) * inverse[starts])
     first = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
-    row = np.searchsorted(first, starts, "right") - 1
-    n = max(0, len(words) - WIDTH + 1)
+    return words, np.searchsorted(first, starts, "right") - 1
+
+
+def hashed_shingles(words: np.ndarray, row: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of width words, and the row of each."""
+    n = max(0, len(words) - width + 1)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total = words[:n] * _MIX[0]
-    for k in range(1, WIDTH):
+    total = words[:n] * _MIX[0] + np.uint64(width)
+    for k in range(1, width):
         total += words[k : n + k] * _MIX[k]
-    whole = row[:n] == row[WIDTH - 1 :]
+    whole = row[:n] == row[width - 1 :]
     return mix64(total[whole]), row[:n][whole]
 
 
@@ -87,44 +97,66 @@ class Sketches:
     """Minima of the items' shingles in each slot, by size class, and hashes to look short items up by."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], slots: int, seed: int = 42, threshold: float = 0.8):
-        self.items = [(i, s) for i, t in items if (s := shingles_of(t))]
+        found = [(i, t, s) for i, t in items if (s := item_shingles(t))]
+        self.items, self.threshold = [(i, s) for i, _, s in found], threshold
+        self.widths = np.array([len(next(iter(s))) for _, s in self.items], np.int64)
         self.seeds = mix64(np.arange(1, slots + 1, dtype=np.uint64) * np.uint64(seed) * _BASE)
-        texts = {i: t for i, t in enumerate(t for _, t in items if shingles_of(t))}
-        hashes, rows = hashed_shingles(list(texts.values()))
+        own: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(found)
+        for width in sorted(set(self.widths.tolist())):
+            at = np.flatnonzero(self.widths == width)
+            hashes, rows = hashed_shingles(*hashed_words([found[i][1] for i in at]), width)
+            cuts = np.searchsorted(rows, np.arange(1, len(at)))
+            for i, h in zip(at, np.split(hashes, cuts)):
+                own[i] = np.unique(h)
         sizes = np.array([len(s) for _, s in self.items], np.int64)
-        short = sizes < _SHORT
-        self.classes = np.where(short, -1, np.ceil(np.log2(np.maximum(sizes, 1))).astype(int))
-        starts = np.searchsorted(rows, np.arange(len(self.items)))
-        self.minima = [np.minimum.reduceat(self.slot(hashes, k), starts) if len(starts) else np.zeros(0, np.uint64) for k in range(slots)]
+        long = np.flatnonzero(sizes >= _SHORT)
+        classes = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)
+        lists = [np.concatenate([own[i] for i in long]), np.cumsum([0, *(len(own[i]) for i in long)])[:-1]] if len(long) else None
+        minima = [np.minimum.reduceat(self.slot(lists[0], k), lists[1]) for k in range(slots)] if lists else []
         self.by_class: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for c in sorted(set(self.classes[~short].tolist())):
-            own = np.flatnonzero(self.classes == c)
+        for c in sorted(set(classes[long].tolist())):
+            here = np.flatnonzero(classes[long] == c)
             self.by_class[c] = []
-            for low in self.minima:
-                order = own[np.argsort(low[own], kind="stable")]
+            for low in minima:
+                order = here[np.argsort(low[here], kind="stable")]
                 maybe = np.zeros(1 << 16, bool)
                 maybe[(low[order] & np.uint64(0xFFFF)).astype(np.int64)] = True
-                self.by_class[c].append((low[order], order, maybe))
-        own = {int(i): np.unique(hashes[a:b]) for i, a, b in zip(np.flatnonzero(short), starts[short], np.append(starts, len(hashes))[1:][short])}
-        held = Counter(h for x in own.values() for h in x.tolist())
-        probes = [(h, i) for i, x in own.items() for h in sorted(x.tolist(), key=lambda h: (held[h], h))[: len(x) - max(1, math.ceil(threshold * len(x))) + 1]]
-        self.probes = np.array(sorted(probes), np.uint64).reshape(-1, 2)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.probes[:, 0] & np.uint64(0xFFFFF)).astype(np.int64)] = True
+                self.by_class[c].append((low[order], long[order], maybe))
+        self.probes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width in sorted(set(self.widths[sizes < _SHORT].tolist())):
+            short = np.flatnonzero((sizes < _SHORT) & (self.widths == width)).tolist()
+            held = Counter(h for i in short for h in own[i].tolist())
+            probes = np.array(sorted((h, i) for i in short for h in sorted(own[i].tolist(), key=lambda h: (held[h], h))[: len(own[i]) - max(1, math.ceil(threshold * len(own[i]))) + 1]), np.uint64)
+            maybe = np.zeros(1 << 20, bool)
+            maybe[(probes[:, 0] & np.uint64(0xFFFFF)).astype(np.int64)] = True
+            self.probes[width] = probes[:, 0], probes[:, 1], maybe
 
     def slot(self, hashes: np.ndarray, k: int) -> np.ndarray:
         x = (hashes ^ self.seeds[k]) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(32))
 
-    def candidates(self, hashes: np.ndarray, rows: np.ndarray) -> set[tuple[int, int]]:
+    def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
+        """(row, item, shared) of each text and item of which at least the threshold's share of shingles stands in the text."""
+        row_of, have = None, {}
+        for row, item in sorted(self.candidates(*hashed_words(texts))):
+            if row != row_of:
+                row_of, have = row, {}
+            width, wanted = int(self.widths[item]), self.items[item][1]
+            if width not in have:
+                have[width] = shingles_of(texts[row], width)
+            if (shared := len(wanted & have[width])) >= self.threshold * len(wanted):
+                yield row, item, shared
+
+    def candidates(self, words: np.ndarray, of_word: np.ndarray) -> set[tuple[int, int]]:
         """(row, item) for every window and item of the window's class that share a minimum, and for every hash that a short item is looked up by."""
         found: set[tuple[int, int]] = set()
-        if len(hashes) and len(self.probes):
-            values, item = self.probes[:, 0], self.probes[:, 1]
-            near = np.flatnonzero(self.maybe[(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
+        for width, (values, item, maybe) in self.probes.items():
+            hashes, rows = hashed_shingles(words, of_word, width)
+            near = np.flatnonzero(maybe[(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
             ends = np.searchsorted(values, hashes[near], "right")
             for w, a, b in zip(near, np.searchsorted(values, hashes[near], "left"), ends):
                 found.update((int(rows[w]), int(i)) for i in item[a:b])
+        hashes, rows = hashed_shingles(words, of_word)
         if not len(hashes) or not self.by_class:
             return found
         least = min(self.by_class)
@@ -152,44 +184,59 @@ class Sketches:
         return found
 
 
-def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, slots: int = 32, block: int = 20_000) -> DataFrame:
+def _sketches(items: DataFrame, threshold: float, slots: int, block: int, block_bytes: int) -> Iterator[Sketches]:
+    """Sketches of all items, of at most about `block` items or block_bytes of text at once."""
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    passes = max(1, -(-size["n"] // block), -(-size["bytes"] // block_bytes))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
+    for p in range(passes):
+        yield Sketches([tuple(r) for r in items.where(part == p).select(F.col("item_id").cast("long"), "text").collect()], slots, threshold=threshold)
+
+
+def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, slots: int = 32, block: int = 20_000, block_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, item_id, containment, n_shared, n_shingles) for items of which at least threshold of the distinct shingles stand in a document.
 
-    items (item_id, text) is the query set: up to `block` items are sent to the tasks at
-    once, and more of them make further passes over docs. Texts of fewer than five words
-    and null texts match nothing; null ids are kept; repeated rows give repeated results.
+    items (item_id, text) is the query set: up to `block` items or block_bytes of them are
+    sent to the tasks at once, and more of them make further passes over docs. Shingles
+    are of five words, those of an item of fewer words of all its words. Texts without
+    words and null texts match nothing; null ids are kept; repeated rows give repeated
+    results; further columns are not read.
     """
-    n = items.count()
-    passes = max(1, -(-n // block))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
+    names = re.findall(r"(\w+) \w+(?:, |$)", MATCHES)
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
     out = None
-    for p in range(passes):
-        rows = items.where(part == p).select(F.col("item_id").cast("long"), "text").collect()
-        sketches = docs.sparkSession.sparkContext.broadcast(Sketches([tuple(r) for r in rows], slots, threshold=threshold))
+    for sketches in _sketches(items, threshold, slots, block, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(sketches)
 
-        def run(batches: Iterator[pa.RecordBatch], sketches=sketches) -> Iterator[pa.RecordBatch]:
-            known = sketches.value
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            known = sent.value
             for batch in batches:
                 for cut in slices(batch, "text", 1 << 20):
-                    texts, ids, found = cut.column("text").to_pylist(), cut.column("doc_id"), []
-                    have: dict[int, set] = {}
-                    for row, item in sorted(known.candidates(*hashed_shingles(texts))):
-                        item_id, wanted = known.items[item]
-                        if row not in have:
-                            have = {row: shingles_of(texts[row])}
-                        shared = len(wanted & have[row])
-                        if shared >= threshold * len(wanted):
-                            found.append((ids[row].as_py(), item_id, shared / len(wanted), shared, len(wanted)))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], re.findall(r"(\w+) \w+(?:, |$)", MATCHES))
+                    ids = cut.column("doc_id")
+                    found = [(ids[row].as_py(), known.items[item][0], shared / len(known.items[item][1]), shared, len(known.items[item][1])) for row, item, shared in known.matches(cut.column("text").to_pylist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else [[]] * 5, kinds)], names)
 
         here = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCHES)
         out = here if out is None else out.unionByName(here)
     return out
 
 
-def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no item. A row with a null doc_id stays."""
-    from .common import materialize
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, slots: int = 32, block: int = 20_000, block_bytes: int = 64 << 20) -> DataFrame:
+    """The documents that hold no item, as `contained` tells it, with all their columns.
+
+    Each row is judged by its own text in its own task, whatever its doc_id, and nothing is
+    shuffled; rows with a null or wordless text stay.
+    """
+    out = docs
+    for sketches in _sketches(items, threshold, slots, block, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(sketches)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for cut in slices(batch, "text", 1 << 20):
+                    clean = np.ones(cut.num_rows, bool)
+                    clean[[row for row, _, _ in sent.value.matches(cut.column("text").to_pylist())]] = False
+                    yield cut.filter(pa.array(clean))
 
-    gone = materialize(contained(docs, items).select("doc_id").distinct(), "leaks")
-    return docs.join(broadcast_if(gone, gone.count(), 16), "doc_id", "left_anti").select(docs.columns)
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -3,8 +3,10 @@
 `encode` stores payloads losslessly as one-channel WAV files of 8,000 samples a second,
 in mu-law or A-law (a byte a sample) or IMA ADPCM (a block of 576 bytes, 1,145 samples).
 `decode` reads the stored bytes back: companded samples are expanded by lookup tables,
-ADPCM blocks are decoded by numpy step by step across all blocks of a batch, and the
-PCM is resampled to 16,000 samples a second and kept as 16-bit little-endian samples.
+ADPCM blocks are decoded by numpy step by step across many blocks of a batch at once, and
+the PCM is resampled to 16,000 samples a second and stored in a column of its own, as
+16-bit little-endian samples. Beyond its samples and PCM, a text of any length takes the
+memory of a run of blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 BLOCK, RATE, PAD = 576, 8000, b"\xff"
+#: ADPCM blocks that are decoded at once, and samples that are resampled or measured at once.
+_BLOCKS, _SAMPLES = 2048, 1 << 20
 #: WAVE format tags.
 FORMATS = {"mulaw": 7, "alaw": 6, "adpcm": 0x11}
 BLOCK_SAMPLES = 2 * (BLOCK - 4) + 1
@@ -74,11 +78,13 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
 
 def resample(pcm: np.ndarray) -> np.ndarray:
     """Twice the samples: each in-between one is a half-band filter of its six neighbours (the ends repeat), rounded and clipped."""
-    x = np.concatenate([np.repeat(pcm[:1], 2), pcm, np.repeat(pcm[-1:], 3)]).astype(np.int32)
-    n = len(pcm)
-    mid = (3 * (x[:n] + x[5 : n + 5]) - 25 * (x[1 : n + 1] + x[4 : n + 4]) + 150 * (x[2 : n + 2] + x[3 : n + 3]) + 128) >> 8
-    out = np.empty(2 * n, "<i2")
-    out[::2], out[1::2] = pcm, np.clip(mid, -32768, 32767)
+    out = np.empty(2 * len(pcm), "<i2")
+    out[::2] = pcm
+    for at in range(0, len(pcm), _SAMPLES):
+        n = min(_SAMPLES, len(pcm) - at)
+        x = pcm[np.clip(np.arange(at - 2, at + n + 3), 0, len(pcm) - 1)].astype(np.int32)
+        mid = (3 * (x[:n] + x[5 : n + 5]) - 25 * (x[1 : n + 1] + x[4 : n + 4]) + 150 * (x[2 : n + 2] + x[3 : n + 3]) + 128) >> 8
+        out[2 * at + 1 : 2 * (at + n) : 2] = np.clip(mid, -32768, 32767)
     return out
 
 
@@ -136,47 +142,51 @@ def encode(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def expand(files: list[bytes]) -> list[np.ndarray]:
-    """16-bit samples at the stored rate of each file."""
+    """16-bit samples at the stored rate of each file. The ADPCM blocks of all files are decoded in runs, across files."""
     read = [read_wav(m) for m in files]
-    out: list = [None] * len(files)
     blocks = [np.frombuffer(d, np.uint8)[: len(d) // BLOCK * BLOCK].reshape(-1, BLOCK) for c, d in read if c == "adpcm"]
-    adpcm = iter(())
-    if blocks:
-        samples = decode_adpcm(np.concatenate(blocks))
-        adpcm = iter(np.split(samples, np.cumsum([len(b) for b in blocks])[:-1]))
-    for i, (codec, data) in enumerate(read):
-        out[i] = next(adpcm).reshape(-1) if codec == "adpcm" else (_MULAW if codec == "mulaw" else _ALAW)[np.frombuffer(data, np.uint8)]
-    return out
+    ends = np.cumsum([len(b) for b in blocks], dtype=np.int64)
+    every = blocks[0] if len(blocks) == 1 else np.concatenate(blocks) if blocks else np.zeros((0, BLOCK), np.uint8)
+    samples = np.empty((len(every), BLOCK_SAMPLES), np.int16)
+    for at in range(0, len(every), _BLOCKS):
+        samples[at : at + _BLOCKS] = decode_adpcm(every[at : at + _BLOCKS])
+    adpcm = iter(np.split(samples, ends[:-1]) if blocks else ())
+    return [next(adpcm).reshape(-1) if codec == "adpcm" else (_MULAW if codec == "mulaw" else _ALAW)[np.frombuffer(data, np.uint8)] for codec, data in read]
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
 
 
 def _feature(codec: str, pcm: np.ndarray) -> str:
-    x = pcm.astype(np.int64)
-    turns = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"{codec}:{len(x)}:{int(x.min())}:{int(x.max())}:{int(x.sum())}:{int((x * x).sum())}:{turns}"
+    total = squares = turns = 0
+    for at in range(0, len(pcm), _SAMPLES):
+        x = pcm[at : at + _SAMPLES + 1].astype(np.int64)
+        turns += int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+        x = x[:_SAMPLES]
+        total, squares = total + int(x.sum()), squares + int((x * x).sum())
+    return f"{codec}:{len(pcm)}:{int(pcm.min())}:{int(pcm.max())}:{total}:{squares}:{turns}"
 
 
-def decode(stored: DataFrame, keep: bool = True) -> DataFrame:
-    """Every stored row (doc_id, n_bytes, media) read back: FEATURES, and pcm (binary), the resampled samples, if keep.
+def decode(stored: DataFrame) -> DataFrame:
+    """Every stored row (doc_id, n_bytes, media) read back: FEATURES, and pcm (binary), the resampled samples.
 
     The feature holds codec, samples, least, greatest, sum, sum of squares and sign
-    changes of the samples at the stored rate.
+    changes of the samples at the stored rate. Further columns are not read; repeated
+    rows give repeated results.
     """
-    schema = FEATURES + (", pcm binary" if keep else "")
+    schema = FEATURES + ", pcm binary"
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "media", 2 << 20):
+            for part in slices(batch, "media", 1 << 20):
                 files = part.column("media").to_pylist()
                 rows = []
                 for media, samples in zip(files, expand(files)):
                     codec, data = read_wav(media)
                     pcm = resample(samples).tobytes()
-                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), _feature(codec, samples), len(pcm), hashlib.sha256(pcm).hexdigest(), *([pcm] if keep else [])))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), _feature(codec, samples), len(pcm), hashlib.sha256(pcm).hexdigest(), pcm))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
