@@ -6,9 +6,10 @@ normalised. Each language has several centroids, clustered by cosine; a text get
 language of the nearest one and is rejected where even that is too far off: nearer are
 all but the farthest 1 % of labelled texts of the same length that the fit did not see.
 
-Document frequencies cover all training rows. The centroids are fitted on a bounded
-sample of them: at most `max_train_rows` rows, split evenly over the languages, chosen
-by a hash of the text.
+Document frequencies cover all training rows, with whole texts. The centroids are fitted
+on a bounded sample of them: at most `max_train_rows` rows of the `max_langs` most frequent
+languages, split evenly over these, chosen by a hash of the text, each cut at
+`max_train_chars` characters.
 """
 
 from __future__ import annotations
@@ -25,10 +26,15 @@ from pyspark.sql import functions as F
 from .common import slices
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+_PLAIN_LETTER = re.compile("[A-Za-z]")
 _TABLE = bytes(b if chr(b).isalpha() and b < 128 or b > 127 else 32 for b in range(256))
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter; numerals and signs of other scripts are none."""
+    return bool(text) and (_PLAIN_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
 @dataclass(frozen=True)
 class LangConfig:
     """slack: the share of the similarity of held-out texts (at `quantile`, by length) under which a text is rejected; far: the same of training texts, where nothing could be held out."""
@@ -37,6 +43,8 @@ class LangConfig:
     clusters: int = 3
     rounds: int = 8
     max_train_rows: int = 4000
+    max_train_chars: int = 1 << 15
+    max_langs: int = 500
     quantile: float = 0.01
     far: float = 0.2
     slack: float = 0.9
@@ -100,7 +108,7 @@ class LangModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, similarity and whether rejected, for each text."""
-        lettered = np.array([bool(t) and LETTER.search(t) is not None for t in texts], bool)
+        lettered = np.array([has_letter(t) for t in texts], bool)
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), ~lettered
         near, size = map(np.concatenate, zip(*((x @ self.centroids.T, n) for x, n in (vectors_and_sizes(g, self.idf) for g in _groups(texts)))))
@@ -124,7 +132,7 @@ def _cluster(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 def fit(train: DataFrame, cfg: LangConfig = LangConfig()) -> LangModel:
     """A model of the rows (text, lang) with a lang and a letter. None of them: a model that knows no language."""
     train = train.select("text", "lang").where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(cfg.max_langs).collect()}
     dims = cfg.dims
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +153,11 @@ def fit(train: DataFrame, cfg: LangConfig = LangConfig()) -> LangModel:
     if not sizes:
         return LangModel(idf, np.zeros((0, dims)), [], np.zeros((0, 1)), np.zeros(1))
     each = max(1, cfg.max_train_rows // len(sizes))
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 1.25 * each / n)))])[F.col("lang")]
-    order = (F.xxhash64("text") / F.lit(2.0**64) + 0.5) / share
-    rows = train.withColumn("order", order).where("order < 1").orderBy("order").limit(cfg.max_train_rows).toPandas()
-    rows = rows[[LETTER.search(t) is not None for t in rows["text"]]].sort_values(["lang", "order"])
+    shares = train.sparkSession.createDataFrame([(lang, min(1.0, 1.25 * each / n)) for lang, n in sizes.items()], "lang string, share double")
+    order = (F.xxhash64("text") / F.lit(2.0**64) + 0.5) / F.col("share")
+    chosen = train.join(F.broadcast(shares), "lang").withColumn("order", order).where("order < 1").select("lang", "order", F.substring("text", 1, cfg.max_train_chars).alias("text"))
+    rows = chosen.orderBy("order", "lang", "text").limit(cfg.max_train_rows).toPandas()
+    rows = rows[[has_letter(t) for t in rows["text"]]].sort_values(["lang", "order", "text"])
     centroids, langs, loose, held = [], [], [], []
     for lang, own in rows.groupby("lang"):
         texts = own["text"].tolist()
@@ -210,5 +219,8 @@ def identify(docs: DataFrame, model: LangModel) -> DataFrame:
 
 
 def known_language(docs: DataFrame, train: DataFrame, cfg: LangConfig = LangConfig()) -> DataFrame:
-    """The documents that the model of train doesn't reject."""
-    return identify(docs, fit(train, cfg)).where("not rejected").select(docs.columns)
+    """The documents that the model of train doesn't reject, with the values of all their columns, whatever these are named."""
+    names = docs.columns
+    at = {c: f"k{i}" for i, c in enumerate(names)}
+    told = identify(docs.toDF(*at.values()).withColumnRenamed(at["text"], "text"), fit(train, cfg)).where("not rejected")
+    return told.select(*(F.col("text" if c == "text" else k).alias(c) for c, k in at.items()))

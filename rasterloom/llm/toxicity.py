@@ -1,110 +1,123 @@
-"""Toxicity by a subsequence string-kernel SVM with Nyström landmarks.
+"""Toxicity by a subsequence string-kernel SVM with Nyström landmarks, trained on labelled sentences.
 
-The kernel compares two short strings by their common subsequences of three symbols.
-A subsequence may have gaps, up to `span` symbols in all, and weighs decay ** gaps; a
-string's weights are divided by their length's norm. So an insult with characters put
-in or left out stays close to the insult. Signs between letters are no symbols.
+The kernel compares two stretches of sentences by their common subsequences of three
+symbols. A subsequence may have gaps, up to `span` symbols in all, and weighs
+decay ** gaps. So an insult with characters put in or left out stays close to the
+insult. Symbols are letters and digits, look-alike signs as letters, and one blank for
+white space and where sentences begin and end; other signs are none, and single letters
+in a row are written together.
+A sentence is compared by its stretches of `window` symbols, which cross words, and is
+as toxic as the worst of them; a text is as toxic as its worst sentence.
 
 Training, on a bounded sample of labelled rows (`max_train_rows`, chosen by a hash of
-the text, split evenly over both labels): sentences of toxic documents are labelled by
-their strongest word, told by document frequencies under either label; words of clean
-documents are negatives, with rounds of hard ones added. Landmarks are words of both
-kinds; a linear SVM is fitted on their Nyström features. As those are linear in the
-kernel, the model folds into one weight for each subsequence of the landmarks, which
-gives the same decision values and makes scoring a table lookup. A document scores as
-its strongest word; held-out documents of the sample calibrate that to 0..1.
+the text, split evenly over both labels, each cut at `max_train_chars`): a sentence of a
+toxic document is an example where a word in it is told by document frequencies under
+either label; sentences of clean documents are negatives, with rounds of the hardest
+added. Landmarks are stretches of both kinds of sentences; a linear SVM is fitted on
+their Nyström features. As those are linear in the kernel, the model folds into one
+weight for each subsequence of the landmarks, which gives the same decision values and
+makes scoring a table lookup. Held-out documents of the
+sample, and their examples with a letter put in, calibrate it to 0..1.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
 
-SENTENCE = re.compile(r"[.!?\n]+")
+SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n")
 _SYMBOLS = 64
+_END, _OTHER, _BLANK, _STOP, _DROP = 0, 27, 62, 254, 255
 _LIKE = str.maketrans("@$013457", "asoieast")
+#: Decision values are summed as whole numbers of this unit, so a text's score doesn't depend on its neighbours in a batch.
+_UNIT = 2.0**24
 
 
 @dataclass(frozen=True)
 class ToxConfig:
+    """most_negatives: stretches of clean sentences before the hardest are added. noise: the share of clean documents, to that of toxic ones, that may hold an insult. power: how much less rarer words count. unseen: what an example with a letter put in counts in the calibration."""
+
     span: int = 6
-    decay: float = 0.6
-    landmarks: int = 160
+    decay: float = 0.75
+    window: int = 10
+    landmarks: int = 1000
     max_train_rows: int = 4000
-    longest: int = 16
-    ridge: float = 3e-4
-    rounds: int = 3
-    most_words: int = 1_000_000
+    max_train_chars: int = 1 << 15
+    most_negatives: int = 8000
+    ridge: float = 1e-5
+    rounds: int = 5
     noise: float = 0.05
+    power: float = 0.5
+    unseen: float = 0.2
+
+
+def _symbol_table() -> np.ndarray:
+    """The symbol of each code point of the basic plane: letters by number, other letters and digits folded, signs dropped."""
+    out = np.full(1 << 16, _DROP, np.uint8)
+    for c in range(1 << 16):
+        if chr(c).isspace():
+            out[c] = _BLANK
+        elif chr(c).isalnum():
+            out[c] = _OTHER if chr(c).isdigit() else c % 34 + 28
+    out[[ord(c) for c in ".!?"]] = _STOP
+    out[97:123] = np.arange(1, 27)
+    for sign, letter in _LIKE.items():
+        out[sign] = letter - 96
+    out[10] = _END
+    return out
 
 
-@lru_cache(maxsize=None)
-def _triples(n: int, span: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index triples i < j < k of a string of n symbols within span, and their weights of norm one."""
-    t = np.array([(i, j, k) for i in range(n) for j in range(i + 1, min(n, i + span)) for k in range(j + 1, min(n, i + span))], np.int64).reshape(-1, 3)
-    w = decay ** (t[:, 2] - t[:, 0] - 2.0)
-    return t, (w / np.sqrt((w * w).sum()) if len(w) else w).astype(np.float32)
-
-
-_CODES = np.array([c % 36 + 28 for c in range(1 << 16)], np.int64)
-_CODES[97:123] = np.arange(1, 27)
-_CODES[48:58] = 27
+_TABLE = _symbol_table()
+
+
+def symbols_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts after one another, and where each text begins. Each sentence has a blank before and behind it and then an end; a text has at least one sentence."""
+    lowered = [(t or "").lower() for t in texts]
+    points = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+    code = _TABLE[np.minimum(points, 0xFFFF)]
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])
+    after = np.append(code[1:], _END)
+    stop = code == _STOP
+    code = np.where(stop, np.where((after == _BLANK) | (after == _END), _END, _DROP), code)
+    live = code != _DROP
+    code, owner = code[live], owner[live]
+    before = np.append(_END, code[:-1])
+    live = (code != _BLANK) | ((before != _BLANK) & (before != _END))
+    code, owner = code[live], owner[live]
+    edge = np.concatenate([[True, True], (code == _BLANK) | (code == _END), [True, True]])
+    live = ~((code == _BLANK) & edge[:-4] & edge[4:] & (np.append(code[1:], _END) != _END))  # a blank between single letters
+    code, owner = code[live], owner[live]
+    first = np.searchsorted(owner, np.arange(len(texts)))
+    end = code == _END
+    framed = np.repeat(np.where(end, _BLANK, code), np.where(end, 3, 1))
+    framed[(np.cumsum(np.where(end, 3, 1)) - 2)[end]] = _END
+    return np.append(np.uint8(_BLANK), framed[:-1]), first + 2 * (np.cumsum(end) - end)[first]
 
 
 def unit_of(word: str) -> str:
-    """Letters and digits of a lower-cased word, look-alike signs as letters."""
-    if word.isalpha():
-        return word
-    if word.isdigit():
-        return ""
-    return "".join(filter(str.isalnum, word.translate(_LIKE) if re.search("[a-z]", word) else word))
-
-
-def codes_of(units: list[str], n: int) -> np.ndarray:
-    """The units of n code points as rows of symbols."""
-    points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)
-    return _CODES[points & 0xFFFF]
+    """Letters of a lower-cased word, look-alike signs as letters, other signs left out."""
+    return word if word.isalpha() else "".join(filter(str.isalnum, word.translate(_LIKE))) if re.search("[a-z]", word) else ""
 
 
-def features_of(codes: np.ndarray, cfg: ToxConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Subsequence numbers of each row, and the weights that all rows share."""
-    t, w = _triples(codes.shape[1], cfg.span, cfg.decay)
-    return (codes[:, t[:, 0]] * _SYMBOLS + codes[:, t[:, 1]]) * _SYMBOLS + codes[:, t[:, 2]], w
-
-
-def windows_of(unit: str, longest: int) -> list[str]:
-    """A long unit as overlapping windows."""
-    if len(unit) <= longest:
-        return [unit]
-    return [unit[i : i + longest] for i in range(0, len(unit) - longest // 2, longest // 2)]
-
-
-def by_length(units: list[str], least: int = 3) -> Iterator[tuple[int, np.ndarray, list[str]]]:
-    """The positions and units of each length, in groups of at most 4096."""
-    at: dict[int, list[int]] = {}
-    for i, u in enumerate(units):
-        if len(u) >= least:
-            at.setdefault(len(u), []).append(i)
-    for n, rows in at.items():
-        for a in range(0, len(rows), 4096):
-            yield n, np.array(rows[a : a + 4096]), [units[i] for i in rows[a : a + 4096]]
+def _pairs(cfg: ToxConfig) -> list[tuple[int, int, float]]:
+    """(second, third, weight) of the subsequences that begin at a place; the weights' squares sum to 1 over a window."""
+    found = [(a, b, cfg.decay ** (b - 2)) for a in range(1, cfg.span) for b in range(a + 1, cfg.span)]
+    norm = np.sqrt(cfg.window * sum(w * w for _, _, w in found))
+    return [(a, b, w / norm) for a, b, w in found]
 
 
 @dataclass
 class ToxModel:
-    """weights: of each subsequence; floor: the decision value of a text without units; slope, shift: of the calibration."""
+    """weights: of each subsequence; floor: the decision value of a text without symbols; slope, shift: of the calibration."""
 
     cfg: ToxConfig
     weights: np.ndarray
@@ -112,81 +125,80 @@ class ToxModel:
     slope: float
     shift: float
 
-    def values(self, units: list[str]) -> np.ndarray:
-        """Decision values of units; the strongest window counts for long ones."""
-        out = np.full(len(units), self.floor)
-        pieces, owner = [], []
-        for i, u in enumerate(units):
-            for p in windows_of(u, self.cfg.longest):
-                pieces.append(p)
-                owner.append(i)
-        owner = np.array(owner, np.int64)
-        for n, rows, group in by_length(pieces):
-            f, w = features_of(codes_of(group, n), self.cfg)
-            np.maximum.at(out, owner[rows], self.weights[f] @ w + self.floor)
-        return out
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each place of the texts' symbols the weight, in units, of the window that begins there; the symbols; where each text begins."""
+        code, first = symbols_of(texts)
+        wide = np.where(code == _END, self.cfg.span - 1, 1)  # no subsequence crosses a sentence's end
+        c = np.append(np.repeat(code, wide), np.zeros(self.cfg.span, np.uint8)).astype(np.int32)
+        first = (np.cumsum(wide) - wide)[first]
+        n = len(c) - self.cfg.span
+        here = np.zeros(n, np.float32)
+        twos = {a: (c[:n] * _SYMBOLS + c[a : n + a]) * _SYMBOLS for a in range(1, self.cfg.span)}
+        for a, b, w in _pairs(self.cfg):
+            here += np.float32(w) * self.weights[twos[a] + c[b : n + b]]
+        total = np.concatenate([[0], np.cumsum(np.rint(here * np.float32(_UNIT)).astype(np.int64))])
+        ends = np.flatnonzero(c[:n] == _END)
+        stop = np.minimum(np.arange(n) + self.cfg.window, ends[np.minimum(np.searchsorted(ends, np.arange(n)), len(ends) - 1)]) if len(ends) else np.arange(n)
+        return total[np.maximum(stop, np.arange(n))] - total[:n], c, first
+
+    def values(self, texts: list[str | None]) -> np.ndarray:
+        """The decision value of each text: of its worst window, at least that of no symbols at all."""
+        if not texts:
+            return np.zeros(0)
+        sums, _, first = self.sums(texts)
+        return np.maximum(np.maximum.reduceat(sums, first), 0) / _UNIT + self.floor
 
     def score(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -30, 30)))
 
 
-def spelled_out(words: list[str]) -> str:
-    """Single letters in a row, as one word."""
-    return "".join(unit_of(w) for w in words)
-
-
-_KNOWN: dict[str, dict[str, float]] = {}
-
-
-class Scorer:
-    """Decision values of whole texts; remembers those of words."""
-
-    def __init__(self, model: ToxModel, known: dict[str, float] | None = None):
-        self.model, self.known = model, {} if known is None else known
-
-    def learn(self, words: list[str]) -> None:
-        if new := [w for w in words if w not in self.known]:
-            self.known.update(zip(new, self.model.values([unit_of(w) for w in new]).tolist()))
-
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
-        words = pc.ascii_split_whitespace(pa.array([(t or "").lower() for t in texts], pa.string()))
-        coded = words.flatten().dictionary_encode()
-        found = coded.dictionary.to_pylist()
-        if len(self.known) + len(found) > self.model.cfg.most_words:
-            self.known.clear()
-        self.learn(found)
-        value = np.fromiter((self.known[w] for w in found), float, len(found))
-        codes = coded.indices.to_numpy()
-        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(counts)
-        out = np.full(len(texts), self.model.floor)
-        rows = np.flatnonzero(counts)
-        if len(rows):
-            out[rows] = np.maximum.reduceat(value[codes], (ends - counts)[rows])
-            # Lone signs between single letters don't end a run of them.
-            one = np.fromiter((len(w) <= 2 and (len(unit_of(w)) == 1 or not any(map(str.isalnum, w))) for w in found), bool, len(found))[codes]
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], one.view(np.int8), [0]])))
-            a, b = edges[::2], edges[1::2]
-            for x, y in zip(a[b - a >= 3], b[b - a >= 3]):
-                while x < y:  # a run may go on in the next text
-                    row = int(np.searchsorted(ends, x, "right"))
-                    stop = min(y, ends[row])
-                    if len(unit := spelled_out([found[c] for c in codes[x:stop]])) >= 3:
-                        out[row] = max(out[row], self.model.values([unit])[0])
-                    x = stop
-        return out
+def windows_of(codes: list[np.ndarray], cfg: ToxConfig) -> np.ndarray:
+    """Stretches of symbols as rows, cut or filled up with ends to what the subsequences of a window read."""
+    out = np.zeros((len(codes), cfg.window + cfg.span - 1), np.int64)
+    for row, c in zip(out, codes):
+        row[: min(len(c), len(row))] = c[: len(row)]
+    return out
 
 
-def _variants(unit: str, symbols: str = "xqzk") -> list[str]:
-    """A unit with a letter put in, or doubled, at each place."""
-    return [unit[:i] + s + unit[i:] for i in range(1, len(unit)) for s in (symbols[i % len(symbols)], unit[i])]
+def features_of(windows: np.ndarray, cfg: ToxConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Subsequence numbers of each row, 0 for those that take in an end, and the weights that all rows share."""
+    n, parts = cfg.window, []
+    whole = np.cumsum(windows == _END, 1) == 0
+    for a, b, _ in _pairs(cfg):
+        f = (windows[:, :n] * _SYMBOLS + windows[:, a : n + a]) * _SYMBOLS + windows[:, b : n + b]
+        parts.append(np.where(whole[:, b : n + b], f, 0))
+    return np.concatenate(parts, 1), np.repeat([w for _, _, w in _pairs(cfg)], n)
+
+
+def _landmark_table(marks: np.ndarray, cfg: ToxConfig) -> tuple[np.ndarray, np.ndarray]:
+    """place (of the landmarks' subsequences, as an index over all) and the landmarks' weights for each."""
+    f, w = features_of(marks, cfg)
+    keys = np.unique(f[f > 0])
+    place = np.zeros(_SYMBOLS**3, np.int32)
+    place[keys] = np.arange(1, len(keys) + 1)
+    out = np.zeros((len(keys) + 1, len(marks)), np.float32)
+    np.add.at(out, (place[f], np.arange(len(marks))[:, None]), np.broadcast_to(w, f.shape))
+    out[0] = 0
+    return place, out
+
+
+def _kernel(windows: np.ndarray, place: np.ndarray, table: np.ndarray, cfg: ToxConfig) -> np.ndarray:
+    """The kernel of each row and each landmark."""
+    out = np.zeros((len(windows), table.shape[1]), np.float32)
+    for at in range(0, len(windows), 2048):
+        f, w = features_of(windows[at : at + 2048], cfg)
+        p = place[f]
+        for j in np.flatnonzero(p.any(0)):
+            rows = np.flatnonzero(p[:, j])
+            out[at + rows] += np.float32(w[j]) * table[p[rows, j]]
+    return out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float) -> np.ndarray:
     """Weights and bias of a linear SVM with squared hinge loss, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
-    reg = np.full(x.shape[1], ridge)
+    reg = np.full(x.shape[1], ridge * cost.sum())
     reg[-1] = 1e-8
     for _ in range(30):
         m = y * (x @ w) < 1
@@ -198,100 +210,122 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float) -> np.nda
     return w
 
 
-def _table(units: list[str], cfg: ToxConfig) -> tuple[np.ndarray, np.ndarray]:
-    """numbers (of the landmarks' subsequences, as an index over all) and the landmarks' weights for each."""
-    entries = []
-    for n, rows, group in by_length(units):
-        f, w = features_of(codes_of(group, n), cfg)
-        entries += [(k, row, x) for r, row in enumerate(rows) for k, x in zip(f[r], w)]
-    keys = np.unique([k for k, _, _ in entries])
-    place = np.zeros(_SYMBOLS**3, np.int32)
-    place[keys] = np.arange(1, len(keys) + 1)
-    out = np.zeros((len(keys) + 1, len(units)), np.float32)
-    for k, row, x in entries:
-        out[place[k], row] += x
-    return place, out
+def _variants(unit: str, symbols: str = "xqzk") -> list[str]:
+    """A unit with a letter put in, doubled, or left out at each place, with two put in, and in two pieces."""
+    once = [unit[:i] + s + unit[i:] for i in range(1, len(unit)) for s in (symbols[i % len(symbols)], unit[i], " ")]
+    twice = [u[:i] + symbols[i % len(symbols)] + u[i:] for n, u in enumerate(once) for i in [1 + (3 * n + len(u) // 2) % (len(u) - 1)]]
+    return once + twice + [unit[:i] + unit[i + 1 :] for i in range(1, len(unit) - 1)]
 
 
-def _kernel(units: list[str], place: np.ndarray, table: np.ndarray, cfg: ToxConfig) -> np.ndarray:
-    out = np.zeros((len(units), table.shape[1]))
-    for n, rows, group in by_length(units):
-        f, w = features_of(codes_of(group, n), cfg)
-        p = place[f]
-        for j in np.flatnonzero(p.any(0)):
-            out[rows] += w[j] * table[p[:, j]]
-    return out
+def _told_words(words: list[list[str]], y: np.ndarray, cfg: ToxConfig) -> Counter[str]:
+    """Words that only toxic documents hold but for label noise, with how many of them do."""
+    seen = {label: Counter(u for ws, here in zip(words, y) if here == label for u in set(ws)) for label in (True, False)}
+    n1, n0 = int(y.sum()), int((~y).sum())
+    told = Counter({u: k for u, k in seen[True].items() if k >= 2 and seen[False][u] / n0 <= cfg.noise * k / n1})
+    if not told:
+        odds = {u: np.log((k + 0.5) / (n1 + 1)) - np.log((seen[False][u] + 0.5) / (n0 + 1)) for u, k in seen[True].items()}
+        told = Counter({u: seen[True][u] for u, _ in sorted(odds.items(), key=lambda x: (-x[1], x[0]))[:20]})
+    # A word that few toxic documents share is chance: keep those whose share stands out from the most frequent.
+    most = max(told.values(), default=0)
+    return Counter({u: k for u, k in told.items() if k >= max(2, most / 25)}) or told
 
 
-def train(texts: list[str], toxic: list[int], cfg: ToxConfig) -> ToxModel:
+def _examples(text: str, told: Counter[str], cfg: ToxConfig) -> Iterator[tuple[str, str]]:
+    """(stretch, its word) of each sentence of a toxic text that holds a told word: the strongest one, after up to a third of a window, and what follows it."""
+    for sentence in SENTENCE.split(text.lower()):
+        words = sentence.split()
+        units = [unit_of(w) for w in words]
+        strong = max(((told[u], -i) for i, u in enumerate(units) if u in told), default=None)
+        if strong is None:
+            continue
+        i = -strong[1]
+        lead = " ".join(words[max(0, i - 3) : i])[-(cfg.window // 3) :].lstrip()
+        yield f"{lead} {units[i]} {' '.join(words[i + 1 : i + 4])}".strip(), units[i]
+
+
+def _codes(text: str) -> np.ndarray:
+    """The symbols of one stretch."""
+    code = symbols_of([text])[0]
+    return code[code != _END]
+
+
+def train(texts: list[str], toxic: list[int], cfg: ToxConfig = ToxConfig()) -> ToxModel:
     """A model of labelled texts. Without both labels it knows nothing and scores all texts by the share of toxic ones."""
     y = np.array(toxic, bool)
     nothing = np.zeros(_SYMBOLS**3, np.float32)
     rate = float(y.mean()) if len(y) else 0.0
     if not len(y) or y.all() or not y.any():
         return ToxModel(cfg, nothing, 0.0, 0.0, float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9))))
-    sentences = [[u for s in SENTENCE.split(t.lower()) if (u := [x for w in s.split() for x in windows_of(unit_of(w), cfg.longest) if len(x) >= 3])] for t in texts]
     held = np.arange(len(y)) % 4 == 3
     if y[held].sum() < 50 or (~y[held]).sum() < 50:
         held[:] = False
     fit = np.flatnonzero(~held)
-    seen = {label: Counter(u for d in fit if y[d] == label for u in {u for s in sentences[d] for u in s}) for label in (True, False)}
-    n1, n0 = int(y[fit].sum()), int((~y[fit]).sum())
-    odds = {u: np.log((k + 0.5) / (n1 + 1)) - np.log((seen[False][u] + 0.5) / (n0 + 1)) for u, k in seen[True].items()}
-    # A few clean documents may quote an insult or be labelled wrongly.
-    told = lambda u: seen[False][u] / max(1, n0) <= cfg.noise * seen[True][u] / max(1, n1)
-    positive: Counter[str] = Counter()
-    for d in fit[y[fit]]:
-        best = [max(s, key=lambda u: (odds[u] * min(seen[True][u], 3), u)) for s in sentences[d]]
-        strong = [u for u in best if seen[True][u] >= 2 and told(u)]
-        positive.update(strong or best[:0])
-    if not positive:
-        positive.update(u for u, _ in sorted(odds.items(), key=lambda x: -x[1])[:20])
-    # A word that few toxic documents share is chance: keep those whose share stands out from the most frequent.
-    most = max(seen[True][u] for u in positive)
-    positive = Counter({u: k for u, k in positive.items() if seen[True][u] >= max(2, most / 25)}) or positive
-    clean = sorted((u for u in seen[False] if u not in positive), key=lambda u: (-seen[False][u], u))
-    good = [u for u, _ in positive.most_common(400)]
-    half = cfg.landmarks // 2
-    step = max(1, len(clean) // half)
-    marks = list(dict.fromkeys(good[:half] + clean[::step][:half]))
-    place, table = _table(marks, cfg)
-    gram = _kernel(marks, place, table, cfg)
+    words = [[u for w in texts[d].lower().split() if len(u := unit_of(w)) >= 3] for d in fit]
+    told = _told_words(words, y[fit], cfg)
+    pairs = [x for d in fit[y[fit]] for x in _examples(texts[d], told, cfg)]
+    clean = [texts[d] for d in fit[~y[fit]]]
+    if not pairs or not clean:
+        return ToxModel(cfg, nothing, 0.0, 0.0, float(np.log(rate / (1 - rate))))
+    one = {u: s for s, u in reversed(pairs)}
+    odd = [(v, u) for u, s in one.items() for v in (u, *(s.replace(u, v, 1) for v in _variants(u)))]  # and by itself
+    pos = windows_of([_codes(s) for s, _ in pairs + odd], cfg)
+    most = max(told.values())  # what stands out most counts most, in a sentence as it is and in variants together
+    many = Counter(u for _, u in odd)
+    weight = np.array([(told[u] / most) ** cfg.power for _, u in pairs] + [told[u] * (told[u] / most) ** cfg.power / (4 if s == u else many[u]) for s, u in odd])
+    neg = _clean_windows(clean, cfg)
+    half, by = cfg.landmarks // 2, {}
+    for i, (_, u) in enumerate(pairs):
+        by.setdefault(u, []).append(i)
+    turns = [i for k in range(max(map(len, by.values()))) for rows in by.values() if k < len(rows) for i in rows[k : k + 1]]
+    marks = np.unique(np.concatenate([pos[turns[:half]], neg[:: max(1, len(neg) // half)][:half]]), axis=0)
+    place, table = _landmark_table(marks, cfg)
+    gram = _kernel(marks, place, table, cfg).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    odd = [v for u in good[:200] for v in _variants(u)[:: max(1, len(u) // 4)]]
-    bad = [p for u in odd for p in windows_of(u, cfg.longest)]
-    pos = good + bad
-    rng_step = max(1, len(clean) // 6000)
-    neg = clean[:2000] + clean[2000::rng_step]
-    weights, floor = nothing, -1.0
-    for _ in range(cfg.rounds):
-        x = _kernel(pos + neg, place, table, cfg) @ root
-        label = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
-        count = np.array([positive[u] for u in good], float)
-        cost = np.concatenate([2 + 50 * count / count.max(), np.full(len(bad), 1.0), np.full(len(neg), 1.0)])
-        w = _svm(x, label, cost, cfg.ridge)
-        beta, floor = root @ w[:-1], float(w[-1])
-        folded = (table @ beta).astype(np.float32)
-        weights = np.where(place > 0, folded[place], 0).astype(np.float32)
-        model = ToxModel(cfg, weights, floor, 1.0, 0.0)
-        hard = np.argsort(-model.values(clean))[:1500]
-        known = set(neg)
-        neg = neg + [clean[i] for i in hard if clean[i] not in known]
+    x1, x0 = (_kernel(x, place, table, cfg) @ root for x in (pos, neg))
+    model = ToxModel(cfg, nothing, 0.0, 1.0, 0.0)
+    for turn in range(cfg.rounds):
+        if turn:
+            hard = _hardest(model, clean)
+            x0 = np.vstack([x0, _kernel(hard, place, table, cfg) @ root])
+        cost = np.concatenate([weight / weight.sum(), np.full(len(x0), 1.0 / len(x0))])
+        w = _svm(np.vstack([x1, x0]), np.concatenate([np.ones(len(x1)), -np.ones(len(x0))]), cost, cfg.ridge)
+        folded = (table @ (root @ w[:-1])).astype(np.float32)
+        model = ToxModel(cfg, np.where(place > 0, folded[place], 0).astype(np.float32), float(w[-1]), 1.0, 0.0)
     at = np.flatnonzero(held) if held.any() else fit
-    value = Scorer(model)([texts[i] for i in at])
-    slope, shift = _calibrate(value, y[at])
-    return ToxModel(cfg, weights, floor, slope, shift)
+    unseen = [s.replace(u, v, 1) for d in at[y[at]] for s, u in _examples(texts[d], told, cfg) if len(u) > 3 for v in (u[:2] + "v" + u[2:], u[:-2] + "w" + u[-2:])]
+    return ToxModel(cfg, model.weights, model.floor, *_calibrate(model.values([texts[i] for i in at] + unseen), np.append(y[at], np.ones(len(unseen), bool)), np.append(np.ones(len(at)), np.full(len(unseen), cfg.unseen))))
 
 
-def _calibrate(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _clean_windows(texts: list[str], cfg: ToxConfig) -> np.ndarray:
+    """Stretches of all sentences of clean texts, a window after another, evenly thinned to most_negatives."""
+    code, _ = symbols_of(texts)
+    ends = np.flatnonzero(code == _END)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    at = np.concatenate([np.arange(a, max(a + 1, b - 2), cfg.window) for a, b in zip(starts, ends)])
+    at = at[:: max(1, -(-len(at) // cfg.most_negatives))]
+    stop = ends[np.searchsorted(ends, at)]
+    return windows_of([code[a:b] for a, b in zip(at, stop)], cfg)
+
+
+def _hardest(model: ToxModel, texts: list[str]) -> np.ndarray:
+    """The worst window of each clean text."""
+    sums, c, first = model.sums(texts)
+    width = model.cfg.window + model.cfg.span - 1
+    bounds = np.append(first, len(sums))
+    at = np.array([a + int(sums[a:b].argmax()) for a, b in zip(bounds[:-1], bounds[1:])])
+    rows = np.concatenate([c, np.zeros(width, c.dtype)])[at[:, None] + np.arange(width)]
+    return np.where(np.cumsum(rows == _END, 1) == 0, rows, 0).astype(np.int64)
+
+
+def _calibrate(value: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve; targets are drawn in by the counts of either label."""
     n1, n0 = int(y.sum()), int((~y).sum())
     t = np.where(y, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.stack([value, np.ones_like(value)], 1)
     b = np.zeros(2)
-    cost = np.where(y, len(y) / (2 * n1), len(y) / (2 * n0))
+    cost = weight * np.where(y, len(y) / (2 * weight[y].sum()), len(y) / (2 * n0))
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         g = x.T @ (cost * (t - p)) - 1e-3 * b
@@ -314,29 +348,31 @@ def sample(labels: DataFrame, cfg: ToxConfig = ToxConfig()) -> DataFrame:
 
 
 def fit(labelled: DataFrame, cfg: ToxConfig = ToxConfig()) -> ToxModel:
-    """A model of rows (text, toxic), of which at most cfg.max_train_rows are sampled."""
+    """A model of rows (text, toxic), of which at most cfg.max_train_rows are sampled, each cut at cfg.max_train_chars."""
     rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and text is not null")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     each = cfg.max_train_rows // 2
     share = F.when(F.col("toxic") == 1, min(1.0, 1.25 * each / max(1, sizes.get(1, 0)))).otherwise(min(1.0, 1.25 * each / max(1, sizes.get(0, 0))))
     order = (F.xxhash64("text") / F.lit(2.0**64) + 0.5) / share
-    sample = rows.withColumn("order", order).where("order < 1").orderBy("order", "text", "toxic").limit(cfg.max_train_rows).collect()
+    cut = rows.withColumns({"order": order, "text": F.substring("text", 1, cfg.max_train_chars)}).where("order < 1")
+    sample = cut.orderBy("order", "text", "toxic").limit(cfg.max_train_rows).collect()
     return train([r["text"] for r in sample], [r["toxic"] for r in sample], cfg)
 
 
 def score(docs: DataFrame, model: ToxModel) -> DataFrame:
-    """(doc_id, score) of every row; null and empty texts score as texts without any word."""
-    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    """(doc_id, score) of every row.
+
+    Null and empty texts score as texts without any symbol. A text's score depends on
+    nothing but the text, so repeated rows give repeated results. Further columns of
+    docs, whatever their names, are not read.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        if name not in _KNOWN:  # a worker remembers the words of one model over its tasks
-            _KNOWN.clear()
-            _KNOWN[name] = {}
-        scorer = Scorer(model, _KNOWN[name])
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                value = model.score(scorer(part.column("text").to_pylist()))
+            for part in slices(batch, "text", 1 << 20):
+                value = model.score(model.values(part.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(value)], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")

@@ -22,16 +22,19 @@ def test_languages_of_held_out_texts(spark):
     held = [r for r in out if r.doc_id % 4 == 0]
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97
     assert all(0 <= r.score <= 1 for r in out) and sum(r.rejected for r in out) == 0
-    assert langid.known_language(docs, docs).columns == docs.columns
+    clash = docs.selectExpr("doc_id", "text", "lang", "doc_id + 0.5D as score", "doc_id % 2 = 0 as rejected", "'mine' as lang_pred")
+    known = langid.known_language(clash, clash)
+    assert known.columns == clash.columns and {tuple(r) for r in known.collect()} == {tuple(r) for r in clash.collect()}
 
 
 def test_odd_texts_are_und_or_rejected(spark):
     rng = random.Random(2)
     train = spark.createDataFrame([(prose(rng, lang, 40), lang) for lang in sorted(SYLLABLES) * 20] + [(None, "xx"), ("no lang", None), ("", "yy")], "text string, lang string")
     model = langid.fit(train)
-    rows = [(1, None), (2, ""), (3, "123 ... %%%"), (4, "Привет это совсем другой язык и буквы"), (5, prose(rng, "xx", 3)), (None, prose(rng, "yy", 30)), (7, prose(rng, "zz", 20000))]
+    rows = [(1, None), (2, ""), (3, "123 ... %%%"), (4, "Привет это совсем другой язык и буквы"), (5, prose(rng, "xx", 3)), (None, prose(rng, "yy", 30)), (7, prose(rng, "zz", 20000)), (8, "½ ² Ⅻ ٣ ③"), (9, prose(rng, "xx", 30)), (9, prose(rng, "xx", 30))]
+    rows[-1] = rows[-2]
     out = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
-    assert [(out[i].lang_pred, out[i].score, out[i].rejected) for i in (1, 2, 3)] == [("und", 0.0, True)] * 3
+    assert [(out[i].lang_pred, out[i].score, out[i].rejected) for i in (1, 2, 3, 8)] == [("und", 0.0, True)] * 4
     assert out[4].rejected and out[4].lang_pred in SYLLABLES
     assert (out[5].lang_pred, out[5].rejected, out[None].lang_pred, out[7].lang_pred) == ("xx", False, "yy", "zz")
 
@@ -53,6 +56,17 @@ def test_unseen_languages_and_lettered_junk_are_rejected_and_held_out_texts_stay
     assert np.mean(model.predict(short)[2]) < 0.03
 
 
+def test_ties_and_dirty_labels_give_one_model(spark):
+    rng = random.Random(3)
+    same = prose(rng, "xx", 40)
+    rows = [(same, "xx")] * 30 + [(same, "yy")] * 30 + [(prose(rng, "zz", 40), "zz") for _ in range(30)] + [(prose(rng, "yy", 9), f"dirty {i}") for i in range(40)]
+    train = spark.createDataFrame(rows, "text string, lang string")
+    cfg = langid.LangConfig(max_langs=3)
+    models = [langid.fit(train.repartition(n), cfg) for n in (1, 5)]
+    assert sorted(set(models[0].langs)) == ["xx", "yy", "zz"] and all(np.array_equal(a, b) for a, b in zip(*((m.idf, m.centroids, m.limits) for m in models)))
+    assert models[0].predict([same])[0] == ["xx"]
+
+
 def test_no_training_rows(spark):
     docs = spark.createDataFrame([(1, "text", None), (2, None, None)], "doc_id long, text string, lang string")
     out = {r.doc_id: (r.lang_pred, r.rejected) for r in langid.identify(docs, langid.fit(docs)).collect()}
@@ -70,24 +84,48 @@ def test_language_query_on_held_out_rows(spark, sf):
 
 
 def kernel_slow(a, b, cfg):
+    """Common subsequences of three symbols of two windows, all with their gaps."""
+
     def weights(s):
         out = {}
-        for i in range(len(s)):
+        for i in range(min(len(s), cfg.window)):
             for j in range(i + 1, min(len(s), i + cfg.span)):
                 for k in range(j + 1, min(len(s), i + cfg.span)):
-                    out.setdefault(s[i] + s[j] + s[k], []).append(cfg.decay ** (k - i - 2))
-        norm = sum(w * w for ws in out.values() for w in ws) ** 0.5
-        return {u: sum(ws) / norm for u, ws in out.items()}
+                    u = (s[i], s[j], s[k])
+                    out[u] = out.get(u, 0) + cfg.decay ** (k - i - 2)
+        return out
 
     x, y = weights(a), weights(b)
-    return sum(w * y.get(u, 0) for u, w in x.items())
+    norm = cfg.window * sum(cfg.decay ** (2 * (b - 2)) for a in range(1, cfg.span) for b in range(a + 1, cfg.span))
+    return sum(w * y.get(u, 0) for u, w in x.items()) / norm
 
 
 def test_kernel_equals_the_plain_definition():
     cfg = toxicity.ToxConfig()
-    words, marks = ["idiot", "idxiot", "banana", "thonreth", "abc", "éèàab"], ["idiot", "reeth", "nana", "éàb"]
-    got = toxicity._kernel(words, *toxicity._table(marks, cfg), cfg)
-    assert np.allclose(got, [[kernel_slow(a, b, cfg) for b in marks] for a in words], atol=1e-5)
+    stretches, marks = ["idiot", "an idxiot of", "banana", "thonreth ab", "ab", "éèàab é", "long stretch beyond the window"], ["idiot", "reeth on", "nana", "éàb é"]
+    rows = [toxicity.windows_of([toxicity._codes(t) for t in x], cfg) for x in (stretches, marks)]
+    got = toxicity._kernel(rows[0], *toxicity._landmark_table(rows[1], cfg), cfg)
+    cut = lambda t: toxicity._codes(t).tolist()[: cfg.window + cfg.span - 1]
+    assert np.allclose(got, [[kernel_slow(cut(a), cut(b), cfg) for b in marks] for a in stretches], atol=1e-5)
+
+
+def test_decision_values_equal_sums_over_windows_of_sentences():
+    rng = np.random.default_rng(7)
+    cfg = toxicity.ToxConfig()
+    model = toxicity.ToxModel(cfg, rng.normal(size=64**3).astype(np.float32), -0.5, 1.0, 0.0)
+    cube = model.weights.reshape(64, 64, 64)
+    cube[0], cube[:, 0], cube[:, :, 0] = 0, 0, 0
+    norm = (cfg.window * sum(cfg.decay ** (2 * (b - 2)) for a in range(1, cfg.span) for b in range(a + 1, cfg.span))) ** 0.5
+    texts = ["Some words. Others follow! a b c d, then\nthe end", None, "", "x", "no.stop inside a.word? yes", "word " * 40]
+    want = []
+    for t in texts:
+        best = 0.0
+        for s in toxicity.SENTENCE.split((t or "").lower()):
+            c = toxicity._codes(s).tolist()
+            here = [sum(cfg.decay ** (b - 2) / norm * float(model.weights[(c[i] * 64 + c[i + a]) * 64 + c[i + b]]) for a in range(1, cfg.span) for b in range(a + 1, cfg.span) if i + b < len(c)) for i in range(len(c))]
+            best = max([best, *(sum(here[i : i + cfg.window]) for i in range(len(here)))])
+        want.append(best - 0.5)
+    assert np.allclose(model.values(texts), want, atol=1e-4)
 
 
 def corpus(rng, n):
@@ -122,12 +160,36 @@ def test_letters_between_lone_signs_and_wrong_labels():
     rows = corpus(rng, 600)
     rows += [(600 + i, prose(rng, "xx", 20) + f" {w}", 0) for i, w in enumerate(["idiot", "moron", "worthless", "pathetic"])]
     model = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows], toxicity.ToxConfig())
-    score = lambda *texts: model.score(toxicity.Scorer(model)(list(texts)))
-    assert (score("ka lo idiot mi", "ka moron ta", "worthless ka", "mi pathetic", "ka lo i - d - i - o - t mi", "ka m * o * r * o * n ta") >= 0.7).all()
+    score = lambda *texts: model.score(model.values(list(texts)))
+    assert (score("ka lo idiot mi", "ka moron ta", "worthless ka", "mi pathetic", "ka lo i - d - i - o - t mi", "ka m * o * r * o * n ta", "ka path etic lo") >= 0.7).all()
     assert (score("ka - -", "i d i o t") >= 0.7).tolist() == [False, True]
     assert (score("ka lo mi", "- - - - - -", "ka - lo - mi - ne - ru", "") < 0.7).all()
 
 
+def test_scores_depend_on_the_text_alone(spark):
+    rng = random.Random(10)
+    rows = corpus(rng, 300)
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    texts = ["i d i o t", "ends in a", "i d i o t", "", "x", "m o r o n.", None, "i d i", "o t"] * 3 + [t for _, t, _ in rows[:40]]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, score double")
+    runs = [{r.doc_id: r.score for r in toxicity.score(docs.repartition(n).sortWithinPartitions(order), model).collect()} for n, order in ((1, "doc_id"), (8, "text"), (3, "doc_id"))]
+    assert runs[0] == runs[1] == runs[2] == {i: float(model.score(model.values([t]))[0]) for i, t in enumerate(texts)}
+    assert len({s for i, s in runs[0].items() if texts[i] == "i d i o t"}) == 1
+
+
+def test_toxicity_query_on_held_out_rows(spark):
+    from rasterloom.llm.queries import op3_toxicity
+
+    sf = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = op3_toxicity(spark, sf).collect()
+    assert len(out) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
+    held = [(r.predicted, truth[r.doc_id]) for r in out if r.held_out and r.doc_id in truth]
+    caught = sum(p and t for p, t in held)
+    assert caught / sum(t for _, t in held) >= 0.88 and caught / sum(p for p, _ in held) >= 0.7
+
+
 def test_one_label_or_none(spark):
     docs = spark.createDataFrame([(1, "some text here"), (None, None)], "doc_id long, text string")
     for rows in ([], [("only clean text", 0)], [("x", None)]):
