@@ -68,6 +68,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most_words
+        self._check(path)
         vocab = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(vocab.values()) + 2, bool)
         self.closing[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -75,6 +76,14 @@ class WordEncoder:
         self.ends[[i for t, i in vocab.items() if t.removesuffix("</w>")[-1:] in tuple(".!?")]] = True
         self.forget()
 
+    def _check(self, path: str) -> None:
+        """Words are remembered without their case and neighbours: a tokenizer that tells either apart raises."""
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        parts = ["The", "naïve", "x-ray", "don't", "42nd", "street.", "A"]
+        apart = [i for p in parts for i in ids(p)]
+        if ids(" ".join(parts)) != apart or ids("\n\t ".join(parts).upper() + " ") != apart or not any(t.endswith("</w>") for t in self.tokenizer.get_vocab()):
+            raise ValueError(f"{path} isn't a tokenizer of lower-cased words with </w> at their ends")
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -138,15 +147,16 @@ class WordEncoder:
         return ids, counts
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
 def encoder(path: str, most_words: int) -> WordEncoder:
-    """One encoder for each worker process, kept over its tasks. A task has one core, so the tokenizer starts no threads."""
+    """One encoder for each worker process, kept over its tasks while they ask for the same. A task has one core, so the tokenizer starts no threads."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path, most_words)
-    return _ENCODERS[path]
+    if (path, most_words) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, most_words] = WordEncoder(path, most_words)
+    return _ENCODERS[path, most_words]
 
 
 def choose_cuts(pos: np.ndarray, penalty: np.ndarray, capacity: int, per_sequence: int = 0, least: int = 1) -> list[int]:

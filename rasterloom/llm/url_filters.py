@@ -5,15 +5,18 @@ filters: the first holds the listed keys, the second what the first lets through
 wrongly of all keys that the corpus has, the third the listed keys that the second
 catches, and so on until nothing is told wrongly. Over that key universe membership is
 exact, and each url is judged in its own task without a join. The universe is counted
-and filtered as a distributed table; only the filters reach the driver and the tasks.
-Their size follows from the list's: about 1.44 * log2(universe / list) bits a listed
-key. Beyond `max_filter_bytes` the listed keys are joined instead.
+and filtered as a distributed table, in one pass over the urls; only the filters reach
+the driver and the tasks. A list's cascade takes about 1.44 * log2(universe / list) bits a
+listed key; it is cut into shards by a hash of the key, so that none exceeds
+`max_filter_bytes`, and urls meet the shards one after another on their way through their
+task, whatever the length of the list.
 """
 
 from __future__ import annotations
 
 import math
 import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +26,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, mix64
 
 ALLOW, BLOCK = "allow", "block"
 #: (host, path, verdict)
 RULES = [("com", "/", ALLOW), ("example.com", "/en/", BLOCK), ("www.example.com", "/en/", ALLOW), ("net", "/es/", BLOCK), ("net", "/fr/", BLOCK)]
-#: Hosts that are blocked with their subdomains where no rule fits.
-BLOCKED_HOSTS = ["cheap-pills.example.com", "spam-farm.example.org"]
+#: Hosts that are blocked with their subdomains where no rule fits: what sells pills, bets and the like, under any of the corpus's top-level domains.
+BLOCKED_HOSTS = [f"{name}.example.{top}" for name in ("adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+
+
+def digests(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each key, the second odd."""
+    raw = np.frombuffer(b"".join(map(xxhash.xxh128_digest, keys)), ">u8").astype(np.uint64).reshape(-1, 2)
+    return raw[:, 0], raw[:, 1] | np.uint64(1)
 
 
 @dataclass
@@ -44,24 +53,28 @@ class Bloom:
         bits = max(64, math.ceil(-max(1, keys) * math.log(rate) / math.log(2) ** 2))
         return cls(-(-bits // 64) * 64, max(1, round(-math.log2(rate))), level)
 
-    def places(self, key: str) -> list[int]:
-        raw = key.encode()
-        a, b = xxhash.xxh64_intdigest(raw, 2 * self.level), xxhash.xxh64_intdigest(raw, 2 * self.level + 1) | 1
-        return [((a + i * b) & 0xFFFFFFFFFFFFFFFF) % self.bits for i in range(self.hashes)]
+    def places(self, a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+        """The bit of each key by each hash function; levels have functions of their own."""
+        a = mix64(a + np.uint64(self.level))
+        for i in range(self.hashes):
+            yield (a + np.uint64(i) * b) % np.uint64(self.bits)
 
-    def __contains__(self, key: str) -> bool:
-        return all(int(self.words[p >> 6]) >> (p & 63) & 1 for p in self.places(key))
+    def test(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(a), bool)
+        for p in self.places(a, b):
+            ok &= self.words[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1) == 1
+        return ok
 
     def filled(self, keys: DataFrame) -> "Bloom":
         """With the keys of a table: tasks set bits of their own, Spark joins them by bitwise or."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                words: dict[int, int] = {}
-                for key in batch.column(0).to_pylist():
-                    for p in self.places(key):
-                        words[p >> 6] = words.get(p >> 6, 0) | 1 << (p & 63)
-                yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.int64()), pa.array(np.array(list(words.values()), np.uint64).view(np.int64))], ["word", "bits"])
+                if batch.num_rows:
+                    place = np.sort(np.concatenate(list(self.places(*digests(batch.column(0).to_pylist())))))
+                    word, first = np.unique(place >> np.uint64(6), return_index=True)
+                    bits = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first)
+                    yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
 
         rows = keys.select("key").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
         words = np.zeros(self.bits // 64, np.uint64)
@@ -75,11 +88,15 @@ class Cascade:
     def __init__(self, levels: list[Bloom]):
         self.levels = levels
 
-    def __contains__(self, key: str) -> bool:
+    def test(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each key of the universe is listed."""
+        listed, left = np.zeros(len(a), bool), np.arange(len(a))
         for i, level in enumerate(self.levels):
-            if key not in level:
-                return i % 2 == 1
-        return len(self.levels) % 2 == 1
+            ok = level.test(a[left], b[left])
+            listed[left[~ok]] = i % 2 == 1
+            left = left[ok]
+        listed[left] = len(self.levels) % 2 == 1
+        return listed
 
     @property
     def size(self) -> int:
@@ -89,21 +106,30 @@ class Cascade:
 def _passing(keys: DataFrame, level: Bloom) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([k in level for k in batch.column(0).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array(level.test(*digests(batch.column(0).to_pylist()))))
 
     return keys.select("key").mapInArrow(run, "key string")
 
 
-def build(listed: DataFrame, universe: DataFrame, max_filter_bytes: int = 64 << 20) -> Cascade | None:
-    """The cascade of listed keys over a universe of distinct keys (both: column key); None if it would be too large."""
+def shard_of(key: str, shards: int) -> int:
+    return zlib.crc32(key.encode()) % shards
+
+
+def build(listed: DataFrame, universe: DataFrame, max_filter_bytes: int = 64 << 20) -> list[Cascade]:
+    """The cascades of listed keys over a universe of distinct keys (both: column key), one for each shard of the keys."""
     listed = materialize(listed.select("key").distinct(), "url-listed")
-    others = materialize(universe.join(listed, "key", "left_anti").select("key"), "url-others")
-    n, m = listed.count(), others.count()
+    n, m = listed.count(), universe.count()
     rate = min(0.5, max(1e-9, n / (math.sqrt(2) * m))) if m else 0.5
-    if Bloom.sized(n, rate, 0).bits // 8 * 4 > max_filter_bytes:
-        return None
+    shards = max(1, -(-Bloom.sized(n, rate, 0).bits // 8 * 4 // max_filter_bytes))
+    part = F.pmod(F.crc32("key"), F.lit(shards)).cast("int")
+    listed = materialize(listed.withColumn("shard", part), "url-listed", "shard") if shards > 1 else listed.withColumn("shard", F.lit(0))
+    others = materialize(universe.select("key").join(listed, "key", "left_anti").withColumn("shard", part), "url-others", "shard")
+    return [_cascade(*(x.where(F.col("shard") == s).select("key") for x in (listed, others)), rate) for s in range(shards)]
+
+
+def _cascade(listed: DataFrame, others: DataFrame, rate: float) -> Cascade:
     levels: list[Bloom] = []
-    inside, outside, size = listed, others, n
+    inside, outside, size = listed, others, listed.count()
     while True:
         level = Bloom.sized(size, 0.5 if levels else rate, len(levels)).filled(inside)
         levels.append(level)
@@ -124,7 +150,7 @@ def host_and_path(url: str = "url") -> tuple:
 
 @dataclass(frozen=True)
 class Shape:
-    """What keys a list can hold: the labels of its longest host, the lengths of its paths."""
+    """What keys lists can hold: the labels of the longest host, the lengths of paths."""
 
     labels: int
     paths: tuple[int, ...]
@@ -133,14 +159,16 @@ class Shape:
     def of(cls, keys: list[tuple[str, str]]) -> "Shape":
         return cls(max((h.count(".") + 1 for h, _ in keys), default=0), tuple(sorted({len(p) for _, p in keys})))
 
-    def keys(self, host: str, path: str) -> Iterator[str]:
+    def with_all(self, other: "Shape") -> "Shape":
+        return Shape(max(self.labels, other.labels), tuple(sorted({*self.paths, *other.paths})))
+
+    def keys(self, host: str, path: str) -> list[str]:
         """All keys that a list of this shape could hold for a url, the longest first."""
         if not host:
-            return
+            return []
         labels = host.split(".")
         suffixes = [".".join(labels[i:]) for i in range(max(0, len(labels) - self.labels), len(labels))]
-        found = {s + path[:n] for s in suffixes for n in self.paths if n <= len(path)}
-        yield from sorted(found, key=lambda k: (-len(k), k))
+        return sorted({s + path[:n] for s in suffixes for n in self.paths if n <= len(path)}, key=lambda k: (-len(k), k))
 
 
 def _universe(urls: DataFrame, shape: Shape) -> DataFrame:
@@ -169,58 +197,52 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, blocked_h
     blocked if its host or a parent domain is listed in blocked_hosts, or with a prefix
     of its path in the table listed (host, path; a null or empty path is the whole host),
     told by `listed`, and allowed otherwise; so are null urls and those without a host.
-    Repeated rows give repeated results. Rules are the list's (host, path, verdict),
-    their keys distinct.
+    Repeated rows give repeated results; further columns are not read. Rules are the
+    list's (host, path, verdict), their keys distinct.
     """
     spark = pages.sparkSession
     host, path = host_and_path()
     urls = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
-    shape, hosts = Shape.of([(h, p) for h, p, _ in rules]), Shape.of([(h, "") for h in blocked_hosts])
+    shape = Shape.of([*((h, p) for h, p, _ in rules), *((h, "") for h in blocked_hosts)])
     blocked = _keys(spark, blocked_hosts)
     if listed is not None:
         more, wider = _listed_keys(listed)
-        blocked, hosts = blocked.unionByName(more), Shape(max(hosts.labels, wider.labels), tuple(sorted({*hosts.paths, *wider.paths})))
-    lists = {
-        ALLOW: (shape, _keys(spark, [h + p for h, p, v in rules if v == ALLOW])),
-        BLOCK: (shape, _keys(spark, [h + p for h, p, v in rules if v == BLOCK])),
-        "hosts": (hosts, blocked),
-    }
-    universes = {s: _universe(urls, s) for s, _ in lists.values()}
-    built = {k: build(keys, universes[s], max_filter_bytes) for k, (s, keys) in lists.items()}
-    if any(c is None for c in built.values()):
-        return _by_join(urls, spark, rules, blocked, shape, hosts)
-    sent = spark.sparkContext.broadcast((built[ALLOW], built[BLOCK], built["hosts"]))
-    out = "page_id long, host string, path string, rule string, verdict string, listed boolean"
+        blocked, shape = blocked.unionByName(more), shape.with_all(wider)
+    lists = {ALLOW: _keys(spark, [h + p for h, p, v in rules if v == ALLOW]), BLOCK: _keys(spark, [h + p for h, p, v in rules if v == BLOCK]), "listed": blocked}
+    universe = _universe(urls, shape)
+    built = {name: build(keys, universe, max_filter_bytes) for name, keys in lists.items()}
+    out = urls.select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(False).alias("listed"))
+    for s in range(max(map(len, built.values()))):
+        out = _judged(out, shape, {name: (len(c), c[s]) for name, c in built.items() if s < len(c)}, s)
+    return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("listed"), BLOCK).otherwise(ALLOW)))
+
+
+def _judged(urls: DataFrame, shape: Shape, cascades: dict[str, tuple[int, Cascade]], shard: int) -> DataFrame:
+    """urls (page_id, host, path, rule, verdict, listed) with what one shard of each list adds: a longer rule, or a listed key."""
+    sent = urls.sparkSession.sparkContext.broadcast(cascades)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allow, block, listed = sent.value
         for batch in batches:
-            rule, verdict, told = [], [], []
-            for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
-                found = next(((k, v) for k in shape.keys(h, p) for v, c in ((ALLOW, allow), (BLOCK, block)) if k in c), (None, None))
-                told.append(any(k in listed for k in hosts.keys(h, p)))
-                rule.append(found[0])
-                verdict.append(found[1] or (BLOCK if told[-1] else ALLOW))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(told, pa.bool_())], ["page_id", "host", "path", "rule", "verdict", "listed"])
-
-    return urls.mapInArrow(run, out)
+            pairs = list(zip(*(batch.column(c).to_pylist() for c in ("host", "path"))))
+            of = {p: shape.keys(*p) for p in set(pairs)}
+            keys = list({k: None for ks in of.values() for k in ks})
+            a, b = digests(keys)
+            hits = {}
+            for name, (shards, cascade) in sent.value.items():
+                own = np.flatnonzero(cascade.test(a, b)).tolist()
+                hits[name] = {keys[i] for i in own if shards == 1 or shard_of(keys[i], shards) == shard}
+            rules = hits.get(ALLOW, set()) | hits.get(BLOCK, set())
+            told = {p: (next((k for k in ks if k in rules), None), any(k in hits.get("listed", ()) for k in ks)) for p, ks in of.items()}
+            rule, verdict, listed = (batch.column(c).to_pylist() for c in ("rule", "verdict", "listed"))
+            for i, p in enumerate(pairs):
+                key, bad = told[p]
+                listed[i] = listed[i] or bad
+                if key is not None and (rule[i] is None or len(key) > len(rule[i])):
+                    rule[i], verdict[i] = key, ALLOW if key in hits.get(ALLOW, ()) else BLOCK
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(listed, pa.bool_())], batch.schema.names)
+
+    return urls.mapInArrow(run, urls.schema)
 
 
 def _keys(spark: SparkSession, keys: list[str]) -> DataFrame:
     return spark.createDataFrame([(k,) for k in keys], "key string")
-
-
-def _by_join(urls: DataFrame, spark: SparkSession, rules: list, blocked: DataFrame, shape: Shape, hosts: Shape) -> DataFrame:
-    """The same verdicts for lists too long for filters: candidate keys meet the lists in a join."""
-    keys = F.udf(lambda h, p: list(shape.keys(h, p)), "array<string>")
-    parents = F.udf(lambda h, p: list(hosts.keys(h, p)), "array<string>")
-    rows = urls.withColumn("row", F.monotonically_increasing_id())
-    rows = materialize(rows, "url-rows")
-    listed = spark.createDataFrame([(h + p, v) for h, p, v in rules], "key string, rule_verdict string")
-    hits = rows.select("row", F.explode(keys("host", "path")).alias("key")).join(listed, "key").groupBy("row").agg(F.max_by(F.struct(F.col("key").alias("rule"), "rule_verdict"), F.length("key")).alias("hit"))
-    bad = rows.select("row", F.explode(parents("host", "path")).alias("key")).join(blocked, "key", "left_semi").select("row", F.lit(True).alias("bad")).distinct()
-    listed_col = F.coalesce("bad", F.lit(False))
-    return (
-        rows.join(hits, "row", "left").join(bad, "row", "left")
-        .select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.rule_verdict", F.when(listed_col, BLOCK).otherwise(ALLOW)).alias("verdict"), listed_col.alias("listed"))
-    )

@@ -105,3 +105,9 @@ def test_query_covers_the_table(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     out = op7_packing(spark, sf).collect()
     assert check(out, docs, 4096) < 0.03 * sum(r.length for r in out)
+
+
+def test_an_encoder_for_each_setting_and_none_for_other_tokenizers():
+    assert packing.encoder(PATH, 500).most == 500 and packing.encoder(PATH, 700).most == 700 and packing.encoder(PATH, 700) is packing.encoder(PATH, 700)
+    with pytest.raises(ValueError, match="lower-cased words"):
+        packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), 500)
