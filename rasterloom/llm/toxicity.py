@@ -154,7 +154,7 @@ class ToxModel:
 
 def windows_of(codes: list[np.ndarray], cfg: ToxConfig) -> np.ndarray:
     """Stretches of symbols as rows, cut or filled up with ends to what the subsequences of a window read."""
-    out = np.zeros((len(codes), cfg.window + cfg.span - 1), np.int64)
+    out = np.zeros((len(codes), cfg.window + cfg.span - 1), np.int32)
     for row, c in zip(out, codes):
         row[: min(len(c), len(row))] = c[: len(row)]
     return out
@@ -195,15 +195,21 @@ def _kernel(windows: np.ndarray, place: np.ndarray, table: np.ndarray, cfg: ToxC
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float) -> np.ndarray:
-    """Weights and bias of a linear SVM with squared hinge loss, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    reg = np.full(x.shape[1], ridge * cost.sum())
+    """Weights and bias of a linear SVM with squared hinge loss, by Newton steps. Rows are taken in blocks."""
+    n = x.shape[1] + 1
+    wide = lambda at: np.hstack([x[at : at + 1024].astype(float), np.ones((len(x[at : at + 1024]), 1))])
+    w = np.zeros(n)
+    reg = np.full(n, ridge * cost.sum())
     reg[-1] = 1e-8
     for _ in range(30):
-        m = y * (x @ w) < 1
-        a = x[m] * cost[m, None]
-        new = np.linalg.solve(a.T @ x[m] + np.diag(reg), a.T @ y[m])
+        left, right = np.diag(reg), np.zeros(n)
+        for at in range(0, len(x), 1024):
+            block, here, price = wide(at), y[at : at + 1024], cost[at : at + 1024]
+            m = here * (block @ w) < 1
+            a = block[m] * price[m, None]
+            left += a.T @ block[m]
+            right += a.T @ here[m]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -272,7 +278,8 @@ def train(texts: list[str], toxic: list[int], cfg: ToxConfig = ToxConfig()) -> T
     most = max(told.values())  # what stands out most counts most, in a sentence as it is and in variants together
     many = Counter(u for _, u in odd)
     weight = np.array([(told[u] / most) ** cfg.power for _, u in pairs] + [told[u] * (told[u] / most) ** cfg.power / (4 if s == u else many[u]) for s, u in odd])
-    neg = _clean_windows(clean, cfg)
+    neg = np.concatenate([_clean_windows(g, cfg) for g in _groups(clean)])
+    neg = neg[:: max(1, -(-len(neg) // cfg.most_negatives))]
     half, by = cfg.landmarks // 2, {}
     for i, (_, u) in enumerate(pairs):
         by.setdefault(u, []).append(i)
@@ -283,28 +290,37 @@ def train(texts: list[str], toxic: list[int], cfg: ToxConfig = ToxConfig()) -> T
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    x1, x0 = (_kernel(x, place, table, cfg) @ root for x in (pos, neg))
+    mapped = lambda rows: np.concatenate([(_kernel(rows[i : i + 2048], place, table, cfg) @ root).astype(np.float32) for i in range(0, len(rows), 2048)])
+    x1, x0 = mapped(pos), mapped(neg)
     model = ToxModel(cfg, nothing, 0.0, 1.0, 0.0)
     for turn in range(cfg.rounds):
         if turn:
-            hard = _hardest(model, clean)
-            x0 = np.vstack([x0, _kernel(hard, place, table, cfg) @ root])
+            x0 = np.vstack([x0, mapped(np.concatenate([_hardest(model, g) for g in _groups(clean)]))])
         cost = np.concatenate([weight / weight.sum(), np.full(len(x0), 1.0 / len(x0))])
         w = _svm(np.vstack([x1, x0]), np.concatenate([np.ones(len(x1)), -np.ones(len(x0))]), cost, cfg.ridge)
         folded = (table @ (root @ w[:-1])).astype(np.float32)
         model = ToxModel(cfg, np.where(place > 0, folded[place], 0).astype(np.float32), float(w[-1]), 1.0, 0.0)
     at = np.flatnonzero(held) if held.any() else fit
     unseen = [s.replace(u, v, 1) for d in at[y[at]] for s, u in _examples(texts[d], told, cfg) if len(u) > 3 for v in (u[:2] + "v" + u[2:], u[:-2] + "w" + u[-2:])]
-    return ToxModel(cfg, model.weights, model.floor, *_calibrate(model.values([texts[i] for i in at] + unseen), np.append(y[at], np.ones(len(unseen), bool)), np.append(np.ones(len(at)), np.full(len(unseen), cfg.unseen))))
+    return ToxModel(cfg, model.weights, model.floor, *_calibrate(np.concatenate([model.values(g) for g in _groups([texts[i] for i in at] + unseen)]), np.append(y[at], np.ones(len(unseen), bool)), np.append(np.ones(len(at)), np.full(len(unseen), cfg.unseen))))
+
+
+def _groups(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
+    """Runs of texts of about `most` characters."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most or i == len(texts) - 1:
+            yield texts[at : i + 1]
+            at, size = i + 1, 0
 
 
 def _clean_windows(texts: list[str], cfg: ToxConfig) -> np.ndarray:
-    """Stretches of all sentences of clean texts, a window after another, evenly thinned to most_negatives."""
+    """Stretches of all sentences of clean texts, a window after another."""
     code, _ = symbols_of(texts)
     ends = np.flatnonzero(code == _END)
     starts = np.concatenate([[0], ends[:-1] + 1])
     at = np.concatenate([np.arange(a, max(a + 1, b - 2), cfg.window) for a, b in zip(starts, ends)])
-    at = at[:: max(1, -(-len(at) // cfg.most_negatives))]
     stop = ends[np.searchsorted(ends, at)]
     return windows_of([code[a:b] for a, b in zip(at, stop)], cfg)
 
@@ -316,7 +332,7 @@ def _hardest(model: ToxModel, texts: list[str]) -> np.ndarray:
     bounds = np.append(first, len(sums))
     at = np.array([a + int(sums[a:b].argmax()) for a, b in zip(bounds[:-1], bounds[1:])])
     rows = np.concatenate([c, np.zeros(width, c.dtype)])[at[:, None] + np.arange(width)]
-    return np.where(np.cumsum(rows == _END, 1) == 0, rows, 0).astype(np.int64)
+    return np.where(np.cumsum(rows == _END, 1) == 0, rows, 0)
 
 
 def _calibrate(value: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
