@@ -3,23 +3,42 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-#: Chunk types that should occur once (fixed values).
-ONCE = ["cHRM", "gAMA", "iCCP", "sBIT", "sRGB", "bKGD", "hIST", "tRNS", "pHYs", "tIME", "acTL"]
 DISPOSE = ["none", "background", "previous"]
 BLEND = ["source", "over"]
 
 
 def uint(v: Column, n: int) -> Column:
-    """A number as n big-endian bytes; negative ones as two's complement."""
+    """A number as n big-endian bytes; one that they can't hold raises."""
+    v, most = v.cast("bigint"), (1 << (8 * n)) - 1
+    fits = v.isNull() | v.between(0, most)
+    return F.when(fits, F.unhex(F.lpad(F.hex(v), 2 * n, "0"))).otherwise(F.raise_error(F.lit(f"a number outside 0..{most}")).cast("binary"))
+
+
+def wrapped(v: Column, n: int) -> Column:
+    """A number as n big-endian bytes, modulo what they can hold."""
     return F.unhex(F.lpad(F.hex(F.pmod(v.cast("bigint"), F.lit(1 << (8 * n)).cast("bigint"))), 2 * n, "0"))
 
 
+def int32(v: Column) -> Column:
+    """A signed number as four big-endian bytes, two's complement."""
+    v = v.cast("bigint")
+    fits = v.isNull() | v.between(-(1 << 31), (1 << 31) - 1)
+    return F.when(fits, wrapped(v, 4)).otherwise(F.raise_error(F.lit("a number outside 32 bits")).cast("binary"))
+
+
+def _keyword(keyword: Column) -> Column:
+    """A keyword's Latin-1 bytes, 1 to 79 of them."""
+    n = F.length(keyword)
+    return F.when(keyword.isNull() | n.between(1, 79), F.encode(keyword, "ISO-8859-1")).otherwise(F.raise_error(F.lit("a keyword has 1 to 79 bytes")).cast("binary"))
+
+
 def read_uint(data: Column, at: int, n: int) -> Column:
     """n big-endian bytes from a 0-based place."""
     return F.conv(F.hex(F.substring(data, at + 1, n)), 16, 10).cast("bigint")
@@ -32,7 +51,7 @@ def read_int32(data: Column, at: int) -> Column:
 
 def text_chunk(keyword: Column, text: Column) -> Column:
     """tEXt: keyword, zero byte, Latin-1 text."""
-    return F.concat(F.encode(keyword, "ISO-8859-1"), F.unhex(F.lit("00")), F.encode(text, "ISO-8859-1"))
+    return F.concat(_keyword(keyword), F.unhex(F.lit("00")), F.encode(text, "ISO-8859-1"))
 
 
 def _zero(data: Column, start: Column | int = 1) -> Column:
@@ -52,7 +71,7 @@ def parse_text_chunk(data: Column) -> Column:
 def itext_chunk(keyword: Column, language: Column, translated: Column, text: Column) -> Column:
     """iTXt without compression."""
     zero = F.unhex(F.lit("00"))
-    return F.concat(F.encode(keyword, "ISO-8859-1"), F.unhex(F.lit("000000")), F.encode(language, "US-ASCII"), zero, F.encode(translated, "UTF-8"), zero, F.encode(text, "UTF-8"))
+    return F.concat(_keyword(keyword), F.unhex(F.lit("000000")), F.encode(language, "US-ASCII"), zero, F.encode(translated, "UTF-8"), zero, F.encode(text, "UTF-8"))
 
 
 def parse_itext_chunk(data: Column) -> Column:
@@ -88,7 +107,7 @@ def inflate(data: pd.Series) -> pd.Series:
 
 def ztext_chunk(keyword: Column, text: Column) -> Column:
     """zTXt: keyword, zero byte, method 0, deflated Latin-1 text."""
-    return F.concat(F.encode(keyword, "ISO-8859-1"), F.unhex(F.lit("0000")), deflate(F.encode(text, "ISO-8859-1")))
+    return F.concat(_keyword(keyword), F.unhex(F.lit("0000")), deflate(F.encode(text, "ISO-8859-1")))
 
 
 def parse_ztext_chunk(data: Column) -> Column:
@@ -144,8 +163,13 @@ def parse_phys_chunk(data: Column) -> Column:
     return F.struct(read_uint(data, 0, 4).alias("x"), read_uint(data, 4, 4).alias("y"), read_uint(data, 8, 1).alias("unit"))
 
 
+def offs_chunk(x: Column, y: Column, unit: Column) -> Column:
+    """oFFs: two signed numbers and a unit."""
+    return F.concat(int32(x), int32(y), uint(unit, 1))
+
+
 def parse_offs_chunk(data: Column) -> Column:
-    """oFFs, packed like pHYs, of signed numbers."""
+    """struct(x, y, unit) of an oFFs chunk."""
     return F.struct(read_int32(data, 0).alias("x"), read_int32(data, 4).alias("y"), read_uint(data, 8, 1).alias("unit"))
 
 
@@ -164,9 +188,49 @@ def background(data: Column) -> Column:
     return F.when(n == 1, F.array(read_uint(data, 0, 1))).when(n == 2, F.array(read_uint(data, 0, 2))).otherwise(F.array(*(read_uint(data, 2 * k, 2) for k in range(3))))
 
 
+def read_grayscale(v: Column, bit_depth: Column) -> Column:
+    """A gray level of a bit depth on the scale of 8 bits; depths over 8 keep theirs, at most 256."""
+    depth = F.least(bit_depth.cast("int"), F.lit(8))
+    return F.least(v, F.lit(256)) * F.floor(F.lit(255) / (F.pow(F.lit(2.0), depth) - 1)).cast("bigint")
+
+
+def background_color(data: Column, color_type: Column, bit_depth: Column, palette: Column) -> Column:
+    """The background that a bKGD chunk tells for an image: gray levels scaled to 8 bits, palette indexes looked up in an array of colours, three levels as they are; null where their number doesn't fit the colour type."""
+    v, one = background(data), color_type.isin(0, 3, 4)
+    fits = F.when(one, F.size(v) == 1).otherwise(F.size(v) == 3)
+    gray = F.array(read_grayscale(v[0], bit_depth))
+    return F.when(fits & color_type.isin(0, 4), gray).when(fits & (color_type == 3), F.get(palette, v[0].cast("int"))).when(fits, v)
+
+
+def background_chunk(color: Column, n_channels: int) -> Column:
+    """bKGD in its 16-bit form: one level for gray images, three for others; null where there are more or fewer."""
+    n = 1 if n_channels < 3 else 3
+    return F.when(F.size(color) == n, F.concat(*(uint(F.get(color, F.lit(k)), 2) for k in range(n))))
+
+
+def frame_data_chunk(seq: Column, stream: Column) -> Column:
+    """fdAT: a sequence number and a part of a deflated stream."""
+    return F.concat(uint(seq, 4), stream)
+
+
+def animation_control_chunk(n_frames: Column, n_plays: Column) -> Column:
+    """acTL: eight bytes."""
+    return F.concat(uint(n_frames, 4), uint(n_plays, 4))
+
+
+def parse_animation_control_chunk(data: Column) -> Column:
+    return F.struct(read_uint(data, 0, 4).alias("n_frames"), read_uint(data, 4, 4).alias("n_plays"))
+
+
+def _one_of(names: list[str], v: Column) -> Column:
+    """The place of a name as a byte; an unknown one raises."""
+    at = F.array_position(F.array(*map(F.lit, names)), v)
+    return F.when(at > 0, uint(at - 1, 1)).otherwise(F.raise_error(F.lit(f"none of {', '.join(names)}")).cast("binary"))
+
+
 def frame_control_chunk(seq: Column, w: Column, h: Column, x: Column, y: Column, num: Column, den: Column, dispose: Column, blend: Column) -> Column:
-    """fcTL: 26 bytes."""
-    return F.concat(*(uint(v, 4) for v in (seq, w, h, x, y)), uint(num, 2), uint(den, 2), uint(F.array_position(F.array(*map(F.lit, DISPOSE)), dispose) - 1, 1), uint(F.array_position(F.array(*map(F.lit, BLEND)), blend) - 1, 1))
+    """fcTL: 26 bytes. Numbers that don't fit and unknown operations raise."""
+    return F.concat(*(uint(v, 4) for v in (seq, w, h, x, y)), uint(num, 2), uint(den, 2), _one_of(DISPOSE, dispose), _one_of(BLEND, blend))
 
 
 def parse_frame_control_chunk(data: Column) -> Column:
@@ -176,10 +240,16 @@ def parse_frame_control_chunk(data: Column) -> Column:
     return F.struct(*word, read_uint(data, 20, 2).alias("delay_num"), read_uint(data, 22, 2).alias("delay_den"), pick(DISPOSE, 24).alias("dispose"), pick(BLEND, 25).alias("blend"))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def raw_chunk(kind: Column, data: Column) -> Column:
-    """Length, type, data and CRC of a chunk."""
-    body = F.concat(F.encode(kind, "US-ASCII"), data)
-    return F.concat(uint(F.length(data), 4), body, uint(F.crc32(body), 4))
+    """Length, type, data and CRC of a chunk. Data of 2 ** 31 bytes and more raises."""
+    fits = lambda d: F.when(d.isNull() | (F.length(d) < (1 << 31) - 1), d).otherwise(F.raise_error(F.lit("a chunk's data is too long")).cast("binary"))
+    body = lambda d: once(F.concat(F.encode(kind, "US-ASCII"), d), lambda b: F.concat(b, uint(F.crc32(b), 4)))
+    return once(data, lambda d: F.concat(uint(F.length(fits(d)), 4), body(d)))
 
 
 def parse_raw_chunk(chunk: Column) -> Column:

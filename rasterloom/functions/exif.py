@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import uint
+from .chunks import wrapped as uint  # places and counts of blocks, which fit
 
 # Fixed values of the TIFF and EXIF specifications.
 #: Bytes of a value by type number: none, BYTE, ASCII, SHORT, LONG, RATIONAL, SBYTE, UNDEFINED, SSHORT, SLONG, SRATIONAL, FLOAT, DOUBLE.
