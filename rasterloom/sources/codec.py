@@ -16,6 +16,10 @@ DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 1
 PASSES = [(0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)]
 
 
+#: Chunk types that should occur once (fixed values).
+ONCE = ["cHRM", "gAMA", "iCCP", "sBIT", "sRGB", "bKGD", "hIST", "tRNS", "pHYs", "tIME", "acTL"]
+
+
 class ImageError(ValueError):
     """A file that isn't an image of a known kind."""
 
@@ -42,6 +46,9 @@ class Image:
     alpha: bytes | None = None
     background: list[int] | None = None
     warnings: list[str] = field(default_factory=list)
+    has_alpha: bool = False
+    n_frames: int | None = None
+    n_plays: int | None = None
 
 
 def chunks_of(content: bytes, skip_crc: bool = False):
@@ -59,36 +66,38 @@ def chunks_of(content: bytes, skip_crc: bool = False):
         at += 12 + size
 
 
+def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    p = a + b - c
+    da, db, dc = abs(p - a), abs(p - b), abs(p - c)
+    return np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+
+
 def _unfilter(raw: np.ndarray, rows: int, stride: int, bpp: int) -> np.ndarray:
+    """The bytes of filtered rows. A pixel needs its left, upper and upper left neighbours only, so all pixels of a diagonal are undone at once."""
     lines = raw.reshape(rows, stride + 1)
-    out = np.zeros((rows + 1, stride + bpp), np.uint8)
-    for y in range(rows):
-        kind, line = lines[y, 0], lines[y, 1:]
-        up, own = out[y, bpp:], out[y + 1]
-        if kind == 0:
-            own[bpp:] = line
-        elif kind == 1:
-            pad = np.zeros(-(-stride // bpp) * bpp, np.uint8)
-            pad[:stride] = line
-            own[bpp:] = np.add.accumulate(pad.reshape(-1, bpp), axis=0, dtype=np.uint8).reshape(-1)[:stride]
-        elif kind == 2:
-            own[bpp:] = line + up
-        elif kind == 3:
-            a, b = own.tolist(), out[y].tolist()
-            for i, v in enumerate(line.tolist(), bpp):
-                a[i] = v + (a[i - bpp] + b[i]) // 2 & 255
-            own[:] = a
-        elif kind == 4:
-            a, b = own.tolist(), out[y].tolist()
-            for i, v in enumerate(line.tolist(), bpp):
-                left, above, corner = a[i - bpp], b[i], b[i - bpp]
-                p = left + above - corner
-                da, db, dc = abs(p - left), abs(p - above), abs(p - corner)
-                a[i] = v + (left if da <= db and da <= dc else above if db <= dc else corner) & 255
-            own[:] = a
-        else:
-            raise ImageError(f"unknown row filter {kind}")
-    return out[1:, bpp:]
+    kinds, body = lines[:, 0], lines[:, 1:]
+    if kinds.max(initial=0) > 4:
+        raise ImageError(f"unknown row filter {kinds.max()}")
+    if not kinds.any():
+        return body
+    n = -(-stride // bpp)
+    wide = np.zeros((rows, n * bpp), np.uint8)
+    wide[:, :stride] = body
+    res = wide.reshape(rows, n, bpp).astype(np.int16)
+    out = np.zeros((rows + 1, n + 1, bpp), np.int16)
+    if kinds.max() <= 2:
+        for y, kind in enumerate(kinds):
+            line = np.cumsum(res[y], axis=0) if kind == 1 else res[y] + out[y, 1:] if kind == 2 else res[y]
+            out[y + 1, 1:] = line & 255
+    else:
+        for d in range(rows + n - 1):
+            y = np.arange(max(0, d - n + 1), min(rows, d + 1))
+            x = d - y
+            a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+            k = kinds[y][:, None]
+            guess = np.where(k == 4, _paeth(a, b, c), np.where(k == 3, (a + b) >> 1, np.where(k == 2, b, np.where(k == 1, a, 0))))
+            out[y + 1, x + 1] = (res[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(rows, -1)[:, :stride]
 
 
 def _samples(lines: np.ndarray, width: int, n: int, depth: int) -> np.ndarray:
@@ -124,10 +133,21 @@ def _inflate(im: Image, stream: bytes) -> np.ndarray:
     return out
 
 
+def background_of(body: bytes, im: Image) -> list[int]:
+    """The colour of a bKGD chunk: gray levels scaled to 8 bits, palette indexes looked up, three levels as they are; empty, with a warning, where their number doesn't fit."""
+    levels = list(body) if len(body) == 1 else list(struct.unpack(f">{len(body) // 2}H", body[: len(body) // 2 * 2]))
+    if len(levels) != (3 if im.color_type in (2, 6) else 1) or im.color_type == 3 and (im.palette is None or levels[0] >= len(im.palette)):
+        im.warnings.append(f"a background of {levels} doesn't fit the image")
+        return []
+    if im.color_type == 3:
+        return im.palette[levels[0]].tolist()
+    return levels if im.color_type in (2, 6) else [min(levels[0], 256) * (255 // ((1 << min(im.bit_depth, 8)) - 1))]
+
+
 def decode_png(content: bytes, only_metadata: bool = False, skip_ancillary: bool = False, skip_crc: bool = False) -> Image:
     """An image with its chunks; a colour key and a palette's alpha become an alpha channel."""
     im, data, place, ended, seen = None, [], "after_IHDR", False, None
-    trns = None
+    trns = back = None
     for kind, body, ok in chunks_of(content, skip_crc):
         if ended:
             raise ChunkError("a chunk after IEND")
@@ -156,10 +176,23 @@ def decode_png(content: bytes, only_metadata: bool = False, skip_ancillary: bool
             ended = True
         elif critical:
             raise ChunkError(f"unknown critical chunk {kind}")
-        elif kind == "tRNS" and not data:
-            trns = body
-        elif kind == "bKGD" and not data:
-            im.background = list(body) if len(body) == 1 else list(struct.unpack(f">{len(body) // 2}H", body))
+        elif kind == "tRNS":
+            if im.color_type in (4, 6):
+                im.warnings.append("tRNS isn't expected in an image with alpha")
+            elif data:
+                im.warnings.append("tRNS stands after the pixel data and is left out")
+            else:
+                trns = body
+        elif kind == "bKGD":
+            back = body
+            if data:
+                im.warnings.append("bKGD stands after the pixel data")
+        elif kind in ("cHRM", "oFFs") and (data or im.palette is not None and kind == "cHRM"):
+            im.warnings.append(f"{kind} is out of place")
+        elif kind == "acTL" and len(body) == 8:
+            im.n_frames, im.n_plays = struct.unpack(">II", body)
+        if kind in ONCE and any(c[0] == kind for c in im.chunks):
+            im.warnings.append(f"{kind} occurs more than once")
         if not ok:
             im.warnings.append(f"the CRC of {kind} doesn't hold")
         im.chunks.append((kind, body, place, ok))
@@ -168,6 +201,9 @@ def decode_png(content: bytes, only_metadata: bool = False, skip_ancillary: bool
         raise ChunkError("no image data")
     if not ended:
         im.warnings.append("IEND is missing")
+    im.has_alpha = im.color_type in (4, 6) or trns is not None
+    if back is not None:
+        im.background = background_of(back, im)
     if only_metadata:
         return im
     px = _inflate(im, b"".join(data))
@@ -192,10 +228,7 @@ def _filters(lines: np.ndarray, bpp: int) -> list[np.ndarray]:
     x = lines.astype(np.int16)
     a, b, c = np.zeros_like(x), np.zeros_like(x), np.zeros_like(x)
     a[:, bpp:], b[1:], c[1:, bpp:] = x[:, :-bpp], x[:-1], x[:-1, :-bpp]
-    p = a + b - c
-    da, db, dc = abs(p - a), abs(p - b), abs(p - c)
-    paeth = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
-    return [(x - g).astype(np.uint8) for g in (np.zeros_like(x), a, b, (a + b) // 2, paeth)]
+    return [(x - g).astype(np.uint8) for g in (np.zeros_like(x), a, b, (a + b) // 2, _paeth(a, b, c))]
 
 
 def chunk(kind: str, body: bytes) -> bytes:
