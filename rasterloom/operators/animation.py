@@ -39,9 +39,52 @@ def push_frame(frames: DataFrame, frame: DataFrame) -> DataFrame:
     return frames.unionByName(frame.join(last, "image_id").select(frames.columns))
 
 
+def cropped(frames: DataFrame, pixels: DataFrame, w: int, h: int) -> tuple[DataFrame, DataFrame]:
+    """Frames with offsets of any sign, and their pixels (image_id, frame, y, x, c0...), cut to a canvas of w x h.
+
+    A frame that is larger than the canvas raises. One that lies outside becomes a
+    transparent pixel at the origin that is blended over, or raises where there is no alpha.
+    """
+    own = [c for c in pixels.columns if c not in ("image_id", "frame", "y", "x")]
+    col = F.col
+    fits = F.when((col("w") <= w) & (col("h") <= h), True).otherwise(F.raise_error(F.lit("a frame is larger than the canvas")).cast("boolean"))
+    cut = frames.where(fits).withColumns({"_l": F.greatest(-col("x_off"), F.lit(0)), "_t": F.greatest(-col("y_off"), F.lit(0))})
+    cut = cut.withColumns({"_r": F.least(w - 1 - col("x_off"), col("w") - 1), "_b": F.least(h - 1 - col("y_off"), col("h") - 1)})
+    empty = (col("_l") > col("_r")) | (col("_t") > col("_b"))
+    if len(own) not in (2, 4):
+        empty = F.when(empty, F.raise_error(F.lit("an empty frame needs an image with alpha")).cast("boolean")).otherwise(False)
+    cut = cut.withColumn("_e", empty)
+    new = {"w": col("_r") - col("_l") + 1, "h": col("_b") - col("_t") + 1, "x_off": F.greatest("x_off", F.lit(0)), "y_off": F.greatest("y_off", F.lit(0))}
+    out = cut.withColumns({c: F.when(col("_e"), {"w": 1, "h": 1}.get(c, 0)).otherwise(v).cast(frames.schema[c].dataType) for c, v in new.items()})
+    out = out.withColumn("blend", F.when(col("_e"), "over").otherwise(col("blend"))).select(frames.columns)
+    seen = pixels.join(cut.select("image_id", "frame", "_l", "_t", "_r", "_b", "_e"), ["image_id", "frame"])
+    kept = seen.where(~col("_e") & col("x").between(col("_l"), col("_r")) & col("y").between(col("_t"), col("_b"))).select("image_id", "frame", (col("y") - col("_t")).alias("y"), (col("x") - col("_l")).alias("x"), *own)
+    zero = F.lit(0).cast("bigint")
+    return out, kept.unionByName(cut.where("_e").select("image_id", "frame", zero.alias("y"), zero.alias("x"), *(F.lit(0.0).alias(c) for c in own)))
+
+
+def _at(frames: DataFrame, n: int) -> tuple[DataFrame, Column]:
+    """frames, and whether a row is frame n of its image, counted from the end if negative. An animation of |n| frames or fewer raises."""
+    count = frames.groupBy("image_id").agg(F.count("*").alias("_n"))
+    fits = F.when(F.col("_n") > abs(n), True).otherwise(F.raise_error(F.concat(F.lit(f"no frame {n} among "), F.col("_n"))).cast("boolean"))
+    return frames.join(count.where(fits), "image_id"), F.col("frame") == (F.lit(n) if n >= 0 else F.col("_n") + n)
+
+
 def set_delay(frames: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    here = F.col("frame") == n
-    return frames.withColumns({"delay_num": F.when(here, num).otherwise(F.col("delay_num")), "delay_den": F.when(here, den).otherwise(F.col("delay_den"))})
+    if not (0 <= num <= 0xFFFF and 0 <= den <= 0xFFFF):
+        raise ValueError("delays are between 0 and 65535")
+    df, here = _at(frames, n)
+    return df.withColumns({"delay_num": F.when(here, num).otherwise(F.col("delay_num")), "delay_den": F.when(here, den).otherwise(F.col("delay_den"))}).drop("_n")
+
+
+def set_offset(frames: DataFrame, n: int, x: int, y: int) -> DataFrame:
+    """Frame n moved to (x, y). The first frame stays where it is, and none may reach beyond it."""
+    df, here = _at(frames, n)
+    heads = frames.where("frame = 0").select("image_id", F.col("w").alias("_w"), F.col("h").alias("_h"))
+    ok = (F.col("frame") > 0) & (F.col("w") + x <= F.col("_w")) & (F.col("h") + y <= F.col("_h")) & F.lit(x >= 0 and y >= 0)
+    moved = F.when(here & ~ok, F.raise_error(F.lit("the first frame can't be moved, nor another beyond it")).cast("int"))
+    df = df.join(heads, "image_id")
+    return df.withColumns({c: F.when(here, F.coalesce(moved, F.lit(v)).cast(frames.schema[c].dataType)).otherwise(F.col(c)) for c, v in (("x_off", x), ("y_off", y))}).select(frames.columns)
 
 
 def repaired(chunks: DataFrame) -> DataFrame:
@@ -113,3 +156,11 @@ def composed(frames: DataFrame, pixels: DataFrame, w: int, h: int, n_channels: i
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "frame": np.repeat(pdf["frame"].to_numpy(), w), "y": pdf["y"].iloc[0], "x": np.tile(np.arange(w), n), **{c: flat[:, k] for k, c in enumerate(names)}})
 
     return rows.groupBy("image_id", "y").applyInPandas(run, schema)
+
+
+def canvas_at(frames: DataFrame, pixels: DataFrame, n: int, w: int, h: int, n_channels: int = 4) -> DataFrame:
+    """The canvas that a jump to frame n shows: of the frames up to it. n wraps around."""
+    shown = frame_at(frames, n).select("image_id", F.col("frame").alias("_shown"))
+    upto = frames.join(shown, "image_id").where("frame <= _shown")
+    done = composed(upto.drop("_shown"), pixels, w, h, n_channels)
+    return done.join(shown, "image_id").where("frame = _shown").drop("_shown")

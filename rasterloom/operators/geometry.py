@@ -1,13 +1,15 @@
-"""Operators that move, cut, resize and draw. Sizes come from the pixels, by image."""
+"""Operators that move, cut, resize and draw.
 
-from __future__ import annotations
+Images may carry their sizes in columns h and w; where they don't, these are counted from
+the pixels, by image, which reads them once more.
+"""
 
-import math
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pixels import AT, channels
+from .pixels import AT, channels, inside
 
 
 def sizes(img: DataFrame) -> DataFrame:
@@ -16,7 +18,8 @@ def sizes(img: DataFrame) -> DataFrame:
 
 
 def with_sizes(img: DataFrame) -> DataFrame:
-    return img.join(sizes(img), "image_id")
+    """img with h and w, its own if it carries them."""
+    return img if {"h", "w"} <= set(img.columns) else img.join(sizes(img), "image_id")
 
 
 def transpose(img: DataFrame) -> DataFrame:
@@ -24,11 +27,20 @@ def transpose(img: DataFrame) -> DataFrame:
 
 
 def copy_window(img: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
-    """The rectangle between two corners, both included, in any order."""
+    """The rectangle between two corners, both included, in any order; a corner outside an image raises."""
     x0, x1, y0, y1 = min(x0, x1), max(x0, x1), min(y0, y1), max(y0, y1)
     if x0 < 0 or y0 < 0:
         raise ValueError("corner outside the image")
-    return img.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1)).withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
+    return copy(inside(img, x1, y1, _within(x0, y0, x1, y1)), x0, y0, x1 - x0 + 1, y1 - y0 + 1)
+
+
+def _within(x0: int, y0: int, x1: int, y1: int) -> Column:
+    return F.col("x").between(x0, x1) & F.col("y").between(y0, y1)
+
+
+def copy(img: DataFrame, x0: int, y0: int, w: int, h: int) -> DataFrame:
+    """A rectangle of w x h pixels from (x0, y0) on, as far as it lies in the image."""
+    return img.where(_within(x0, y0, x0 + w - 1, y0 + h - 1)).withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
 
 
 def pick(img: DataFrame, ys: list[int], xs: list[int]) -> DataFrame:
@@ -84,47 +96,56 @@ def alpha_over(fg: DataFrame, bg: DataFrame) -> DataFrame:
     return bg.join(f, AT, "left").select(*AT, *out)
 
 
-def _targets(axis: str, n: str, scale: float, out: Column) -> Column:
-    """The output indexes that may read source index `axis`."""
-    low = F.floor((F.col(axis) - 1 + 0.5) * scale - 0.5) - 1
-    high = F.ceil((F.col(axis) + 1 + 0.5) * scale - 0.5) + 1
-    low = F.when(F.col(axis) == 0, F.lit(0)).otherwise(F.greatest(low, F.lit(0)))
-    high = F.when(F.col(axis) == F.col(n) - 1, out - 1).otherwise(F.least(high, out - 1))
-    return F.explode(F.sequence(low.cast("bigint"), F.greatest(high, low).cast("bigint")))
+def alpha_under(bg: DataFrame, fg: DataFrame) -> DataFrame:
+    """bg put under fg: alpha_over with the images the other way round."""
+    return alpha_over(fg, bg)
+
+
+def _reach(axis: str, n: str, scale: float, out: Column, half: float) -> Column:
+    """The output indexes whose centre lies less than half a source pixel, or a whole one, off source index `axis`, clamped at the edges."""
+    at = lambda v: (v + 0.5) * scale - 0.5
+    low = F.when(F.col(axis) == 0, F.lit(0.0)).otherwise(F.greatest(F.ceil(at(F.col(axis) - half) - 1e-9), F.lit(0)))
+    high = F.when(F.col(axis) == F.col(n) - 1, out - 1).otherwise(F.least(F.floor(at(F.col(axis) + half) + 1e-9), out - 1))
+    low, high = low.cast("bigint"), high.cast("bigint")
+    return F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _source(t: Column, scale: float) -> Column:
+    return (t + 0.5) / scale - 0.5
+
+
+def _weight(axis: str, t: Column, n: str, scale: float) -> Column:
+    """The part of source index `axis` in output index t."""
+    at = _source(t, scale)
+    low, high = F.floor(at), F.ceil(at)
+    lo, hi = F.when(low < 0, high).otherwise(low), F.when(high > F.col(n) - 1, low).otherwise(high)
+    part = at - low
+    return F.when(lo == hi, (F.col(axis) == lo).cast("double")).otherwise(F.when(F.col(axis) == lo, 1 - part).when(F.col(axis) == hi, part).otherwise(0.0))
 
 
 def resize(img: DataFrame, sx: float, sy: float | None = None, method: str = "bilinear") -> DataFrame:
     """Resized by factors; every source pixel is sent to the output pixels that read it, so nothing is joined.
 
     Centres are at half pixels and edges are clamped. nearest needs no shuffle at all,
-    bilinear sums at most four parts of each output pixel.
+    bilinear takes x, then y; either sums at most two parts of each output pixel,
+    combined before the shuffle.
     """
     sy = sx if sy is None else sy
     if sx <= 0 or sy <= 0 or method not in ("nearest", "bilinear"):
         raise ValueError("a positive scale and a known method are needed")
     own = channels(img)
     df = with_sizes(img)
-    ow, oh = F.round(F.col("w") * sx).cast("bigint"), F.round(F.col("h") * sy).cast("bigint")
-    df = df.select("*", _targets("x", "w", sx, ow).alias("tx")).where(F.col("tx") < ow)
-    df = df.select("*", _targets("y", "h", sy, oh).alias("ty")).where(F.col("ty") < oh)
-
-    def source(t: str, scale: float) -> Column:
-        return (F.col(t) + 0.5) / scale - 0.5
-
-    if method == "nearest":
-        near = lambda t, n, s: F.least(F.greatest(F.round(source(t, s)), F.lit(0.0)), F.col(n) - 1.0)
-        hit = (near("tx", "w", sx) == F.col("x")) & (near("ty", "h", sy) == F.col("y"))
-        return df.where(hit).select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), *own)
-
-    def weight(axis: str, t: str, n: str, s: float) -> Column:
-        at = source(t, s)
-        low, high = F.floor(at), F.ceil(at)
-        lo, hi = F.when(low < 0, high).otherwise(low), F.when(high > F.col(n) - 1, low).otherwise(high)
-        part = at - low
-        return F.when(lo == hi, (F.col(axis) == lo).cast("double")).otherwise(F.when(F.col(axis) == lo, 1 - part).when(F.col(axis) == hi, part).otherwise(0.0))
-
-    df = df.withColumn("k", weight("x", "tx", "w", sx) * weight("y", "ty", "h", sy)).where("k > 0")
-    return df.groupBy("image_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(*(F.sum(F.col(c) * F.col("k")).alias(c) for c in own))
+    axes = [("x", "w", sx), ("y", "h", sy)]
+    for axis, n, scale in axes:
+        out = F.round(F.col(n) * scale).cast("bigint")
+        if method == "nearest":
+            hit = lambda t: F.least(F.greatest(F.round(_source(t, scale)), F.lit(0.0)), F.col(n) - 1.0) == F.col(axis)  # noqa: B023, E731
+            df = df.select("image_id", "h", "w", *own, *(a for a, _, _ in axes if a != axis), F.explode(F.filter(_reach(axis, n, scale, out, 0.5), hit)).alias(axis))
+        else:
+            parts = F.transform(_reach(axis, n, scale, out, 1.0), lambda t: F.struct(t.alias("t"), _weight(axis, t, n, scale).alias("k")))  # noqa: B023
+            df = df.select("image_id", "h", "w", *own, *(a for a, _, _ in axes if a != axis), F.explode(F.filter(parts, lambda p: p["k"] > 0)).alias("p"))
+            df = df.withColumn(axis, F.col("p.t")).groupBy(*AT, "h", "w").agg(*(F.sum(F.col(c) * F.col("p.k")).alias(c) for c in own))
+    return df.select(*AT, *own)
 
 
 def _mix(img: DataFrame, cover: Column, color: list[float]) -> DataFrame:
@@ -144,27 +165,15 @@ def draw_disk(img: DataFrame, x0: float, y0: float, r: float, color: list[float]
 
 
 def draw_line(img: DataFrame, x0: float, y0: float, x1: float, y1: float, color: list[float], width: float = 1.0) -> DataFrame:
-    """A line with round caps: a disk at either end, then the band between them."""
-    half = width / 2
-    if (x0, y0) == (x1, y1):
-        return draw_disk(img, x0, y0, half, color)
-    img = draw_disk(draw_disk(img, x0, y0, half, color), x1, y1, half, color)
-    steep = not abs(x1 - x0) > abs(y1 - y0)
-    if steep:
-        x0, y0, x1, y1 = y0, x0, y1, x1
-    if x0 > x1:
-        x0, y0, x1, y1 = x1, y1, x0, y0
-    dx, dy = x1 - x0, y1 - y0
-    m = dy / dx
-    ux0, uy0, ux1, uy1 = x0, y0, x1, y1
-    x0, y0, x1, y1 = x0 - 1, y0 - m, x1 + 1, y1 + m
-    angle = math.atan(m)
-    high, more = math.ceil(1 + half / math.cos(angle)), abs(half * math.sin(angle))
-    x0, y0, x1 = x0 - more, y0 - m * more, x1 + more
-    u, v = (F.col("y"), F.col("x")) if steep else (F.col("x"), F.col("y"))
-    d = u - math.floor(x0)
-    y = F.lit(y0) + F.lit(m) * d
-    inside = u.between(math.floor(x0 + 1), math.ceil(x1) - 1) & v.between(F.floor(y) - high, F.ceil(y) + high)
-    inside = inside & (F.lit(dx) * (u - ux0) + F.lit(dy) * (v - uy0) >= 0) & (F.lit(-dx) * (u - ux1) - F.lit(dy) * (v - uy1) >= 0)
-    dist = F.abs(y - v) * F.abs(d) / F.nullif(F.sqrt(d * d + (y - y0) ** 2), F.lit(0.0))
-    return _mix(img, F.when(inside, _clamp(0.5 - (F.coalesce(dist, F.lit(0.0)) - half))).otherwise(0.0), color)
+    """A line with round caps and a soft edge of one pixel: all places within half its width of the segment.
+
+    A pixel is covered by how far its distance to the nearest point of the segment stays
+    under half the width and half a pixel. A segment without length is a disk.
+    """
+    if width < 0 or len(color) != len(channels(img)):
+        raise ValueError("a width of at least 0 and a value for each channel")
+    dx, dy = float(x1 - x0), float(y1 - y0)
+    px, py = F.col("x") - F.lit(float(x0)), F.col("y") - F.lit(float(y0))
+    along = _clamp((px * dx + py * dy) / (dx * dx + dy * dy)) if dx or dy else F.lit(0.0)
+    dist = F.sqrt((px - along * dx) ** 2 + (py - along * dy) ** 2)
+    return _mix(img, _clamp(width / 2 + 0.5 - dist), color)

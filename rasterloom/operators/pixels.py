@@ -31,8 +31,8 @@ def mapped_pixels(img: DataFrame, f: Callable[..., Sequence[Column]], with_coord
     return img.select(*AT, *(v.alias(f"c{i}") for i, v in enumerate(f(*args))))
 
 
-def joined(a: DataFrame, b: DataFrame, strict: bool = False) -> DataFrame:
-    """Pixels of both images side by side, b's channels as o0, o1, ... With strict, a pixel that only one has raises."""
+def joined(a: DataFrame, b: DataFrame, strict: bool = True) -> DataFrame:
+    """Pixels of both images side by side, b's channels as o0, o1, ... A pixel that only one has raises, unless strict is off, which leaves it out."""
     other = b.select(*AT, *(F.col(c).alias(f"o{c[1:]}") for c in channels(b)))
     if not strict:
         return a.join(other, AT)
@@ -41,7 +41,7 @@ def joined(a: DataFrame, b: DataFrame, strict: bool = False) -> DataFrame:
     return out.where(ok).drop("_a", "_b")
 
 
-def binary(a: DataFrame, b: Operand, f: Callable[[Column, Column], Column], strict: bool = False) -> DataFrame:
+def binary(a: DataFrame, b: Operand, f: Callable[[Column, Column], Column], strict: bool = True) -> DataFrame:
     """f of each sample of a and b's: an image of the same size, one number, or a number for each channel."""
     own = channels(a)
     if isinstance(b, DataFrame):
@@ -155,6 +155,51 @@ def get_channel(img: DataFrame, k: int) -> DataFrame:
     return img.select(*AT, F.col(f"c{k}").alias("c0"))
 
 
+def inside(img: DataFrame, x: int | None, y: int | None, condition: Column | None = None) -> DataFrame:
+    """The pixels that a condition holds for, all without one; an image without column x or row y raises.
+
+    The test of the size and the condition are one predicate, so that Spark doesn't drop
+    the test where the condition holds nowhere.
+    """
+    from .geometry import with_sizes
+
+    keep = F.lit(True) if condition is None else condition
+    for axis, v, n in (("column", x, "w"), ("row", y, "h")):
+        if v is not None:
+            keep = F.when((F.lit(v) >= 0) & (F.col(n) > v), keep).otherwise(F.raise_error(F.concat(F.lit(f"{axis} {v} is outside 0.."), F.col(n) - 1)).cast("boolean"))
+    return with_sizes(img).where(keep).select(*AT, *channels(img))
+
+
+def get_row(img: DataFrame, k: int, y: int) -> DataFrame:
+    """(image_id, x, c0): a row of channel k; one outside an image raises."""
+    get_channel(img, k)
+    return inside(img, None, y, F.col("y") == y).select("image_id", "x", F.col(f"c{k}").alias("c0"))
+
+
+def get_pixel(img: DataFrame, x: int, y: int) -> DataFrame:
+    """The pixel at (x, y) of each image; a place outside raises, negative ones as well."""
+    return inside(img, x, y, (F.col("x") == x) & (F.col("y") == y))
+
+
+def set_pixel(img: DataFrame, x: int, y: int, values: Sequence[float]) -> DataFrame:
+    """Each image with other values at (x, y); a place outside raises."""
+    own = channels(img)
+    if len(values) != len(own):
+        raise ValueError("one value for each channel")
+    here = (F.col("x") == x) & (F.col("y") == y)
+    return inside(img, x, y).select(*AT, *(F.when(here, float(v)).otherwise(F.col(c)).alias(c) for c, v in zip(own, values)))
+
+
+def select(img: DataFrame, condition: Column) -> DataFrame:
+    """The pixels that a condition on channels and coordinates holds for."""
+    return img.where(condition)
+
+
+def any_all_count(img: DataFrame, some: Column, every: Column, counted: Column) -> DataFrame:
+    """(image_id, any, all, n): whether a condition holds anywhere, whether one holds everywhere, and how often one does."""
+    return img.groupBy("image_id").agg(F.bool_or(some).alias("any"), F.bool_and(every).alias("all"), F.count_if(counted).alias("n"))
+
+
 def set_channel(img: DataFrame, k: int, value: DataFrame | float) -> DataFrame:
     """Channel k replaced by a one-channel image or a number."""
     if f"c{k}" not in img.columns:
@@ -170,7 +215,7 @@ def stack(*images: DataFrame) -> DataFrame:
         raise ValueError("one to four one-channel images")
     out = images[0]
     for k, img in enumerate(images[1:], 1):
-        out = out.join(img.select(*AT, F.col("c0").alias(f"c{k}")), AT)
+        out = joined(out, img).withColumnRenamed("o0", f"c{k}")
     return out
 
 
@@ -200,5 +245,5 @@ def remove_alpha(img: DataFrame) -> DataFrame:
 
 
 def map_channels(img: DataFrame, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Each channel, as a one-channel image, through f."""
+    """Each channel, as a one-channel image, through f, which keeps the size."""
     return stack(*(f(get_channel(img, k)) for k in range(len(channels(img)))))

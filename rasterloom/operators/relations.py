@@ -42,13 +42,16 @@ def histogram(img: DataFrame, channel: str = "c0") -> DataFrame:
     return img.groupBy("image_id", F.col(channel).alias("value")).agg(F.count("*").alias("n"))
 
 
-def palette(img: DataFrame) -> DataFrame:
+def palette(img: DataFrame, most: int | None = None) -> DataFrame:
     """(image_id, idx, colours): distinct colours by first appearance, row by row.
 
-    Colours are combined before the shuffle; only they are ranked.
+    Colours are combined before the shuffle, and only they are ranked. With `most`, images
+    of more colours have no palette: they are told by a count before any ranking.
     """
     own = channels(img)[:3]
     first = img.groupBy("image_id", *own).agg(F.min(F.struct("y", "x")).alias("at"))
+    if most is not None:
+        first = first.join(first.groupBy("image_id").count().where(F.col("count") <= most).select("image_id"), "image_id", "left_semi")
     return first.select("image_id", (F.row_number().over(Window.partitionBy("image_id").orderBy("at")) - 1).cast("bigint").alias("idx"), *own)
 
 
@@ -97,12 +100,70 @@ def each_cons(img: DataFrame) -> DataFrame:
     return img.select(*AT, "c0", F.lead("c0").over(Window.partitionBy("image_id", "y").orderBy("x")).alias("next"))
 
 
+def chunk_while(img: DataFrame, same: Callable[[Column, Column], Column]) -> DataFrame:
+    """(image_id, run, start, values): runs of pixels in row-major order, of the first channel, whose neighbours `same` holds for.
+
+    Runs begin where it doesn't: with equality these are the runs of a value, with `<=`
+    the rising ones. They may go on from row to row: runs are counted in each row, then
+    over the rows of an image, so only one value a row goes through a window by image.
+    """
+    from .geometry import with_sizes
+
+    df = with_sizes(img).select("image_id", "y", "x", (F.col("y") * F.col("w") + F.col("x")).alias("i"), "c0")
+    row = Window.partitionBy("image_id", "y").orderBy("x")
+    ends = df.groupBy("image_id", "y").agg(F.max_by("c0", "x").alias("_end"))
+    prior = ends.select("image_id", (F.col("y") + 1).alias("y"), "_end")
+    df = df.join(prior, ["image_id", "y"], "left").withColumn("_before", F.coalesce(F.lag("c0").over(row), F.when(F.col("x") == 0, F.col("_end"))))
+    df = df.withColumn("_new", F.when(F.col("_before").isNull() | ~same(F.col("_before"), F.col("c0")), 1).otherwise(0))
+    counts = df.groupBy("image_id", "y").agg(F.sum("_new").alias("_n"))
+    above = counts.select("image_id", "y", (F.sum("_n").over(Window.partitionBy("image_id").orderBy("y")) - F.col("_n")).alias("_above"))
+    runs = df.join(above, ["image_id", "y"]).select("image_id", (F.col("_above") + F.sum("_new").over(row.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("run"), "i", "c0")
+    grouped = runs.groupBy("image_id", "run").agg(F.sort_array(F.collect_list(F.struct("i", "c0"))).alias("v"))
+    return grouped.select("image_id", "run", F.col("v")[0]["i"].alias("start"), F.col("v.c0").alias("values"))
+
+
+def slice_when(img: DataFrame, cut: Callable[[Column, Column], Column]) -> DataFrame:
+    """Runs as of chunk_while, which begin where `cut` holds for two neighbours."""
+    return chunk_while(img, lambda a, b: ~cut(a, b))
+
+
 def fold(img: DataFrame, start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
-    """(image_id, value): an order-dependent fold of each row's first channel, then of the rows' results."""
+    """(image_id, y, value): an order-dependent fold of each row's first channel."""
     rows = img.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", "c0"))).alias("v"))
     return rows.select("image_id", "y", F.aggregate(F.col("v.c0"), start, step).alias("value"))
 
 
+def inject(img: DataFrame, f: Callable[[Column], Column] = F.sum, name: str = "total") -> DataFrame:
+    """(image_id, total): an aggregate of each image's first channel that doesn't depend on order."""
+    return img.groupBy("image_id").agg(f(F.col("c0")).alias(name))
+
+
+def pixel_minmax(img: DataFrame) -> DataFrame:
+    """(image_id, low, high): the least and greatest pixels, compared channel by channel."""
+    return img.groupBy("image_id").agg(F.min(pixel(img)).alias("low"), F.max(pixel(img)).alias("high"))
+
+
+def uniq(img: DataFrame) -> DataFrame:
+    """The distinct pixels of all images."""
+    return img.select(*channels(img)).distinct()
+
+
+def sort_pixels(img: DataFrame) -> DataFrame:
+    """Pixels by their channels, ties by place."""
+    return img.orderBy(*channels(img), *AT)
+
+
+def set_palette(img: DataFrame, palette: list[int], bit_depth: int = 8) -> DataFrame:
+    """(image_id, idx, c0, c1, c2) for each image of img: a palette of r, g, b, r, g, b, ... values for one-channel images."""
+    if channels(img) != ["c0"]:
+        raise ValueError("palettes are for one-channel images")
+    if not palette or len(palette) % 3 or len(palette) > 3 << bit_depth:
+        raise ValueError(f"a palette has three values for each of 1 to {1 << bit_depth} colours")
+    colors = [tuple(map(float, palette[k : k + 3])) for k in range(0, len(palette), 3)]
+    rows = F.array(*(F.struct(F.lit(i).cast("bigint").alias("idx"), *(F.lit(v).alias(f"c{k}") for k, v in enumerate(c))) for i, c in enumerate(colors)))
+    return img.select("image_id").distinct().select("image_id", F.inline(rows))
+
+
 def to_rows(img: DataFrame) -> DataFrame:
     """(image_id, y, vals): interleaved samples of each row."""
     own = channels(img)
@@ -117,22 +178,22 @@ def from_rows(rows: DataFrame, n: int) -> DataFrame:
 
 
 def png_filter(img: DataFrame, kind: str) -> DataFrame:
-    """Residuals of one-byte pixels under a PNG row filter: sub, up, average or paeth."""
-    row, col = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    v = F.col("c0").cast("bigint")
-    df = img.select(*AT, v.alias("v"))
-    zero = F.lit(0).cast("bigint")
-    if kind != "sub":
-        df = df.withColumn("b", F.coalesce(F.lag("v").over(col), zero))
-    if kind != "up":
-        df = df.withColumn("a", F.coalesce(F.lag("v").over(row), zero))
+    """Residuals of one-byte pixels under a PNG row filter: sub, up, average or paeth.
+
+    Each pixel sends itself to the neighbours that are guessed from it, and one
+    aggregation by place gathers them, so no task holds a row or column.
+    """
+    sent = {"sub": [(0, 1, "a")], "up": [(1, 0, "b")], "average": [(0, 1, "a"), (1, 0, "b")], "paeth": [(0, 1, "a"), (1, 0, "b"), (1, 1, "c")]}[kind]
+    to = F.expr("array(" + ", ".join(f"named_struct('dy', {y}L, 'dx', {x}L, 'n', '{n}')" for y, x, n in [(0, 0, "v"), *sent]) + ")")
+    rows = img.select("image_id", "y", "x", F.col("c0").cast("bigint").alias("s"), F.explode(to).alias("o"))
+    rows = rows.select("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "s", F.col("o.n").alias("n"))
+    df = rows.groupBy(*AT).agg(*(F.max(F.when(F.col("n") == n, F.col("s"))).alias(n) for n in ["v", *(n for _, _, n in sent)])).where("v is not null")
+    a, b, c = (F.coalesce(n, F.lit(0).cast("bigint")) if n in df.columns else F.lit(0) for n in "abc")
     if kind == "paeth":
-        df = df.withColumn("c", F.coalesce(F.lag("b").over(row), zero))
-        p = F.col("a") + F.col("b") - F.col("c")
-        pa, pb, pc = (F.abs(p - F.col(n)) for n in "abc")
-        guess = F.when((pa <= pb) & (pa <= pc), F.col("a")).when(pb <= pc, F.col("b")).otherwise(F.col("c"))
+        pa, pb, pc = F.abs(b - c), F.abs(a - c), F.abs(a + b - 2 * c)
+        guess = F.when((pa <= pb) & (pa <= pc), a).when(pb <= pc, b).otherwise(c)
     else:
-        guess = {"sub": F.col("a") if kind == "sub" else None, "up": F.col("b") if kind == "up" else None, "average": F.floor((F.col("a") + F.col("b")) / 2) if kind == "average" else None}[kind]
+        guess = {"sub": a, "up": b, "average": F.floor((a + b) / 2)}[kind]
     return df.select(*AT, F.pmod(F.col("v") - guess, F.lit(256)).cast("double").alias("c0"))
 
 

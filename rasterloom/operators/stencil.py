@@ -45,7 +45,7 @@ def _stands_for(axis: str, n: str, before: int, after: int, border: str) -> Colu
 
 
 def _scatter(img: DataFrame, offsets: list[tuple[int, int, float]], border: str) -> DataFrame:
-    """Rows (image_id, y, x, channels, k): each pixel moved by (dy, dx), with the offset's weight, for all targets inside the image."""
+    """Rows (image_id, y, x, h, w, channels, k): each pixel moved by (dy, dx), with the offset's weight, for all targets inside the image."""
     ys, xs = [o[0] for o in offsets], [o[1] for o in offsets]
     df = with_sizes(img)
     if border != "zero":
@@ -54,23 +54,47 @@ def _scatter(img: DataFrame, offsets: list[tuple[int, int, float]], border: str)
     table = F.expr("array(" + ", ".join(f"named_struct('dy', {y}L, 'dx', {x}L, 'k', {float(k)!r}D)" for y, x, k in offsets) + ")")
     df = df.select("image_id", "y", "x", "h", "w", *channels(img), F.explode(table).alias("o"))
     ty, tx = F.col("y") + F.col("o.dy"), F.col("x") + F.col("o.dx")
-    return df.where(ty.between(0, F.col("h") - 1) & tx.between(0, F.col("w") - 1)).select("image_id", ty.alias("y"), tx.alias("x"), *channels(img), F.col("o.k").alias("k"))
+    return df.where(ty.between(0, F.col("h") - 1) & tx.between(0, F.col("w") - 1)).select("image_id", ty.alias("y"), tx.alias("x"), "h", "w", *channels(img), F.col("o.k").alias("k"))
 
 
-def convolve(img: DataFrame, kernel: Kernel, border: str = "zero") -> DataFrame:
-    """True convolution, the kernel turned by half a circle, its centre at half its size, the output as large as the input."""
+def convolve(img: DataFrame, kernel: Kernel | Sequence[Kernel], border: str = "zero") -> DataFrame:
+    """True convolution, the kernel turned by half a circle, its centre at half its size, the output as large as the input.
+
+    A kernel of one channel is used for all channels; a list of as many kernels of one
+    size as the image has channels gives each channel its own.
+    """
+    return _convolved(img, kernel, border).select(*AT, *channels(img))
+
+
+def _convolved(img: DataFrame, kernel: Kernel | Sequence[Kernel], border: str) -> DataFrame:
+    """The same, with sizes in columns h and w, for passes that follow."""
     if border not in BORDERS:
         raise ValueError(f"border is one of {BORDERS}")
-    kh, kw = len(kernel), len(kernel[0])
-    # out[y] = sum of k[kh-1-i] * img[y - kh//2 + i]: a pixel at p reaches y = p + kh//2 - i
-    offsets = [(kh // 2 - i, kw // 2 - j, float(kernel[kh - 1 - i][kw - 1 - j])) for i in range(kh) for j in range(kw) if kernel[kh - 1 - i][kw - 1 - j]]
     own = channels(img)
-    if not offsets:
-        return img.select(*AT, *(F.lit(0.0).alias(c) for c in own))
-    sums = _scatter(img, offsets, border).groupBy(*AT).agg(*(F.sum(F.col(c) * F.col("k")).alias(c) for c in own))
+    many = isinstance(kernel[0][0], Sequence)
+    kernels = list(kernel) if many else [kernel] * len(own)
+    if len(kernels) != len(own) or len({(len(k), len(k[0])) for k in kernels}) != 1:
+        raise ValueError("one kernel, or one of the same size for each channel")
+    kh, kw = len(kernels[0]), len(kernels[0][0])
+    # out[y] = sum of k[kh-1-i] * img[y - kh//2 + i]: a pixel at p reaches y = p + kh//2 - i
+    at = lambda k, i, j: float(k[kh - 1 - i][kw - 1 - j])
+    cells = [(i, j) for i in range(kh) for j in range(kw) if any(at(k, i, j) for k in kernels)]
+    if not cells:
+        return with_sizes(img).select(*AT, "h", "w", *(F.lit(0.0).alias(c) for c in own))
+    offsets = [(kh // 2 - i, kw // 2 - j, at(kernels[0], i, j)) for i, j in cells]
+    sized = with_sizes(img)
+    if many:
+        place = [(kh // 2 - i, kw // 2 - j, float(n)) for n, (i, j) in enumerate(cells)]
+        of = lambda k: F.get(F.expr("array(" + ", ".join(f"{at(k, i, j)!r}D" for i, j in cells) + ")"), F.col("k").cast("int"))
+        parts = [F.sum(F.col(c) * of(k)).alias(c) for c, k in zip(own, kernels)]
+        rows = _scatter(sized, place, border)
+    else:
+        parts = [F.sum(F.col(c) * F.col("k")).alias(c) for c in own]
+        rows = _scatter(sized, offsets, border)
+    sums = rows.groupBy(*AT, "h", "w").agg(*parts)
     if border != "zero" or (0, 0) in {(y, x) for y, x, _ in offsets}:
         return sums
-    return img.select(*AT).join(sums, AT, "left").fillna(0.0, own)
+    return sized.select(*AT, "h", "w").join(sums.drop("h", "w"), AT, "left").fillna(0.0, own)
 
 
 def gaussian(sigma: float = 1.0, cutoff: float | None = None) -> list[float]:
@@ -97,14 +121,15 @@ def _column(values: list[float]) -> Kernel:
 def blur(img: DataFrame, sigma: float = 1.0, border: str = "replicate") -> DataFrame:
     """Two one-dimensional passes."""
     g = gaussian(sigma)
-    return convolve(convolve(img, _row(g), border), _column(g), border)
+    return convolve(_convolved(img, _row(g), border), _column(g), border)
 
 
 def gradient(img: DataFrame, sigma: float = 1.0, border: str = "replicate") -> DataFrame:
     """Derivatives of a one-channel image along x and y as channels c0 and c1."""
     d, g = gaussian_deriv(sigma), gaussian(sigma)
-    dx = convolve(convolve(img, _row(d), border), _column(g), border)
-    dy = convolve(convolve(img, _column(d), border), _row(g), border)
+    img = with_sizes(img)
+    dx = convolve(_convolved(img, _row(d), border), _column(g), border)
+    dy = convolve(_convolved(img, _column(d), border), _row(g), border)
     return dx.join(dy.select(*AT, F.col("c0").alias("c1")), AT)
 
 
