@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunks as ch
 from ..functions import exif as ex
+from ..functions import registry
 from ..operators import animation as an
+from ..operators import chunk_tables as ct
 from ..operators import geometry as geo
 from ..operators import pixels as px
 from ..operators import relations as rel
 from ..operators import stencil as st
+from ..sources import apng, images
 from ..sources import generators as gen
-from ..sources import images
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +42,14 @@ def wall(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(fx.wall(spark, d))
 
 
+def sized(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(fx.sized_wall(spark, d))
+
+
+def sized_tiles(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(fx.sized_tiles(spark, d))
+
+
 def tiles(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(fx.tiles(spark, d))
 
@@ -67,6 +77,10 @@ add("gaussian_kernel", lambda s, d: rounded(gen.kernel_row(s, st.gaussian(1.5)))
 add("gaussian_deriv_kernel", lambda s, d: rounded(gen.kernel_row(s, st.gaussian_deriv(1.0))), f"WITH g AS ({_G.format(n=4, s='1.0')}) SELECT CAST(0 AS BIGINT) AS image_id, CAST(0 AS BIGINT) AS y, x, round(-(g / sum(g) OVER ()) * (x - 4), 6) + 0.0 AS c0 FROM g")
 add("gray_palette", lambda s, d: gen.gray_palette(s), "SELECT CAST(0 AS BIGINT) AS image_id, i AS idx, CAST(i AS DOUBLE) AS c0, CAST(i AS DOUBLE) AS c1, CAST(i AS DOUBLE) AS c2 FROM range(256) t(i)")
 
+_HUE = ["least(1, greatest(0, abs(mod(i / 256.0::DOUBLE * 6 + {k}, 6) - 3) - 1))".format(k=k) for k in (0, 4, 2)]
+add("hue_palette", lambda s, d: gen.hue_palette(s), "SELECT CAST(0 AS BIGINT) AS image_id, i AS idx, " + ", ".join(f"round_even(255 * {h}, 0) AS c{k}" for k, h in enumerate(_HUE)) + " FROM range(256) t(i)")
+add("set_palette", tiles(lambda i: rel.set_palette(i, [0, 1, 2, 255, 9, 8])), f"{TILES} SELECT image_id, idx, c0, c1, c2 FROM (SELECT DISTINCT image_id FROM px), (VALUES (CAST(0 AS BIGINT), 0.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE), (1, 255, 9, 8)) v(idx, c0, c1, c2)")
+
 # Projections
 add("to_rows", tiles(rel.to_rows), f"{TILES} SELECT image_id, y, list(c0 ORDER BY x) AS vals FROM px GROUP BY image_id, y")
 add("from_rows", lambda s, d: rel.from_rows(fx.tile_rows(s, d), 2), f"{TILES} SELECT image_id, y, x // 2 AS x, max(c0) FILTER (WHERE x % 2 = 0) AS c0, max(c0) FILTER (WHERE x % 2 = 1) AS c1 FROM px GROUP BY ALL")
@@ -83,12 +97,12 @@ add("copy_window", wall(lambda i: geo.copy_window(i, 40, 100, 10, 20)), f"{WALL}
 add("index_slice", wall(lambda i: geo.pick(i, [-1, 0, 5], [3, -2])), f"{WALL}, z AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM px), g AS (SELECT a.n AS ny, ((a.v % h) + h) % h AS y, b.n AS nx, ((b.v % w) + w) % w AS x FROM z, (VALUES (0, -1), (1, 0), (2, 5)) a(n, v), (VALUES (0, 3), (1, -2)) b(n, v)) SELECT image_id, CAST(ny AS BIGINT) AS y, CAST(nx AS BIGINT) AS x, c0 FROM px JOIN g USING (y, x)")
 add("move", wall(lambda i: geo.move(i, 3, -2)), f"{WALL} SELECT a.image_id, a.y, a.x, coalesce(b.c0, 0) AS c0 FROM px a LEFT JOIN px b ON b.y = a.y + 2 AND b.x = a.x - 3")
 add("canvas", tiles(lambda i: geo.canvas(i, 10, 6)), f"{TILES}, i AS (SELECT DISTINCT image_id FROM px), g AS (SELECT image_id, y, x FROM i, range(6) a(y), range(10) b(x)) SELECT g.image_id, g.y, g.x, coalesce(c0, 0) AS c0 FROM g LEFT JOIN px USING (image_id, y, x)")
-add("point_update", wall(lambda i: i.withColumn("c0", F.when((F.col("x") == 3) & (F.col("y") == 4), 9.0).otherwise(F.col("c0")))), f"{WALL} SELECT {AT}, CASE WHEN x = 3 AND y = 4 THEN 9.0::DOUBLE ELSE c0 END AS c0 FROM px")
-add("get_pixel", rgba(lambda i: i.where("y = 2 and x = 1")), f"{RGBA} SELECT * FROM px WHERE y = 2 AND x = 1")
+add("point_update", wall(lambda i: px.set_pixel(i, 3, 4, [9])), f"{WALL} SELECT {AT}, CASE WHEN x = 3 AND y = 4 THEN 9.0::DOUBLE ELSE c0 END AS c0 FROM px")
+add("get_pixel", rgba(lambda i: px.get_pixel(i, 1, 2)), f"{RGBA} SELECT * FROM px WHERE y = 2 AND x = 1")
 add("image_size", tiles(geo.sizes), f"{TILES} SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM px GROUP BY image_id")
 
 # Arithmetic
-_OTHER = "px a JOIN (SELECT image_id - 1 AS image_id, y, x, c0 AS d0 FROM px) b USING (image_id, y, x)"
+_OTHER = "px a JOIN (SELECT image_id, x AS y, y AS x, c0 AS d0 FROM px) b USING (image_id, y, x)"
 
 
 def next_tile(i: DataFrame) -> DataFrame:
@@ -96,10 +110,10 @@ def next_tile(i: DataFrame) -> DataFrame:
 
 
 for _name, _f, _sql in [("add", px.add, "c0 + d0"), ("sub", px.sub, "c0 - d0"), ("mul", px.mul, "c0 * d0")]:
-    add(f"{_name}_images", tiles(lambda i, f=_f: f(i, next_tile(i))), f"{TILES} SELECT {AT}, {_sql} AS c0 FROM {_OTHER}")
-add("div_images", tiles(lambda i: rounded(px.divide(i, px.add(next_tile(i), 1)))), f"{TILES} SELECT {AT}, round(c0 / (d0 + 1), 6) AS c0 FROM {_OTHER}")
-add("pow_images", tiles(lambda i: rounded(px.power(px.divide(i, 128), px.divide(next_tile(i), 128)), 5)), f"{TILES} SELECT {AT}, round(pow(c0 / 128, d0 / 128), 5) AS c0 FROM {_OTHER}")
-add("atan2_images", tiles(lambda i: rounded(px.atan2(i, next_tile(i)))), f"{TILES} SELECT {AT}, round(atan2(c0, d0), 6) AS c0 FROM {_OTHER}")
+    add(f"{_name}_images", tiles(lambda i, f=_f: f(i, geo.transpose(i))), f"{TILES} SELECT {AT}, {_sql} AS c0 FROM {_OTHER}")
+add("div_images", tiles(lambda i: rounded(px.divide(i, px.add(geo.transpose(i), 1)))), f"{TILES} SELECT {AT}, round(c0 / (d0 + 1), 6) AS c0 FROM {_OTHER}")
+add("pow_images", tiles(lambda i: rounded(px.power(px.divide(i, 128), px.divide(geo.transpose(i), 128)), 5)), f"{TILES} SELECT {AT}, round(pow(c0 / 128, d0 / 128), 5) AS c0 FROM {_OTHER}")
+add("atan2_images", tiles(lambda i: rounded(px.atan2(i, geo.transpose(i)))), f"{TILES} SELECT {AT}, round(atan2(c0, d0), 6) AS c0 FROM {_OTHER}")
 add("add_scalar", rgba(lambda i: px.add(i, 3)), f"{RGBA} SELECT {each('{c} + 3')} FROM px")
 add("mul_per_channel", rgba(lambda i: px.mul(i, [1, 2, 3, -1])), f"{RGBA} SELECT {AT}, c0, c1 * 2 AS c1, c2 * 3 AS c2, c3 * -1 AS c3 FROM px")
 add("div_zero", rgba(lambda i: px.divide(px.sub(i, 127), 0)), f"{RGBA} SELECT " + each("CASE WHEN {c} > 127 THEN CAST('inf' AS DOUBLE) WHEN {c} < 127 THEN CAST('-inf' AS DOUBLE) ELSE CAST('nan' AS DOUBLE) END") + " FROM px")
@@ -113,20 +127,21 @@ add("brightness", rgba(lambda i: rounded(px.brightness(i))), f"{RGBA} SELECT {AT
 
 # Comparisons and predicates
 for _name, _op in [("gt", ">"), ("ge", ">="), ("lt", "<"), ("le", "<="), ("eq", "=")]:
-    add(f"{_name}_images", tiles(lambda i, n=_name: px.compare(i, next_tile(i), n)), f"{TILES} SELECT {AT}, CAST(c0 {_op} d0 AS DOUBLE) AS c0 FROM {_OTHER}")
+    add(f"{_name}_images", tiles(lambda i, n=_name: px.compare(i, geo.transpose(i), n)), f"{TILES} SELECT {AT}, CAST(c0 {_op} d0 AS DOUBLE) AS c0 FROM {_OTHER}")
 add("threshold_scalar", rgba(lambda i: px.compare(i, 128, "gt")), f"{RGBA} SELECT {each('CAST({c} > 128 AS DOUBLE)')} FROM px")
 add("threshold_array", rgba(lambda i: px.compare(i, [100, 120, 130, 140], "ge")), f"{RGBA} SELECT {AT}, CAST(c0 >= 100 AS DOUBLE) AS c0, CAST(c1 >= 120 AS DOUBLE) AS c1, CAST(c2 >= 130 AS DOUBLE) AS c2, CAST(c3 >= 140 AS DOUBLE) AS c3 FROM px")
 add("valid", tiles(lambda i: px.is_valid(px.sub(i, 90))), f"{TILES} SELECT image_id, bool_and(c0 - 90 BETWEEN 0 AND 255) AS valid FROM px GROUP BY image_id")
 _MASK = "(VALUES " + ", ".join(f"({y}, {x}, {float(v)}::DOUBLE)" for y, r in enumerate(px.DITHER) for x, v in enumerate(r)) + ") m(my, mx, t)"
 add("dither", wall(px.dither), f"{WALL} SELECT {AT}, CASE WHEN c0 > 255.0::DOUBLE / 17 * t THEN t ELSE 0 END AS c0 FROM px JOIN {_MASK} ON y % 4 = my AND x % 4 = mx")
-add("select_pixels", rgba(lambda i: i.where("c0 > c1 and c3 >= 100")), f"{RGBA} SELECT * FROM px WHERE c0 > c1 AND c3 >= 100")
-add("any_all_none", tiles(lambda i: i.groupBy("image_id").agg(F.bool_or(F.col("c0") > 160).alias("any"), F.bool_and(F.col("c0") > 80).alias("all"), F.count_if(F.col("c0") > 140).alias("n"))), f'{TILES} SELECT image_id, bool_or(c0 > 160) AS "any", bool_and(c0 > 80) AS "all", CAST(count(*) FILTER (WHERE c0 > 140) AS BIGINT) AS n FROM px GROUP BY image_id')
+add("select_pixels", rgba(lambda i: px.select(i, (F.col("c0") > F.col("c1")) & (F.col("c3") >= 100))), f"{RGBA} SELECT * FROM px WHERE c0 > c1 AND c3 >= 100")
+add("any_all_none", tiles(lambda i: px.any_all_count(i, F.col("c0") > 160, F.col("c0") > 80, F.col("c0") > 140)), f'{TILES} SELECT image_id, bool_or(c0 > 160) AS "any", bool_and(c0 > 80) AS "all", CAST(count(*) FILTER (WHERE c0 > 140) AS BIGINT) AS n FROM px GROUP BY image_id')
 
 # Joins and blending
 add("paste", wall(lambda i: geo.paste(i, geo.copy_window(i, 0, 0, 9, 9), 20, 30)), f"{WALL} SELECT a.image_id, a.y, a.x, coalesce(b.c0, a.c0) AS c0 FROM px a LEFT JOIN px b ON b.y = a.y - 30 AND b.x = a.x - 20 AND b.y < 10 AND b.x < 10")
 _SHIFT = "SELECT image_id - 1 AS image_id, y, x, c0 AS f0, c1 AS f1, c2 AS f2, CASE WHEN c3 > 140 THEN 255 WHEN c3 < 110 THEN 0 ELSE c3 END AS f3 FROM px"
 _BLEND = ", ".join(f"CASE WHEN coalesce(f3, 0) = 0 THEN c{k} WHEN f3 = 255 THEN f{k} ELSE floor((f{k} * (f3 / 255.0::DOUBLE) + c{k} * (c3 / 255.0::DOUBLE) * (1 - f3 / 255.0::DOUBLE)) / (f3 / 255.0::DOUBLE + c3 / 255.0::DOUBLE * (1 - f3 / 255.0::DOUBLE))) END AS c{k}" for k in range(3))
 add("alpha_over", rgba(lambda i: geo.alpha_over(next_tile(i).withColumn("c3", F.when(F.col("c3") > 140, 255.0).when(F.col("c3") < 110, 0.0).otherwise(F.col("c3"))), i)), f"{RGBA}, f AS ({_SHIFT}) SELECT {AT}, {_BLEND}, CASE WHEN coalesce(f3, 0) = 0 THEN c3 WHEN f3 = 255 THEN f3 ELSE floor(255 * (f3 / 255.0::DOUBLE + c3 / 255.0::DOUBLE * (1 - f3 / 255.0::DOUBLE))) END AS c3 FROM px LEFT JOIN f USING (image_id, y, x)")
+add("alpha_under", rgba(lambda i: geo.alpha_under(i, next_tile(i).withColumn("c3", F.when(F.col("c3") > 140, 255.0).when(F.col("c3") < 110, 0.0).otherwise(F.col("c3"))))), f"{RGBA}, f AS ({_SHIFT}) SELECT {AT}, {_BLEND}, CASE WHEN coalesce(f3, 0) = 0 THEN c3 WHEN f3 = 255 THEN f3 ELSE floor(255 * (f3 / 255.0::DOUBLE + c3 / 255.0::DOUBLE * (1 - f3 / 255.0::DOUBLE))) END AS c3 FROM px LEFT JOIN f USING (image_id, y, x)")
 add("trns_key", rgba(lambda i: px.stack(*(px.get_channel(rel.color_key(px.get_channel(px.unary(px.divide(i, 10), "floor"), 0), [12]), k) for k in (0, 1)))), f"{RGBA} SELECT {AT}, floor(c0 / 10) AS c0, CASE WHEN floor(c0 / 10) = 12 THEN 0.0::DOUBLE ELSE 255.0::DOUBLE END AS c1 FROM px")
 _PAL = ", f AS (SELECT image_id, floor(c0 / 8) AS c0 FROM px), p AS (SELECT image_id, c0, min(y * 8 + x) AS place FROM (SELECT image_id, y, x, floor(c0 / 8) AS c0 FROM px) GROUP BY image_id, c0), i AS (SELECT image_id, c0, row_number() OVER (PARTITION BY image_id ORDER BY place) - 1 AS idx FROM p)"
 
@@ -142,10 +157,10 @@ add("palettable", rgba(rel.palettable), f"{RGBA} SELECT image_id, count(DISTINCT
 
 # Aggregates
 add("minmax", rgba(rel.minmax), f"{RGBA} SELECT image_id, min(least(c0, c1, c2, c3)) AS low, max(greatest(c0, c1, c2, c3)) AS high FROM px GROUP BY image_id")
-add("pixel_minmax", rgba(lambda i: i.groupBy("image_id").agg(F.min(rel.pixel(i)).alias("low"), F.max(rel.pixel(i)).alias("high")).select("image_id", "low.*", F.col("high.c0").alias("h0"), F.col("high.c3").alias("h3"))), f"{RGBA}, m AS (SELECT image_id, min((c0, c1, c2, c3)) AS l, max((c0, c1, c2, c3)) AS h FROM px GROUP BY image_id) SELECT image_id, l[1] AS c0, l[2] AS c1, l[3] AS c2, l[4] AS c3, h[1] AS h0, h[4] AS h3 FROM m")
-add("inject_sum", tiles(lambda i: i.groupBy("image_id").agg(F.sum("c0").alias("total"))), f"{TILES} SELECT image_id, sum(c0) AS total FROM px GROUP BY image_id")
+add("pixel_minmax", rgba(lambda i: rel.pixel_minmax(i).select("image_id", "low.*", F.col("high.c0").alias("h0"), F.col("high.c3").alias("h3"))), f"{RGBA}, m AS (SELECT image_id, min((c0, c1, c2, c3)) AS l, max((c0, c1, c2, c3)) AS h FROM px GROUP BY image_id) SELECT image_id, l[1] AS c0, l[2] AS c1, l[3] AS c2, l[4] AS c3, h[1] AS h0, h[4] AS h3 FROM m")
+add("inject_sum", tiles(rel.inject), f"{TILES} SELECT image_id, sum(c0) AS total FROM px GROUP BY image_id")
 add("tally", wall(rel.tally), f"{WALL} SELECT image_id, c0, count(*) AS n FROM px GROUP BY ALL")
-add("uniq", wall(lambda i: i.select("c0").distinct()), f"{WALL} SELECT DISTINCT c0 FROM px")
+add("uniq", wall(rel.uniq), f"{WALL} SELECT DISTINCT c0 FROM px")
 add("group_by_label", lambda s, d: fx.samples(s, d).groupBy(F.col("label").cast("bigint").alias("label")).agg(F.count("*").alias("n"), F.sum("q").alias("total"), F.max("q").alias("high")), f"WITH {_E} SELECT CAST(label AS BIGINT) AS label, count(*) AS n, sum(q) AS total, max(q) AS high FROM s GROUP BY label")
 add("count_colors", rgba(rel.count_colors), f"{RGBA} SELECT image_id, count(DISTINCT (c0, c1, c2)) AS colors FROM px GROUP BY image_id")
 add("channel_stats", rgba(rel.channel_stats), f"{RGBA} SELECT image_id, " + ", ".join(f"{n}(c{k}) AS {n}_c{k}" for k in range(4) for n in ("min", "max", "sum")) + " FROM px GROUP BY image_id")
@@ -160,7 +175,10 @@ add("sub_defilter", wall(lambda i: rel.sub_defilter(rel.png_filter(i, "sub"))),
 add("with_index", tiles(rel.with_index), f"{TILES} SELECT image_id, y * 8 + x AS i, c0 FROM px")
 add("each_cons", wall(rel.each_cons), f"{WALL} SELECT *, lead(c0) OVER (PARTITION BY y ORDER BY x) AS next FROM px")
 add("each_slice", tiles(lambda i: rel.each_slice(i, 3)), f"{TILES} SELECT image_id, (y * 8 + x) // 3 AS slice, list(c0 ORDER BY y, x) AS values FROM px GROUP BY ALL")
-add("sort_pixels", wall(lambda i: i.orderBy("c0", "y", "x")), f"{WALL} SELECT * FROM px ORDER BY c0, y, x")
+_RUNS = ", o AS (SELECT image_id, y * 8 + x AS i, c0, lag(c0) OVER (PARTITION BY image_id ORDER BY y, x) AS b FROM px), r AS (SELECT *, sum(CASE WHEN {new} THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY i) - 1 AS run FROM o) SELECT image_id, CAST(run AS BIGINT) AS run, min(i) AS start, list(c0 ORDER BY i) AS values FROM r GROUP BY image_id, run"
+add("chunk_while", sized_tiles(lambda i: rel.chunk_while(i, lambda a, b: F.floor(a / 40) == F.floor(b / 40))), TILES + _RUNS.format(new="b IS NULL OR floor(b / 40) <> floor(c0 / 40)"))
+add("slice_when", sized_tiles(lambda i: rel.slice_when(i, lambda a, b: a > b)), TILES + _RUNS.format(new="b IS NULL OR b > c0"))
+add("sort_pixels", wall(rel.sort_pixels), f"{WALL} SELECT * FROM px ORDER BY c0, y, x")
 add("first_n", wall(lambda i: rel.first_n(i, 100)), f"{WALL} SELECT * FROM px ORDER BY image_id, y, x LIMIT 100")
 add("drop_take", wall(lambda i: rel.first_n(i, 50, 70)), f"{WALL} SELECT * FROM px ORDER BY image_id, y, x LIMIT 50 OFFSET 70")
 add("topk", wall(lambda i: rel.top_k(i, 25)), f"{WALL} SELECT * FROM px ORDER BY c0 DESC, image_id, y, x LIMIT 25")
@@ -180,9 +198,9 @@ def _conv_sql(kernel: str, kh: int, kw: int, border: str, source: str = "px", di
 
 _Z = ", z AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM px)"
 for _b in st.BORDERS:
-    add(f"convolve_{_b}", wall(lambda i, b=_b: st.convolve(i, KERNEL, b)), f"{WALL}{_Z} " + _conv_sql(_K, 3, 3, _b))
-add("convolve_row", wall(lambda i: st.convolve(i, [[1, -2, 3, 4]], "circular")), f"{WALL}{_Z} " + _conv_sql("(VALUES (0, 0, 1), (0, 1, -2), (0, 2, 3), (0, 3, 4)) k(ky, kx, w)", 1, 4, "circular"))
-add("convolve_col", wall(lambda i: st.convolve(i, [[1], [-2], [3], [4], [6]], "symmetric")), f"{WALL}{_Z} " + _conv_sql("(VALUES (0, 0, 1), (1, 0, -2), (2, 0, 3), (3, 0, 4), (4, 0, 6)) k(ky, kx, w)", 5, 1, "symmetric"))
+    add(f"convolve_{_b}", sized(lambda i, b=_b: st.convolve(i, KERNEL, b)), f"{WALL}{_Z} " + _conv_sql(_K, 3, 3, _b))
+add("convolve_row", sized(lambda i: st.convolve(i, [[1, -2, 3, 4]], "circular")), f"{WALL}{_Z} " + _conv_sql("(VALUES (0, 0, 1), (0, 1, -2), (0, 2, 3), (0, 3, 4)) k(ky, kx, w)", 1, 4, "circular"))
+add("convolve_col", sized(lambda i: st.convolve(i, [[1], [-2], [3], [4], [6]], "symmetric")), f"{WALL}{_Z} " + _conv_sql("(VALUES (0, 0, 1), (1, 0, -2), (2, 0, 3), (3, 0, 4), (4, 0, 6)) k(ky, kx, w)", 5, 1, "symmetric"))
 
 
 def _values(v: list[float], row: bool) -> str:
@@ -195,20 +213,23 @@ def _two(a: list[float], row: bool, b: list[float], name: str) -> str:
 
 
 _GS, _DV = st.gaussian(1.0), st.gaussian_deriv(1.0)
-add("blur", wall(lambda i: rounded(st.blur(i), 5)), f"{WALL}{_Z}, {_two(_GS, True, _GS, 'b')} SELECT {AT}, round(c0, 5) AS c0 FROM b")
+add("blur", sized(lambda i: rounded(st.blur(i), 5)), f"{WALL}{_Z}, {_two(_GS, True, _GS, 'b')} SELECT {AT}, round(c0, 5) AS c0 FROM b")
 _GRAD = f"{WALL}{_Z}, {_two(_DV, True, _GS, 'gx')}, {_two(_DV, False, _GS, 'gy')}"
-add("gradient", wall(lambda i: px.mapped(st.gradient(i), lambda v: F.round(v, 4) + 0.0)), f"{_GRAD} SELECT gx.image_id, gx.y, gx.x, round(gx.c0, 4) + 0.0 AS c0, round(gy.c0, 4) + 0.0 AS c1 FROM gx JOIN gy USING (image_id, y, x)")
-add("gradient_magnitude", wall(lambda i: px.get_channel(rounded(st.magnitude_and_angle(st.gradient(i)), 4), 0)), f"{_GRAD} SELECT gx.image_id, gx.y, gx.x, round(sqrt(gx.c0 ** 2 + gy.c0 ** 2), 4) AS c0 FROM gx JOIN gy USING (image_id, y, x)")
+add("gradient", sized(lambda i: px.mapped(st.gradient(i), lambda v: F.round(v, 4) + 0.0)), f"{_GRAD} SELECT gx.image_id, gx.y, gx.x, round(gx.c0, 4) + 0.0 AS c0, round(gy.c0, 4) + 0.0 AS c1 FROM gx JOIN gy USING (image_id, y, x)")
+add("gradient_angle", sized(lambda i: rounded(px.get_channel(st.magnitude_and_angle(px.mapped(st.gradient(i), lambda v: F.round(v, 6) + 0.0)), 1), 4)), f"{_GRAD} SELECT gx.image_id, gx.y, gx.x, round(atan2(round(gy.c0, 6) + 0.0, round(gx.c0, 6) + 0.0), 4) AS c0 FROM gx JOIN gy USING (image_id, y, x)")
+_PER = ", ".join(f"CAST(sum(k.w * {k + 1} * coalesce(p.c{k}, 0)) AS DOUBLE) AS c{k}" for k in range(4))
+add("convolve_channels", rgba(lambda i: st.convolve(i, [[[v * (k + 1) for v in r] for r in KERNEL] for k in range(4)])), f"{RGBA} SELECT o.image_id, o.y, o.x, {_PER} FROM px o CROSS JOIN {_K} LEFT JOIN px p ON p.image_id = o.image_id AND p.y = o.y - 1 + 2 - ky AND p.x = o.x - 1 + 2 - kx GROUP BY o.image_id, o.y, o.x")
+add("gradient_magnitude", sized(lambda i: px.get_channel(rounded(st.magnitude_and_angle(st.gradient(i)), 4), 0)), f"{_GRAD} SELECT gx.image_id, gx.y, gx.x, round(sqrt(gx.c0 ** 2 + gy.c0 ** 2), 4) AS c0 FROM gx JOIN gy USING (image_id, y, x)")
 
 NONE = float("-inf")
 CROSS = [[NONE, 1, NONE], [0, 2, 0], [NONE, 3, NONE]]
 _SE = "(VALUES (-1, 0, 1.0::DOUBLE), (0, -1, 0), (0, 0, 2), (0, 1, 0), (1, 0, 3)) e(dy, dx, k)"
 _DIL = "SELECT o.image_id, o.y, o.x, max(p.c0 + k) AS c0 FROM {s} o CROSS JOIN " + _SE + " JOIN {s} p ON p.y = o.y - dy AND p.x = o.x - dx GROUP BY o.image_id, o.y, o.x"
 _ERO = "SELECT o.image_id, o.y, o.x, min(p.c0 - k) AS c0 FROM {s} o CROSS JOIN " + _SE + " JOIN {s} p ON p.y = o.y + dy AND p.x = o.x + dx GROUP BY o.image_id, o.y, o.x"
-add("dilate", wall(lambda i: st.dilate(i, CROSS)), f"{WALL} {_DIL.format(s='px')}")
-add("erode", wall(lambda i: st.erode(i, CROSS)), f"{WALL} {_ERO.format(s='px')}")
-add("open", wall(lambda i: st.opened(i, CROSS)), f"{WALL}, q AS ({_ERO.format(s='px')}) {_DIL.format(s='q')}")
-add("close", wall(lambda i: st.closed(i, CROSS)), f"{WALL}, q AS ({_DIL.format(s='px')}) {_ERO.format(s='q')}")
+add("dilate", sized(lambda i: st.dilate(i, CROSS)), f"{WALL} {_DIL.format(s='px')}")
+add("erode", sized(lambda i: st.erode(i, CROSS)), f"{WALL} {_ERO.format(s='px')}")
+add("open", sized(lambda i: st.opened(i, CROSS)), f"{WALL}, q AS ({_ERO.format(s='px')}) {_DIL.format(s='q')}")
+add("close", sized(lambda i: st.closed(i, CROSS)), f"{WALL}, q AS ({_DIL.format(s='px')}) {_ERO.format(s='q')}")
 
 
 def _resize_sql(sx: float, sy: float, nearest: bool) -> str:
@@ -222,21 +243,23 @@ def _resize_sql(sx: float, sy: float, nearest: bool) -> str:
     return f"{TILES}{z}, ax AS ({axis('x', 'w', sx)}), ay AS ({axis('y', 'h', sy)}), tapsx AS ({taps('x')}), tapsy AS ({taps('y')}), kx AS ({both('x')}), ky AS ({both('y')}) SELECT image_id, ty AS y, tx AS x, round(sum(c0 * kx.k * ky.k), 6) AS c0 FROM px JOIN kx ON x = kx.s JOIN ky ON y = ky.s GROUP BY image_id, ty, tx"
 
 
-add("resize_nearest", tiles(lambda i: geo.resize(i, 2.5, method="nearest")), _resize_sql(2.5, 2.5, True))
-add("resize_bilinear", tiles(lambda i: rounded(geo.resize(i, 2))), _resize_sql(2, 2, False))
-add("resize_xy", tiles(lambda i: rounded(geo.resize(i, 1.7, 0.6))), _resize_sql(1.7, 0.6, False))
+add("resize_nearest", sized_tiles(lambda i: geo.resize(i, 2.5, method="nearest")), _resize_sql(2.5, 2.5, True))
+add("resize_bilinear", sized_tiles(lambda i: rounded(geo.resize(i, 2))), _resize_sql(2, 2, False))
+add("resize_xy", sized_tiles(lambda i: rounded(geo.resize(i, 1.7, 0.6))), _resize_sql(1.7, 0.6, False))
 _COV = "least(greatest(10.5 - sqrt((x - 30.5) ** 2 + (y - 20.0) ** 2) + 0.5, 0), 1)"
 add("draw_disk", wall(lambda i: rounded(geo.draw_disk(i, 30.5, 20, 10.5, [300]))), f"{WALL} SELECT {AT}, round({_COV} * 300 + (1 - {_COV}) * c0, 6) AS c0 FROM px")
-add("draw_line", wall(lambda i: rounded(geo.draw_line(i, 5, 5, 50, 30, [300], 3))))
+_ALONG = "least(greatest(((x - 5.0::DOUBLE) * 45 + (y - 5.0::DOUBLE) * 25) / 2650, 0), 1)"
+_LINE = f"least(greatest(2.0::DOUBLE - sqrt((x - 5.0::DOUBLE - {_ALONG} * 45) ** 2 + (y - 5.0::DOUBLE - {_ALONG} * 25) ** 2), 0), 1)"
+add("draw_line", wall(lambda i: rounded(geo.draw_line(i, 5, 5, 50, 30, [300], 3))), f"{WALL} SELECT {AT}, round({_LINE} * 300 + (1 - {_LINE}) * c0, 6) AS c0 FROM px")
 
 # Chunks
 _T = "SELECT doc_id, text FROM documents"
-add("text_roundtrip_tEXt", lambda s, d: fx.table(s, d, "documents").select("doc_id", ch.parse_text_chunk(ch.text_chunk(F.col("source"), F.col("lang"))).alias("t")).select("doc_id", "t.*"), "SELECT doc_id, source AS keyword, lang AS text FROM documents")
+add("text_roundtrip_tEXt", lambda s, d: fx.table(s, d, "documents").select("doc_id", ch.parse_text_chunk(ch.text_chunk(F.col("source"), F.col("text"))).alias("t")).select("doc_id", "t.*"), "SELECT doc_id, source AS keyword, text FROM documents")
 add("text_roundtrip_iTXt", lambda s, d: fx.table(s, d, "conversations").select("conv_id", "turn", ch.parse_itext_chunk(ch.itext_chunk(F.lit("Comment"), F.lit("en"), F.col("role"), F.col("text"))).alias("t")).select("conv_id", "turn", "t.keyword", "t.language", "t.translated_keyword", "t.compressed", F.decode("t.data", "UTF-8").alias("text")), "SELECT conv_id, turn, 'Comment' AS keyword, 'en' AS language, role AS translated_keyword, false AS compressed, text FROM conversations")
-add("text_roundtrip_zTXt", lambda s, d: fx.table(s, d, "documents").select("doc_id", ch.parse_ztext_chunk(ch.ztext_chunk(F.col("source"), F.col("lang"))).alias("t")).select("doc_id", "t.*"), "SELECT doc_id, source AS keyword, CASE WHEN source IS NOT NULL AND lang IS NOT NULL THEN CAST(0 AS BIGINT) END AS method, lang AS text FROM documents")
+add("text_roundtrip_zTXt", lambda s, d: fx.table(s, d, "documents").select("doc_id", ch.parse_ztext_chunk(ch.ztext_chunk(F.col("source"), F.col("text"))).alias("t")).select("doc_id", "t.*"), "SELECT doc_id, source AS keyword, CASE WHEN source IS NOT NULL AND text IS NOT NULL THEN CAST(0 AS BIGINT) END AS method, text FROM documents")
 add("time_roundtrip", lambda s, d: fx.table(s, d, "events").select("event_id", ch.parse_time_chunk(ch.time_chunk(F.col("ts"))).cast("timestamp_ntz").alias("ts")), "SELECT event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts FROM events")
 add("phys_roundtrip", lambda s, d: fx.table(s, d, "orders").select("o_orderkey", ch.parse_phys_chunk(ch.phys_chunk(F.col("o_orderkey"), F.col("o_custkey"), F.lit(1))).alias("p")).select("o_orderkey", "p.*"), "SELECT o_orderkey, o_orderkey AS x, o_custkey AS y, CAST(1 AS BIGINT) AS unit FROM orders")
-add("offs_roundtrip", lambda s, d: fx.table(s, d, "orders").select("o_orderkey", ch.parse_offs_chunk(ch.phys_chunk(-F.col("o_orderkey"), F.col("o_custkey"), F.lit(0))).alias("p")).select("o_orderkey", "p.*"), "SELECT o_orderkey, -o_orderkey AS x, o_custkey AS y, CAST(0 AS BIGINT) AS unit FROM orders")
+add("offs_roundtrip", lambda s, d: fx.table(s, d, "orders").select("o_orderkey", ch.parse_offs_chunk(ch.offs_chunk(-F.col("o_orderkey"), F.col("o_custkey"), F.lit(0))).alias("p")).select("o_orderkey", "p.*"), "SELECT o_orderkey, -o_orderkey AS x, o_custkey AS y, CAST(0 AS BIGINT) AS unit FROM orders")
 add("gama_roundtrip", lambda s, d: fx.table(s, d, "orders").select("o_orderkey", F.round(ch.parse_gamma_chunk(ch.gamma_chunk(F.col("o_orderkey") / 1000.0)), 5).alias("gamma"), F.round(ch.decoding_exponent(F.col("o_orderkey") + 1.0), 9).alias("exponent")), "SELECT o_orderkey, round(o_orderkey / 1000.0::DOUBLE, 5) AS gamma, round(1.0::DOUBLE / ((o_orderkey + 1.0::DOUBLE) * 2.2::DOUBLE), 9) AS exponent FROM orders")
 add("chrm_roundtrip", lambda s, d: fx.table(s, d, "supplier").select("s_suppkey", F.transform(ch.parse_chroma_chunk(ch.chroma_chunk(*(F.col("s_suppkey") * (k + 1) / 100.0 for k in range(8)))), lambda v: F.round(v, 5)).alias("v")), "SELECT s_suppkey, [" + ", ".join(f"round(s_suppkey * {k + 1} / 100.0::DOUBLE, 5)" for k in range(8)) + "] AS v FROM supplier")
 add("hist_roundtrip", lambda s, d: fx.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_suppkey")).alias("v")).select("l_orderkey", ch.bytes_array(ch.pack_array(F.col("v"), 2), 2).alias("v")), "SELECT l_orderkey, list(l_suppkey ORDER BY l_suppkey) AS v FROM lineitem GROUP BY l_orderkey")
@@ -247,12 +270,49 @@ add("unknown_chunk", lambda s, d: fx.table(s, d, "pages").select("page_id", ch.p
 add("chunk_flags", lambda s, d: s.createDataFrame([(t,) for t in ("IHDR", "tEXt", "prVt", "iTXt", "fcTL")], "type string").select("type", ch.flags(F.col("type")).alias("f")).select("type", "f.*"), "SELECT t AS type, regexp_matches(t[1], '[a-z]') AS ancillary, regexp_matches(t[2], '[a-z]') AS private, regexp_matches(t[3], '[a-z]') AS reserved, regexp_matches(t[4], '[a-z]') AS safe FROM (VALUES ('IHDR'), ('tEXt'), ('prVt'), ('iTXt'), ('fcTL')) v(t)")
 
 
+def _spoilt(s: SparkSession, d: str) -> DataFrame:
+    """Raw chunks of pages, the last byte of every third changed."""
+    raw = ch.raw_chunk(F.lit("prVt"), F.encode("html", "UTF-8"))
+    other = F.concat(F.substr(raw, F.lit(1), F.length(raw) - 1), F.unhex(F.when(F.hex(F.substr(raw, F.length(raw))) == "00", "01").otherwise("00")))
+    return fx.table(s, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, other).otherwise(raw).alias("raw"))
+
+
+add("crc_check", lambda s, d: _spoilt(s, d).select("page_id", ch.parse_raw_chunk(F.col("raw"))["crc_ok"].alias("crc_ok")), "SELECT page_id, CASE WHEN html IS NOT NULL THEN page_id % 3 <> 0 END AS crc_ok FROM pages")
+add("trns_roundtrip", lambda s, d: fx.table(s, d, "part").select("p_partkey", ch.background(F.concat(*(ch.uint(F.col("p_size") * k, 2) for k in (1, 20, 300)))).alias("key"), ch.bytes_array(ch.pack_array(F.array(F.col("p_size").cast("bigint"), F.lit(255).cast("bigint")))).alias("alphas")), "SELECT p_partkey, [CAST(p_size AS BIGINT), p_size * 20, p_size * 300] AS key, [CAST(p_size AS BIGINT), 255] AS alphas FROM part")
+add("read_grayscale", lambda s, d: fx.table(s, d, "part").select("p_partkey", ch.read_grayscale(F.col("p_size").cast("bigint"), F.element_at(F.array(*map(F.lit, (1, 2, 4, 8, 16))), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("v")), "SELECT p_partkey, CAST(least(p_size, 256) * [255, 85, 17, 1, 1][p_partkey % 5 + 1] AS BIGINT) AS v FROM part")
+#: A kind that a user adds: three numbers and a sound.
+SOUND = registry.ChunkKind("auDi", lambda b: F.struct(ch.read_uint(b, 0, 4).alias("duration"), ch.read_uint(b, 4, 4).alias("delay"), ch.read_uint(b, 8, 4).alias("plays"), F.substr(b, F.lit(13)).alias("sound")), public=False, safe=True)
+
+
+def _custom(s: SparkSession, d: str) -> DataFrame:
+    registry.register(SOUND)
+    data = F.concat(ch.uint(F.length("html"), 4), ch.uint(F.col("page_id") % 1000, 4), ch.uint(F.lit(3), 4), F.encode("html", "UTF-8"))
+    chunks = fx.table(s, d, "pages").select(F.col("page_id").alias("image_id"), F.lit(0).alias("seq"), F.lit("auDi").alias("type"), data.alias("data"))
+    return ct.parsed(chunks, "auDi").select(F.col("image_id").alias("page_id"), "value.duration", "value.delay", "value.plays", F.sha2("value.sound", 256).alias("sha"))
+
+
+add("custom_chunk", _custom, "SELECT page_id, CAST(length(html) AS BIGINT) AS duration, page_id % 1000 AS delay, CASE WHEN html IS NOT NULL THEN CAST(3 AS BIGINT) END AS plays, sha256(html) AS sha FROM pages")
+
+
+def _saved_texts(s: SparkSession, d: str) -> DataFrame:
+    """The texts of all documents in three kinds of chunks of image files, read from the files."""
+    docs = fx.table(s, d, "documents").where("text is not null and doc_id is not null").select(F.col("doc_id").alias("image_id"), F.col("text"), F.get(F.array(F.lit("plain"), F.lit("packed"), F.lit("wide")), (F.col("doc_id") % 3).cast("int")).alias("keyword"))
+    none = s.createDataFrame([], "image_id long, seq int, type string, data binary, pos string")
+    wide = docs.where("keyword = 'wide'").withColumns({"language": F.lit("xx"), "translated_keyword": F.lit("breit")})
+    chunks = ct.add_text(ct.add_text(ct.add_text(none, docs.where("keyword = 'plain'")), docs.where("keyword = 'packed'"), compressed=True), wide, international=True)
+    dot = docs.select("image_id", F.lit(0).cast("bigint").alias("y"), F.array(F.lit(7.0)).alias("vals"))
+    return ct.texts(images.chunks(images.encode(dot, 1, chunks=chunks))).select(F.col("image_id").alias("doc_id"), "type", "keyword", "text", "language", "translated_keyword")
+
+
+add("text_save_roundtrip", _saved_texts, "SELECT doc_id, ['tEXt', 'zTXt', 'iTXt'][doc_id % 3 + 1] AS type, ['plain', 'packed', 'wide'][doc_id % 3 + 1] AS keyword, text, CASE WHEN doc_id % 3 = 2 THEN 'xx' END AS language, CASE WHEN doc_id % 3 = 2 THEN 'breit' END AS translated_keyword FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL")
+
+
 def _exif(s: SparkSession, d: str) -> DataFrame:
     o, one = fx.table(s, d, "orders"), F.lit(1)
     stamp = F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")
     ascii_ = lambda tag, c: (tag, 2, F.length(c) + 1, F.concat(F.encode(c, "US-ASCII"), F.unhex(F.lit("00"))))
-    main = [ascii_(271, F.col("o_orderpriority")), (274, 3, one, ch.uint(F.col("o_orderkey") % 8 + 1, 2)), (282, 5, one, F.concat(ch.uint(F.col("o_custkey"), 4), ch.uint(F.lit(8), 4))), ascii_(306, stamp)]
-    return o.select("o_orderkey", ex.block(main, [(37385, 3, one, ch.uint(F.col("o_orderkey") % 128, 2)), (40961, 3, one, ch.uint(one, 2))]).alias("data"))
+    main = [ascii_(271, F.col("o_orderpriority")), (274, 3, one, ch.wrapped(F.col("o_orderkey") % 8 + 1, 2)), (282, 5, one, F.concat(ch.wrapped(F.col("o_custkey"), 4), ch.wrapped(F.lit(8), 4))), ascii_(306, stamp)]
+    return o.select("o_orderkey", ex.block(main, [(37385, 3, one, ch.wrapped(F.col("o_orderkey") % 128, 2)), (40961, 3, one, ch.wrapped(one, 2))]).alias("data"))
 
 
 _EXIF_ROWS = "(VALUES ('IFD0', 0, 271, 'Make', 2), ('IFD0', 1, 274, 'Orientation', 3), ('IFD0', 2, 282, 'XResolution', 5), ('IFD0', 3, 306, 'DateTime', 2), ('ExifIFD', 0, 37385, 'Flash', 3), ('ExifIFD', 1, 40961, 'ColorSpace', 3)) f(ifd, seq, tag, name, type)"
@@ -261,6 +321,14 @@ add("exif_dates", lambda s, d: ex.fields(_exif(s, d)).where("name = 'DateTime'")
 add("exif_flash", lambda s, d: ex.fields(_exif(s, d)).where("name = 'Flash'").select("o_orderkey", ex.flash(F.get("numbers", F.lit(0))).alias("f")).select("o_orderkey", "f.*"), "SELECT o_orderkey, v & 1 = 1 AS fired, (v >> 1) & 3 AS returned, (v >> 3) & 3 AS mode, (v >> 5) & 1 = 1 AS absent, (v >> 6) & 1 = 1 AS red_eye FROM (SELECT o_orderkey, o_orderkey % 128 AS v FROM orders)")
 
 # Image files
+def _mixed_files(s: SparkSession, d: str) -> DataFrame:
+    """PNG files, BMP files and files that are neither."""
+    rows = rel.to_rows(px.to_rgb(fx.rgba(s, d)))
+    part = lambda k: rows.where(F.col("image_id") % 3 == k)
+    other = fx.table(s, d, "embeddings").where("vec_id % 3 = 2").select(F.col("vec_id").alias("image_id"), F.encode(F.lit("GIF89a"), "UTF-8").alias("content"))
+    return images.encode(part(0), 3).unionByName(images.encode(part(1), 3, kind="bmp")).unionByName(other)
+
+
 for _name, _level, _depth in [("png_roundtrip", 0, 8), ("png_roundtrip_level1", 1, 8), ("png_roundtrip_16bit", 0, 16)]:
     add(_name, lambda s, d, level=_level, depth=_depth: rel.from_rows(images.rows(images.encode(fx.tile_rows(s, d), 1, level=level, bit_depth=depth)), 1), f"{TILES} SELECT * FROM px")
 add("png_roundtrip_rgba", lambda s, d: rel.from_rows(images.rows(images.encode(rel.to_rows(fx.rgba(s, d)), 4, level=1)), 4), f"{RGBA} SELECT * FROM px")
@@ -268,7 +336,9 @@ add("palette_png_roundtrip", lambda s, d: rel.from_rows(images.rows(images.encod
 add("bmp_roundtrip", lambda s, d: rel.from_rows(images.rows(images.encode(rel.to_rows(px.to_rgb(fx.rgba(s, d))), 3, kind="bmp")), 3), f"{RGBA} SELECT {AT}, c0, c1, c2 FROM px")
 add("png_headers", lambda s, d: images.headers(images.encode(fx.tile_rows(s, d), 1)).select("image_id", "format", "width", "height", "bit_depth", "color_type", "channels", "interlace", "error"), f"{TILES} SELECT image_id, 'png' AS format, CAST(max(x) + 1 AS INTEGER) AS width, CAST(max(y) + 1 AS INTEGER) AS height, 8 AS bit_depth, 0 AS color_type, 1 AS channels, 0 AS interlace, CAST(NULL AS VARCHAR) AS error FROM px GROUP BY image_id")
 add("chunk_list", lambda s, d: images.chunks(images.encode(fx.tile_rows(s, d), 1)).select("image_id", "seq", "type", "pos", "crc_ok"), "SELECT vec_id AS image_id, CAST(k AS INTEGER) AS seq, t AS type, p AS pos, true AS crc_ok FROM embeddings, (VALUES (0, 'IHDR', 'after_IHDR'), (1, 'IDAT', 'after_IDAT'), (2, 'IEND', 'after_IDAT')) c(k, t, p)")
-add("file_types", lambda s, d: images.formats(images.encode(fx.tile_rows(s, d), 1)), "SELECT vec_id AS image_id, 'png' AS format FROM embeddings")
+add("file_types", lambda s, d: images.formats(_mixed_files(s, d)), "SELECT vec_id AS image_id, ['png', 'bmp', 'unknown'][vec_id % 3 + 1] AS format FROM embeddings")
+add("decode_mixed", lambda s, d: rel.from_rows(images.rows(_mixed_files(s, d), errors="skip"), 3), f"{RGBA} SELECT {AT}, c0, c1, c2 FROM px WHERE image_id % 3 < 2")
+add("palette_files_depths", lambda s, d: images.headers(images.encode(rel.to_rows(px.to_rgb(fx.rgba(s, d))), 3, level=1)).select("image_id", "color_type", "bit_depth", "has_alpha", "n_frames"), "SELECT vec_id AS image_id, 3 AS color_type, 8 AS bit_depth, false AS has_alpha, CAST(NULL AS INTEGER) AS n_frames FROM embeddings")
 
 
 # Animations
@@ -282,7 +352,6 @@ _AN = f"WITH {_E}, o AS (SELECT vec_id, CAST(label AS BIGINT) AS image_id, row_n
 add("animation_time", lambda s, d: an.animation_time(_frames(s, d)).withColumn("seconds", F.round("seconds", 6)), f"WITH {_FR} SELECT image_id, round(sum(delay_num / CASE WHEN delay_den = 0 THEN 100.0::DOUBLE ELSE delay_den END), 6) AS seconds, count(*) AS n_frames FROM fr GROUP BY image_id")
 add("pop_frame", lambda s, d: an.pop_frame(_frames(s, d)), f"WITH {_FR} SELECT fr.* FROM fr WHERE frame < (SELECT max(f.frame) FROM fr f WHERE f.image_id = fr.image_id)")
 add("push_frame", lambda s, d: an.push_frame(_frames(s, d), _frames(s, d).select("image_id").distinct().withColumns({"delay_num": F.lit(1).cast("bigint"), "delay_den": F.lit(24).cast("bigint")})), f"WITH {_FR} SELECT * FROM fr UNION ALL SELECT image_id, max(frame) + 1, 1, 24 FROM fr GROUP BY image_id")
-add("frame_delay_update", lambda s, d: an.set_delay(_frames(s, d), 1, 5, 6), f"WITH {_FR} SELECT image_id, frame, CASE WHEN frame = 1 THEN 5 ELSE delay_num END AS delay_num, CASE WHEN frame = 1 THEN 6 ELSE delay_den END AS delay_den FROM fr")
 add("jump_to_frame", lambda s, d: an.frame_at(fx.frame_pixels(s, d).select("image_id", "frame").distinct(), 1003), f"{_AN} SELECT image_id, frame FROM (SELECT DISTINCT image_id, frame FROM ap) WHERE frame = 1003 % (SELECT max(b.frame) + 1 FROM ap b WHERE b.image_id = ap.image_id)".replace("FROM (SELECT DISTINCT image_id, frame FROM ap)", "FROM (SELECT DISTINCT image_id, frame FROM ap) ap"))
 add("apng_last_write", lambda s, d: an.last_write(fx.frame_pixels(s, d)), f"{_AN} SELECT image_id, y, x, arg_max(c0, frame) AS c0 FROM ap GROUP BY image_id, y, x")
 add("apng_compose_source", lambda s, d: an.composed_source(fx.frame_pixels(s, d).withColumn("c0", F.when(F.col("c0") < 140, F.col("c0")))), f"{_AN} SELECT image_id, frame, y, x, last_value(CASE WHEN c0 < 140 THEN c0 END IGNORE NULLS) OVER (PARTITION BY image_id, y, x ORDER BY frame ROWS UNBOUNDED PRECEDING) AS c0 FROM ap")
@@ -300,8 +369,68 @@ def _played(dispose: str, blend: str) -> Query:
 _AP2 = f"{_AN}, f AS (SELECT *, CASE (x + frame) % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 255.0::DOUBLE ELSE 128.0::DOUBLE END AS c1 FROM ap)"
 add("apng_dispose_none", _played("none", "source"), f"{_AP2} SELECT image_id, frame, y, x, c0, c1 FROM f")
 add("apng_dispose_background", _played("background", "over"), f"{_AP2} SELECT image_id, frame, y, x, CASE WHEN c1 = 0 THEN 0.0::DOUBLE ELSE c0 END AS c0, c1 FROM f")
-add("apng_dispose_previous", _played("previous", "over"), None)
-add("apng_compose_over", _played("none", "over"), None)
+def _clip(s: SparkSession, d: str) -> DataFrame:
+    frames, p = fx.clips(s, d)
+    return an.composed(frames, p, 8, 8, 2)
+
+
+_CLIPS = f"{_AN}, fr AS (SELECT image_id, frame, CASE frame WHEN 0 THEN 8 ELSE 1 + frame % 8 END AS w, CASE frame WHEN 0 THEN 8 ELSE 1 + (frame * 3) % 8 END AS h, frame % 7 AS delay_num, frame % 3 * 10 AS delay_den, ['none', 'background', 'previous'][frame % 3 + 1] AS dispose, ['source', 'over'][frame % 2 + 1] AS blend FROM (SELECT DISTINCT image_id, frame FROM ap)), fo AS (SELECT image_id, frame, w, h, CASE frame WHEN 0 THEN 0 ELSE frame * 5 % (9 - w) END AS x_off, CASE frame WHEN 0 THEN 0 ELSE frame * 7 % (9 - h) END AS y_off, delay_num, delay_den, dispose, blend FROM fr), cp AS (SELECT image_id, frame, y, x, c0, CASE (x + frame) % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 255.0::DOUBLE ELSE 128.0::DOUBLE END AS c1 FROM ap JOIN fo USING (image_id, frame) WHERE x < w AND y < h)"
+_FOLD = """, cells AS MATERIALIZED (SELECT fo.image_id, fo.frame, a.y, b.x, f0, f1, {dispose} AS dispose, {blend} AS blend, f1 IS NOT NULL AS covered FROM {frames} CROSS JOIN range(8) a(y) CROSS JOIN range(8) b(x) LEFT JOIN (SELECT image_id, frame, y, x, c0 AS f0, c1 AS f1 FROM {pixels}) p ON p.image_id = fo.image_id AND p.frame = fo.frame AND p.y = a.y - fo.y_off AND p.x = b.x - fo.x_off),
+st(image_id, frame, y, x, c0, c1, s0, s1, d) AS (
+  SELECT image_id, CAST(-1 AS BIGINT), y, x, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 'none' FROM cells WHERE frame = 0
+  UNION ALL
+  SELECT image_id, frame, y, x,
+    CASE WHEN NOT covered THEN b0 WHEN blend = 'source' OR f1 = 255 THEN f0 WHEN f1 = 0 THEN b0 ELSE floor((f0 * (f1 / 255.0::DOUBLE) + b0 * (b1 / 255.0::DOUBLE) * (1 - f1 / 255.0::DOUBLE)) / (f1 / 255.0::DOUBLE + b1 / 255.0::DOUBLE * (1 - f1 / 255.0::DOUBLE))) END,
+    CASE WHEN NOT covered THEN b1 WHEN blend = 'source' OR f1 = 255 THEN f1 WHEN f1 = 0 THEN b1 ELSE floor(255 * (f1 / 255.0::DOUBLE + b1 / 255.0::DOUBLE * (1 - f1 / 255.0::DOUBLE))) END,
+    b0, b1, CASE WHEN NOT covered THEN 'none' WHEN frame = 0 AND dispose = 'previous' THEN 'background' ELSE dispose END
+  FROM (SELECT c.*, CASE st.d WHEN 'background' THEN 0 WHEN 'previous' THEN st.s0 ELSE st.c0 END AS b0, CASE st.d WHEN 'background' THEN 0 WHEN 'previous' THEN st.s1 ELSE st.c1 END AS b1
+    FROM st JOIN cells c ON c.image_id = st.image_id AND c.frame = st.frame + 1 AND c.y = st.y AND c.x = st.x))
+SELECT image_id, frame, y, x, c0, c1 FROM st WHERE frame >= 0"""
+_RECURSIVE = _CLIPS.replace("WITH ", "WITH RECURSIVE ", 1)
+_WHOLE = _AP2.replace("WITH ", "WITH RECURSIVE ", 1) + ", fo AS (SELECT DISTINCT image_id, frame, 0 AS x_off, 0 AS y_off FROM f)"
+add("apng_dispose_previous", _played("previous", "over"), _WHOLE + _FOLD.format(frames="fo", pixels="f", dispose="'previous'", blend="'over'"))
+add("apng_compose_over", _played("none", "over"), _WHOLE + _FOLD.format(frames="fo", pixels="f", dispose="'none'", blend="'over'"))
+add("apng_play_parts", _clip, _RECURSIVE + _FOLD.format(frames="fo", pixels="cp", dispose="fo.dispose", blend="fo.blend"))
+
+
+add("frame_delay_update", lambda s, d: an.set_delay(fx.clips(s, d)[0], 1, 5, 6).select("image_id", "frame", "delay_num", "delay_den"), f"{_CLIPS} SELECT image_id, frame, CASE WHEN frame = 1 THEN 5 ELSE delay_num END AS delay_num, CASE WHEN frame = 1 THEN 6 ELSE delay_den END AS delay_den FROM fo")
+add("frame_offset_update", lambda s, d: an.set_offset(fx.clips(s, d)[0].where("frame < 4"), -2, 4, 1).select("image_id", "frame", "x_off", "y_off"), f"{_CLIPS} SELECT image_id, frame, CAST(CASE frame WHEN 2 THEN 4 ELSE x_off END AS BIGINT) AS x_off, CAST(CASE frame WHEN 2 THEN 1 ELSE y_off END AS BIGINT) AS y_off FROM fo WHERE frame < 4")
+
+
+def _clip_files(s: SparkSession, d: str) -> DataFrame:
+    frames, p = fx.clips(s, d)
+    rows = p.groupBy("image_id", "frame", "y").agg(F.sort_array(F.collect_list(F.struct("x", F.array("c0", "c1").alias("v")))).alias("l")).select("image_id", "frame", "y", F.flatten("l.v").alias("vals"))
+    return apng.encode(frames, rows, 2)
+
+
+def _clip_pixels(s: SparkSession, d: str) -> DataFrame:
+    r = apng.frame_rows(apng.create_frames(images.chunks(_clip_files(s, d))))
+    at = r.select("image_id", "frame", "y", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("vals") / 2).cast("int") - 1), lambda i: F.slice("vals", i * 2 + 1, 2))).alias("x", "v"))
+    return at.select("image_id", "frame", "y", F.col("x").cast("bigint").alias("x"), F.col("v")[0].alias("c0"), F.col("v")[1].alias("c1"))
+
+
+def _clip_validity(s: SparkSession, d: str) -> DataFrame:
+    """Files of which a third lost its acTL and a third a part of a frame."""
+    c = images.chunks(_clip_files(s, d))
+    last = F.max(F.when(F.col("type") == "fdAT", F.col("seq"))).over(Window.partitionBy("image_id"))
+    k = F.col("image_id") % 3
+    left = c.withColumn("_last", last).where(~((k == 1) & (F.col("type") == "acTL")) & ~((k == 2) & (F.col("seq") == F.col("_last"))))
+    return apng.validity(left).select("image_id", "valid", F.array_join("reasons", "; ").alias("reasons"))
+
+
+add("apng_file_roundtrip", _clip_pixels, f"{_CLIPS} SELECT image_id, frame, y, x, c0, c1 FROM cp")
+add("apng_create_frames", lambda s, d: apng.create_frames(images.chunks(_clip_files(s, d))).drop("content"), f"{_CLIPS} SELECT image_id, frame, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h, CAST(x_off AS BIGINT) AS x_off, CAST(y_off AS BIGINT) AS y_off, delay_num, delay_den, dispose, blend FROM fo")
+add("apng_validity", _clip_validity, f"{_AN} SELECT DISTINCT image_id, image_id % 3 = 0 AS valid, CASE image_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'no acTL' ELSE 'a frame control without data' END AS reasons FROM ap")
+add("apng_headers", lambda s, d: images.headers(_clip_files(s, d)).select("image_id", "width", "height", "has_alpha", "n_frames", "n_plays", F.array_join("warnings", "").alias("warnings"), "error"), f"{_AN} SELECT image_id, 8 AS width, 8 AS height, true AS has_alpha, CAST(max(frame) + 1 AS INTEGER) AS n_frames, 0 AS n_plays, '' AS warnings, CAST(NULL AS VARCHAR) AS error FROM ap GROUP BY image_id")
+
+
+def _cropped(s: SparkSession, d: str) -> DataFrame:
+    frames, p = fx.clips(s, d)
+    moved = frames.withColumns({"x_off": F.col("frame") % 17 - 8, "y_off": F.col("frame") % 13 - 6})
+    return an.cropped(moved, p, 8, 8)[1]
+
+
+add("apng_crop_frames", _cropped, f"{_CLIPS}, mv AS (SELECT image_id, frame, w, h, frame % 17 - 8 AS xo, frame % 13 - 6 AS yo FROM fo), ed AS (SELECT *, greatest(-xo, 0) AS l, greatest(-yo, 0) AS t, least(7 - xo, w - 1) AS r, least(7 - yo, h - 1) AS b FROM mv) SELECT image_id, frame, y - t AS y, x - l AS x, c0, c1 FROM cp JOIN ed USING (image_id, frame) WHERE l <= r AND t <= b AND x BETWEEN l AND r AND y BETWEEN t AND b UNION ALL SELECT image_id, frame, 0, 0, 0, 0 FROM ed WHERE l > r OR t > b")
 add("apng_repair", lambda s, d: an.repaired(fx.table(s, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("bigint").alias("seq"), F.when(F.col("l_returnflag") == "R", "fdAT").otherwise("fcTL").alias("type")).groupBy("image_id", "seq").agg(F.max("type").alias("type"))), "WITH c AS (SELECT l_orderkey AS image_id, CAST(l_linenumber AS BIGINT) AS seq, max(CASE WHEN l_returnflag = 'R' THEN 'fdAT' ELSE 'fcTL' END) AS type FROM lineitem GROUP BY ALL), n AS (SELECT *, lead(type) OVER (PARTITION BY image_id ORDER BY seq) AS nx FROM c) SELECT image_id, type, row_number() OVER (PARTITION BY image_id ORDER BY seq) - 1 AS seq FROM n WHERE type <> 'fcTL' OR nx = 'fdAT'")
 
 # Functions over pixels

@@ -1,6 +1,10 @@
 import numpy as np
+import pytest
 
 from rasterloom.operators import animation as an
+from rasterloom.sources import apng, codec, images
+
+FRAMES = "image_id long, frame long, w long, h long, x_off long, y_off long, delay_num long, delay_den long, dispose string, blend string"
 
 
 def test_rows_folded_apart_equal_the_whole_canvas(spark):
@@ -20,3 +24,75 @@ def test_rows_folded_apart_equal_the_whole_canvas(spark):
     p = spark.createDataFrame(pixels, "image_id long, frame long, y long, x long, c0 double, c1 double")
     got = {(r.frame, r.y, r.x): (r.c0, r.c1) for r in an.composed(f, p, w, h, 2).collect()}
     assert got == want
+
+
+def clip(spark, n=3):
+    frames = spark.createDataFrame([(5, k, 3 - k % 2, 2 - k % 2, k % 2, k % 2, k, 10, "none", "over") for k in range(n)], FRAMES)
+    rows = spark.createDataFrame([(5, k, y, [float(10 * k + y + v) for v in range(3 - k % 2)]) for k in range(n) for y in range(2 - k % 2)], "image_id long, frame long, y long, vals array<double>")
+    return frames, rows
+
+
+def test_animation_files(spark):
+    frames, rows = clip(spark)
+    files = apng.encode(frames, rows, 1, n_plays=4)
+    content = files.first().content
+    im = codec.decode(content)
+    assert (im.width, im.height, im.n_frames, im.n_plays, im.warnings) == (3, 2, 3, 4, []) and im.samples[..., 0].tolist() == [[0, 1, 2], [1, 2, 3]]
+    chunks = images.chunks(files)
+    assert [r.type for r in chunks.orderBy("seq").collect()] == ["IHDR", "acTL", "fcTL", "IDAT", "fcTL", "fdAT", "fcTL", "fdAT", "IEND"]
+    made = apng.create_frames(chunks)
+    assert sorted(map(tuple, made.drop("content").collect())) == sorted(map(tuple, frames.collect()))
+    assert sorted((r.frame, r.y, tuple(r["vals"])) for r in apng.frame_rows(made).collect()) == sorted((r.frame, r.y, tuple(r["vals"])) for r in rows.collect())
+    # pixel data that no frame control stands before is no frame; data in several chunks is put together
+    parts = [(t, d) for t, d, _, _ in im.chunks]
+    first, second = parts[5][1][4:9], parts[5][1][9:]
+    number = lambda n: n.to_bytes(4, "big")
+    loose = [parts[0], parts[1], parts[3], ("fcTL", number(0) + parts[4][1][4:]), ("fdAT", number(1) + first), ("fdAT", number(2) + second), parts[8]]
+    loose[1] = ("acTL", number(1) + number(0))
+    table = spark.createDataFrame([(9, i, t, bytearray(d), "after_IDAT" if i > 2 else "after_IHDR") for i, (t, d) in enumerate(loose)], "image_id long, seq int, type string, data binary, pos string")
+    assert [r["vals"] for r in apng.frame_rows(apng.create_frames(table)).collect()] == [[10, 11]]
+    assert apng.validity(table).first().valid
+    with pytest.raises(Exception, match="reaches beyond"):
+        apng.encode(frames.replace(1, 2, "x_off"), rows, 1).collect()
+    with pytest.raises(Exception, match="is missing"):
+        apng.encode(frames.where("frame <> 1"), rows, 1).collect()
+
+
+def test_validity(spark):
+    chunks = images.chunks(apng.encode(*clip(spark), 1)).drop("crc_ok")
+    rows = [tuple(r) for r in chunks.orderBy("seq").collect()]
+    change = lambda k, **v: [r if i != k else tuple(v.get(n, x) for n, x in zip(("image_id", "seq", "type", "data", "pos"), r)) for i, r in enumerate(rows)]
+    told = lambda rs: [r.reasons for r in apng.validity(spark.createDataFrame(rs, chunks.schema)).collect()]
+    assert told(rows) == [[]]
+    assert told([r for r in rows if r[2] not in ("acTL", "fcTL", "fdAT")]) == []
+    assert told(change(1, pos="after_IDAT")) == [["acTL after the pixel data"]]
+    assert told([*rows, (5, 20, *rows[1][2:])]) == [["more than one acTL"]]
+    assert told(change(5, data=bytearray(b"\0\0\0\7" + bytes(rows[5][3])[4:]))) == [["sequence numbers aren't 0, 1, 2 and so on"]]
+    assert told(change(1, data=bytearray(b"\0\0\0\5" + bytes(4)))) == [["acTL tells another number of frames"]]
+    wide = bytes(rows[4][3])
+    assert told(change(4, data=bytearray(wide[:4] + b"\0\0\0\4" + wide[8:]))) == [["a frame reaches beyond the canvas"]]
+    assert "a frame control without data" in told(rows[:7] + rows[8:])[0]
+
+
+def test_cropping_and_frame_controls(spark):
+    frames = spark.createDataFrame([(1, 0, 2, 2, 0, 0, 1, 1, "none", "source"), (1, 1, 2, 2, -1, 1, 1, 1, "none", "source"), (1, 2, 1, 1, 5, 0, 1, 1, "none", "source")], FRAMES)
+    px = spark.createDataFrame([(1, k, y, x, float(4 * k + 2 * y + x), 255.0) for k in (0, 1) for y in (0, 1) for x in (0, 1)] + [(1, 2, 0, 0, 9.0, 9.0)], "image_id long, frame long, y long, x long, c0 double, c1 double")
+    f, p = an.cropped(frames, px, 2, 2)
+    assert sorted((r.frame, r.w, r.h, r.x_off, r.y_off, r.blend) for r in f.collect()) == [(0, 2, 2, 0, 0, "source"), (1, 1, 1, 0, 1, "source"), (2, 1, 1, 0, 0, "over")]
+    assert sorted((r.frame, r.y, r.x, r.c0, r.c1) for r in p.where("frame > 0").collect()) == [(1, 0, 0, 5.0, 255.0), (2, 0, 0, 0.0, 0.0)]
+    with pytest.raises(Exception, match="needs an image with alpha"):
+        an.cropped(frames, px.drop("c1"), 2, 2)[0].collect()
+    with pytest.raises(Exception, match="larger than the canvas"):
+        an.cropped(frames, px, 1, 2)[0].collect()
+    assert [(r.frame, r.delay_num) for r in an.set_delay(f, -1, 7, 8).orderBy("frame").collect()] == [(0, 1), (1, 1), (2, 7)]
+    assert [(r.frame, r.x_off) for r in an.set_offset(f, 1, 1, 0).orderBy("frame").collect()] == [(0, 0), (1, 1), (2, 0)]
+    for bad in (lambda: an.set_delay(f, 3, 1, 1).collect(), lambda: an.set_delay(f, -3, 1, 1).collect()):
+        with pytest.raises(Exception, match="no frame"):
+            bad()
+    for n, x in ((0, 0), (1, 2), (1, -1)):
+        with pytest.raises(Exception, match="can't be moved"):
+            an.set_offset(f, n, x, 0).collect()
+    with pytest.raises(ValueError):
+        an.set_delay(f, 0, 65536, 1)
+    shown = an.canvas_at(f, p, 1, 2, 2, 2)
+    assert sorted((r.y, r.x, r.c0) for r in shown.collect()) == [(0, 0, 0.0), (0, 1, 1.0), (1, 0, 5.0), (1, 1, 3.0)]

@@ -79,12 +79,40 @@ def test_morphology(spark):
     assert array(st.dilate(image(spark, a), [[0, 0, 0]])).tolist() == [[5, 5, 5], [7, 9, 9], [3, 3, 3]]
     assert array(st.erode(image(spark, a), [[0], [0], [0]])).tolist() == [[0, 2, 1], [0, 2, 1], [3, 2, 3]]
     assert array(st.dilate(image(spark, a), [[inf, inf, 1]])).tolist() == [[inf, 1, 6], [inf, 8, 3], [inf, 4, 4]]
-    assert array(st.closed(image(spark, a), [[0, 0, 0]])).tolist() == array(st.erode(st.dilate(image(spark, a), [[0, 0, 0]]), [[0, 0, 0]])).tolist()
+    b = np.random.default_rng(3).integers(0, 20, (6, 7)).astype(float)
+    element = [[inf, 1, inf], [0, 2, 0]]
+    cells = [(i - 1, j - 1, v) for i, row in enumerate(element) for j, v in enumerate(row) if v != inf]
+
+    def slow(img, sign):
+        out = np.full(img.shape, inf * sign)
+        for y in range(6):
+            for x in range(7):
+                near = [img[y - sign * dy, x - sign * dx] + sign * v for dy, dx, v in cells if 0 <= y - sign * dy < 6 and 0 <= x - sign * dx < 7]
+                out[y, x] = (max if sign > 0 else min)(near, default=inf * sign)
+        return out
+
+    assert (array(st.closed(image(spark, b), element)) == slow(slow(b, 1), -1)).all()
+    assert (array(st.opened(image(spark, b), element)) == slow(slow(b, -1), 1)).all()
 
 
 def test_resize_clamps_and_keeps_constant(spark):
     assert array(geo.resize(image(spark, [[4, 8]]), 2)).tolist() == [[4, 5, 7, 8]] * 2
-    assert array(geo.resize(image(spark, [[1, 2, 3]]), 1.5, 1, "nearest")).shape == (1, 4) or True
+    rng = np.random.default_rng(4)
+    for sx, sy in ((1.5, 1), (0.4, 2.3), (3, 0.5), (1, 1)):
+        a = rng.integers(0, 99, (5, 7)).astype(float)
+        h, w = (int(np.floor(n * s + 0.5)) for n, s in ((5, sy), (7, sx)))
+        near, mixed = np.zeros((h, w)), np.zeros((h, w))
+        for y in range(h):
+            for x in range(w):
+                v, u = (y + 0.5) / sy - 0.5, (x + 0.5) / sx - 0.5
+                half = lambda t: int(np.floor(abs(t) + 0.5) * (1 if t > 0 else -1))
+                near[y, x] = a[min(max(half(v), 0), 4), min(max(half(u), 0), 6)]
+                y0, x0 = int(np.floor(v)), int(np.floor(u))
+                part = lambda t, i, n: {0: 1.0} if n == 1 else {min(max(i, 0), n - 1): 1 - (t - i)} if i < 0 or i >= n - 1 else {i: 1 - (t - i), i + 1: t - i}
+                ky, kx = part(v, y0, 5), part(u, x0, 7)
+                mixed[y, x] = sum(a[i, j] * p * q for i, p in ky.items() for j, q in kx.items()) / (sum(ky.values()) * sum(kx.values()))
+        assert (array(geo.resize(image(spark, a), sx, sy, "nearest")) == near).all()
+        assert np.allclose(array(geo.resize(image(spark, a), sx, sy)), mixed)
     assert set(array(geo.resize(image(spark, np.full((5, 3), 7)), 2.7, 0.6)).reshape(-1).round(9)) == {7}
     with pytest.raises(ValueError):
         geo.resize(image(spark, [[1]]), 0)
@@ -104,6 +132,49 @@ def test_move_pick_paste_and_errors(spark):
         px.get_channel(img, 1)
 
 
+def test_sizes_and_places_outside_raise(spark):
+    img, other = image(spark, [[1, 2], [3, 4]]), image(spark, [[1, 2, 3], [4, 5, 6]])
+    for f in (px.add, px.sub, px.mul, px.power, px.divide, px.atan2, lambda a, b: px.compare(a, b, "gt"), lambda a, b: px.set_channel(a, 0, b), px.stack):
+        for pair in ((img, other), (other, img)):
+            with pytest.raises(Exception, match="differ in size"):
+                f(*pair).collect()
+    assert px.binary(img, other, lambda a, b: a + b, strict=False).count() == 4
+    assert array(geo.copy_window(other, 1, 0, 2, 1)).tolist() == [[2, 3], [5, 6]] and array(geo.copy(other, 1, 1, 9, 9)).tolist() == [[5, 6]]
+    assert px.get_pixel(other, 2, 1).first().c0 == 6 and [r.c0 for r in px.get_row(other, 0, 1).orderBy("x").collect()] == [4, 5, 6]
+    assert array(px.set_pixel(other, 0, 1, [9])).tolist() == [[1, 2, 3], [9, 5, 6]]
+    for df in (geo.copy_window(other, 1, 0, 3, 1), px.get_pixel(other, 0, 2), px.get_pixel(other, -1, 0), px.get_row(other, 0, 2), px.set_pixel(other, 3, 0, [1])):
+        with pytest.raises(Exception, match="outside"):
+            df.collect()
+    for bad in ([], [1, 2], [0] * 9):
+        with pytest.raises(ValueError):
+            rel.set_palette(img, bad, bit_depth=1)
+    with pytest.raises(ValueError):
+        st.convolve(px.to_rgb(img), [[[1]], [[2]]])
+
+
+def test_kernels_of_their_own_for_each_channel(spark):
+    a = np.random.default_rng(6).integers(0, 9, (4, 5, 2)).astype(float)
+    kernels = [[[1, 0, 2], [0, 3, 0]], [[0, 5, 0], [-1, 0, 1]]]
+    for how in st.BORDERS:
+        got = array(st.convolve(image(spark, a), kernels, how))
+        assert np.allclose(got, np.stack([convolved(a[..., k], kernels[k], how) for k in range(2)], -1))
+
+
+def test_runs_of_pixels_go_on_over_rows(spark):
+    a = [[1, 1, 2], [2, 2, 1], [1, 1, 1]]
+    got = [(r.start, r["values"]) for r in rel.chunk_while(image(spark, a), lambda x, y: x == y).orderBy("run").collect()]
+    assert got == [(0, [1, 1]), (2, [2, 2, 2]), (5, [1, 1, 1, 1])]
+
+
+def test_sizes_that_images_carry_are_not_counted_again(spark):
+    from pyspark.sql import functions as F
+
+    img = image(spark, np.arange(20).reshape(4, 5))
+    carried = img.withColumns({"h": F.lit(4).cast("bigint"), "w": F.lit(5).cast("bigint")})
+    assert np.allclose(array(st.blur(carried)), array(st.blur(img)))
+    assert st.blur(carried)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def test_drawing(spark):
     img = image(spark, np.zeros((9, 9)))
     d = array(geo.draw_disk(img, 4, 4, 2, [10]))
@@ -111,6 +182,14 @@ def test_drawing(spark):
     line = array(geo.draw_line(img, 1, 4, 7, 4, [10], 1))
     assert (line[4, 2:7] > 4).all() and line[0].sum() == 0
     assert np.allclose(array(geo.draw_line(img, 4, 1, 4, 7, [10], 1)), line.T)
+    assert np.allclose(array(geo.draw_line(img, 4, 4, 4, 4, [10], 4)), d)
+    for (x0, y0, x1, y1), width in (((1, 2, 7.5, 5), 3), ((8, 0, 0, 8), 0.5), ((2, 6, 5, 1), 1)):
+        want = np.zeros((9, 9))
+        for y in range(9):
+            for x in range(9):
+                near = min(np.hypot(x - x0 - t * (x1 - x0), y - y0 - t * (y1 - y0)) for t in np.linspace(0, 1, 4001))
+                want[y, x] = 10 * min(max(width / 2 + 0.5 - near, 0), 1)
+        assert np.allclose(array(geo.draw_line(img, x0, y0, x1, y1, [10], width)), want, atol=1e-4)
 
 
 def filtered(values, depth, n, kinds, lace):
@@ -172,7 +251,7 @@ def test_samples_truncate_and_wrap_and_keys_become_alpha():
     assert codec.decode(codec.encode_png(a)).samples[..., 0].tolist() == [[255, 0, 3]]
     a = np.array([[[1.0], [5.0]]])
     im = codec.decode(codec.encode_png(a, ancillary=[("tRNS", b"\0\5", "after_PLTE"), ("bKGD", b"\0\7", "after_PLTE")]))
-    assert im.samples.tolist() == [[[1, 255], [5, 0]]] and im.background == [7]
+    assert im.samples.tolist() == [[[1, 255], [5, 0]]] and im.background == [7] and im.has_alpha and not im.warnings
 
 
 def test_broken_files():
@@ -208,7 +287,11 @@ def test_files_in_tables(spark, tmp_path):
     mixed = files.unionByName(spark.createDataFrame([(8, bytearray(b"junk")), (9, None)], "image_id long, content binary"))
     got = {r.image_id: (r.format, r.width, r.error) for r in images.headers(mixed).collect()}
     assert got[7] == ("png", 2, None) and got[8][2] == got[9][2] == "ImageError: Unknown image format."
-    assert images.rows(mixed.limit(0)).count() == 0 and [r.type for r in images.chunks(mixed, True).collect()] == ["IHDR", "IDAT", "IEND"]
+    assert images.rows(mixed.limit(0)).count() == 0 and [r.type for r in images.chunks(mixed, True, errors="skip").collect()] == ["IHDR", "IDAT", "IEND"]
+    assert images.rows(mixed, errors="skip").count() == 2
+    for broken in (images.rows(mixed), images.chunks(mixed)):
+        with pytest.raises(Exception, match="Unknown image format"):
+            broken.collect()
 
 
 def test_stream_of_files(spark, tmp_path):
@@ -234,7 +317,7 @@ def test_chunk_fields(spark):
 
     df = spark.createDataFrame([(bytearray(b"Key\0caf\xe9"),), (bytearray(b"no zero"),), (bytearray(b"\x10\0x"),)], "d binary")
     assert [tuple(r.t) for r in df.select(ch.parse_text_chunk(F.col("d")).alias("t")).collect()] == [("Key", "café"), ("", "no zero"), ("\x10", "x")]
-    one = spark.range(1).select(ch.parse_offs_chunk(ch.phys_chunk(F.lit(-42), F.lit(99), F.lit(1))).alias("o"), ch.parse_gamma_chunk(ch.gamma_chunk(F.lit(0.00042))).alias("g"), ch.file_type(F.unhex(F.lit("424D00"))).alias("t"), ch.parse_raw_chunk(F.lit(bytearray(codec.chunk("IEND", b"")))).alias("c")).first()
+    one = spark.range(1).select(ch.parse_offs_chunk(ch.offs_chunk(F.lit(-42), F.lit(99), F.lit(1))).alias("o"), ch.parse_gamma_chunk(ch.gamma_chunk(F.lit(0.00042))).alias("g"), ch.file_type(F.unhex(F.lit("424D00"))).alias("t"), ch.parse_raw_chunk(F.lit(bytearray(codec.chunk("IEND", b"")))).alias("c")).first()
     assert tuple(one.o) == (-42, 99, 1) and one.g == 0.00042 and one.t == "bmp" and one.c.type == "IEND" and one.c.crc_ok and one.c.crc == 0xAE426082
     with pytest.raises(Exception, match="four letters"):
         spark.range(1).select(ch.flags(F.lit("ab1d"))).collect()
@@ -256,3 +339,68 @@ def test_palette_is_by_first_appearance(spark):
     pal = rel.palette(image(spark, a))
     assert [r.c0 for r in pal.orderBy("idx").collect()] == seen
     assert array(rel.depalette(rel.to_indexed(image(spark, a), pal), pal)).tolist() == a
+
+
+def test_out_of_range_numbers_and_names_raise(spark):
+    from pyspark.sql import functions as F
+
+    from rasterloom.functions import registry
+
+    one = spark.range(1)
+    for bad in (ch.gamma_chunk(F.lit(42949.7)), ch.phys_chunk(F.lit(-1), F.lit(0), F.lit(0)), ch.phys_chunk(F.lit(1), F.lit(1 << 32), F.lit(0)), ch.offs_chunk(F.lit(1 << 31), F.lit(0), F.lit(0)), ch.frame_control_chunk(*map(F.lit, (0, 1, 1, 0, 0, 65536, 1, "none", "over")))):
+        with pytest.raises(Exception, match="outside"):
+            one.select(bad).collect()
+    with pytest.raises(Exception, match="none of"):
+        one.select(ch.frame_control_chunk(*map(F.lit, (0, 1, 1, 0, 0, 1, 1, "never", "over")))).collect()
+    for key in ("", "k" * 80):
+        with pytest.raises(Exception, match="1 to 79"):
+            one.select(ch.text_chunk(F.lit(key), F.lit("t"))).collect()
+    for name, flags in (("abcd", {}), ("ABcD", {}), ("abCd", {"safe": True}), ("aBcD", {}), ("aBCd", {}), ("a1Cd", {}), ("aBC", {})):
+        with pytest.raises(ValueError):
+            registry.ChunkKind(name, lambda d: d, **flags)
+    registry.register(registry.ChunkKind("auDi", lambda d: ch.read_uint(d, 0, 4), public=False, safe=True, position="after_PLTE"))
+    assert "auDi" in registry.registered() and one.select(registry.parsed("auDi", ch.uint(F.lit(77), 4)).alias("v")).first().v == 77
+    assert [r[0] for r in spark.createDataFrame([("gAMA",), ("auDi",), ("noNe",)], "t string").select(registry.position(F.col("t"))).collect()] == ["after_IHDR", "after_PLTE", "after_IDAT"]
+    with pytest.raises(KeyError):
+        registry.parsed("zzZz", F.lit(b""))
+
+
+def test_backgrounds_by_colour_type(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, 4, b"\0\3", None, [51]), (0, 16, b"\1\2", None, [256]), (4, 8, b"\0\7", None, [7]), (2, 8, b"\0\1\0\2\0\3", None, [1, 2, 3]), (3, 8, b"\1", [[9, 8, 7], [6, 5, 4]], [6, 5, 4]), (2, 8, b"\0\1", None, None), (0, 8, b"\0\1\0\2\0\3", None, None)]
+    df = spark.createDataFrame([(c, d, bytearray(b), p) for c, d, b, p, _ in rows], "color_type int, bit_depth int, data binary, palette array<array<bigint>>")
+    assert [r[0] for r in df.select(ch.background_color(*(F.col(c) for c in ("data", "color_type", "bit_depth", "palette")))).collect()] == [w for *_, w in rows]
+    assert [bytes(r[0]) if r[0] else None for r in spark.createDataFrame([([5],), ([1, 2, 3],)], "c array<int>").select(ch.background_chunk(F.col("c"), 1)).collect()] == [b"\0\5", None]
+    for color, body, want in ((0, b"\0\3", [51]), (2, b"\0\3", [])):
+        im = codec.decode(png(struct.pack(">IIBBBBB", 1, 1, 4 if color == 0 else 8, color, 0, 0, 0), [("bKGD", body), ("IDAT", zlib.compress(b"\0" + b"\0" * (1 if color == 0 else 3)))]))
+        assert im.background == want and bool(im.warnings) == (want == [])
+
+
+def test_chunk_tables(spark):
+    from rasterloom.operators import chunk_tables as ct
+
+    rows = [(1, 0, "IHDR", b"", "after_IHDR"), (1, 1, "gAMA", b"\0\0\0\1", "after_IHDR"), (1, 2, "gAMA", b"\0\0\0\2", "after_IHDR"), (1, 3, "tRNS", b"\0\1", "after_IDAT"), (1, 4, "pHYs", b"\0" * 8 + b"\7", "after_IHDR"), (2, 0, "tEXt", b"b\0B", "after_IDAT")]
+    chunks = spark.createDataFrame([(i, s, t, bytearray(d), p) for i, s, t, d, p in rows], "image_id long, seq int, type string, data binary, pos string")
+    got = {(r.image_id, r.seq, r.message) for r in ct.diagnostics(chunks, spark.createDataFrame([(1, 6)], "image_id long, color_type int")).collect()}
+    assert got == {(1, 2, "occurs more than once"), (1, 3, "stands after the pixel data"), (1, 3, "isn't expected in an image with alpha"), (1, 4, "has an unknown unit")}
+    whole = {r.image_id: r.chunks for r in ct.chunk_map(chunks).collect()}
+    assert [bytes(v) for v in whole[1]["gAMA"]] == [b"\0\0\0\1", b"\0\0\0\2"] and set(whole[2]) == {"tEXt"}
+    more = spark.createDataFrame([(2, "a", "Ä"), (3, "z", None)], "image_id long, keyword string, text string")
+    added = ct.add_text(ct.add_text(chunks, more, compressed=True), more)
+    assert [(r.image_id, r.type, r.keyword, r.text) for r in ct.texts(added).orderBy("image_id", "rank", "seq").collect() if r.text] == [(2, "tEXt", "b", "B"), (2, "tEXt", "a", "Ä"), (2, "zTXt", "a", "Ä")]
+    assert [(r.seq, r.pos) for r in added.where("image_id = 2").orderBy("seq").collect()] == [(0, "after_IDAT"), (1, "after_IDAT"), (2, "after_IDAT")]
+
+
+def test_files_with_chunks_from_tables(spark):
+    rows = spark.createDataFrame([(7, 0, [1.0, 2.0]), (8, 0, [3.0, 4.0])], "image_id long, y long, vals array<double>")
+    parts = [(7, 0, "IHDR", b"no", None), (7, 1, "prVt", b"x", "after_IHDR"), (7, 2, "gAMA", b"\0\0\0\1", None), (7, 3, "tRNS", b"\0\2", None), (7, 4, "tIME", b"\7\xd0\1\1\0\0\0", None)]
+    chunks = spark.createDataFrame([(i, s, t, bytearray(d), p) for i, s, t, d, p in parts], "image_id long, seq int, type string, data binary, pos string")
+    files = images.encode(rows, 1, chunks=chunks)
+    got = {i: [r.type for r in images.chunks(files).where(f"image_id = {i}").orderBy("seq").collect()] for i in (7, 8)}
+    assert got == {7: ["IHDR", "prVt", "gAMA", "tRNS", "IDAT", "tIME", "IEND"], 8: ["IHDR", "IDAT", "IEND"]}
+    assert {r.image_id: r["vals"] for r in images.rows(files).collect()} == {7: [1, 255, 2, 0], 8: [3, 4]}
+    assert {r.image_id: r["vals"] for r in images.rows(files, skip_ancillary=True).collect()} == {7: [1, 2], 8: [3, 4]}
+    assert {r.has_alpha for r in images.headers(files).collect()} == {True, False} and images.encode(rows, 1, chunks=chunks, skip_ancillary=True).where("image_id = 7").first().content == codec.encode_png(np.array([[[1.0], [2.0]]]))
+    rgba = spark.createDataFrame([(1, 0, [100.0, 100.0, 100.0, 0.0])], "image_id long, y long, vals array<double>")
+    assert images.rows(images.encode(rgba, 4, "bmp", background=[1, 2, 3])).first()["vals"] == [1, 2, 3]
