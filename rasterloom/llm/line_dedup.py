@@ -43,9 +43,10 @@ def keyed_lines(docs: DataFrame, least: int = 40) -> DataFrame:
     """(doc_id, row, h1, h2, at, first) of all lines with a key of at least `least` code points: at is the line's place, first whether the key is new in its row. Keys are sorted within the row, nothing is shuffled."""
     keys = F.transform(lines_of(), lambda line, i: F.struct(key_of(line).alias("key"), i.alias("at")))
     hashed = F.transform(F.filter(keys, lambda k: F.length(k["key"]) >= least), lambda k: F.struct(F.xxhash64(k["key"]).alias("h1"), F.xxhash64(F.lit(1), k["key"]).alias("h2"), k["at"].alias("at")))
-    kept = docs.select("doc_id", row_key().alias("row"), F.sort_array(hashed).alias("k")).where(F.size("k") > 0)
-    before = F.concat(F.array(F.lit(None).cast("struct<h1: bigint, h2: bigint, at: int>")), F.slice("k", 1, F.size("k") - 1))
-    rows = kept.select("doc_id", "row", F.explode(F.arrays_zip(F.col("k").alias("k"), before.alias("before"))).alias("z"))
+    kept = docs.select("doc_id", row_key().alias("row"), F.sort_array(hashed).alias("k"))
+    before = F.concat(F.array(F.lit(None).cast("struct<h1: bigint, h2: bigint, at: int>")), F.slice("k", 1, F.greatest(F.size("k") - 1, F.lit(0))))
+    # Rows without keys are left out after the explosion: before it, Spark would compute the keys twice.
+    rows = kept.select("doc_id", "row", F.explode(F.arrays_zip(F.col("k").alias("k"), before.alias("before"))).alias("z")).where("z.k is not null")
     again = (F.col("z.k.h1") == F.col("z.before.h1")) & (F.col("z.k.h2") == F.col("z.before.h2"))
     return rows.select("doc_id", "row", "z.k.h1", "z.k.h2", "z.k.at", (~F.coalesce(again, F.lit(False))).alias("first"))
 
