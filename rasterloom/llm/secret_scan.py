@@ -136,8 +136,9 @@ def listed(spans: list[Span]) -> str:
 def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """(doc_id, spans: array of kind, start, end, and whether of the base) of every row.
 
-    Positions are code points, ends exclusive. A null text is empty and has no spans;
-    repeated rows give repeated results.
+    Positions are code points, ends exclusive. A null text is empty and has no spans; a
+    long one is read whole, in time that follows its length and parts; repeated rows give
+    repeated results; further columns, also one named spans, are not read.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 

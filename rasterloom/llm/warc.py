@@ -75,7 +75,9 @@ def derive(responses: DataFrame) -> DataFrame:
     Columns: page_id, warc_type, record_id, refers_to, concurrent_to (null for
     conversions), target_uri, content_type, content_length, block_digest,
     source_digest (of the response's block), source_payload_digest, block, record.
-    Repeated responses give repeated records with equal identifiers.
+    Repeated responses give repeated records with equal identifiers. An empty payload gives
+    an empty conversion; payloads of any length are converted whole; further columns of
+    responses, also those named like columns of the records, are not read.
     """
     whole = F.concat("http_header", "payload")
     r = responses.withColumns({"source_digest": digest(whole), "source_payload_digest": digest(F.col("payload")), "text": plain_text(F.col("payload"))})

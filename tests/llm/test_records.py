@@ -166,6 +166,8 @@ def test_warc_records_link_and_keep_digests(spark):
     assert by[1, "metadata"].concurrent_to == by[1, "conversion"].record_id and "title: A & B" not in by[1, "metadata"].block and "title: A &amp; B\r\nsource-http: HTTP/1.1 200 OK\r\n" in by[1, "metadata"].block
     assert by[2, "conversion"].block == "" and by[4, "conversion"].block.startswith("word x word x")
     assert warc.derive(warc.responses_of(pages.limit(0))).count() == 0
+    clash = responses.selectExpr("*", "'x' as text", "1 as fields", "'y' as source_digest", "'z' as warc_type", "2 as block", "'w' as refers_to")
+    assert sorted(map(repr, warc.derive(clash).collect())) == sorted(map(repr, out))
 
 
 def base_slow(text):
@@ -199,6 +201,10 @@ def test_secrets_match_brute_force_and_link_only_with_complements(spark):
     assert {s.split(":")[0] for s in out[11].spans.split(",")} == {"link_id", "link_secret", "link_endpoint"}
     assert out[12].spans == "" and out[13].spans == "" and out[None].n_assign == 1
     assert secret_scan.scan(docs.limit(0)).count() == 0
+    twice = spark.createDataFrame([(9, SECRETS[9], "x", 1)] * 2, "doc_id long, text string, kind string, base int")
+    assert len({r.spans for r in secret_scan.digests(secret_scan.scan(twice)).collect()}) == 1
+    long = "word " * 200_000 + "user=admin at https://db.example.com/x uses Xy7aQpL93mNbVc02TrEw " + "word " * 200_000
+    assert [k for k, _, _ in secret_scan.linked_spans(long, [])] == ["link_id", "link_endpoint", "link_secret"]
 
 
 def test_tokens_inside_a_long_base_span_are_no_weak_candidates():
