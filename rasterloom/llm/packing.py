@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain, repeat
@@ -137,7 +136,14 @@ class WordEncoder:
         of = place[coded.indices.to_numpy()] if len(found) else place
         lens, starts = self.lens[of], self.starts[of]
         ends = np.cumsum(lens)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lens), lens)]
+        # Steps of one within a word and a jump at each beginning, summed up, are the places of all ids.
+        steps = np.ones(int(ends[-1]) if len(ends) else 0, np.int32)
+        some = np.flatnonzero(lens)
+        at, first, n = (ends - lens)[some], starts[some], lens[some]
+        if len(some):
+            steps[at] = np.diff(first, prepend=0)
+            steps[at[1:]] -= (n[:-1] - 1).astype(np.int32)
+        ids = self.flat[np.cumsum(steps, dtype=np.int32)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))])]
         counts = np.diff(bounds)
         if special.any():
@@ -176,19 +182,24 @@ def choose_cuts(pos: np.ndarray, penalty: np.ndarray, capacity: int, per_sequenc
         size *= 2
     at, pen = pos.tolist(), penalty.tolist()
     cost, back = [0.0] * n, [0] * n
-    queue: deque[tuple[float, int]] = deque()
+    # The queue: candidates by number, with rising cost[i] + at[i], its head at place `head`.
+    who, worth, head = [0] * n, [0.0] * n, 0
+    tail = -1
     for j in range(1, n):
-        value, here = cost[j - 1] + at[j - 1], at[j]
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, j - 1))
-        while at[queue[0][1]] < here - capacity:
-            queue.popleft()
-        best, by = queue[0]
-        best += capacity - here
-        for i in exact.get(j, ()):
-            if cost[i] < best:
-                best, by = cost[i], i
+        here = at[j]
+        value = cost[j - 1] + at[j - 1]
+        while tail >= head and worth[tail] >= value:
+            tail -= 1
+        tail += 1
+        who[tail], worth[tail] = j - 1, value
+        low = here - capacity
+        while at[who[head]] < low:
+            head += 1
+        best, by = worth[head] + capacity - here, who[head]
+        if j in exact:
+            for i in exact[j]:
+                if cost[i] < best:
+                    best, by = cost[i], i
         cost[j], back[j] = best + pen[j] + per_sequence, by
     cuts = [n - 1]
     while cuts[-1]:
@@ -272,7 +283,7 @@ def pack(docs: DataFrame, cfg: Packing) -> DataFrame:
         words = encoder(cfg.tokenizer, cfg.most_words)
         stream = _Stream(cfg, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 ids, counts = words.encode(part.column("text"))
                 stops = np.cumsum(counts)
                 ids = np.insert(ids, stops, cfg.end_id).astype(np.uint32)
