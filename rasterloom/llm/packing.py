@@ -40,7 +40,8 @@ class Packing:
 
     stretch: tokens without a candidate after which one between words is put in. block:
     tokens that are settled at once. least_exact: the shortest sequence that is weighed
-    for being a power of two. most_words: words that a worker remembers.
+    for being a power of two. most_words: words that a worker remembers. slice_bytes: text
+    that is encoded at once.
     """
 
     tokenizer: str
@@ -53,14 +54,16 @@ class Packing:
     block: int = 1 << 18
     least_exact: int = 256
     most_words: int = 900_000
+    slice_bytes: int = 8 << 20
 
 
 class WordEncoder:
     """Token ids of whole texts. White space separates words for this kind of tokenizer, so each distinct word is encoded once and remembered.
 
-    New words of letters, with at most one sign at their end, are encoded as lines of
-    many: their ids are told apart by the tokens that end words. A line in which a word
-    splits otherwise (as normalisation can make it) is encoded word by word.
+    New words of letters are encoded as lines of many: their ids are told apart by the
+    tokens that end words. A line in which a word splits otherwise (as normalisation can
+    make it) is encoded word by word. A word with a sign at its end is that word's ids and
+    the sign's.
     """
 
     def __init__(self, path: str, most_words: int):
@@ -82,6 +85,7 @@ class WordEncoder:
         apart = [i for p in parts for i in ids(p)]
         if ids(" ".join(parts)) != apart or ids("\n\t ".join(parts).upper() + " ") != apart or not any(t.endswith("</w>") for t in self.tokenizer.get_vocab()):
             raise ValueError(f"{path} isn't a tokenizer of lower-cased words with </w> at their ends")
+        self.signs = {s: ids(s) for s in sorted(_SIGNS) if all(ids(w + s) == ids(w) + ids(s) for w in ("a", "street", "naïve", "xqzw")) and len(ids(s)) == 1}
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
@@ -95,18 +99,31 @@ class WordEncoder:
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
 
     def _line(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same of words that should be letters and at most one sign."""
-        parts = np.fromiter((1 if w.isalpha() else 2 for w in words), np.int64, len(words))
+        """The same of words that should be letters."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.closing[ids]) + 1
-        if len(ends) != parts.sum():
-            return self._plain(words)
-        return ids, np.diff(ends[np.cumsum(parts) - 1], prepend=0)
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else self._plain(words)
+
+    def _signed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of known words with a sign behind each."""
+        of = np.fromiter((self.known[w[:-1]] for w in words), np.int64, len(words))
+        lens = self.lens[of]
+        ends = np.cumsum(lens + 1)
+        ids = np.empty(int(ends[-1]), np.uint32)
+        ids[ends - 1] = [self.signs[w[-1]][0] for w in words]
+        body = np.ones(len(ids), bool)
+        body[ends - 1] = False
+        ids[body] = self.flat[np.arange(int(lens.sum())) + np.repeat(self.starts[of] - (np.cumsum(lens) - lens), lens)]
+        return ids, lens + 1
 
     def learn(self, words: list[str]) -> None:
-        simple = [w.isalpha() or (w[-1:] in _SIGNS and w[:-1].isalpha()) for w in words]
-        easy, other = [w for w, s in zip(words, simple) if s], [w for w, s in zip(words, simple) if not s]
-        for part, encode in [*((easy[i : i + 500], self._line) for i in range(0, len(easy), 500)), *((other[i : i + 20_000], self._plain) for i in range(0, len(other), 20_000))]:
+        letters, signed, other = [], [], []
+        for w in words:
+            (letters if w.isalpha() else signed if w[-1:] in self.signs and w[:-1].isalpha() else other).append(w)
+        own = set(letters)
+        letters += dict.fromkeys(b for w in signed if (b := w[:-1]) not in self.known and b not in own)
+        groups = [(self._line, letters, 500), (self._plain, other, 20_000), (self._signed, signed, 100_000)]
+        for encode, part in ((f, ws[i : i + n]) for f, ws, n in groups for i in range(0, len(ws), n)):
             ids, lens = encode(part)
             n, k = len(ids), len(self.known)
             while self.used + n > len(self.flat):
@@ -283,7 +300,7 @@ def pack(docs: DataFrame, cfg: Packing) -> DataFrame:
         words = encoder(cfg.tokenizer, cfg.most_words)
         stream = _Stream(cfg, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40)
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", cfg.slice_bytes):
                 ids, counts = words.encode(part.column("text"))
                 stops = np.cumsum(counts)
                 ids = np.insert(ids, stops, cfg.end_id).astype(np.uint32)
