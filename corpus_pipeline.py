@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship(spark)
-    return packing.pack(docs, packing.Packing(public_tokenizers.path("word_bpe_49k.json"), most_words=400_000))  # workers still hold what the stages before remember
+    return packing.pack(docs, packing.Packing(public_tokenizers.path("word_bpe_49k.json"), most_words=400_000, slice_bytes=2 << 20))  # workers still hold what the stages before remember
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup_stage), ("simhash_dedup", simhash_dedup), ("decontamination", decontamination), ("packing", pack)]
