@@ -194,11 +194,11 @@ def _kernel(windows: np.ndarray, place: np.ndarray, table: np.ndarray, cfg: ToxC
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float) -> np.ndarray:
-    """Weights and bias of a linear SVM with squared hinge loss, by Newton steps. Rows are taken in blocks."""
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights and bias of a linear SVM with squared hinge loss, by Newton steps from start. Rows are taken in blocks."""
     n = x.shape[1] + 1
     wide = lambda at: np.hstack([x[at : at + 1024].astype(float), np.ones((len(x[at : at + 1024]), 1))])
-    w = np.zeros(n)
+    w = np.zeros(n) if start is None else start
     reg = np.full(n, ridge * cost.sum())
     reg[-1] = 1e-8
     for _ in range(30):
@@ -210,8 +210,8 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float) -> np.nda
             left += a.T @ block[m]
             right += a.T @ here[m]
         new = np.linalg.solve(left, right)
-        if np.allclose(new, w, atol=1e-7):
-            break
+        if np.allclose(new, w, rtol=1e-4, atol=1e-5):
+            return new
         w = new
     return w
 
@@ -292,12 +292,12 @@ def train(texts: list[str], toxic: list[int], cfg: ToxConfig = ToxConfig()) -> T
     root = vectors[:, keep] / np.sqrt(values[keep])
     mapped = lambda rows: np.concatenate([(_kernel(rows[i : i + 2048], place, table, cfg) @ root).astype(np.float32) for i in range(0, len(rows), 2048)])
     x1, x0 = mapped(pos), mapped(neg)
-    model = ToxModel(cfg, nothing, 0.0, 1.0, 0.0)
+    model, w = ToxModel(cfg, nothing, 0.0, 1.0, 0.0), None
     for turn in range(cfg.rounds):
         if turn:
             x0 = np.vstack([x0, mapped(np.concatenate([_hardest(model, g) for g in _groups(clean)]))])
         cost = np.concatenate([weight / weight.sum(), np.full(len(x0), 1.0 / len(x0))])
-        w = _svm(np.vstack([x1, x0]), np.concatenate([np.ones(len(x1)), -np.ones(len(x0))]), cost, cfg.ridge)
+        w = _svm(np.vstack([x1, x0]), np.concatenate([np.ones(len(x1)), -np.ones(len(x0))]), cost, cfg.ridge, w)
         folded = (table @ (root @ w[:-1])).astype(np.float32)
         model = ToxModel(cfg, np.where(place > 0, folded[place], 0).astype(np.float32), float(w[-1]), 1.0, 0.0)
     at = np.flatnonzero(held) if held.any() else fit
