@@ -16,7 +16,8 @@ from ..operators import geometry as geo
 from ..operators import pixels as px
 from ..operators import relations as rel
 from ..operators import stencil as st
-from ..sources import apng, images
+from ..session import place
+from ..sources import apng, datasource, images
 from ..sources import generators as gen
 from . import fixtures as fx
 
@@ -338,6 +339,17 @@ add("png_headers", lambda s, d: images.headers(images.encode(fx.tile_rows(s, d),
 add("chunk_list", lambda s, d: images.chunks(images.encode(fx.tile_rows(s, d), 1)).select("image_id", "seq", "type", "pos", "crc_ok"), "SELECT vec_id AS image_id, CAST(k AS INTEGER) AS seq, t AS type, p AS pos, true AS crc_ok FROM embeddings, (VALUES (0, 'IHDR', 'after_IHDR'), (1, 'IDAT', 'after_IDAT'), (2, 'IEND', 'after_IDAT')) c(k, t, p)")
 add("file_types", lambda s, d: images.formats(_mixed_files(s, d)), "SELECT vec_id AS image_id, ['png', 'bmp', 'unknown'][vec_id % 3 + 1] AS format FROM embeddings")
 add("decode_mixed", lambda s, d: rel.from_rows(images.rows(_mixed_files(s, d), errors="skip"), 3), f"{RGBA} SELECT {AT}, c0, c1, c2 FROM px WHERE image_id % 3 < 2")
+def _scanned(s: SparkSession, d: str) -> DataFrame:
+    """Files of up to 64 rows, saved to the shared folder and scanned by the data source."""
+    lines = fx.wall_rows(s, d).select(F.expr("y div 64").alias("image_id"), (F.col("y") % 64).alias("y"), "vals")
+    at = place(s, "scan")
+    images.save(images.encode(lines, 1, level=1), at)
+    datasource.register(s)
+    files = s.read.format("raster").load(at).withColumn("image_id", F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint"))
+    return rel.from_rows(files, 1)
+
+
+add("file_scan", _scanned, f"WITH {_E} SELECT vec_id // 64 AS image_id, vec_id % 64 AS y, p AS x, q AS c0 FROM s")
 add("palette_files_depths", lambda s, d: images.headers(images.encode(rel.to_rows(px.to_rgb(fx.rgba(s, d))), 3, level=1)).select("image_id", "color_type", "bit_depth", "has_alpha", "n_frames"), "SELECT vec_id AS image_id, 3 AS color_type, 8 AS bit_depth, false AS has_alpha, CAST(NULL AS INTEGER) AS n_frames FROM embeddings")
 
 

@@ -21,6 +21,12 @@ def wall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir).select(F.lit(0).cast("bigint").alias("image_id"), F.col("vec_id").alias("y"), F.col("p").alias("x"), F.col("q").alias("c0"))
 
 
+def wall_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the wall as arrays."""
+    q = F.transform("embedding", lambda v: F.floor((v.cast("double") + 1) * 127.5).cast("double"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"), q.alias("vals"))
+
+
 def sized_wall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wall with its size, which the table of vectors tells without their values."""
     size = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("h")).select(F.lit(0).cast("bigint").alias("image_id"), "h", F.lit(64).cast("bigint").alias("w"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -48,3 +52,43 @@ def ship(spark: SparkSession) -> None:
             out.write(p, f"{root.name}/{p.relative_to(root)}")
     spark.sparkContext.addPyFile(at)
     _SHIPPED.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see (spark.checkpoint.dir).
+
+    Only where the session has none and all of Spark runs in one process, as in tests, a
+    new one is set; elsewhere a session without one raises.
+    """
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+_CLEARED: set[str] = set()
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    """Delete a file or folder of any file system that Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder. All places of an application go when it ends."""
+    app = spark.sparkContext.applicationId
+    root = f"{shared_dir(spark)}/tables/{app}"
+    if app not in _CLEARED:
+        _CLEARED.add(app)
+
+        def clear() -> None:
+            with contextlib.suppress(Exception):  # Spark may be gone by then
+                delete(spark, root)
+
+        atexit.register(clear)
+    return f"{root}/{name}-{uuid.uuid4().hex}"

@@ -76,6 +76,13 @@ def chunks(files: DataFrame, skip_ancillary: bool = False, skip_crc: bool = Fals
     return files.select("image_id", "content").mapInArrow(run, CHUNKS)
 
 
+def _lines(im: codec.Image) -> list[pa.Array]:
+    """The y, channels and vals of an image's rows."""
+    h, w, n = im.samples.shape
+    vals = pa.ListArray.from_arrays(pa.array(np.arange(0, h * w * n + 1, w * n, dtype=np.int32)), pa.array(im.samples.reshape(-1).astype(float)))
+    return [pa.array(np.arange(h)), pa.array([n] * h, pa.int32()), vals]
+
+
 def rows(files: DataFrame, by: Sequence[str] = ("image_id",), skip_ancillary: bool = False, skip_crc: bool = False, errors: str = "raise") -> DataFrame:
     """The sample rows of files (by..., y, channels, vals); pixels follow by `relations.from_rows`. A broken file fails the query unless errors is skip.
 
@@ -87,10 +94,9 @@ def rows(files: DataFrame, by: Sequence[str] = ("image_id",), skip_ancillary: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, im, _ in _decoded(batch.column(len(by)).to_pylist(), mode, skip_ancillary=skip_ancillary, skip_crc=skip_crc):
-                h, w, n = im.samples.shape
-                vals = pa.ListArray.from_arrays(pa.array(np.arange(0, h * w * n + 1, w * n, dtype=np.int32)), pa.array(im.samples.reshape(-1).astype(float)))
-                ids = [pa.array([batch.column(k)[i].as_py()] * h, batch.schema.field(k).type) for k in range(len(by))]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.arange(h)), pa.array([n] * h, pa.int32()), vals], [*by, "y", "channels", "vals"])
+                lines = _lines(im)
+                ids = [pa.array([batch.column(k)[i].as_py()] * len(lines[0]), batch.schema.field(k).type) for k in range(len(by))]
+                yield pa.RecordBatch.from_arrays([*ids, *lines], [*by, "y", "channels", "vals"])
 
     return files.select(*by, "content").mapInArrow(run, schema)
 

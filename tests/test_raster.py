@@ -269,6 +269,19 @@ def test_broken_files():
         codec.decode(png(struct.pack(">IIBBBBB", 2, 3, 4, 2, 0, 0, 0), [("IDAT", b"")]))
 
 
+def test_level_1_takes_the_filter_that_deflates_best():
+    y, x = np.mgrid[:12, :30]
+    a = np.stack([(x * 5 + y * y) % 256, np.random.default_rng(3).integers(0, 9, x.shape)], -1)
+    wide = 1 + 30 * 2
+    by_kind = [filtered(a, 8, 2, [k], 0) for k in range(5)]
+    content = codec.encode_png(a, level=1)
+    stream = zlib.decompress(b"".join(body for kind, body, _ in codec.chunks_of(content) if kind == "IDAT"))
+    for at in range(0, 12 * wide, wide):
+        sizes = [len(zlib.compress(s[at + 1 : at + wide], 9)) for s in by_kind]
+        assert stream[at] == sizes.index(min(sizes)) and stream[at : at + wide] == by_kind[stream[at]][at : at + wide]
+    assert (codec.decode(content).samples == a).all()
+
+
 def test_bmp_round_trip_and_blending():
     a = np.random.default_rng(1).integers(0, 256, (3, 5, 3))
     assert (codec.decode(codec.encode_bmp(a)).samples == a).all()
@@ -294,6 +307,28 @@ def test_files_in_tables(spark, tmp_path):
             broken.collect()
 
 
+def test_data_source(spark, tmp_path):
+    from rasterloom.sources import datasource
+
+    datasource.register(spark)
+    rows = spark.createDataFrame([(i, y, [float(i), float(y)]) for i in range(5) for y in range(3)], "image_id long, y long, vals array<double>")
+    at = tmp_path / "in"
+    images.save(images.encode(rows, 1), str(at))
+    (at / "_notes.txt").write_bytes(b"not an image")
+    read = spark.read.format("raster").option("partition_bytes", "150").load(str(at))
+    assert read.rdd.getNumPartitions() > 1
+    assert sorted((r.path[-5:], r.y, r.channels, r.vals) for r in read.collect()) == [(f"{i}.png", y, 1, [i, y]) for i in range(5) for y in range(3)]
+    assert spark.read.format("raster").load(str(at / "3.png")).count() == 3
+    (at / "broken.png").write_bytes(b"junk")
+    assert spark.read.format("raster").option("errors", "skip").load(str(at)).count() == 15
+    with pytest.raises(Exception, match="Unknown image format"):
+        spark.read.format("raster").load(str(at)).collect()
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        spark.read.format("raster").load(str(tmp_path / "none")).collect()
+    (tmp_path / "empty").mkdir()
+    assert spark.read.format("raster").load(str(tmp_path / "empty")).count() == 0
+
+
 def test_stream_of_files(spark, tmp_path):
     from rasterloom.streaming.files import arriving_headers
 
