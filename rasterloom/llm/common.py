@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,54 +11,17 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete, place
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (spark.checkpoint.dir).
-
-    Only where the session has none and all of Spark runs in one process, as in tests, a
-    new one is set; elsewhere a session without one raises.
-    """
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-_CLEARED: set[str] = set()
-
-
-def _delete(spark: SparkSession, at: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _place(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder. All places of an application go when it ends."""
-    app = spark.sparkContext.applicationId
-    root = f"{shared_dir(spark)}/tables/{app}"
-    if app not in _CLEARED:
-        _CLEARED.add(app)
-
-        def clear() -> None:
-            with contextlib.suppress(Exception):  # Spark may be gone by then
-                _delete(spark, root)
-
-        atexit.register(clear)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str, by: str | None = None, compression: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder, in folders by a column if given, and read it back: lineage ends there."""
     spark = df.sparkSession
-    at = _place(spark, name)
+    at = place(spark, name)
     (df.write.partitionBy(by) if by else df.write).parquet(at, compression=compression)
     out = spark.read.schema(df.schema).parquet(at)
     out._stored = (at, None)
@@ -77,7 +36,7 @@ def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFra
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
-    at, table = _place(spark, name), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    at, table = place(spark, name), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", at).saveAsTable(table)
     out = spark.table(table)
     out._stored = (at, table)
@@ -90,7 +49,7 @@ def release(*tables: DataFrame) -> None:
         at, table = df._stored
         if table:
             df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
-        _delete(df.sparkSession, at)
+        delete(df.sparkSession, at)
 
 
 def join_hot_apart(rows: DataFrame, told: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
