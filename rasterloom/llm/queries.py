@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, packing, secret_scan, simhash, telephony, toxicity, url_filters, warc
+from . import decontaminate, hard_negatives, langid, line_dedup, mixing, packing, prefix_trie, secret_scan, simhash, telephony, toxicity, url_filters, warc
 from .common import crc_of_id, materialize, table
 
 
@@ -70,6 +70,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(v.select("vec_id", label.alias("label"), hard_negatives.whole_components().alias("vec")), F.col("vec_id") % 100 == 0)
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    shared = F.crc32(c.cast("string")) % 6
+    return prefix_trie.trie(prefix_trie.with_shared_heads(prefix_trie.turns_of(table(spark, sf_dir, "conversations")), c - c % 100, shared, 5))
+
+
 def _sql_text(expression: str) -> str:
     """The plain text of a page, in SQL."""
     lit = lambda s: "'" + s.replace("'", "''") + "'"
@@ -140,7 +156,39 @@ b AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - k + 2), l
 n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
 SELECT doc_id, item_id, count(*) / n_shingles AS containment, count(*) AS n_shared, n_shingles FROM s JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles"""
 
+_NEGATIVES_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT a.vec_id AS aid, b.vec_id AS bid, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s FROM r a JOIN r b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+pos AS (SELECT aid, bid AS pid, s AS ps FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY aid ORDER BY s DESC, bid) <= 5),
+neg AS (SELECT pos.aid, pid, ps, bid, s, row_number() OVER (PARTITION BY pos.aid, pid ORDER BY s DESC, bid) AS rank FROM pos JOIN p ON p.aid = pos.aid AND NOT same AND 80 * ps <= 100 * s AND s <= ps)
+SELECT aid AS anchor_id, pid AS positive_id, CAST(rank AS INTEGER) AS rank, bid AS negative_id, ps AS positive_score, s AS negative_score FROM neg WHERE rank <= 5"""
+
+_MIX_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w FROM d GROUP BY source),
+lv(k, level) AS (SELECT 0, (SELECT 1.5::DOUBLE * sum(source_size) / sum(w) FROM s)
+  UNION ALL SELECT lv.k + 1, (1.5::DOUBLE * sum(source_size) - coalesce(sum(2 * source_size) FILTER (w * level > 2 * source_size), 0)) / nullif(sum(w) FILTER (w * level <= 2 * source_size), 0) FROM lv, s WHERE lv.k < 24 GROUP BY lv.k, level),
+t AS (SELECT source, source_size, CASE WHEN w * level > 2 * source_size THEN CAST(2 * source_size AS DOUBLE) ELSE w * level END AS target FROM s, (SELECT max(level) AS level FROM lv)),
+u AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM t),
+c AS (SELECT d.*, source_size, target, passes, CAST(floor(target) AS BIGINT) - passes * source_size AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY d.source, h) AS tie FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(passes * size + CASE WHEN rest <= 0 THEN 0 WHEN upto <= rest THEN size WHEN upto - tie < rest THEN size * (rest - (upto - tie)) // tie ELSE 0 END AS BIGINT) AS taken FROM c"""
+
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST({c} AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST({c} AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT))), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+_TRIE_SQL = f"""
+WITH o AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, length(coalesce(text, '')) AS n, turn FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) AS pos FROM o),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC.format(c='conv_id')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (SELECT h.conv_id, pos, t, n FROM h JOIN k ON k.conv_id = base AND pos <= h UNION ALL SELECT h.conv_id, pos, t, n FROM h JOIN k USING (conv_id) WHERE pos > h),
+p AS (SELECT h.conv_id, list(t ORDER BY pos) FILTER (t IS NOT NULL) AS t, list(n ORDER BY pos) FILTER (t IS NOT NULL) AS n FROM h LEFT JOIN r USING (conv_id) GROUP BY h.conv_id),
+m AS (SELECT conv_id, d, coalesce(array_to_string(t[1:d], ''), '') AS key, n[d] AS len, d = coalesce(len(t), 0) AS ended FROM p, unnest(range(0, coalesce(len(t), 0) + 1)) u(d)),
+x AS (SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(max(len), 0) AS len, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256 FROM m GROUP BY key, d),
+c AS (SELECT substr(key, 1, 32 * (d - 1)) AS key, count(*) AS n FROM x WHERE d > 0 GROUP BY ALL),
+y AS (SELECT x.*, coalesce(c.n, 0) AS n_children FROM x LEFT JOIN c USING (key)),
+z AS (SELECT substr(key, 1, 32 * e) AS key, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * len) AS BIGINT) AS saved_tokens FROM y, unnest(range(0, d + 1)) u(e) GROUP BY ALL)
+SELECT y.conv_id, CAST(y.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, y.n_convs, y.n_children, n_leaves, saved_tokens, y.ends_sha256 FROM y JOIN z USING (key) LEFT JOIN x up ON y.d > 0 AND up.key = substr(y.key, 1, 32 * (y.d - 1))"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_telephony, op3_toxicity, op4_url_filter, op5_warc_derivatives, op6_line_dedup, op7_packing, op8_simhash, op9_secret_scan, op10_decontamination)
+    f.__name__: f for f in (op1_language_id, op2_telephony, op3_toxicity, op4_url_filter, op5_warc_derivatives, op6_line_dedup, op7_packing, op8_simhash, op9_secret_scan, op10_decontamination, op11_hard_negatives, op12_mixing, op13_prefix_trie)
 }
-ORACLES: dict[str, str] = {"op4_url_filter": _url_sql(), "op5_warc_derivatives": _warc_sql(), "op6_line_dedup": _LINES_SQL, "op10_decontamination": _LEAKS_SQL}
+ORACLES: dict[str, str] = {"op4_url_filter": _url_sql(), "op5_warc_derivatives": _warc_sql(), "op6_line_dedup": _LINES_SQL, "op10_decontamination": _LEAKS_SQL, "op11_hard_negatives": _NEGATIVES_SQL, "op12_mixing": _MIX_SQL, "op13_prefix_trie": _TRIE_SQL}
