@@ -32,6 +32,8 @@ from .common import broadcast_if, materialize
 
 #: Turns that a bucket of subtries is meant to hold, and more than which a first turn's conversations are dealt by the next.
 BUCKET_TURNS = 50_000
+#: Smaller tables have buckets of their turns over the number of partitions, but of this many at least.
+LEAST_TURNS = 1_000
 _D = 16
 NODE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
 
@@ -144,6 +146,8 @@ def trie(turns: DataFrame, bucket_turns: int = BUCKET_TURNS) -> DataFrame:
     total, n_convs, least, at_root = paths.agg(F.sum(length) / _D, F.sum("n"), F.min("conv_id"), F.max(F.when(length == 0, F.col("ends")))).first()
     if n_convs is None:
         return spark.createDataFrame([], NODE)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucket_turns = min(bucket_turns, max(LEAST_TURNS, int(total) // partitions))
     live, parts, cuts, cut = paths.where(length > 0), [], [], 1
     while True:
         # what a subtrie below this cut holds; a path that many share was counted once
@@ -160,7 +164,7 @@ def trie(turns: DataFrame, bucket_turns: int = BUCKET_TURNS) -> DataFrame:
     dealt = parts[0]
     for p in parts[1:]:
         dealt = dealt.unionByName(p)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // bucket_turns))
+    buckets = max(partitions, -(-int(total) // bucket_turns))
     first = F.substr(F.col("path"), F.lit(1), F.col("cut") * _D)
     nodes = dealt.withColumn("bucket", F.pmod(F.xxhash64(first), F.lit(buckets)).cast("int")).groupBy("bucket").applyInPandas(_built, f"{NODE}, top binary")
     nodes = materialize(nodes, "subtries")
