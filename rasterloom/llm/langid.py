@@ -130,9 +130,13 @@ def _cluster(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 
 def fit(train: DataFrame, cfg: LangConfig = LangConfig()) -> LangModel:
-    """A model of the rows (text, lang) with a lang and a letter. None of them: a model that knows no language."""
+    """A model of the rows (text, lang) with a lang and a letter. None of them: a model that knows no language.
+
+    Texts are chosen by a hash, so those that occur in many rows of a language count once
+    in its sample, and its share is set by the number of different texts.
+    """
     train = train.select("text", "lang").where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(cfg.max_langs).collect()}
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(cfg.max_langs).collect()}
     dims = cfg.dims
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,11 +157,12 @@ def fit(train: DataFrame, cfg: LangConfig = LangConfig()) -> LangModel:
     if not sizes:
         return LangModel(idf, np.zeros((0, dims)), [], np.zeros((0, 1)), np.zeros(1))
     each = max(1, cfg.max_train_rows // len(sizes))
-    shares = train.sparkSession.createDataFrame([(lang, min(1.0, 1.25 * each / n)) for lang, n in sizes.items()], "lang string, share double")
+    shares = train.sparkSession.createDataFrame([(lang, min(1.0, 1.25 * each / max(1, n))) for lang, n in sizes.items()], "lang string, share double")
     order = (F.xxhash64("text") / F.lit(2.0**64) + 0.5) / F.col("share")
     chosen = train.join(F.broadcast(shares), "lang").withColumn("order", order).where("order < 1").select("lang", "order", F.substring("text", 1, cfg.max_train_chars).alias("text"))
+    chosen = chosen.groupBy("lang", "order").agg(F.min("text").alias("text"))  # a row for each different text, combined before the shuffle
     rows = chosen.orderBy("order", "lang", "text").limit(cfg.max_train_rows).toPandas()
-    rows = rows[[has_letter(t) for t in rows["text"]]].sort_values(["lang", "order", "text"])
+    rows = rows[np.array([has_letter(t) for t in rows["text"]], bool)].sort_values(["lang", "order", "text"])
     centroids, langs, loose, held = [], [], [], []
     for lang, own in rows.groupby("lang"):
         texts = own["text"].tolist()
