@@ -364,13 +364,18 @@ def sample(labels: DataFrame, cfg: ToxConfig = ToxConfig()) -> DataFrame:
 
 
 def fit(labelled: DataFrame, cfg: ToxConfig = ToxConfig()) -> ToxModel:
-    """A model of rows (text, toxic), of which at most cfg.max_train_rows are sampled, each cut at cfg.max_train_chars."""
+    """A model of rows (text, toxic), of which at most cfg.max_train_rows are sampled, each cut at cfg.max_train_chars.
+
+    Texts are chosen by a hash, so those that occur in many rows of a label count once in
+    its sample, and its share is set by the number of different texts.
+    """
     rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and text is not null")
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     each = cfg.max_train_rows // 2
     share = F.when(F.col("toxic") == 1, min(1.0, 1.25 * each / max(1, sizes.get(1, 0)))).otherwise(min(1.0, 1.25 * each / max(1, sizes.get(0, 0))))
     order = (F.xxhash64("text") / F.lit(2.0**64) + 0.5) / share
     cut = rows.withColumns({"order": order, "text": F.substring("text", 1, cfg.max_train_chars)}).where("order < 1")
+    cut = cut.groupBy("toxic", "order").agg(F.min("text").alias("text"))  # a row for each different text, combined before the shuffle
     sample = cut.orderBy("order", "text", "toxic").limit(cfg.max_train_rows).collect()
     return train([r["text"] for r in sample], [r["toxic"] for r in sample], cfg)
 
