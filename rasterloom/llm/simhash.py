@@ -176,6 +176,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if not twice.isEmpty():
         twice = broadcast_if(twice, twice.count(), 24)
         columns = list(at.values())
-        one = kept.join(twice, by, "left_semi").groupBy(*by).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("one")).select("one.*")
+        one = kept.join(twice, by, "left_semi").groupBy(*by).agg(F.min_by(F.struct(*columns), F.xxhash64(*(F.to_json(F.struct(c)) if "map<" in own.schema[c].dataType.simpleString() else F.col(c) for c in columns))).alias("one")).select("one.*")
         kept = kept.join(twice, by, "left_anti").select(*columns).unionByName(one)
     return kept.select(*at.values()).toDF(*names)
