@@ -77,10 +77,15 @@ def derive(responses: DataFrame) -> DataFrame:
     source_digest (of the response's block), source_payload_digest, block, record.
     Repeated responses give repeated records with equal identifiers. An empty payload gives
     an empty conversion; payloads of any length are converted whole; further columns of
-    responses, also those named like columns of the records, are not read.
+    responses, also those named like columns of the records, are not read. A null header,
+    payload or address is an empty one, a null date DATE; a response without an identifier
+    gets one of its page_id, address and block.
     """
+    r = responses.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in (("http_header", ""), ("payload", ""), ("target_uri", ""), ("date", DATE))})
     whole = F.concat("http_header", "payload")
-    r = responses.withColumns({"source_digest": digest(whole), "source_payload_digest": digest(F.col("payload")), "text": plain_text(F.col("payload"))})
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    r = r.withColumn("record_id", F.coalesce("record_id", urn(F.lit("response"), page, F.col("target_uri"), F.sha2(whole, 256))))
+    r = r.withColumns({"source_digest": digest(whole), "source_payload_digest": digest(F.col("payload")), "text": plain_text(F.col("payload"))})
     r = r.withColumns({"conversion_id": urn(F.lit("conversion"), F.col("record_id")), "metadata_id": urn(F.lit("metadata"), F.col("record_id"))})
     title = F.trim(F.regexp_replace(F.regexp_extract("payload", "(?is)<title[^>]*>([^<]*)", 1), "[ \\t\\r\\n]+", " "))
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
