@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,21 @@ def materialize(df: DataFrame, name: str, by: str | None = None, compression: st
     return out
 
 
+@contextmanager
+def reading_in_order(spark: SparkSession):
+    """Within it, Spark knows that the files of bucketed tables are sorted. The session's setting comes back after it."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
     """The same in buckets by the keys, each sorted by them: tables of as many buckets are joined on the keys as they lie.
 
@@ -35,7 +51,6 @@ def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFra
     many shuffle partitions or a join of such tables leaves it: a bucket is one file then.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
     at, table = place(spark, name), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", at).saveAsTable(table)
     out = spark.table(table)

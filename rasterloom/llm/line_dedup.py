@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, join_hot_apart, materialize, release
+from .common import bucketed, join_hot_apart, materialize, reading_in_order, release
 
 SPACE = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
@@ -79,7 +79,7 @@ class LineRuns:
     """
 
     def __init__(self, spark: SparkSession, fan_in: int = 3, buckets: int | None = None):
-        self.fan_in, self.buckets = fan_in, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark, self.fan_in, self.buckets = spark, fan_in, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[Run]] = []
 
     def runs(self) -> list[Run]:
@@ -96,6 +96,10 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch: its new keys as a run, its other counts to the runs that hold the keys; then compact full levels."""
+        with reading_in_order(self.spark):
+            self._add(lines)
+
+    def _add(self, lines: DataFrame) -> None:
         batch = self._stored(counted(lines), "line-batch")
         if self.runs():
             new = self._stored(self.new_only(batch), "line-run")
@@ -116,7 +120,17 @@ class LineRuns:
             # Grouping keeps the runs' buckets together: as all are dealt alike, nothing is shuffled.
             rows = reduce(DataFrame.unionByName, [r.whole() for r in full]).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
             self._put(level + 1, Run(self._stored(rows, f"line-level-{level + 1}")))
-            release(*(r.keys for r in full))
+            self._drop(full)
+
+    def _drop(self, gone: list[Run]) -> None:
+        """Delete runs, and the counts beside them that no other run needs."""
+        held = {id(a) for run in self.runs() for a in run.again}
+        release(*(run.keys for run in gone), *{id(a): a for run in gone for a in run.again if id(a) not in held}.values())
+
+    def clear(self) -> None:
+        """Delete all runs."""
+        gone, self.levels = self.runs(), []
+        self._drop(gone)
 
     def held(self, min_docs: int) -> DataFrame:
         """The keys of the runs that at least min_docs rows hold."""
@@ -135,7 +149,9 @@ def repeated(docs: DataFrame, least: int = 40, min_docs: int = 5, batches: int =
     lines = materialize(keyed_lines(docs, least).withColumn("batch", F.pmod(F.xxhash64("doc_id", "row"), F.lit(batches)).cast("int")), "line-keys", "batch")
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b))
-    often = materialize(runs.held(min_docs), "line-often")
+    with reading_in_order(docs.sparkSession):
+        often = materialize(runs.held(min_docs), "line-often")
+    runs.clear()
     once = join_hot_apart(lines.select("doc_id", "row", *KEY, "at"), often, KEY, "n_docs", lines.count()).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     return once.groupBy("doc_id", "row").agg(F.collect_set("at").alias("drop"))
 
@@ -157,8 +173,10 @@ def first_seen(spark: SparkSession, batches: list[DataFrame], least: int = 40) -
     runs, out = LineRuns(spark), []
     for docs in batches:
         lines = materialize(keyed_lines(docs, least), "line-batch")
-        out.append(materialize(runs.new_only(lines), "line-new"))
+        with reading_in_order(spark):
+            out.append(materialize(runs.new_only(lines), "line-new"))
         runs.add(lines)
+    runs.clear()
     return out
 
 
