@@ -196,3 +196,51 @@ def test_one_label_or_none(spark):
         model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
         assert [r.score < 0.7 for r in toxicity.score(docs, model).collect()] == [True, True]
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+ENGLISH = "the quick brown fox and the other animals were walking through the forest when it began to rain on them"
+GERMAN = "der schnelle Fuchs und die anderen Tiere gingen durch den Wald als es anfing zu regnen und sie nass wurden"
+
+
+def test_rows_with_one_text_count_once_in_the_language_sample(spark):
+    from pyspark.sql import functions as F
+
+    same = spark.range(10_000).select(F.lit(ENGLISH).alias("text"), F.lit("en").alias("lang"))
+    model = langid.fit(same)
+    assert set(model.langs) == {"en"} and model.predict([ENGLISH])[0] == ["en"]
+    german = spark.createDataFrame([(f"{GERMAN} {i} {GERMAN[i : i + 40]}", "de") for i in range(50)], "text string, lang string")
+    model = langid.fit(same.unionByName(german))
+    assert set(model.langs) == {"en", "de"} and model.predict([ENGLISH, GERMAN, ENGLISH[20:60]])[0] == ["en", "de", "en"]
+
+
+def test_stages_run_on_a_table_of_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.lit(ENGLISH).alias("text"), F.lit("en").alias("lang"))
+    assert langid.known_language(docs, docs).count() == 2_000
+
+
+def test_predictions_are_those_of_the_nearest_centroid(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.select("text").collect() if r.text and langid.has_letter(r.text)][:80]
+    langs, score, _ = model.predict(texts)
+    for text, lang, value in zip(texts, langs, score):
+        counts = langid.counts_of([text], len(model.idf))[0].astype(float)
+        x = np.array(langid.vectors_of([text], model.idf))[0].astype(float)
+        near = [float(x @ c) / np.linalg.norm(c) for c in model.centroids.astype(float)]
+        best = int(np.argmax(near))
+        assert model.langs[best] == lang and abs(min(max(near[best], 0), 1) - value) < 1e-4
+        assert abs(np.linalg.norm(x) - 1) < 1e-4 and ((x > 0) == (counts > 0)).all()
+
+
+def test_rows_with_one_text_count_once_in_the_toxicity_sample(spark):
+    from pyspark.sql import functions as F
+
+    same = spark.range(10_000).select(F.lit("you are a complete blorkhead, go away").alias("text"), F.lit(1).alias("toxic"))
+    rng = random.Random(2)
+    words = "sun rain walk talk house green river stone bread water light paper".split()
+    clean = spark.createDataFrame([(" ".join(rng.choices(words, k=12)), 0) for _ in range(50)], "text string, toxic int")
+    model = toxicity.fit(same.unionByName(clean))
+    scores = model.score(model.values(["what a blorkhead", "you are a complete blorkhead, go away", "river stone and green bread"]))
+    assert scores[1] > scores[2]

@@ -86,9 +86,12 @@ def test_runs_are_merged_as_they_lie(spark):
     for a in (0, 500, 1000, 1500):
         runs.add(make(a, a + 700))
     batch = d.bucketed(d.counted(make(1900, 2600)), "line-batch", d.KEY, runs.buckets)
-    for df in (runs.new_only(batch), runs.held(1)):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    from rasterloom.llm.common import reading_in_order
+
+    with reading_in_order(spark):
+        for df in (runs.new_only(batch), runs.held(1)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
     assert runs.new_only(batch).count() == 400 and runs.held(1).count() == 2200
 
 
@@ -111,3 +114,13 @@ def test_long_documents_of_shared_lines_take_linear_time(spark):
 
     assert sorted(r[0] for r in d.deduplicated(docs).select(F.size("kept")).collect()) == [0, 0, 0, 0, 0, 20_000]
     assert time.time() - began < 60
+
+
+def test_no_table_and_no_setting_is_left(spark):
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before, tables = spark.conf.get(key, None), {t.name for t in spark.catalog.listTables()}
+    docs = spark.createDataFrame([(i, f"one long line that every document of this table holds\nline {i} of its own, which is long as well") for i in range(60)], "doc_id long, text string")
+    assert d.deduplicated(docs, batches=5).where("size(kept) < 2").count() == 59
+    batches = [docs.where(f"doc_id % 4 = {k}") for k in range(4)]
+    assert [x.count() for x in d.first_seen(spark, batches)][1:] == [15, 15, 15]
+    assert spark.conf.get(key, None) == before and {t.name for t in spark.catalog.listTables()} == tables

@@ -270,3 +270,12 @@ def test_scan_of_documents_matches_brute_force(spark, sf):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r.doc_id: r.base_sha256 for r in op9_secret_scan(spark, sf).collect()}
     assert got == {d: hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base_slow(t)).encode()).hexdigest() for d, t in docs.items()}
+
+
+def test_responses_with_nulls_have_records_and_identifiers_of_their_own(spark):
+    rows = [(1, None, None, None, None, None), (2, None, None, None, None, None), (3, None, "http://a/", None, "HTTP/1.1 200 OK\r\n\r\n", "<p>x"), (4, "<urn:uuid:1>", None, "2020-01-01T00:00:00Z", None, "<p>y")]
+    got = warc.derive(spark.createDataFrame(rows, "page_id long, record_id string, target_uri string, date string, http_header string, payload string")).collect()
+    assert len(got) == 8 and len({r.record_id for r in got}) == 8
+    assert all(r.record is not None and r.block is not None and r.refers_to and r.source_digest and r.target_uri is not None for r in got)
+    assert {r.refers_to for r in got if r.page_id == 4} == {"<urn:uuid:1>"}
+    assert {r.page_id: r.block for r in got if r.warc_type == "conversion"} == {1: "", 2: "", 3: "x", 4: "y"}

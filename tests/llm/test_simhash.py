@@ -93,3 +93,8 @@ def test_keep_one_with_nulls_ties_and_extra_columns(spark):
     assert sorted((r.doc_id, r.text) for r in simhash.keep_one(shared).collect()) == [(5, other), (5, text)]
     assert simhash.keep_one(docs.limit(0)).count() == 0
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_one_with_columns_of_maps(spark):
+    docs = spark.createDataFrame([(1, "the same text", {"a": 1}, [{"b": 2}])] * 3 + [(2, "the same text", {"a": 1, "c": 3}, []), (3, "quite another one", None, None)], "doc_id long, text string, tags map<string,int>, more array<map<string,int>>")
+    assert sorted((r.doc_id, r.tags) for r in simhash.keep_one(docs).collect()) == [(1, {"a": 1}), (3, None)]
