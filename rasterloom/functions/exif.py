@@ -7,6 +7,8 @@ TIFF specification in either byte order, signed types and rationals included.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,11 +95,28 @@ def _text(tag: Column, kind: Column, raw: Column, numbers: Column, little: Colum
     return out
 
 
+#: What users add: (directory, tag) to a name and a decoder of (raw, numbers, little-endian) to a string column.
+Decoder = Callable[[Column, Column, Column], Column]
+_ADDED: dict[tuple[str, int], tuple[str, Decoder | None]] = {}
+
+
+def register(ifd: str, tag: int, name: str, decode: Decoder | None = None) -> None:
+    """A field of the user's own, or another name or decoder for a known one: `fields` gives its name, and what decode tells as its text. A number that is no tag, or a directory that isn't one, raises."""
+    if ifd not in ("IFD0", "ExifIFD", "GPS_IFD", "IFD1") or not 0 <= tag <= 0xFFFF:
+        raise ValueError("a directory is IFD0, ExifIFD, GPS_IFD or IFD1, a tag between 0 and 65535")
+    _ADDED[ifd, tag] = (name, decode)
+
+
+def unregister(ifd: str, tag: int) -> None:
+    _ADDED.pop((ifd, tag), None)
+
+
 def fields(blocks: DataFrame, data: str = "data", names: dict[str, dict[int, str]] | None = None) -> DataFrame:
     """A row for each field of the blocks in column `data`, beside the other columns of the table.
 
     Columns: ifd, seq (its place in the directory), tag, name, type, count, numbers,
-    text, raw. names adds names of tags by directory; others are `Unknown <tag>`. Null
+    text, raw. names adds names of tags by directory; fields of `register` have its names
+    and texts; others are `Unknown <tag>`. Null
     blocks, blocks without a TIFF header and empty directories give no rows; a value
     beyond the block's end or of an unknown type is null. Rows of a block that repeats
     repeat. Columns of the table that have one of the names above are replaced.
@@ -120,10 +139,14 @@ def fields(blocks: DataFrame, data: str = "data", names: dict[str, dict[int, str
     at = at.select("_rest", "_le", "ifd", F.col("seq").cast("bigint").alias("seq"), F.col("_e.tag").alias("tag"), F.col("_e.type").alias("type"), F.col("_e.count").alias("count"), _bytes(d, start, size).alias("raw"))
     some = F.col("raw").isNotNull() & (F.col("count") > 0) & (F.col("type") != 2)
     at = at.withColumn("numbers", F.when(some, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1), lambda i: _value(F.col("raw"), F.col("type"), i, le))))
-    known = {ifd: NAMES.get(ifd, {}) | (names or {}).get(ifd, {}) for ifd in ("IFD0", "ExifIFD", "GPS_IFD", "IFD1")}
+    known = {ifd: NAMES.get(ifd, {}) | {t: n for (i, t), (n, _) in _ADDED.items() if i == ifd} | (names or {}).get(ifd, {}) for ifd in ("IFD0", "ExifIFD", "GPS_IFD", "IFD1")}
     named = F.create_map(*[F.lit(x) for ifd, tags in known.items() for t, n in tags.items() for x in (f"{ifd} {t}", n)])
     name = F.coalesce(F.try_element_at(named, F.concat_ws(" ", "ifd", F.col("tag").cast("string"))), F.concat(F.lit("Unknown "), F.col("tag").cast("string")))
-    at = at.withColumns({"name": name, "text": _text(F.col("tag"), F.col("type"), F.col("raw"), F.col("numbers"), le)})
+    text = _text(F.col("tag"), F.col("type"), F.col("raw"), F.col("numbers"), le)
+    for (ifd, tag), (_, decode) in _ADDED.items():
+        if decode is not None:
+            text = F.when((F.col("ifd") == ifd) & (F.col("tag") == tag), decode(F.col("raw"), F.col("numbers"), le)).otherwise(text)
+    at = at.withColumns({"name": name, "text": text})
     return at.select(*(F.col("_rest").getField(c).alias(c) for c in blocks.columns if c != data and c not in own), *own)
 
 

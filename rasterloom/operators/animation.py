@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chunks import BLEND, DISPOSE
+
 
 def delay() -> Column:
     """Seconds of a frame; a denominator of 0 counts as 100."""
@@ -39,7 +40,30 @@ def push_frame(frames: DataFrame, frame: DataFrame) -> DataFrame:
     return frames.unionByName(frame.join(last, "image_id").select(frames.columns))
 
 
-def cropped(frames: DataFrame, pixels: DataFrame, w: int, h: int) -> tuple[DataFrame, DataFrame]:
+#: What a frame that is pushed has unless it is told.
+PUSHED = {"x_off": 0, "y_off": 0, "delay_num": 1, "delay_den": 24, "dispose": "none", "blend": "source"}
+
+
+def push(frames: DataFrame, pixels: DataFrame, new: DataFrame, new_pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """frames and pixels with a frame more for each image of new (image_id, w, h, and any of PUSHED), its pixels (image_id, y, x, c0...) cut to the canvas.
+
+    The canvas is the first frame. A frame that is larger, has other channels, a delay that
+    isn't between 0 and 65535, or an unknown way of disposal or blending raises; what lies
+    outside is as of `cropped`.
+    """
+    own = [c for c in pixels.columns if c not in ("image_id", "frame", "y", "x")]
+    if [c for c in new_pixels.columns if c not in ("image_id", "y", "x")] != own:
+        raise ValueError("a pushed frame has the channels of the others")
+    ok = F.col("delay_num").between(0, 0xFFFF) & F.col("delay_den").between(0, 0xFFFF) & F.col("dispose").isin(*DISPOSE) & F.col("blend").isin(*BLEND)
+    after = frames.groupBy("image_id").agg((F.max("frame") + 1).alias("frame"), F.max(F.when(F.col("frame") == 0, F.struct("w", "h"))).alias("_canvas"))
+    told = new.select("image_id", "w", "h", *(F.coalesce(c, F.lit(v)).alias(c) if c in new.columns else F.lit(v).alias(c) for c, v in PUSHED.items())).join(after, "image_id")
+    told = told.where(F.when(ok, True).otherwise(F.raise_error(F.lit("a delay or an operation of a pushed frame is out of range")).cast("boolean")))
+    told = told.select(*(F.col(c).cast(frames.schema[c].dataType).alias(c) for c in frames.columns), "_canvas")
+    cut, kept = cropped(told, new_pixels.join(after.select("image_id", "frame"), "image_id").select("image_id", "frame", "y", "x", *own), F.col("_canvas.w"), F.col("_canvas.h"))
+    return frames.unionByName(cut.select(frames.columns)), pixels.unionByName(kept.select(pixels.columns))
+
+
+def cropped(frames: DataFrame, pixels: DataFrame, w: int | Column, h: int | Column) -> tuple[DataFrame, DataFrame]:
     """Frames with offsets of any sign, and their pixels (image_id, frame, y, x, c0...), cut to a canvas of w x h.
 
     A frame that is larger than the canvas raises. One that lies outside becomes a
@@ -87,13 +111,6 @@ def set_offset(frames: DataFrame, n: int, x: int, y: int) -> DataFrame:
     return df.withColumns({c: F.when(here, F.coalesce(moved, F.lit(v)).cast(frames.schema[c].dataType)).otherwise(F.col(c)) for c, v in (("x_off", x), ("y_off", y))}).select(frames.columns)
 
 
-def repaired(chunks: DataFrame) -> DataFrame:
-    """Frame controls and frame data (image_id, seq, type) by sequence number, controls without data dropped, numbered anew."""
-    w = Window.partitionBy("image_id").orderBy("seq")
-    live = chunks.withColumn("_next", F.lead("type").over(w)).where("type <> 'fcTL' or _next = 'fdAT'")
-    return live.select("image_id", "type", (F.row_number().over(w) - 1).cast("bigint").alias("seq"))
-
-
 def last_write(pixels: DataFrame) -> DataFrame:
     """What is seen after all frames (image_id, frame, y, x, c0...) that overwrite and keep: the last one at each place."""
     own = [c for c in pixels.columns if c not in ("image_id", "frame", "y", "x")]
@@ -115,52 +132,106 @@ def over(fg: np.ndarray, bg: np.ndarray) -> np.ndarray:
     return np.where(fg[..., -1:] == 0, bg, np.where(fg[..., -1:] == 255, fg, mixed))
 
 
+Before = tuple[int, int, int, int, str, np.ndarray]
+
+
+def advance(canvas: np.ndarray, before: Before | None, px: np.ndarray, x: int, y: int, dispose: str, blend: str) -> Before:
+    """Show a frame on the canvas: the one before is disposed of, its rectangle kept aside, then the frame is blended. Gives what the next frame needs to know."""
+    if before is not None:
+        bx, by, bh, bw, how, saved = before
+        if how == "background":
+            canvas[by : by + bh, bx : bx + bw] = 0
+        elif how == "previous":
+            canvas[by : by + bh, bx : bx + bw] = saved
+    h, w = px.shape[:2]
+    area = (slice(y, y + h), slice(x, x + w))
+    after = (x, y, h, w, "background" if before is None and dispose == "previous" else dispose, canvas[area].copy())
+    canvas[area] = over(px, canvas[area]) if blend == "over" else px
+    return after
+
+
 def play(canvas: np.ndarray, frames: Iterator[tuple[np.ndarray, int, int, str, str]]) -> Iterator[np.ndarray]:
-    """The canvas after each frame (pixels, x, y, dispose, blend): the one before is disposed of, its rectangle kept aside, then the frame is blended."""
+    """The canvas after each frame (pixels, x, y, dispose, blend)."""
     before = None
-    for n, (px, x, y, dispose, blend) in enumerate(frames):
-        if before is not None:
-            bx, by, bh, bw, how, saved = before
-            if how == "background":
-                canvas[by : by + bh, bx : bx + bw] = 0
-            elif how == "previous":
-                canvas[by : by + bh, bx : bx + bw] = saved
-        h, w = px.shape[:2]
-        area = (slice(y, y + h), slice(x, x + w))
-        before = (x, y, h, w, "background" if n == 0 and dispose == "previous" else dispose, canvas[area].copy())
-        canvas[area] = over(px, canvas[area]) if blend == "over" else px
+    for px, x, y, dispose, blend in frames:
+        before = advance(canvas, before, px, x, y, dispose, blend)
         yield canvas
 
 
-def composed(frames: DataFrame, pixels: DataFrame, w: int, h: int, n_channels: int = 4) -> DataFrame:
+#: What a row of a canvas is after a frame: its samples, and the part that the frame covers, to be disposed of.
+STATE = "canvas array<double>, part_x int, part_w int, dispose string, saved array<double>"
+_STATE = [x.split()[0] for x in STATE.split(", ")]
+
+
+def _folded(frames: DataFrame, pixels: DataFrame, w: int, h: int, n_channels: int, start: DataFrame | None, run, schema: str) -> DataFrame:
+    """run over the rows of each image's canvas, frame after frame, as a stream: whatever the number of frames, a task holds one row's state and one batch."""
+    names = [f"c{k}" for k in range(n_channels)]
+    bands = pixels.groupBy("image_id", "frame", F.col("y").alias("_in")).agg(F.sort_array(F.collect_list(F.struct("x", F.array(*names).alias("v")))).alias("_px"))
+    bands = bands.select("image_id", "frame", "_in", F.flatten("_px.v").alias("_px"))
+    shown = frames.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("_in", (F.col("y") - F.col("y_off")).cast("bigint"))
+    rows = shown.join(bands, ["image_id", "frame", "_in"], "left").select("image_id", "frame", F.col("y").cast("bigint").alias("y"), "x_off", F.col("dispose").alias("how"), "blend", F.col("_px").alias("px"))
+    none = rows.sparkSession.createDataFrame([], f"image_id long, frame long, y long, {STATE}") if start is None else start
+    rows = rows.unionByName(none.select("image_id", "frame", "y", *_STATE), allowMissingColumns=True)
+    return rows.repartition("image_id", "y").sortWithinPartitions("image_id", "y", "frame").mapInPandas(run, schema)
+
+
+def _states(parts: Iterator[pd.DataFrame], w: int, n_channels: int) -> Iterator[list[tuple[int, int, int, np.ndarray, Before | None]]]:
+    """(image_id, frame, y, canvas, what the next frame needs) after each row of _folded."""
+    at, canvas, before = None, None, None
+    for pdf in parts:
+        out = []
+        for r in pdf.itertuples(index=False):
+            if (r.image_id, r.y) != at:
+                at, canvas, before = (r.image_id, r.y), np.zeros((1, w, n_channels)), None
+            if r.canvas is not None:
+                canvas = np.asarray(r.canvas, float).reshape(1, w, n_channels).copy()
+                before = (int(r.part_x), 0, 1, int(r.part_w), r.dispose, np.asarray(r.saved, float).reshape(1, -1, n_channels))
+                continue
+            px = np.zeros((1, 0, n_channels)) if r.px is None else np.asarray(r.px, float).reshape(1, -1, n_channels)
+            before = advance(canvas, before, px, int(r.x_off), 0, r.how, r.blend)
+            out.append((r.image_id, r.frame, r.y, canvas[0].copy(), before))
+        yield out
+
+
+def composed(frames: DataFrame, pixels: DataFrame, w: int, h: int, n_channels: int = 4, start: DataFrame | None = None) -> DataFrame:
     """(image_id, frame, y, x, c0...): the canvas after every frame.
 
     Blending and disposal act on each place alone, so the unit of state is one row of
-    one image's canvas: its frames are folded in order in one task, and the rows of a
+    one image's canvas: its frames are folded in order as they stream by, and the rows of a
     long animation spread over the cluster. Pixels of a frame count from its own corner.
+    With start, rows of `checkpoints`, frames are those that come after.
     """
     names = [f"c{k}" for k in range(n_channels)]
     schema = "image_id long, frame long, y long, x long, " + ", ".join(f"{c} double" for c in names)
-    bands = pixels.groupBy("image_id", "frame", F.col("y").alias("_in")).agg(F.sort_array(F.collect_list(F.struct("x", F.array(*names).alias("v")))).alias("_px"))
-    bands = bands.select("image_id", "frame", "_in", F.flatten("_px.v").alias("_px"))
-    shown = frames.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("_in", (F.col("y") - F.col("y_off")).cast("bigint"))
-    rows = shown.join(bands, ["image_id", "frame", "_in"], "left").select("image_id", "frame", "y", "x_off", "dispose", "blend", "_px")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        none = np.zeros((1, 0, n_channels))
-        own = [none if px is None else np.asarray(px, float).reshape(1, -1, n_channels) for px in pdf["_px"]]
-        frames = zip(own, pdf["x_off"].astype(int), repeat(0), pdf["dispose"], pdf["blend"])
-        flat = np.concatenate([canvas[0].copy() for canvas in play(np.zeros((1, w, n_channels)), frames)])
-        n = len(pdf)
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "frame": np.repeat(pdf["frame"].to_numpy(), w), "y": pdf["y"].iloc[0], "x": np.tile(np.arange(w), n), **{c: flat[:, k] for k, c in enumerate(names)}})
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for states in _states(parts, w, n_channels):
+            flat = np.concatenate([s[3] for s in states]) if states else np.zeros((0, n_channels))
+            told = [np.repeat(np.array([s[k] for s in states], np.int64), w) for k in range(3)]
+            yield pd.DataFrame({"image_id": told[0], "frame": told[1], "y": told[2], "x": np.tile(np.arange(w), len(states)), **{c: flat[:, k] for k, c in enumerate(names)}})
+
+    return _folded(frames, pixels, w, h, n_channels, start, run, schema)
+
+
+def checkpoints(frames: DataFrame, pixels: DataFrame, w: int, h: int, every: int, n_channels: int = 4) -> DataFrame:
+    """(image_id, frame, y, STATE): what the rows of the canvas are after each frame before a multiple of `every`, for replays that begin there."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for states in _states(parts, w, n_channels):
+            kept = [(i, f, y, c.reshape(-1), b[0], b[3], b[4], b[5].reshape(-1)) for i, f, y, c, b in states if (f + 1) % every == 0]
+            yield pd.DataFrame(kept, columns=["image_id", "frame", "y", *_STATE])
 
-    return rows.groupBy("image_id", "y").applyInPandas(run, schema)
+    return _folded(frames, pixels, w, h, n_channels, None, run, f"image_id long, frame long, y long, {STATE}")
 
 
-def canvas_at(frames: DataFrame, pixels: DataFrame, n: int, w: int, h: int, n_channels: int = 4) -> DataFrame:
-    """The canvas that a jump to frame n shows: of the frames up to it. n wraps around."""
+def canvas_at(frames: DataFrame, pixels: DataFrame, n: int, w: int, h: int, n_channels: int = 4, stored: DataFrame | None = None) -> DataFrame:
+    """The canvas that a jump to frame n shows; n wraps around. Frames are replayed from the nearest of the stored checkpoints, or from the first one."""
     shown = frame_at(frames, n).select("image_id", F.col("frame").alias("_shown"))
     upto = frames.join(shown, "image_id").where("frame <= _shown")
-    done = composed(upto.drop("_shown"), pixels, w, h, n_channels)
+    start = None
+    if stored is not None:
+        near = stored.select("image_id", "frame").distinct().join(shown, "image_id").where("frame < _shown").groupBy("image_id").agg(F.max("frame").alias("_from"))
+        start = stored.join(near, "image_id").where("frame = _from").drop("_from")
+        upto = upto.join(near, "image_id", "left").where("_from is null or frame > _from").drop("_from")
+    done = composed(upto.drop("_shown"), pixels.join(upto.select("image_id", "frame"), ["image_id", "frame"], "left_semi"), w, h, n_channels, start)
     return done.join(shown, "image_id").where("frame = _shown").drop("_shown")

@@ -43,12 +43,22 @@ def copy(img: DataFrame, x0: int, y0: int, w: int, h: int) -> DataFrame:
     return img.where(_within(x0, y0, x0 + w - 1, y0 + h - 1)).withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
 
 
+#: Indexes of all images together that are broadcast.
+_FEW = 100_000
+
+
 def pick(img: DataFrame, ys: list[int], xs: list[int]) -> DataFrame:
-    """Rows and columns by index, in the given order; indexes wrap around."""
+    """Rows and columns by index, in the given order; indexes wrap around.
+
+    The indexes of all images are sorted and merged with the pixels unless they are few.
+    """
     at = lambda values: F.posexplode(F.array(*(F.lit(v).cast("bigint") for v in values)))
     rows = sizes(img).select("image_id", "w", at(ys).alias("ny", "sy"), "h").select("image_id", "w", "ny", F.pmod("sy", "h").alias("sy"))
     grid = rows.select("image_id", "ny", "sy", at(xs).alias("nx", "sx"), "w").select("image_id", "ny", "sy", "nx", F.pmod("sx", "w").alias("sx"))
-    found = img.join(F.broadcast(grid.withColumnsRenamed({"sy": "y", "sx": "x"})) if len(ys) * len(xs) <= 10_000 else grid.withColumnsRenamed({"sy": "y", "sx": "x"}), AT)
+    grid = grid.withColumnsRenamed({"sy": "y", "sx": "x"})
+    most = _FEW // max(1, len(ys) * len(xs))
+    few = img.select("image_id").distinct().limit(most + 1).count() <= most
+    found = img.join(F.broadcast(grid) if few else grid.hint("merge"), AT)
     return found.select("image_id", F.col("ny").cast("bigint").alias("y"), F.col("nx").cast("bigint").alias("x"), *channels(img))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +57,38 @@ def palette(img: DataFrame, most: int | None = None) -> DataFrame:
     return first.select("image_id", (F.row_number().over(Window.partitionBy("image_id").orderBy("at")) - 1).cast("bigint").alias("idx"), *own)
 
 
+def distinct_colors(img: DataFrame, most: int = 257) -> DataFrame:
+    """(image_id, colors): distinct colours, alpha left aside, counted up to `most`.
+
+    A task keeps at most so many colours of an image and gives up at that number, so many
+    colours are neither kept nor shuffled; what the tasks have found is told apart once more.
+    """
+    own = channels(img)[: 3 if len(channels(img)) > 2 else 1]
+    names = ["image_id", *own]
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set] = {}
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            samples = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(len(own))], 1)
+            fresh = []
+            for i in np.unique(ids):
+                held = seen.setdefault(int(i), set())
+                if len(held) >= most:
+                    continue
+                for color in map(tuple, np.unique(samples[ids == i], axis=0).tolist()):
+                    if color not in held and len(held) < most:
+                        held.add(color)
+                        fresh.append((int(i), *color))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*fresh) if fresh else [[]] * len(names), [pa.int64(), *[pa.float64()] * len(own)])], names)
+
+    found = img.select(*names).mapInArrow(some, "image_id long, " + ", ".join(f"{c} double" for c in own))
+    return found.distinct().groupBy("image_id").agg(F.least(F.count("*"), F.lit(most)).alias("colors"))
+
+
 def palettable(img: DataFrame, most: int = 256) -> DataFrame:
-    return count_colors(img).select("image_id", (F.col("colors") <= most).alias("palettable"))
+    """(image_id, palettable): whether an image has at most `most` colours."""
+    return distinct_colors(img, most + 1).select("image_id", (F.col("colors") <= most).alias("palettable"))
 
 
 def to_indexed(img: DataFrame, pal: DataFrame) -> DataFrame:
@@ -211,3 +243,49 @@ def first_n(img: DataFrame, n: int, offset: int = 0) -> DataFrame:
 def top_k(img: DataFrame, k: int) -> DataFrame:
     """The k greatest pixels, ties by place."""
     return img.orderBy(F.desc("c0"), *AT).limit(k)
+
+
+def _ordered(img: DataFrame, by: list, n: int | None = None) -> DataFrame:
+    """img with the place i of each pixel in its image's order, of the first n only: tasks keep no more of an image before the shuffle."""
+    out = img.withColumn("i", F.row_number().over(Window.partitionBy("image_id").orderBy(*by)))
+    out = out if n is None else out.where(F.col("i") <= n)
+    return out.withColumn("i", (F.col("i") - 1).cast("bigint"))
+
+
+def ranked(img: DataFrame) -> DataFrame:
+    """Each image's pixels with their place i in the order of channels, ties by place."""
+    return _ordered(img, [*channels(img), "y", "x"])
+
+
+def greatest(img: DataFrame, n: int) -> DataFrame:
+    """The n greatest pixels of each image, compared channel by channel, with their place i from the greatest on; ties by place."""
+    return _ordered(img, [*(F.desc(c) for c in channels(img)), "y", "x"], n)
+
+
+def least(img: DataFrame, n: int) -> DataFrame:
+    """The n least pixels of each image, with their place i from the least on; ties by place."""
+    return _ordered(img, [*channels(img), "y", "x"], n)
+
+
+def take(img: DataFrame, n: int, offset: int = 0) -> DataFrame:
+    """n pixels of each image in row-major order after the first `offset`, told by their coordinates."""
+    from .geometry import with_sizes
+
+    at = F.col("y") * F.col("w") + F.col("x")
+    return with_sizes(img).where(at.between(offset, offset + n - 1)).select(*AT, *channels(img))
+
+
+def _stops(img: DataFrame, holds: Column) -> DataFrame:
+    """img with the first place in row-major order of its image where `holds` doesn't, null if it does everywhere. One aggregate a image, no order."""
+    stop = F.min(F.when(~F.coalesce(holds, F.lit(False)), F.struct("y", "x")))
+    return img.join(img.groupBy("image_id").agg(stop.alias("_stop")), "image_id")
+
+
+def take_while(img: DataFrame, holds: Column) -> DataFrame:
+    """Each image's pixels in row-major order up to the first that `holds` is false or null for."""
+    return _stops(img, holds).where(F.col("_stop").isNull() | (F.struct("y", "x") < F.col("_stop"))).select(*AT, *channels(img))
+
+
+def drop_while(img: DataFrame, holds: Column) -> DataFrame:
+    """Each image's pixels in row-major order from the first that `holds` is false or null for."""
+    return _stops(img, holds).where(F.struct("y", "x") >= F.col("_stop")).select(*AT, *channels(img))

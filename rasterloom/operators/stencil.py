@@ -1,8 +1,7 @@
 """Convolution, blurring, gradients and morphology.
 
-A stencil scatters: each pixel sends its weighted value to the pixels that read it and
-one aggregation, combined before the shuffle, gathers them. Borders are virtual pixels
-that the pixels near an edge stand for as well.
+Images are cut into tiles that carry what they read of their neighbours, borders included
+(`tiles`); smaller images are a tile each, and a task works on many.
 """
 
 from __future__ import annotations
@@ -10,9 +9,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tiles
 from .geometry import with_sizes
 from .pixels import AT, channels
 
@@ -20,43 +20,6 @@ BORDERS = ("zero", "symmetric", "replicate", "circular")
 Kernel = Sequence[Sequence[float]]
 
 
-def _big(v) -> Column:
-    return (F.lit(v) if isinstance(v, int) else v).cast("bigint")
-
-
-def _stands_for(axis: str, n: str, before: int, after: int, border: str) -> Column:
-    """All indexes from -before to n - 1 + after whose value the border takes from index `axis`."""
-    x, size = F.col(axis), F.col(n)
-    if border == "zero":
-        return F.array(x)
-    if border == "replicate":
-        low = F.when(x == 0, _big(-before)).otherwise(x)
-        high = F.when(x == size - 1, x + after).otherwise(x)
-        return F.sequence(low, high)
-    within = lambda v: (v >= -before) & (v <= size - 1 + after)
-    if border == "circular":
-        turns = F.sequence(-F.ceil(_big(before) / size) - 1, F.ceil(_big(after) / size) + 1)
-        return F.filter(F.transform(turns, lambda t: x + t * size), within)
-    period = F.greatest(2 * (size - 1), _big(1))
-    turns = F.sequence(-F.ceil(_big(before) / period) - 1, F.ceil(_big(after) / period) + 1)
-    both = F.flatten(F.transform(turns, lambda t: F.array(x + t * period, t * period - x)))
-    one = F.sequence(_big(-before), _big(after))
-    return F.when(size == 1, one).otherwise(F.array_distinct(F.filter(both, within)))
-
-
-def _scatter(img: DataFrame, offsets: list[tuple[int, int, float]], border: str) -> DataFrame:
-    """Rows (image_id, y, x, h, w, channels, k): each pixel moved by (dy, dx), with the offset's weight, for all targets inside the image."""
-    ys, xs = [o[0] for o in offsets], [o[1] for o in offsets]
-    df = with_sizes(img)
-    if border != "zero":
-        df = df.withColumn("y", F.explode(_stands_for("y", "h", max(0, *ys), max(0, *(-v for v in ys)), border)))
-        df = df.withColumn("sx", _stands_for("x", "w", max(0, *xs), max(0, *(-v for v in xs)), border)).withColumn("x", F.explode("sx"))
-    table = F.expr("array(" + ", ".join(f"named_struct('dy', {y}L, 'dx', {x}L, 'k', {float(k)!r}D)" for y, x, k in offsets) + ")")
-    df = df.select("image_id", "y", "x", "h", "w", *channels(img), F.explode(table).alias("o"))
-    ty, tx = F.col("y") + F.col("o.dy"), F.col("x") + F.col("o.dx")
-    return df.where(ty.between(0, F.col("h") - 1) & tx.between(0, F.col("w") - 1)).select("image_id", ty.alias("y"), tx.alias("x"), "h", "w", *channels(img), F.col("o.k").alias("k"))
-
-
 def convolve(img: DataFrame, kernel: Kernel | Sequence[Kernel], border: str = "zero") -> DataFrame:
     """True convolution, the kernel turned by half a circle, its centre at half its size, the output as large as the input.
 
@@ -76,25 +39,8 @@ def _convolved(img: DataFrame, kernel: Kernel | Sequence[Kernel], border: str) -
     if len(kernels) != len(own) or len({(len(k), len(k[0])) for k in kernels}) != 1:
         raise ValueError("one kernel, or one of the same size for each channel")
     kh, kw = len(kernels[0]), len(kernels[0][0])
-    # out[y] = sum of k[kh-1-i] * img[y - kh//2 + i]: a pixel at p reaches y = p + kh//2 - i
-    at = lambda k, i, j: float(k[kh - 1 - i][kw - 1 - j])
-    cells = [(i, j) for i in range(kh) for j in range(kw) if any(at(k, i, j) for k in kernels)]
-    if not cells:
-        return with_sizes(img).select(*AT, "h", "w", *(F.lit(0.0).alias(c) for c in own))
-    offsets = [(kh // 2 - i, kw // 2 - j, at(kernels[0], i, j)) for i, j in cells]
-    sized = with_sizes(img)
-    if many:
-        place = [(kh // 2 - i, kw // 2 - j, float(n)) for n, (i, j) in enumerate(cells)]
-        of = lambda k: F.get(F.expr("array(" + ", ".join(f"{at(k, i, j)!r}D" for i, j in cells) + ")"), F.col("k").cast("int"))
-        parts = [F.sum(F.col(c) * of(k)).alias(c) for c, k in zip(own, kernels)]
-        rows = _scatter(sized, place, border)
-    else:
-        parts = [F.sum(F.col(c) * F.col("k")).alias(c) for c in own]
-        rows = _scatter(sized, offsets, border)
-    sums = rows.groupBy(*AT, "h", "w").agg(*parts)
-    if border != "zero" or (0, 0) in {(y, x) for y, x, _ in offsets}:
-        return sums
-    return sized.select(*AT, "h", "w").join(sums.drop("h", "w"), AT, "left").fillna(0.0, own)
+    # out[y] = sum of k[kh-1-i] * img[y - kh//2 + i]
+    return tiles.stencil(img, (kh // 2, kh - 1 - kh // 2, kw // 2, kw - 1 - kw // 2), border, 0.0, tiles.weighted(kernels))
 
 
 def gaussian(sigma: float = 1.0, cutoff: float | None = None) -> list[float]:
@@ -139,17 +85,8 @@ def magnitude_and_angle(grad: DataFrame) -> DataFrame:
 
 def _morph(img: DataFrame, element: Kernel, sign: int) -> DataFrame:
     h, w = len(element), len(element[0])
-    cells = [(i - h // 2, j - w // 2, float(v)) for i, row in enumerate(element) for j, v in enumerate(row) if v != float("-inf")]
-    own, empty = channels(img), F.lit(float("-inf") * sign)
-    if not cells:
-        return img.select(*AT, *(empty.alias(c) for c in own))
-    rows = _scatter(img, [(sign * y, sign * x, k) for y, x, k in cells], "zero")
-    best, f = (F.max, lambda c: F.col(c) + F.col("k")) if sign > 0 else (F.min, lambda c: F.col(c) - F.col("k"))
-    out = rows.groupBy(*AT).agg(*(best(f(c)).alias(c) for c in own))
-    if (0, 0) in {(y, x) for y, x, _ in cells}:
-        return out
-    out = img.select(*AT).join(out, AT, "left")
-    return out.select(*AT, *(F.coalesce(F.col(c), empty).alias(c) for c in own))
+    above, left = (h - 1 - h // 2, w - 1 - w // 2) if sign > 0 else (h // 2, w // 2)
+    return tiles.stencil(img, (above, h - 1 - above, left, w - 1 - left), "zero", float("-inf") * sign, tiles.extremum(element, sign)).select(*AT, *channels(img))
 
 
 def dilate(img: DataFrame, element: Kernel) -> DataFrame:

@@ -16,8 +16,8 @@ from ..operators import geometry as geo
 from ..operators import pixels as px
 from ..operators import relations as rel
 from ..operators import stencil as st
-from ..session import place
-from ..sources import apng, datasource, images
+from ..session import place, stored
+from ..sources import apng, bands, datasource, images
 from ..sources import generators as gen
 from . import fixtures as fx
 
@@ -156,6 +156,7 @@ add("palette_indexed", tiles(lambda i: rel.to_indexed(coarse(i), rel.palette(coa
 add("palette_expand", tiles(lambda i: rel.depalette(rel.to_indexed(coarse(i), rel.palette(coarse(i))), rel.palette(coarse(i)).withColumn("alpha", F.when(F.col("idx") < 2, F.col("idx") * 10.0)))), f"{TILES}{_PAL} SELECT px.image_id, y, x, i.c0, CASE WHEN idx < 2 THEN idx * 10.0::DOUBLE ELSE 255.0::DOUBLE END AS c1 FROM px JOIN i ON i.image_id = px.image_id AND i.c0 = floor(px.c0 / 8)")
 add("palettable", rgba(rel.palettable), f"{RGBA} SELECT image_id, count(DISTINCT (c0, c1, c2)) <= 256 AS palettable FROM px GROUP BY image_id")
 
+
 # Aggregates
 add("minmax", rgba(rel.minmax), f"{RGBA} SELECT image_id, min(least(c0, c1, c2, c3)) AS low, max(greatest(c0, c1, c2, c3)) AS high FROM px GROUP BY image_id")
 add("pixel_minmax", rgba(lambda i: rel.pixel_minmax(i).select("image_id", "low.*", F.col("high.c0").alias("h0"), F.col("high.c3").alias("h3"))), f"{RGBA}, m AS (SELECT image_id, min((c0, c1, c2, c3)) AS l, max((c0, c1, c2, c3)) AS h FROM px GROUP BY image_id) SELECT image_id, l[1] AS c0, l[2] AS c1, l[3] AS c2, l[4] AS c3, h[1] AS h0, h[4] AS h3 FROM m")
@@ -184,6 +185,16 @@ add("first_n", wall(lambda i: rel.first_n(i, 100)), f"{WALL} SELECT * FROM px OR
 add("drop_take", wall(lambda i: rel.first_n(i, 50, 70)), f"{WALL} SELECT * FROM px ORDER BY image_id, y, x LIMIT 50 OFFSET 70")
 add("topk", wall(lambda i: rel.top_k(i, 25)), f"{WALL} SELECT * FROM px ORDER BY c0 DESC, image_id, y, x LIMIT 25")
 
+_PLACE = "y * 8 + x"
+add("greatest_of_each", tiles(lambda i: rel.greatest(i, 5)), f"{TILES} SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY c0 DESC, y, x) - 1 AS i FROM px QUALIFY i < 5")
+add("least_of_each", rgba(lambda i: rel.least(i, 3)), f"{RGBA} SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY c0, c1, c2, c3, y, x) - 1 AS i FROM px QUALIFY i < 3")
+add("first_of_each", tiles(lambda i: rel.take(i, 7, 5)), f"{TILES} SELECT * FROM px WHERE {_PLACE} BETWEEN 5 AND 11")
+add("sorted_of_each", tiles(rel.ranked), f"{TILES} SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY c0, y, x) - 1 AS i FROM px")
+_FIRST = f", f AS (SELECT image_id, min({_PLACE}) FILTER (c0 <= 100) AS stop FROM px GROUP BY image_id)"
+add("take_while", tiles(lambda i: rel.take_while(i, F.col("c0") > 100)), f"{TILES}{_FIRST} SELECT px.* FROM px JOIN f USING (image_id) WHERE stop IS NULL OR {_PLACE} < stop")
+add("drop_while", tiles(lambda i: rel.drop_while(i, F.col("c0") > 100)), f"{TILES}{_FIRST} SELECT px.* FROM px JOIN f USING (image_id) WHERE {_PLACE} >= stop")
+add("palettable_wall", wall(lambda i: rel.palettable(px.mapped_pixels(i, lambda a, x, y: [a, a * 64 + x, a], True), 256)), f"{WALL} SELECT image_id, count(DISTINCT (c0, d0)) <= 256 AS palettable FROM (SELECT *, c0 * 64 + x AS d0 FROM px) GROUP BY image_id")
+
 # Stencils
 KERNEL = [[1, 2, 0], [0, 3, -1], [4, 0, 5]]
 _K = "(VALUES " + ", ".join(f"({i}, {j}, {v})" for i, r in enumerate(KERNEL) for j, v in enumerate(r)) + ") k(ky, kx, w)"
@@ -200,6 +211,8 @@ def _conv_sql(kernel: str, kh: int, kw: int, border: str, source: str = "px", di
 _Z = ", z AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM px)"
 for _b in st.BORDERS:
     add(f"convolve_{_b}", sized(lambda i, b=_b: st.convolve(i, KERNEL, b)), f"{WALL}{_Z} " + _conv_sql(_K, 3, 3, _b))
+LARGE = [[float((i * 7 + j * 3) % 5 - 2) for j in range(31)] for i in range(31)]
+add("convolve_large", sized(lambda i: st.convolve(i, LARGE, "circular")), f"{WALL}{_Z} " + _conv_sql("(SELECT a.i AS ky, b.j AS kx, (a.i * 7 + b.j * 3) % 5 - 2 AS w FROM range(31) a(i), range(31) b(j)) k", 31, 31, "circular"))
 add("convolve_row", sized(lambda i: st.convolve(i, [[1, -2, 3, 4]], "circular")), f"{WALL}{_Z} " + _conv_sql("(VALUES (0, 0, 1), (0, 1, -2), (0, 2, 3), (0, 3, 4)) k(ky, kx, w)", 1, 4, "circular"))
 add("convolve_col", sized(lambda i: st.convolve(i, [[1], [-2], [3], [4], [6]], "symmetric")), f"{WALL}{_Z} " + _conv_sql("(VALUES (0, 0, 1), (1, 0, -2), (2, 0, 3), (3, 0, 4), (4, 0, 6)) k(ky, kx, w)", 5, 1, "symmetric"))
 
@@ -233,6 +246,11 @@ add("open", sized(lambda i: st.opened(i, CROSS)), f"{WALL}, q AS ({_ERO.format(s
 add("close", sized(lambda i: st.closed(i, CROSS)), f"{WALL}, q AS ({_DIL.format(s='px')}) {_ERO.format(s='q')}")
 
 
+_WIDE = "(PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING)"
+add("dilate_wide", sized(lambda i: st.dilate(i, [[2.0] * 41])), f"{WALL} SELECT {AT}, max(c0) OVER {_WIDE} + 2 AS c0 FROM px")
+add("erode_wide", sized(lambda i: st.erode(i, [[0.0] * 41])), f"{WALL} SELECT {AT}, min(c0) OVER {_WIDE} AS c0 FROM px")
+
+
 def _resize_sql(sx: float, sy: float, nearest: bool) -> str:
     axis = lambda a, n, s: f"SELECT i AS t{a}, (i + 0.5) / {s}::DOUBLE - 0.5 AS f, {n} AS n FROM z, range(CAST(round({n} * {s}::DOUBLE) AS BIGINT)) r(i)"
     z = ", z AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM px)"
@@ -350,6 +368,46 @@ def _scanned(s: SparkSession, d: str) -> DataFrame:
 
 
 add("file_scan", _scanned, f"WITH {_E} SELECT vec_id // 64 AS image_id, vec_id % 64 AS y, p AS x, q AS c0 FROM s")
+
+
+def _wall_in_bands(s: SparkSession, d: str) -> DataFrame:
+    """The whole wall as one file that many tasks deflate, read back."""
+    at = place(s, "bands")
+    bands.save(bands.encode(fx.wall_rows(s, d).withColumn("image_id", F.lit(0).cast("bigint")), 1, band_rows=32), at)
+    datasource.register(s)
+    return rel.from_rows(s.read.format("raster").load(at).withColumn("image_id", F.lit(0).cast("bigint")), 1)
+
+
+add("wall_file_in_bands", _wall_in_bands, f"{WALL} SELECT * FROM px")
+
+
+def _header_scan(s: SparkSession, d: str) -> DataFrame:
+    """Headers of saved files of unequal sizes, of which a few bytes each are read."""
+    lines = fx.wall_rows(s, d).select((F.col("y") % 7).alias("image_id"), F.expr("y div 7").alias("y"), "vals")
+    at = place(s, "headers")
+    images.save(images.encode(lines, 1), at)
+    datasource.register(s)
+    told = s.read.format("raster_headers").load(at)
+    return told.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint").alias("image_id"), "format", "width", "height", "bit_depth", "color_type", "channels", "interlace", "has_alpha", "n_frames", "read_bytes", "error")
+
+
+add("header_scan", _header_scan, "SELECT vec_id % 7 AS image_id, 'png' AS format, 64 AS width, CAST(count(*) AS INTEGER) AS height, 8 AS bit_depth, 0 AS color_type, 1 AS channels, 0 AS interlace, false AS has_alpha, CAST(NULL AS BIGINT) AS n_frames, CAST(2 + 8 + 8 + 13 + 8 AS BIGINT) AS read_bytes, CAST(NULL AS VARCHAR) AS error FROM embeddings GROUP BY vec_id % 7")
+
+
+def _chunk_scan(s: SparkSession, d: str) -> DataFrame:
+    """Compressed texts of saved files, read by a filter that reaches the reader."""
+    docs = fx.table(s, d, "documents").where("text is not null and doc_id is not null").select(F.col("doc_id").alias("image_id"), "text", F.lit("packed").alias("keyword"))
+    none = s.createDataFrame([], "image_id long, seq int, type string, data binary, pos string")
+    dot = docs.select("image_id", F.lit(0).cast("bigint").alias("y"), F.array(F.lit(7.0)).alias("vals"))
+    with_texts = ct.add_text(ct.add_text(none, docs, compressed=True), docs.withColumn("keyword", F.lit("plain")))
+    at = place(s, "chunks")
+    images.save(images.encode(dot, 1, chunks=with_texts), at)
+    datasource.register(s)
+    found = s.read.format("raster_chunks").load(at).where("type = 'zTXt'")
+    return found.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint").alias("doc_id"), "type", "crc_ok", ch.parse_ztext_chunk(F.col("data"))["text"].alias("text"))
+
+
+add("chunk_scan", _chunk_scan, "SELECT doc_id, 'zTXt' AS type, true AS crc_ok, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL")
 add("palette_files_depths", lambda s, d: images.headers(images.encode(rel.to_rows(px.to_rgb(fx.rgba(s, d))), 3, level=1)).select("image_id", "color_type", "bit_depth", "has_alpha", "n_frames"), "SELECT vec_id AS image_id, 3 AS color_type, 8 AS bit_depth, false AS has_alpha, CAST(NULL AS INTEGER) AS n_frames FROM embeddings")
 
 
@@ -406,7 +464,7 @@ add("apng_play_parts", _clip, _RECURSIVE + _FOLD.format(frames="fo", pixels="cp"
 
 
 add("frame_delay_update", lambda s, d: an.set_delay(fx.clips(s, d)[0], 1, 5, 6).select("image_id", "frame", "delay_num", "delay_den"), f"{_CLIPS} SELECT image_id, frame, CASE WHEN frame = 1 THEN 5 ELSE delay_num END AS delay_num, CASE WHEN frame = 1 THEN 6 ELSE delay_den END AS delay_den FROM fo")
-add("frame_offset_update", lambda s, d: an.set_offset(fx.clips(s, d)[0].where("frame < 4"), -2, 4, 1).select("image_id", "frame", "x_off", "y_off"), f"{_CLIPS} SELECT image_id, frame, CAST(CASE frame WHEN 2 THEN 4 ELSE x_off END AS BIGINT) AS x_off, CAST(CASE frame WHEN 2 THEN 1 ELSE y_off END AS BIGINT) AS y_off FROM fo WHERE frame < 4")
+add("frame_offset_update", lambda s, d: an.set_offset(fx.clips(s, d)[0], -2, 0, 0).select("image_id", "frame", "x_off", "y_off"), f"{_CLIPS} SELECT image_id, frame, CAST(CASE WHEN frame = last - 1 THEN 0 ELSE x_off END AS BIGINT) AS x_off, CAST(CASE WHEN frame = last - 1 THEN 0 ELSE y_off END AS BIGINT) AS y_off FROM fo JOIN (SELECT image_id, max(frame) AS last FROM fo GROUP BY image_id) USING (image_id)")
 
 
 def _clip_files(s: SparkSession, d: str) -> DataFrame:
@@ -416,9 +474,7 @@ def _clip_files(s: SparkSession, d: str) -> DataFrame:
 
 
 def _clip_pixels(s: SparkSession, d: str) -> DataFrame:
-    r = apng.frame_rows(apng.create_frames(images.chunks(_clip_files(s, d))))
-    at = r.select("image_id", "frame", "y", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("vals") / 2).cast("int") - 1), lambda i: F.slice("vals", i * 2 + 1, 2))).alias("x", "v"))
-    return at.select("image_id", "frame", "y", F.col("x").cast("bigint").alias("x"), F.col("v")[0].alias("c0"), F.col("v")[1].alias("c1"))
+    return _frames_of(images.chunks(_clip_files(s, d)))[1]
 
 
 def _clip_validity(s: SparkSession, d: str) -> DataFrame:
@@ -443,7 +499,68 @@ def _cropped(s: SparkSession, d: str) -> DataFrame:
 
 
 add("apng_crop_frames", _cropped, f"{_CLIPS}, mv AS (SELECT image_id, frame, w, h, frame % 17 - 8 AS xo, frame % 13 - 6 AS yo FROM fo), ed AS (SELECT *, greatest(-xo, 0) AS l, greatest(-yo, 0) AS t, least(7 - xo, w - 1) AS r, least(7 - yo, h - 1) AS b FROM mv) SELECT image_id, frame, y - t AS y, x - l AS x, c0, c1 FROM cp JOIN ed USING (image_id, frame) WHERE l <= r AND t <= b AND x BETWEEN l AND r AND y BETWEEN t AND b UNION ALL SELECT image_id, frame, 0, 0, 0, 0 FROM ed WHERE l > r OR t > b")
-add("apng_repair", lambda s, d: an.repaired(fx.table(s, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("bigint").alias("seq"), F.when(F.col("l_returnflag") == "R", "fdAT").otherwise("fcTL").alias("type")).groupBy("image_id", "seq").agg(F.max("type").alias("type"))), "WITH c AS (SELECT l_orderkey AS image_id, CAST(l_linenumber AS BIGINT) AS seq, max(CASE WHEN l_returnflag = 'R' THEN 'fdAT' ELSE 'fcTL' END) AS type FROM lineitem GROUP BY ALL), n AS (SELECT *, lead(type) OVER (PARTITION BY image_id ORDER BY seq) AS nx FROM c) SELECT image_id, type, row_number() OVER (PARTITION BY image_id ORDER BY seq) - 1 AS seq FROM n WHERE type <> 'fcTL' OR nx = 'fdAT'")
+
+
+def _pushed(s: SparkSession, d: str) -> DataFrame:
+    """Each clip's first frame pushed again after the last, at places that may lie outside."""
+    frames, p = fx.clips(s, d)
+    i = F.col("image_id")
+    first = frames.where("frame = 0").select("image_id", "w", "h", (i * 3 % 19 - 9).alias("x_off"), (i * 5 % 17 - 8).alias("y_off"), F.lit("previous").alias("dispose"))
+    f, q = an.push(frames, p, first, p.where("frame = 0").drop("frame"))
+    last = f.groupBy("image_id").agg(F.max("frame").alias("frame"))
+    return q.join(f.join(last, ["image_id", "frame"]), ["image_id", "frame"]).select("image_id", "frame", "y", "x", "c0", "c1", "w", "h", "x_off", "y_off", "delay_num", "delay_den", "dispose", "blend")
+
+
+add("apng_push_frame", _pushed, f"{_CLIPS}, ps AS (SELECT image_id, max(frame) + 1 AS frame, image_id * 3 % 19 - 9 AS xo, image_id * 5 % 17 - 8 AS yo FROM fo GROUP BY image_id), ed AS (SELECT *, greatest(-xo, 0) AS l, greatest(-yo, 0) AS t, least(7 - xo, 7) AS r, least(7 - yo, 7) AS b FROM ps), al AS (SELECT *, l > r OR t > b AS e FROM ed) SELECT image_id, al.frame, CASE WHEN e THEN 0 ELSE y - t END AS y, CASE WHEN e THEN 0 ELSE x - l END AS x, CASE WHEN e THEN 0 ELSE c0 END AS c0, CASE WHEN e THEN 0 ELSE c1 END AS c1, CASE WHEN e THEN 1 ELSE r - l + 1 END AS w, CASE WHEN e THEN 1 ELSE b - t + 1 END AS h, CASE WHEN e THEN 0 ELSE greatest(xo, 0) END AS x_off, CASE WHEN e THEN 0 ELSE greatest(yo, 0) END AS y_off, CAST(1 AS BIGINT) AS delay_num, CAST(24 AS BIGINT) AS delay_den, 'previous' AS dispose, CASE WHEN e THEN 'over' ELSE 'source' END AS blend FROM al JOIN cp USING (image_id) WHERE cp.frame = 0 AND CASE WHEN e THEN x = 0 AND y = 0 ELSE x BETWEEN l AND r AND y BETWEEN t AND b END")
+
+
+def _jumped(s: SparkSession, d: str) -> DataFrame:
+    """A jump that replays from the nearest of the canvases kept after every 16th frame."""
+    frames, p = fx.clips(s, d)
+    return an.canvas_at(frames, p, 1003, 8, 8, 2, stored=an.checkpoints(frames, p, 8, 8, 16, 2))
+
+
+add("apng_checkpoint_jump", _jumped, _RECURSIVE + _FOLD.format(frames="fo", pixels="cp", dispose="fo.dispose", blend="fo.blend") + " AND frame = 1003 % (SELECT max(g.frame) + 1 FROM fo g WHERE g.image_id = st.image_id)")
+
+
+def _broken(s: SparkSession, d: str) -> DataFrame:
+    """The chunks of files of which some lost acTL, the last data, data in the middle, the first control or all controls, or have their frames in another order."""
+    c = images.chunks(_clip_files(s, d)).drop("crc_ok")
+    k, kind, n = F.col("image_id") % 7, F.col("type"), F.when(F.col("type").isin("fcTL", "fdAT"), ch.read_uint(F.col("data"), 0, 4))
+    last = F.max(F.when(kind == "fdAT", F.col("seq"))).over(Window.partitionBy("image_id"))
+    lost = ((k == 1) & (kind == "acTL")) | ((k == 2) & (kind == "fdAT") & (F.col("seq") == F.col("_last"))) | ((k == 3) & (kind == "fdAT") & (n == 8)) | ((k == 5) & (kind == "fcTL") & (n == 0)) | ((k == 6) & (kind == "fcTL"))
+    turned = F.when((k == 4) & (F.col("seq") > 3) & n.isNotNull(), F.col("_last") + 4 - F.col("seq")).otherwise(F.col("seq")).cast("int")
+    return stored(c.withColumn("_last", last).where(~lost).withColumn("seq", turned).drop("_last"), "broken-chunks")
+
+
+_SCAN = """, an AS (SELECT image_id, 'fcTL' AS type, CASE frame WHEN 0 THEN 0 ELSE 2 * frame - 1 END AS n FROM fo UNION ALL SELECT image_id, 'fdAT', 2 * frame FROM fo WHERE frame > 0),
+lo AS (SELECT * FROM an WHERE NOT ((image_id % 7 = 2 AND n = (SELECT max(b.n) FROM an b WHERE b.image_id = an.image_id)) OR (image_id % 7 = 3 AND n = 8) OR (image_id % 7 = 5 AND n = 0) OR (image_id % 7 = 6 AND type = 'fcTL'))),
+od AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n) AS k FROM lo),
+sc(image_id, k, type, alive) AS (SELECT image_id, k, type, type = 'fcTL' FROM od WHERE k = 1
+  UNION ALL SELECT od.image_id, od.k, od.type, sc.alive AND NOT (od.type = 'fcTL' AND sc.type = 'fcTL' AND od.k > 2) FROM sc JOIN od ON od.image_id = sc.image_id AND od.k = sc.k + 1),
+al AS (SELECT *, lead(type) OVER (PARTITION BY image_id ORDER BY k) AS nx, count(*) FILTER (type = 'fdAT') OVER (PARTITION BY image_id) AS held FROM sc WHERE alive),
+kp AS (SELECT image_id, type, k = 1 AND nx = 'fcTL' AS head, row_number() OVER (PARTITION BY image_id ORDER BY k) - 1 AS n FROM al WHERE held > 0 AND (type = 'fdAT' OR nx = 'fdAT' OR (k = 1 AND nx = 'fcTL'))),
+w AS (SELECT image_id, 0 AS part, 0 AS pl, 'IHDR' AS type, CAST(NULL AS BIGINT) AS number, CAST(NULL AS BIGINT) AS n_frames FROM fo GROUP BY image_id UNION ALL SELECT image_id, 3, 0, 'IDAT', NULL, NULL FROM fo GROUP BY image_id UNION ALL SELECT image_id, 6, 0, 'IEND', NULL, NULL FROM fo GROUP BY image_id
+  UNION ALL SELECT image_id, 1, 0, 'acTL', NULL, count(*) FILTER (type = 'fcTL') FROM kp GROUP BY image_id UNION ALL SELECT image_id, CASE WHEN head THEN 2 ELSE 4 END, n, type, n, NULL FROM kp)
+SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY part, pl) - 1 AS INTEGER) AS seq, type, CASE WHEN part < 3 THEN 'after_IHDR' ELSE 'after_IDAT' END AS pos, CAST(number AS BIGINT) AS number, CAST(n_frames AS BIGINT) AS n_frames FROM w"""
+
+
+def _repaired(s: SparkSession, d: str) -> DataFrame:
+    kind, data = F.col("type"), F.col("data")
+    return apng.repaired(_broken(s, d)).select("image_id", "seq", "type", "pos", F.when(kind.isin("fcTL", "fdAT"), ch.read_uint(data, 0, 4)).alias("number"), F.when(kind == "acTL", ch.read_uint(data, 0, 4)).alias("n_frames"))
+
+
+add("apng_repair", _repaired, _RECURSIVE + _SCAN)
+
+
+def _frames_of(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Frames and pixels of two channels of the chunks of animated files."""
+    made = apng.create_frames(chunks)
+    at = apng.frame_rows(made).select("image_id", "frame", "y", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("vals") / 2).cast("int") - 1), lambda i: F.slice("vals", i * 2 + 1, 2))).alias("x", "v"))
+    return made.drop("content"), at.select("image_id", "frame", "y", F.col("x").cast("bigint").alias("x"), F.col("v")[0].alias("c0"), F.col("v")[1].alias("c1"))
+
+
+add("apng_repair_play", lambda s, d: an.composed(*_frames_of(stored(apng.repaired(_broken(s, d)), "repaired-chunks")), 8, 8, 2), _RECURSIVE + ", kf AS (SELECT * FROM fo WHERE image_id % 7 IN (0, 1, 4) OR (image_id % 7 = 2 AND frame < (SELECT max(g.frame) FROM fo g WHERE g.image_id = fo.image_id)) OR (image_id % 7 = 3 AND frame < 4) OR (image_id % 7 = 5 AND frame > 0)), mv AS (SELECT * REPLACE (frame - CAST(image_id % 7 = 5 AS BIGINT) AS frame) FROM kf), mp AS (SELECT * REPLACE (cp.frame - CAST(image_id % 7 = 5 AS BIGINT) AS frame) FROM cp)" + _FOLD.format(frames="mv fo", pixels="mp", dispose="fo.dispose", blend="fo.blend"))
 
 # Functions over pixels
 add("apply_lambda_flat", rgba(lambda i: px.mapped(i, lambda v: v * v - 1)), f"{RGBA} SELECT {each('{c} * {c} - 1')} FROM px")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunks as ch
+from ..functions import registry
 from . import images
 from .codec import MAGIC
 
@@ -31,26 +32,46 @@ def _size(w: Column, h: Column, rest: Column) -> Column:
     return _raw("IHDR", F.concat(ch.uint(w, 4), ch.uint(h, 4), rest))
 
 
-def encode(frames: DataFrame, rows: DataFrame, n: int, n_plays: int = 0) -> DataFrame:
+def _more(chunks: DataFrame) -> DataFrame:
+    """(image_id, early, late): ancillary chunks that stand before and after the pixel data, as they are written."""
+    place = F.coalesce("pos", registry.position(F.col("type")))
+    some = chunks.where("substr(type, 1, 1) between 'a' and 'z' and type not in ('acTL', 'fcTL', 'fdAT')").select("image_id", (place == "after_IDAT").alias("_late"), F.struct("seq", ch.raw_chunk(F.col("type"), F.col("data")).alias("raw")).alias("c"))
+    lists = some.groupBy("image_id").agg(*(F.sort_array(F.collect_list(F.when(F.col("_late") == late, F.col("c")))).alias(name) for name, late in (("early", False), ("late", True))))
+    return lists.select("image_id", F.col("early.raw").alias("early"), F.col("late.raw").alias("late"))
+
+
+def encode(frames: DataFrame, rows: DataFrame, n: int, n_plays: int = 0, chunks: DataFrame | None = None) -> DataFrame:
     """(image_id, content) of animations of 8-bit samples with n channels.
 
     The first frame is the picture that other readers show. Frames that are numbered with
-    gaps or reach beyond the first one raise.
+    gaps or reach beyond the first one raise, and so do frames without all of their rows or
+    rows of another length than their frame. Of chunks (image_id, seq, type, data, pos), the
+    ancillary ones are written at their places, in the order of seq.
     """
     by = ["image_id", "frame"]
     line = F.concat(F.unhex(F.lit("00")), ch.pack_array(F.transform("vals", lambda v: F.pmod(v.cast("bigint"), F.lit(256))), 1))
-    streams = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("y", line.alias("line")))).alias("l")).select(*by, ch.deflate(_joined(F.col("l.line"))).alias("stream"))
+    lines = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("y", line.alias("line")))).alias("l"), F.min(F.size("vals")).alias("_short"), F.max(F.size("vals")).alias("_long"))
+    streams = lines.select(*by, F.col("l.y").alias("_ys"), "_short", "_long", ch.deflate(_joined(F.col("l.line"))).alias("stream"))
     first = F.col("frame") == 0
     heads = frames.groupBy("image_id").agg(F.max(F.when(first, F.col("w"))).alias("_w"), F.max(F.when(first, F.col("h"))).alias("_h"), F.count("*").alias("_n"), F.max("frame").alias("_last"))
-    df = frames.join(heads, "image_id").join(streams, by)
+    df = frames.join(heads, "image_id").join(streams, by, "left")
+    one = F.lit(1).cast("bigint")
+    whole = (F.col("_ys").cast("array<bigint>") == F.sequence(one - 1, F.col("h").cast("bigint") - 1)) & (F.col("_short") == F.col("w") * n) & (F.col("_long") == F.col("w") * n)
+    stream = F.when(F.coalesce(whole, F.lit(False)), F.col("stream")).otherwise(F.raise_error(F.lit("a frame lacks rows, or has rows of another length")).cast("binary"))
     inside = (F.col("_n") == F.col("_last") + 1) & (F.col("x_off") + F.col("w") <= F.col("_w")) & (F.col("y_off") + F.col("h") <= F.col("_h"))
     seq = F.when(first, 0).otherwise(2 * F.col("frame") - 1)
     control = ch.frame_control_chunk(seq, *(F.col(c) for c in FRAME))
-    data = F.when(first, _raw("IDAT", F.col("stream"))).otherwise(_raw("fdAT", ch.frame_data_chunk(2 * F.col("frame"), F.col("stream"))))
+    data = F.when(first, _raw("IDAT", stream)).otherwise(_raw("fdAT", ch.frame_data_chunk(2 * F.col("frame"), stream)))
     part = F.when(inside, F.concat(_raw("fcTL", control), data)).otherwise(F.raise_error(F.lit("a frame is missing or reaches beyond the first one")).cast("binary"))
     whole = df.select("image_id", "_w", "_h", "_n", "frame", part.alias("part")).groupBy("image_id", "_w", "_h", "_n").agg(F.sort_array(F.collect_list(F.struct("frame", "part"))).alias("p"))
     depth = F.unhex(F.lit(f"08{_TYPES[n]:02X}000000"))
-    pieces = F.concat(F.array(F.lit(MAGIC), _size(F.col("_w"), F.col("_h"), depth), _raw("acTL", ch.animation_control_chunk(F.col("_n"), F.lit(n_plays)))), F.col("p.part"), F.array(_raw("IEND", F.unhex(F.lit("")))))
+    none = F.array().cast("array<binary>")
+    if chunks is None:
+        whole = whole.withColumns({"early": none, "late": none})
+    else:
+        whole = whole.join(_more(chunks), "image_id", "left")
+    at = lambda place: F.coalesce(F.col(place), none)
+    pieces = F.concat(F.array(F.lit(MAGIC), _size(F.col("_w"), F.col("_h"), depth)), at("early"), F.array(_raw("acTL", ch.animation_control_chunk(F.col("_n"), F.lit(n_plays)))), F.col("p.part"), at("late"), F.array(_raw("IEND", F.unhex(F.lit("")))))
     return whole.select("image_id", _joined(pieces).alias("content"))
 
 
@@ -111,3 +132,61 @@ def validity(chunks: DataFrame) -> DataFrame:
     ]
     reasons = F.filter(F.array(*(F.when(t, F.lit(m)) for t, m in tests)), lambda m: m.isNotNull())
     return df.select("image_id", (F.size(reasons) == 0).alias("valid"), reasons.alias("reasons"))
+
+
+_ANIMATED = ["acTL", "fcTL", "fdAT"]
+
+
+def _salvaged(chunks: DataFrame) -> DataFrame:
+    """(image_id, seq, type, n, first): the controls and data of frames that can be kept, numbered from 0 as n.
+
+    They are read by their own numbers until the first that breaks the order: data before
+    any control, a control after one that has no data yet, or one whose frame reaches beyond
+    the canvas. Of the first two controls after one another, the first is the picture's;
+    any other control without data is left out. Without any data, nothing is kept.
+    """
+    size = chunks.where("type = 'IHDR'").select("image_id", ch.read_uint(F.col("data"), 0, 4).alias("_w"), ch.read_uint(F.col("data"), 4, 4).alias("_h"))
+    control = ch.parse_frame_control_chunk(F.col("data"))
+    reach = F.when(F.col("type") == "fcTL", F.struct((control["x_off"] + control["w"]).alias("x"), (control["y_off"] + control["h"]).alias("y")))
+    parts = chunks.where("type in ('fcTL', 'fdAT') and length(data) >= 4").select("image_id", "seq", "type", ch.read_uint(F.col("data"), 0, 4).alias("_n"), reach.alias("_r")).join(size, "image_id")
+    order = Window.partitionBy("image_id").orderBy("_n", F.desc("type"), "seq")  # controls before data of the same number
+    parts = parts.withColumns({"_k": F.row_number().over(order), "_before": F.lag("type").over(order)})
+    control, data = F.col("type") == "fcTL", F.col("type") == "fdAT"
+    broken = (F.col("_before").isNull() & data) | (control & (F.col("_before") == "fcTL") & (F.col("_k") > 2)) | (F.col("_r.x") > F.col("_w")) | (F.col("_r.y") > F.col("_h"))
+    upto = F.sum(F.coalesce(broken, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    kept = parts.withColumn("_broken", upto).where("_broken = 0")
+    kept = kept.withColumns({"_after": F.lead("type").over(order), "_any": F.count_if(data).over(Window.partitionBy("image_id"))})
+    kept = kept.where((F.col("_any") > 0) & (data | (F.coalesce("_after", F.lit("")) == "fdAT") | ((F.col("_k") == 1) & (F.col("_after") == "fcTL"))))
+    number = (F.row_number().over(order) - 1).cast("bigint")
+    return kept.select("image_id", "seq", "type", number.alias("n"), ((F.col("_k") == 1) & (F.col("_after") == "fcTL")).alias("first"))
+
+
+def repaired(chunks: DataFrame) -> DataFrame:
+    """chunks (image_id, seq, type, data, pos) whose animations are sound.
+
+    Those of images that `validity` passes come back as they are. Of others, the frames
+    that can be kept stay, with their data, numbered anew; acTL tells their number and how
+    often they are played, as before if it is known. An image without such frames has a
+    picture only. Windows go over an image's chunks without their data.
+    """
+    told = validity(chunks).select("image_id", "valid")
+    columns = ["image_id", "seq", "type", "data", "pos"]
+    chunks = chunks.select(*columns)
+    sound = chunks.join(told.where("not valid"), "image_id", "left_anti")
+    ill = chunks.join(told.where("not valid").select("image_id"), "image_id", "left_semi")
+    kept = _salvaged(ill)
+    plays = F.coalesce(F.min(F.when((F.col("type") == "acTL") & (F.length("data") == 8), ch.read_uint(F.col("data"), 4, 4))), F.lit(0))
+    edge = F.min(F.when(F.col("type") == "IDAT", F.col("seq")))
+    about = ill.groupBy("image_id").agg(plays.alias("_plays"), edge.alias("_edge"), F.bool_or(F.col("type") == "PLTE").alias("_plte"))
+    early = F.when(F.col("_plte"), "after_PLTE").otherwise("after_IHDR")
+    # where a chunk goes: others before the pixel data, acTL, the picture's control, pixel data, frames, others, IEND
+    others = ill.where(~F.col("type").isin(*_ANIMATED)).join(about, "image_id")
+    part = F.when(F.col("type") == "IEND", 6).when(F.col("type") == "IDAT", 3).when(F.coalesce(F.col("seq") < F.col("_edge"), F.lit(True)), 0).otherwise(5)
+    others = others.select("image_id", part.alias("_part"), F.col("seq").cast("bigint").alias("_at"), "type", "data", "pos")
+    mine = ill.join(kept.select("image_id", "seq", "n", "first"), ["image_id", "seq"]).join(about, "image_id")
+    frames = mine.select("image_id", F.when(F.col("first"), 2).otherwise(4).alias("_part"), F.col("n").alias("_at"), "type", F.concat(ch.uint(F.col("n"), 4), F.substr("data", F.lit(5))).alias("data"), F.when(F.col("first"), early).otherwise("after_IDAT").alias("pos"))
+    counts = kept.groupBy("image_id").agg(F.count_if(F.col("type") == "fcTL").alias("_n")).join(about, "image_id")
+    heads = counts.select("image_id", F.lit(1).alias("_part"), F.lit(0).cast("bigint").alias("_at"), F.lit("acTL").alias("type"), ch.animation_control_chunk(F.col("_n"), F.col("_plays")).alias("data"), early.alias("pos"))
+    whole = others.unionByName(frames).unionByName(heads)
+    place = (F.row_number().over(Window.partitionBy("image_id").orderBy("_part", "_at")) - 1).cast(chunks.schema["seq"].dataType)
+    return sound.unionByName(whole.withColumn("seq", place).select(*columns))

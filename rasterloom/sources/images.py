@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,7 +103,9 @@ def rows(files: DataFrame, by: Sequence[str] = ("image_id",), skip_ancillary: bo
 def encode(
     sample_rows: DataFrame, n: int, kind: str = "png", level: int = 0, bit_depth: int = 8, chunks: DataFrame | None = None, skip_ancillary: bool = False, background: Sequence[float] | None = None, by: Sequence[str] = ("image_id",)
 ) -> DataFrame:
-    """(by..., content): image files of rows (by..., y, vals) of n channels. One image is encoded in one task.
+    """(by..., content): image files of rows (by..., y, vals) of n channels. One image is encoded in one task; `bands.encode` spreads one over many.
+
+    An image whose rows don't run from 0 without gaps or repetitions, or differ in length, raises.
 
     chunks (by..., seq, type, data, pos) are written into PNG files, ancillary ones only, in
     the order of seq at their place: pos, or where it is null that of their kind;
@@ -113,7 +114,7 @@ def encode(
     if kind not in ("png", "bmp"):
         raise ValueError("png or bmp")
     by = list(by)
-    whole = sample_rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("y", "vals"))).alias("p")).select(*by, F.col("p.vals").alias("p"))
+    whole = sample_rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("y", "vals"))).alias("p")).select(*by, F.col("p.vals").alias("p"), F.col("p.y").cast("array<bigint>").alias("ys"))
     if chunks is None or skip_ancillary or kind == "bmp":
         whole = whole.withColumn("more", F.lit(None).cast(_PARTS))
     else:
@@ -125,9 +126,11 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, pixels, more = [], batch.column(len(by)), batch.column(len(by) + 1).to_pylist()
+            out, pixels, ys, more = [], *(batch.column(len(by) + k) for k in range(2)), batch.column(len(by) + 2).to_pylist()
             for i in range(batch.num_rows):
                 lines = pixels[i].values
+                if ys[i].as_py() != list(range(len(lines))) or len(set(lines.value_lengths().to_pylist())) > 1:
+                    raise codec.ImageError("an image lacks rows, or has rows twice or of unequal length")
                 samples = lines.flatten().to_numpy().reshape(len(lines), -1, n)
                 ancillary = [(c["type"], c["data"], c["pos"]) for c in more[i] or ()]
                 out.append(codec.encode_bmp(samples, background) if kind == "bmp" else codec.encode_png(samples, bit_depth, level, ancillary))
@@ -137,19 +140,8 @@ def encode(
 
 
 def save(files: DataFrame, path: str, kind: str = "png") -> None:
-    """Write (image_id, content) as files of their own, <image_id>.<kind>, from the tasks that hold them, into a folder of any file system that pyarrow knows by its address."""
-    if kind not in ("png", "bmp"):
-        raise ValueError("png or bmp")
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(path)
-        store.create_dir(root, recursive=True)
-        for part in parts:
-            for i, content in zip(part["image_id"], part["content"]):
-                with store.open_output_stream(f"{root}/{i}.{kind}") as out:
-                    out.write(content)
-            yield part[["image_id"]]
+    """Write (image_id, content) as files of their own, <image_id>.<kind>, into a folder of any file system that pyarrow knows by its address. A failed write leaves no file."""
+    from . import datasource
 
-    files.select("image_id", "content").mapInPandas(run, "image_id long").write.format("noop").mode("overwrite").save()
+    datasource.register(files.sparkSession)
+    files.select("image_id", "content").write.format("raster").option("kind", kind).mode("append").save(path)

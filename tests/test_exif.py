@@ -82,3 +82,27 @@ def test_compressed_texts(spark):
     both = [b"K\0\1\0en\0t\0" + zlib.compress("日本".encode()), b"K\0\0\0en\0t\0" + "日本".encode()]
     df = spark.createDataFrame([(bytearray(b),) for b in both], "data binary")
     assert [r[0] for r in df.select(ch.parse_itext_chunk(F.col("data")).alias("p")).select(ch.itext_text(F.col("p"))).collect()] == ["日本"] * 2
+
+
+def test_fields_of_the_users_own(spark):
+    from pyspark.sql import functions as F
+
+    from rasterloom.functions import chunks as ch
+    from rasterloom.functions import exif as ex
+
+    one = F.lit(1)
+    data = ex.block([(271, 2, F.lit(4), F.lit(bytearray(b"abc\0"))), (274, 3, one, ch.uint(F.lit(6), 2))], [(50000, 3, one, ch.uint(F.lit(70), 2))])
+    blocks = spark.range(1).select("id", data.alias("data"))
+    ex.register("ExifIFD", 50000, "Coolness", lambda raw, numbers, little: F.concat(F.get(numbers, F.lit(0)).cast("int").cast("string"), F.lit(" degrees")))
+    ex.register("IFD0", 274, "Turned", None)
+    ex.register("IFD0", 271, "Maker", lambda raw, numbers, little: F.upper(F.decode(raw, "US-ASCII")))
+    try:
+        got = {r.tag: (r.name, r.text) for r in ex.fields(blocks).collect()}
+        assert got[50000] == ("Coolness", "70 degrees") and got[274][0] == "Turned" and got[271] == ("Maker", "ABC\0")
+        for bad in (("IFD9", 1), ("IFD0", 70_000), ("IFD0", -1)):
+            with pytest.raises(ValueError):
+                ex.register(*bad, "x")
+    finally:
+        for key in (("ExifIFD", 50000), ("IFD0", 274), ("IFD0", 271)):
+            ex.unregister(*key)
+    assert {r.tag: r.name for r in ex.fields(blocks).collect()}[50000] == "Unknown 50000"
