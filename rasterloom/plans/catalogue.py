@@ -69,17 +69,13 @@ def rounded(df: DataFrame, n: int = 6) -> DataFrame:
 
 
 # Constructors
-add("const_image", lambda s, d: gen.constant(s, 10, 5, [0.0, 42.0, -1.0]), "SELECT CAST(0 AS BIGINT) AS image_id, a.y, b.x, 0.0::DOUBLE AS c0, 42.0::DOUBLE AS c1, -1.0::DOUBLE AS c2 FROM range(5) a(y), range(10) b(x)")
-add("zeros_ones", lambda s, d: px.add(gen.constant(s, 4, 3, [0]), gen.constant(s, 4, 3, [1])), "SELECT CAST(0 AS BIGINT) AS image_id, a.y, b.x, 1.0::DOUBLE AS c0 FROM range(3) a(y), range(4) b(x)")
-add("sequential_ramp", lambda s, d: gen.sequential(s, 5, -3, -0.5), "SELECT CAST(0 AS BIGINT) AS image_id, CAST(0 AS BIGINT) AS y, i AS x, CAST(5 - 0.5 * i AS DOUBLE) AS c0 FROM range(17) t(i)")
-add("disk_mask", lambda s, d: gen.disk(s, 3.5), "SELECT CAST(0 AS BIGINT) AS image_id, a.y, b.x, CASE WHEN sqrt((b.x - 4) ** 2 + (a.y - 4) ** 2) <= 3.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c0 FROM range(9) a(y), range(9) b(x)")
-_G = "SELECT i AS x, exp(-((i - {n}) ** 2) / (2.0 * {s} * {s})) AS g FROM range(2 * {n} + 1) t(i)"
-add("gaussian_kernel", lambda s, d: rounded(gen.kernel_row(s, st.gaussian(1.5))), f"WITH g AS ({_G.format(n=5, s='1.5')}) SELECT CAST(0 AS BIGINT) AS image_id, CAST(0 AS BIGINT) AS y, x, round(g / sum(g) OVER (), 6) AS c0 FROM g")
-add("gaussian_deriv_kernel", lambda s, d: rounded(gen.kernel_row(s, st.gaussian_deriv(1.0))), f"WITH g AS ({_G.format(n=4, s='1.0')}) SELECT CAST(0 AS BIGINT) AS image_id, CAST(0 AS BIGINT) AS y, x, round(-(g / sum(g) OVER ()) * (x - 4), 6) + 0.0 AS c0 FROM g")
-add("gray_palette", lambda s, d: gen.gray_palette(s), "SELECT CAST(0 AS BIGINT) AS image_id, i AS idx, CAST(i AS DOUBLE) AS c0, CAST(i AS DOUBLE) AS c1, CAST(i AS DOUBLE) AS c2 FROM range(256) t(i)")
+add("const_image", tiles(lambda i: gen.constant_like(i, [0.0, 42.0, -1.0])), f"{TILES} SELECT {AT}, 0.0::DOUBLE AS c0, 42.0::DOUBLE AS c1, -1.0::DOUBLE AS c2 FROM px")
+add("zeros_ones", tiles(lambda i: px.add(gen.constant_like(i, [0]), px.mul(gen.constant_like(i, [1]), i))), f"{TILES} SELECT * FROM px")
+add("sequential_ramp", lambda s, d: gen.ramps(fx.table(s, d, "part").select(F.col("p_partkey").alias("image_id"), "p_size"), "p_size", -3, -0.5), "SELECT p_partkey AS image_id, CAST(0 AS BIGINT) AS y, i AS x, CAST(p_size - 0.5::DOUBLE * i AS DOUBLE) AS c0 FROM part, range(0, 1000) t(i) WHERE p_size - 0.5 * i >= -3")
+add("gray_palette", wall(lambda i: rel.depalette(i, gen.gray_palette(i.sparkSession))), f"{WALL} SELECT {AT}, c0, c0 AS c1, c0 AS c2 FROM px")
 
 _HUE = ["least(1, greatest(0, abs(mod(i / 256.0::DOUBLE * 6 + {k}, 6) - 3) - 1))".format(k=k) for k in (0, 4, 2)]
-add("hue_palette", lambda s, d: gen.hue_palette(s), "SELECT CAST(0 AS BIGINT) AS image_id, i AS idx, " + ", ".join(f"round_even(255 * {h}, 0) AS c{k}" for k, h in enumerate(_HUE)) + " FROM range(256) t(i)")
+add("hue_palette", wall(lambda i: rel.depalette(i, gen.hue_palette(i.sparkSession))), f"{WALL}, pal AS (SELECT i, " + ", ".join(f"round_even(255 * {h}, 0) AS p{k}" for k, h in enumerate(_HUE)) + f" FROM range(256) t(i)) SELECT {AT}, p0 AS c0, p1 AS c1, p2 AS c2 FROM px LEFT JOIN pal ON c0 = i")
 add("set_palette", tiles(lambda i: rel.set_palette(i, [0, 1, 2, 255, 9, 8])), f"{TILES} SELECT image_id, idx, c0, c1, c2 FROM (SELECT DISTINCT image_id FROM px), (VALUES (CAST(0 AS BIGINT), 0.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE), (1, 255, 9, 8)) v(idx, c0, c1, c2)")
 
 # Projections
@@ -213,6 +209,10 @@ for _b in st.BORDERS:
     add(f"convolve_{_b}", sized(lambda i, b=_b: st.convolve(i, KERNEL, b)), f"{WALL}{_Z} " + _conv_sql(_K, 3, 3, _b))
 LARGE = [[float((i * 7 + j * 3) % 5 - 2) for j in range(31)] for i in range(31)]
 add("convolve_large", sized(lambda i: st.convolve(i, LARGE, "circular")), f"{WALL}{_Z} " + _conv_sql("(SELECT a.i AS ky, b.j AS kx, (a.i * 7 + b.j * 3) % 5 - 2 AS w FROM range(31) a(i), range(31) b(j)) k", 31, 31, "circular"))
+_G = "(SELECT 0 AS ky, i AS kx, {v} AS w FROM (SELECT i, g / sum(g) OVER () AS g FROM (SELECT i, exp(-((i - {n}) ** 2) / (2.0::DOUBLE * {s} * {s})) AS g FROM range(2 * {n} + 1) t(i)))) k"
+add("gaussian_kernel", sized(lambda i: rounded(st.convolve(i, [st.gaussian(1.5)], "replicate"), 5)), f"{WALL}{_Z} " + _conv_sql(_G.format(n=5, s="1.5", v="g"), 1, 11, "replicate", digits=5))
+add("gaussian_deriv_kernel", sized(lambda i: px.mapped(st.convolve(i, [st.gaussian_deriv(1.0)], "circular"), lambda v: F.round(v, 4) + 0.0)), f"{WALL}{_Z}, r AS (" + _conv_sql(_G.format(n=4, s="1.0", v="-g * (i - 4)"), 1, 9, "circular", digits=4) + f") SELECT {AT}, c0 + 0.0 AS c0 FROM r")
+add("disk_mask", sized(lambda i: st.convolve(i, gen.disk_element(3.5), "zero")), f"{WALL}{_Z} " + _conv_sql("(SELECT a.i AS ky, b.j AS kx, CASE WHEN sqrt((a.i - 4) ** 2 + (b.j - 4) ** 2) <= 3.5 THEN 1 ELSE 0 END AS w FROM range(9) a(i), range(9) b(j)) k", 9, 9, "zero"))
 add("convolve_row", sized(lambda i: st.convolve(i, [[1, -2, 3, 4]], "circular")), f"{WALL}{_Z} " + _conv_sql("(VALUES (0, 0, 1), (0, 1, -2), (0, 2, 3), (0, 3, 4)) k(ky, kx, w)", 1, 4, "circular"))
 add("convolve_col", sized(lambda i: st.convolve(i, [[1], [-2], [3], [4], [6]], "symmetric")), f"{WALL}{_Z} " + _conv_sql("(VALUES (0, 0, 1), (1, 0, -2), (2, 0, 3), (3, 0, 4), (4, 0, 6)) k(ky, kx, w)", 5, 1, "symmetric"))
 
@@ -286,7 +286,16 @@ add("sbit_roundtrip", lambda s, d: fx.table(s, d, "part").select("p_partkey", ch
 add("bkgd_roundtrip", lambda s, d: fx.table(s, d, "part").select("p_partkey", ch.background(F.when(F.col("p_size") % 2 == 0, ch.uint(F.col("p_size"), 2)).otherwise(F.concat(ch.uint(F.col("p_size"), 2), ch.uint(F.lit(7), 2), ch.uint(F.lit(300), 2)))).alias("v")), "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN [CAST(p_size AS BIGINT)] ELSE [p_size, 7, 300] END AS v FROM part")
 add("frame_control", lambda s, d: fx.table(s, d, "orders").select("o_orderkey", ch.parse_frame_control_chunk(ch.frame_control_chunk(F.col("o_orderkey"), F.lit(10), F.lit(20), F.lit(1), F.lit(2), F.pmod("o_custkey", F.lit(65536)), F.lit(24), F.when(F.col("o_custkey") % 2 == 0, "none").otherwise("previous"), F.lit("over"))).alias("f")).select("o_orderkey", "f.*"), "SELECT o_orderkey, o_orderkey AS seq, CAST(10 AS BIGINT) AS w, CAST(20 AS BIGINT) AS h, CAST(1 AS BIGINT) AS x_off, CAST(2 AS BIGINT) AS y_off, o_custkey % 65536 AS delay_num, CAST(24 AS BIGINT) AS delay_den, CASE WHEN o_custkey % 2 = 0 THEN 'none' ELSE 'previous' END AS dispose, 'over' AS blend FROM orders")
 add("unknown_chunk", lambda s, d: fx.table(s, d, "pages").select("page_id", ch.parse_raw_chunk(ch.raw_chunk(F.lit("prVt"), F.encode("html", "UTF-8"))).alias("c")).select("page_id", "c.length", "c.type", "c.crc_ok", F.sha2("c.data", 256).alias("sha")), "SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS length, 'prVt' AS type, true AS crc_ok, sha256(html) AS sha FROM pages")
-add("chunk_flags", lambda s, d: s.createDataFrame([(t,) for t in ("IHDR", "tEXt", "prVt", "iTXt", "fcTL")], "type string").select("type", ch.flags(F.col("type")).alias("f")).select("type", "f.*"), "SELECT t AS type, regexp_matches(t[1], '[a-z]') AS ancillary, regexp_matches(t[2], '[a-z]') AS private, regexp_matches(t[3], '[a-z]') AS reserved, regexp_matches(t[4], '[a-z]') AS safe FROM (VALUES ('IHDR'), ('tEXt'), ('prVt'), ('iTXt'), ('fcTL')) v(t)")
+add("chunk_flags", lambda s, d: images.chunks(images.encode(fx.tile_rows(s, d), 1, chunks=_named(s, d))).select("image_id", "seq", "type", ch.flags(F.col("type")).alias("f")).select("image_id", "seq", "type", "f.*"), "WITH c AS (SELECT vec_id AS image_id, k, t FROM embeddings, (VALUES (0, 'IHDR'), (2, 'IDAT'), (4, 'IEND')) c(k, t) UNION ALL SELECT vec_id, CASE vec_id % 3 WHEN 2 THEN 1 ELSE 3 END, ['prVt', 'tEXt', 'gAMA'][vec_id % 3 + 1] FROM embeddings) SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY k) - 1 AS INTEGER) AS seq, t AS type, regexp_matches(t[1], '[a-z]') AS ancillary, regexp_matches(t[2], '[a-z]') AS private, regexp_matches(t[3], '[a-z]') AS reserved, regexp_matches(t[4], '[a-z]') AS safe FROM c")
+
+
+def _named(s: SparkSession, d: str) -> DataFrame:
+    """A chunk for each tile: private, a text, or a gamma, which stands before the pixels."""
+    k = F.col("vec_id") % 3
+    kind = F.get(F.array(F.lit("prVt"), F.lit("tEXt"), F.lit("gAMA")), k.cast("int"))
+    pos = F.when(k == 2, "after_IHDR").otherwise("after_IDAT")
+    return fx.table(s, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(0).alias("seq"), kind.alias("type"), F.when(k == 1, F.lit(bytearray(b"k\0v"))).otherwise(ch.uint(F.lit(7), 4)).alias("data"), pos.alias("pos"))
+
 
 
 def _spoilt(s: SparkSession, d: str) -> DataFrame:
@@ -411,6 +420,80 @@ add("chunk_scan", _chunk_scan, "SELECT doc_id, 'zTXt' AS type, true AS crc_ok, t
 add("palette_files_depths", lambda s, d: images.headers(images.encode(rel.to_rows(px.to_rgb(fx.rgba(s, d))), 3, level=1)).select("image_id", "color_type", "bit_depth", "has_alpha", "n_frames"), "SELECT vec_id AS image_id, 3 AS color_type, 8 AS bit_depth, false AS has_alpha, CAST(NULL AS INTEGER) AS n_frames FROM embeddings")
 
 
+def _small_depths(s: SparkSession, d: str) -> DataFrame:
+    """Gray files of 1, 2 and 4 bits a sample, which say that they are two rows taller than they are."""
+    depth = F.when(F.col("image_id") % 3 == 0, 1).when(F.col("image_id") % 3 == 1, 2).otherwise(4)
+    packed = F.aggregate(F.transform("vals", lambda v: F.floor(v / 256 * F.pow(F.lit(2.0), depth)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a * F.pow(F.lit(2.0), depth).cast("bigint") + v)
+    line = F.concat(F.lit(bytearray(b"\0")), F.unhex(F.lpad(F.hex(packed), depth * 2, "0")))
+    whole = fx.tile_rows(s, d).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", line.alias("line")))).alias("l"))
+    raw = lambda kind, data: ch.raw_chunk(F.lit(kind), data)
+    head = F.concat(ch.uint(F.lit(8), 4), ch.uint(F.lit(10), 4), ch.uint(depth, 1), F.lit(bytearray(4)))
+    stream = ch.deflate(F.unhex(F.array_join(F.transform("l.line", lambda x: F.hex(x)), "")))
+    content = F.concat(F.lit(bytearray(b"\x89PNG\r\n\x1a\n")), raw("IHDR", head), raw("IDAT", stream), raw("IEND", F.lit(bytearray())))
+    return whole.select("image_id", content.alias("content"))
+
+
+add("png_small_depths", lambda s, d: rel.from_rows(images.rows(_small_depths(s, d)), 1), f"{TILES} SELECT {AT}, floor(c0 * [2, 4, 16][image_id % 3 + 1] / 256) AS c0 FROM px UNION ALL SELECT DISTINCT image_id, t.y, u.x, 0.0::DOUBLE FROM px, range(8, 10) t(y), range(8) u(x)")
+add("png_interlaced", lambda s, d: rel.from_rows(images.rows(images.encode(fx.tile_rows(s, d), 1, level=1, interlace=True)), 1), f"{TILES} SELECT * FROM px")
+add("png_wrapped_samples", lambda s, d: rel.from_rows(images.rows(images.encode(fx.tile_rows(s, d).withColumn("vals", F.transform("vals", lambda v: v * 3.5 - 300)), 1)), 1), f"{TILES} SELECT {AT}, ((trunc(c0 * 3.5::DOUBLE - 300) % 256) + 256) % 256 AS c0 FROM px")
+add("skip_ancillary_read", lambda s, d: images.chunks(images.encode(fx.tile_rows(s, d), 1, chunks=_named(s, d)), skip_ancillary=True).select("image_id", "seq", "type"), "SELECT vec_id AS image_id, CAST(k AS INTEGER) AS seq, t AS type FROM embeddings, (VALUES (0, 'IHDR'), (1, 'IDAT'), (2, 'IEND')) c(k, t)")
+add("skip_ancillary_save", lambda s, d: images.chunks(images.encode(fx.tile_rows(s, d), 1, chunks=_named(s, d), skip_ancillary=True)).select("image_id", "seq", "type"), "SELECT vec_id AS image_id, CAST(k AS INTEGER) AS seq, t AS type FROM embeddings, (VALUES (0, 'IHDR'), (1, 'IDAT'), (2, 'IEND')) c(k, t)")
+
+
+def _spoilt_files(s: SparkSession, d: str) -> DataFrame:
+    """Files of tiles of which every third has a wrong checksum at its end."""
+    c = F.col("content")
+    other = F.concat(F.substr(c, F.lit(1), F.length(c) - 1), F.lit(bytearray(b"\0")))
+    return images.encode(fx.tile_rows(s, d), 1).select("image_id", F.when(F.col("image_id") % 3 == 0, other).otherwise(c).alias("content"))
+
+
+def _checks(s: SparkSession, d: str) -> DataFrame:
+    told = lambda skip, name: images.headers(_spoilt_files(s, d), skip_crc=skip).select("image_id", F.array_join("warnings", "; ").alias(name))
+    return told(False, "checked").join(told(True, "skipped"), "image_id")
+
+
+add("skip_crc", _checks, "SELECT vec_id AS image_id, CASE WHEN vec_id % 3 = 0 THEN 'the CRC of IEND doesn''t hold' ELSE '' END AS checked, '' AS skipped FROM embeddings")
+
+
+def _backgrounds(s: SparkSession, d: str) -> DataFrame:
+    """Backgrounds written into files of three channels and read from their headers."""
+    rows = rel.to_rows(px.to_rgb(fx.rgba(s, d)))
+    i = F.col("image_id")
+    back = rows.select("image_id").distinct().select("image_id", F.lit(0).alias("seq"), F.lit("bKGD").alias("type"), ch.background_chunk(F.array(i % 256, (i * 7) % 256, F.lit(9).cast("bigint")), 3).alias("data"), F.lit("after_IHDR").alias("pos"))
+    return images.headers(images.encode(rows, 3, chunks=back)).select("image_id", "background")
+
+
+add("background_files", _backgrounds, "SELECT vec_id AS image_id, [CAST(vec_id % 256 AS INTEGER), CAST(vec_id * 7 % 256 AS INTEGER), 9] AS background FROM embeddings")
+
+
+def _odd_chunks(s: SparkSession, d: str) -> DataFrame:
+    """What is odd about chunks of orders: kinds that occur twice, colours after the pixels, units that aren't known."""
+    o = fx.table(s, d, "orders").select("o_orderkey")
+    kinds = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(p).alias("pos")) for t, p in (("gAMA", "after_IHDR"), ("tRNS", "after_IDAT"), ("gAMA", "after_IDAT"), ("pHYs", "after_IHDR"))))
+    c = o.select(F.col("o_orderkey").alias("image_id"), F.posexplode(kinds).alias("seq", "c")).select("image_id", "seq", "c.type", "c.pos", F.when(F.col("c.type") == "pHYs", F.concat(ch.uint(F.lit(1), 4), ch.uint(F.lit(1), 4), ch.uint(F.col("image_id") % 3, 1))).otherwise(ch.uint(F.lit(5), 4)).alias("data"))
+    return ct.diagnostics(c, o.select(F.col("o_orderkey").alias("image_id"), F.when(F.col("o_orderkey") % 2 == 0, 6).otherwise(2).alias("color_type")))
+
+
+add("chunk_diagnostics", _odd_chunks, "SELECT o_orderkey AS image_id, CAST(k AS INTEGER) AS seq, t AS type, m AS message FROM orders, (VALUES (1, 'tRNS', 'stands after the pixel data', 0), (2, 'gAMA', 'occurs more than once', 0), (3, 'pHYs', 'has an unknown unit', 1), (1, 'tRNS', 'isn''t expected in an image with alpha', 2)) v(k, t, m, c) WHERE c = 0 OR (c = 1 AND o_orderkey % 3 = 2) OR (c = 2 AND o_orderkey % 2 = 0)")
+add("row_slice", wall(lambda i: px.get_row(i, 0, 7)), f"{WALL} SELECT image_id, x, c0 FROM px WHERE y = 7")
+add("copy_rectangle", tiles(lambda i: geo.copy(i, 2, 3, 20, 3)), f"{TILES} SELECT image_id, y - 3 AS y, x - 2 AS x, c0 FROM px WHERE x >= 2 AND y BETWEEN 3 AND 5")
+add("chunk_maps", lambda s, d: ct.chunk_map(images.chunks(images.encode(fx.tile_rows(s, d), 1, chunks=_named(s, d)))).select("image_id", F.array_sort(F.map_keys("chunks")).alias("kinds")), "SELECT vec_id AS image_id, list_sort(['IDAT', 'IEND', 'IHDR', ['prVt', 'tEXt', 'gAMA'][vec_id % 3 + 1]]) AS kinds FROM embeddings")
+
+
+def _own_fields(s: SparkSession, d: str) -> DataFrame:
+    """A field of the user's own, told by a decoder of their own, in blocks of all orders."""
+    o = fx.table(s, d, "orders")
+    ex.register("ExifIFD", 50000, "Coolness", lambda raw, numbers, little: F.concat(F.get(numbers, F.lit(0)).cast("bigint").cast("string"), F.lit(" degrees")))
+    try:
+        data = ex.block([(274, 3, F.lit(1), ch.wrapped(F.lit(1), 2))], [(50000, 3, F.lit(1), ch.wrapped(F.col("o_orderkey") % 360, 2))])
+        return ex.fields(o.select("o_orderkey", data.alias("data"))).where("ifd = 'ExifIFD'").select("o_orderkey", "name", "text")
+    finally:
+        ex.unregister("ExifIFD", 50000)
+
+
+add("exif_own_field", _own_fields, "SELECT o_orderkey, 'Coolness' AS name, (o_orderkey % 360) || ' degrees' AS text FROM orders")
+
+
 # Animations
 def _frames(s: SparkSession, d: str) -> DataFrame:
     o = fx.table(s, d, "orders")

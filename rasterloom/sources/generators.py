@@ -42,3 +42,23 @@ def hue_palette(spark: SparkSession) -> DataFrame:
     """256 hues of full saturation and value."""
     rows = [(0, i, *(float(round(255 * v)) for v in colorsys.hsv_to_rgb(i / 256, 1, 1))) for i in range(256)]
     return spark.createDataFrame(rows, "image_id long, idx long, c0 double, c1 double, c2 double")
+
+
+def constant_like(img: DataFrame, color: list[float]) -> DataFrame:
+    """An image of one colour for each image of img, as large."""
+    if not 1 <= len(color) <= 4:
+        raise ValueError("one to four channels")
+    return img.select("image_id", "y", "x", *(F.lit(float(v)).alias(f"c{k}") for k, v in enumerate(color)))
+
+
+def ramps(ids: DataFrame, start: str, stop: float, step: float = 1) -> DataFrame:
+    """An image of one row for each row of ids (image_id, start): from start to stop, both included; none where start lies beyond stop."""
+    last = F.floor((F.lit(float(stop)) - F.col(start)) / F.lit(float(step))).cast("bigint")
+    rows = ids.where(last >= 0).select("image_id", F.col(start).cast("double").alias("_s"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("x"))
+    return rows.select("image_id", F.lit(0).cast("bigint").alias("y"), "x", (F.col("_s") + F.col("x") * F.lit(float(step))).alias("c0"))
+
+
+def disk_element(radius: float) -> list[list[float]]:
+    """A disk as the cells of a kernel: 1 within the radius, else 0."""
+    r = math.ceil(radius)
+    return [[float(math.hypot(x, y) <= radius) for x in range(-r, r + 1)] for y in range(-r, r + 1)]

@@ -101,7 +101,7 @@ def rows(files: DataFrame, by: Sequence[str] = ("image_id",), skip_ancillary: bo
 
 
 def encode(
-    sample_rows: DataFrame, n: int, kind: str = "png", level: int = 0, bit_depth: int = 8, chunks: DataFrame | None = None, skip_ancillary: bool = False, background: Sequence[float] | None = None, by: Sequence[str] = ("image_id",)
+    sample_rows: DataFrame, n: int, kind: str = "png", level: int = 0, bit_depth: int = 8, chunks: DataFrame | None = None, skip_ancillary: bool = False, background: Sequence[float] | None = None, by: Sequence[str] = ("image_id",), interlace: bool = False
 ) -> DataFrame:
     """(by..., content): image files of rows (by..., y, vals) of n channels. One image is encoded in one task; `bands.encode` spreads one over many.
 
@@ -109,7 +109,7 @@ def encode(
 
     chunks (by..., seq, type, data, pos) are written into PNG files, ancillary ones only, in
     the order of seq at their place: pos, or where it is null that of their kind;
-    skip_ancillary leaves them out. BMP files blend alpha onto background, if given.
+    skip_ancillary leaves them out. PNG files may be interlaced. BMP files blend alpha onto background, if given.
     """
     if kind not in ("png", "bmp"):
         raise ValueError("png or bmp")
@@ -133,7 +133,7 @@ def encode(
                     raise codec.ImageError("an image lacks rows, or has rows twice or of unequal length")
                 samples = lines.flatten().to_numpy().reshape(len(lines), -1, n)
                 ancillary = [(c["type"], c["data"], c["pos"]) for c in more[i] or ()]
-                out.append(codec.encode_bmp(samples, background) if kind == "bmp" else codec.encode_png(samples, bit_depth, level, ancillary))
+                out.append(codec.encode_bmp(samples, background) if kind == "bmp" else codec.encode_png(samples, bit_depth, level, ancillary, interlace=int(interlace)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], pa.array(out, pa.binary())], [*by, "content"])
 
     return whole.mapInArrow(run, schema)
