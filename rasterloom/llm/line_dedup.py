@@ -156,16 +156,35 @@ def repeated(docs: DataFrame, least: int = 40, min_docs: int = 5, batches: int =
     return once.groupBy("doc_id", "row").agg(F.collect_set("at").alias("drop"))
 
 
+#: A bitmap of ids: so many parts of 32,768 bits, 4 MB in all. More ids than it has bits only mean that more texts are shuffled.
+_PARTS, _BITS = 1024, 32_768
+
+
+def _with_maybe(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs with _maybe: false only where no row of gone has the id."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(_PARTS * _BITS))
+    part, place = (lambda c: F.floor(bit(c) / _BITS).cast("int")), (lambda c: bit(c) % _BITS)
+    maps = gone.select(part("_doc").alias("_part"), place("_doc").alias("_place")).groupBy("_part").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    df = docs.withColumn("_part", part("doc_id")).join(F.broadcast(maps), "_part", "left")
+    byte = F.conv(F.hex(F.substr("_bits", (place("doc_id") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    some = byte.bitwiseAND(F.expr("shiftleft(1, cast(pmod(xxhash64(doc_id), 8) as int))")) != 0
+    return df.withColumn("_maybe", F.coalesce(some, F.lit(False))).drop("_part", "_bits")
+
+
 def deduplicated(docs: DataFrame, least: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
     """docs with the array columns line_list (all lines of a text) and kept (those that stay).
 
     A null or empty text is one empty line. Repeated rows of a doc_id count as rows of
-    their own towards min_docs and lose the same lines.
+    their own towards min_docs and lose the same lines. Only texts whose ids are in the
+    bitmap of those that lose lines are shuffled; the others stay where they are.
     """
     gone = materialize(repeated(docs, least, min_docs, batches), "line-drops").withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
-    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (row_key() == F.col("_row")), "left").withColumn("line_list", lines_of())
+    told = _with_maybe(docs, gone)
+    whole = told.where("not _maybe").drop("_maybe").withColumn("line_list", lines_of()).withColumn("kept", F.col("line_list"))
+    joined = told.where("_maybe").drop("_maybe").join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (row_key() == F.col("_row")), "left").withColumn("line_list", lines_of())
     stay = F.array_except(F.sequence(F.lit(0), F.size("line_list") - 1), "drop")
-    return joined.withColumn("kept", F.when(F.col("drop").isNull(), F.col("line_list")).otherwise(F.transform(stay, lambda i: F.get("line_list", i)))).drop("drop", "_doc", "_row")
+    cut = joined.withColumn("kept", F.when(F.col("drop").isNull(), F.col("line_list")).otherwise(F.transform(stay, lambda i: F.get("line_list", i)))).drop("drop", "_doc", "_row")
+    return whole.unionByName(cut)
 
 
 def first_seen(spark: SparkSession, batches: list[DataFrame], least: int = 40) -> list[DataFrame]:
