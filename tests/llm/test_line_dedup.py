@@ -124,3 +124,18 @@ def test_no_table_and_no_setting_is_left(spark):
     batches = [docs.where(f"doc_id % 4 = {k}") for k in range(4)]
     assert [x.count() for x in d.first_seen(spark, batches)][1:] == [15, 15, 15]
     assert spark.conf.get(key, None) == before and {t.name for t in spark.catalog.listTables()} == tables
+
+
+def test_only_rows_that_may_lose_lines_are_set_apart(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(4000).withColumnRenamed("id", "doc_id").unionByName(spark.createDataFrame([(None,)], "doc_id long"))
+    gone = docs.where("doc_id % 40 = 3 or doc_id is null").withColumnRenamed("doc_id", "_doc")
+    told = d._with_maybe(docs, gone)
+    assert told.where("(doc_id % 40 = 3 or doc_id is null) and not _maybe").count() == 0
+    assert told.where("_maybe").count() <= 101 + 4
+    shared = "one long line that every third document of this table holds, word for word"
+    table = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, shared).otherwise(F.concat(F.lit("a line that is long enough but stands alone, "), F.col("doc_id").cast("string"))))
+    done = d.deduplicated(table)
+    assert done.count() == 4001 and done.where("size(kept) < size(line_list)").count() == 1333
+    assert spark.createDataFrame([], "doc_id long, text string").transform(d.deduplicated).count() == 0
