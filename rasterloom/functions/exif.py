@@ -164,15 +164,16 @@ def moment(text: Column) -> Column:
 def thumbnails(blocks: DataFrame, key: str, data: str = "data") -> DataFrame:
     """(key, compression, thumbnail) of blocks whose IFD1 gives a thumbnail's place and length. key tells blocks apart."""
     one = lambda tag: F.max(F.when(F.col("tag") == tag, F.get("numbers", F.lit(0)))).cast("bigint")
-    told = fields(blocks.select(key, data), data).where("ifd = 'IFD1'").groupBy(key).agg(one(259).alias("compression"), one(513).alias("_at"), one(514).alias("_n")).where("_at is not null and _n is not null")
-    return blocks.select(key, data).join(told, key).select(key, "compression", _bytes(F.col(data), F.col("_at"), F.col("_n")).alias("thumbnail"))
+    small = fields(blocks.select(key, data, F.col(data).alias("_block")), data).where("ifd = 'IFD1' and tag in (259, 513, 514)")
+    told = small.groupBy(key).agg(one(259).alias("compression"), one(513).alias("_at"), one(514).alias("_n"), F.first("_block").alias("_block")).where("_at is not null and _n is not null")
+    return told.select(key, "compression", _bytes(F.col("_block"), F.col("_at"), F.col("_n")).alias("thumbnail"))
 
 
 Field = tuple[int, int, Column, Column]
 
 
-def _directory(entries: list[Field], start: Column) -> Column:
-    """A big-endian directory at a place, its longer values behind it."""
+def _directory(entries: list[Field], start: Column, following: Column | None = None) -> Column:
+    """A big-endian directory at a place, with the place of the one that follows it, its longer values behind it."""
     place, table, area = start + 2 + 12 * len(entries) + 4, [], []
     for tag, kind, count, payload in entries:
         away = F.length(payload) > 4
@@ -180,14 +181,29 @@ def _directory(entries: list[Field], start: Column) -> Column:
         table.append(F.concat(uint(F.lit(tag), 2), uint(F.lit(kind), 2), uint(count, 4), value))
         area.append(F.when(away, payload).otherwise(F.unhex(F.lit(""))))
         place = place + F.when(away, F.length(payload)).otherwise(0)
-    return F.concat(uint(F.lit(len(entries)), 2), *table, uint(F.lit(0), 4), *area)
+    return F.concat(uint(F.lit(len(entries)), 2), *table, uint(F.lit(0) if following is None else following, 4), *area)
 
 
-def block(main: list[Field], exif: list[Field] = ()) -> Column:
-    """A big-endian EXIF block of (tag, type, count, bytes) fields of IFD0 and, if any, of the Exif directory."""
-    head = F.unhex(F.lit("4D4D002A00000008"))
-    if not exif:
-        return F.concat(head, _directory(main, F.lit(8)))
-    one = F.lit(1)
-    after = F.lit(8) + F.length(_directory([*main, (EXIF_POINTER, 4, one, uint(F.lit(0), 4))], F.lit(8)))
-    return F.concat(head, _directory([*main, (EXIF_POINTER, 4, one, uint(after, 4))], F.lit(8)), _directory(list(exif), after))
+def _length(entries: list[Field]) -> Column:
+    """What _directory takes, told without building it."""
+    out = F.lit(2 + 12 * len(entries) + 4)
+    for _, _, _, payload in entries:
+        out = out + F.when(F.length(payload) > 4, F.length(payload)).otherwise(0)
+    return out
+
+
+def block(main: list[Field], exif: list[Field] = (), thumbnail: Column | None = None, compression: Column | int = 6) -> Column:
+    """A big-endian EXIF block of (tag, type, count, bytes) fields of IFD0 and, if any, of the Exif directory.
+
+    A thumbnail's bytes stand at the end, behind IFD1, which tells their place, length and
+    compression (6: JPEG). The block of a null thumbnail is null.
+    """
+    head, one = F.unhex(F.lit("4D4D002A00000008")), F.lit(1)
+    pointing = lambda at: [*main, (EXIF_POINTER, 4, one, uint(at, 4))] if exif else main
+    after = F.lit(8) + _length(pointing(F.lit(0)))
+    more = _directory(list(exif), after) if exif else F.unhex(F.lit(""))
+    if thumbnail is None:
+        return F.concat(head, _directory(pointing(after), F.lit(8)), more)
+    second = after + _length(exif) if exif else after
+    small = [(259, 3, one, uint(F.lit(compression), 2)), (513, 4, one, uint(second + 2 + 12 * 3 + 4, 4)), (514, 4, one, uint(F.length(thumbnail), 4))]
+    return F.concat(head, _directory(pointing(after), F.lit(8), second), more, _directory(small, second), thumbnail)

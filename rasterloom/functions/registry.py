@@ -38,6 +38,17 @@ class ChunkKind:
                 raise ValueError(f"the {what} letter of {self.name} must be {'lower' if wanted else 'upper'} case")
 
 
+def conflict(kind: Column, ancillary: Column, public: Column, safe: Column) -> Column:
+    """What the letters of names of a table say against the flags beside them, at the first such letter; null if they agree. A null name is none."""
+    wanted = (("first", ancillary), ("second", ~public), ("third", F.lit(False)), ("fourth", safe))
+    out = F.lit(None).cast("string")
+    for k, (what, lower) in reversed(list(enumerate(wanted, 1))):
+        told = F.concat(F.lit(f"the {what} letter of "), kind, F.lit(" must be "), F.when(lower, "lower").otherwise("upper"), F.lit(" case"))
+        out = F.when(F.regexp_like(F.substring(kind, k, 1), F.lit("[a-z]")) != lower, told).otherwise(out)
+    four = F.coalesce(F.regexp_like(kind, F.lit("^[A-Za-z]{4}$")), F.lit(False))
+    return F.when(four, out).otherwise(F.concat(F.coalesce(kind, F.lit("null")), F.lit(" isn't four letters")))
+
+
 _KINDS: dict[str, ChunkKind] = {}
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .geometry import with_sizes
 from .pixels import AT, channels
 
 
@@ -203,6 +204,26 @@ def to_rows(img: DataFrame) -> DataFrame:
     return rows.select("image_id", "y", F.flatten(F.col("p.v")).alias("vals"))
 
 
+def to_blob(img: DataFrame, x: int = 0, y: int = 0, w: int | None = None, h: int | None = None, alpha: bool = True) -> DataFrame:
+    """(image_id, vals): the values of a window of each image, row after row, channels interleaved.
+
+    A place wraps around; without w and h the window reaches the image's end. A window that
+    reaches beyond an image raises, one of no pixels gives no row. Without alpha, the last of
+    two or four channels is left out.
+    """
+    if (w or 0) < 0 or (h or 0) < 0:
+        raise ValueError("a window's size can't be negative")
+    own = channels(img)
+    kept = own[:-1] if not alpha and len(own) in (2, 4) else own
+    left, top = F.pmod(F.lit(x), F.col("w")), F.pmod(F.lit(y), F.col("h"))
+    right, bottom = (F.col("w") if w is None else left + w), (F.col("h") if h is None else top + h)
+    within = (F.col("x") >= left) & (F.col("x") < right) & (F.col("y") >= top) & (F.col("y") < bottom)
+    fits = (right <= F.col("w")) & (bottom <= F.col("h"))
+    cut = with_sizes(img).where(F.when(fits, within).otherwise(F.raise_error(F.lit("the window reaches beyond the image")).cast("boolean")))
+    some = cut.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", F.array(*kept).alias("v")))).alias("p"))
+    return some.select("image_id", F.flatten("p.v").alias("vals"))
+
+
 def from_rows(rows: DataFrame, n: int) -> DataFrame:
     """Pixels of rows of n interleaved channels, in one pass over each row."""
     px = rows.select("image_id", "y", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("vals") / n).cast("int") - 1), lambda i: F.slice("vals", i * n + 1, n))).alias("x", "v"))

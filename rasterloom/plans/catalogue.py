@@ -494,6 +494,45 @@ def _own_fields(s: SparkSession, d: str) -> DataFrame:
 add("exif_own_field", _own_fields, "SELECT o_orderkey, 'Coolness' AS name, (o_orderkey % 360) || ' degrees' AS text FROM orders")
 
 
+def _small_pictures(s: SparkSession, d: str) -> DataFrame:
+    """Thumbnails of unequal lengths and both kinds of compression, out of blocks of all orders."""
+    o, one, k = fx.table(s, d, "orders"), F.lit(1), F.col("o_orderkey")
+    picture = F.encode(F.concat(F.repeat("o_orderpriority", (k % 5).cast("int")), k.cast("string")), "UTF-8")
+    data = ex.block([(274, 3, one, ch.wrapped(k % 8 + 1, 2)), (282, 5, one, F.concat(ch.wrapped(k, 4), ch.wrapped(F.lit(8), 4)))], [(40961, 3, one, ch.wrapped(one, 2))], picture, F.when(k % 2 == 0, 6).otherwise(1))
+    return ex.thumbnails(o.select("o_orderkey", data.alias("data")), "o_orderkey").withColumn("thumbnail", F.decode("thumbnail", "UTF-8"))
+
+
+add("exif_thumbnail", _small_pictures, "SELECT o_orderkey, CAST(CASE o_orderkey % 2 WHEN 0 THEN 6 ELSE 1 END AS BIGINT) AS compression, repeat(o_orderpriority, o_orderkey % 5) || o_orderkey AS thumbnail FROM orders")
+
+
+def _name_conflicts(s: SparkSession, d: str) -> DataFrame:
+    """Names in all cases of their letters, some a letter short, against flags that may not fit them."""
+    o, k, c = fx.table(s, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    letter = lambda i: F.when(k % (2 << i) < 1 << i, "PrVt"[i].lower()).otherwise("PrVt"[i].upper())
+    name = F.concat(*(letter(i) for i in range(3)), F.when(k % 11 == 0, "").otherwise(letter(3)))
+    return o.select("o_orderkey", name.alias("name"), registry.conflict(name, c % 3 > 0, c % 2 == 0, c % 5 > 1).alias("conflict"))
+
+
+_LETTERS = " || ".join(f"CASE WHEN {'o_orderkey % 11 = 0' if i == 3 else 'false'} THEN '' WHEN o_orderkey % {2 << i} < {1 << i} THEN '{c.lower()}' ELSE '{c.upper()}' END" for i, c in enumerate("prvt"))
+_WANTED = ("o_custkey % 3 > 0", "o_custkey % 2 <> 0", "false", "o_custkey % 5 > 1")
+_WRONG = " ".join(f"WHEN regexp_matches(name[{i}], '[a-z]') <> ({w}) THEN 'the {n} letter of ' || name || ' must be ' || CASE WHEN {w} THEN 'lower' ELSE 'upper' END || ' case'" for i, (n, w) in enumerate(zip(("first", "second", "third", "fourth"), _WANTED), 1))
+add("chunk_name_conflicts", _name_conflicts, f"WITH n AS (SELECT o_orderkey, o_custkey, {_LETTERS} AS name FROM orders) SELECT o_orderkey, name, CASE WHEN length(name) < 4 THEN name || ' isn''t four letters' {_WRONG} END AS conflict FROM n")
+
+
+def _critical(s: SparkSession, d: str) -> DataFrame:
+    """Tiles' files, three of four with a chunk before or behind their header that no reader may pass by."""
+    c, k = F.col("content"), F.col("image_id") % 4
+    put = lambda at, kind, data: F.concat(F.substr(c, F.lit(1), F.lit(at)), ch.raw_chunk(F.lit(kind), F.lit(bytearray(data))), F.substr(c, F.lit(at + 1)))
+    files = images.encode(fx.tile_rows(s, d), 1)
+    content = F.when(k == 1, put(8, "CgBI", b"\0" * 4)).when(k == 2, put(33, "ABCD", b"")).when(k == 3, put(33, "PLTE", b"abc")).otherwise(c)
+    return images.headers(files.select("image_id", content.alias("content"))).select("image_id", "error")
+
+
+add("critical_chunks", _critical, "SELECT vec_id AS image_id, 'ChunkError: ' || [NULL, 'CgBI: a file of another format that poses as PNG', 'unknown critical chunk ABCD', 'a palette that is empty, late or of a gray image'][vec_id % 4 + 1] AS error FROM embeddings")
+add("to_blob", rgba(lambda i: rel.to_blob(i, -3, 1, 2, 3)), f"{RGBA} SELECT image_id, flatten(list([c0, c1, c2, c3] ORDER BY y, x)) AS vals FROM px WHERE x BETWEEN 1 AND 2 AND y BETWEEN 1 AND 3 GROUP BY image_id")
+add("to_blob_without_alpha", rgba(lambda i: rel.to_blob(i, 1, -2, alpha=False)), f"{RGBA} SELECT image_id, flatten(list([c0, c1, c2] ORDER BY y, x)) AS vals FROM px WHERE x >= 1 AND y >= 2 GROUP BY image_id")
+
+
 # Animations
 def _frames(s: SparkSession, d: str) -> DataFrame:
     o = fx.table(s, d, "orders")
@@ -550,10 +589,13 @@ add("frame_delay_update", lambda s, d: an.set_delay(fx.clips(s, d)[0], 1, 5, 6).
 add("frame_offset_update", lambda s, d: an.set_offset(fx.clips(s, d)[0], -2, 0, 0).select("image_id", "frame", "x_off", "y_off"), f"{_CLIPS} SELECT image_id, frame, CAST(CASE WHEN frame = last - 1 THEN 0 ELSE x_off END AS BIGINT) AS x_off, CAST(CASE WHEN frame = last - 1 THEN 0 ELSE y_off END AS BIGINT) AS y_off FROM fo JOIN (SELECT image_id, max(frame) AS last FROM fo GROUP BY image_id) USING (image_id)")
 
 
+def _clip_rows(p: DataFrame) -> DataFrame:
+    return p.groupBy("image_id", "frame", "y").agg(F.sort_array(F.collect_list(F.struct("x", F.array("c0", "c1").alias("v")))).alias("l")).select("image_id", "frame", "y", F.flatten("l.v").alias("vals"))
+
+
 def _clip_files(s: SparkSession, d: str) -> DataFrame:
     frames, p = fx.clips(s, d)
-    rows = p.groupBy("image_id", "frame", "y").agg(F.sort_array(F.collect_list(F.struct("x", F.array("c0", "c1").alias("v")))).alias("l")).select("image_id", "frame", "y", F.flatten("l.v").alias("vals"))
-    return apng.encode(frames, rows, 2)
+    return apng.encode(frames, _clip_rows(p), 2)
 
 
 def _clip_pixels(s: SparkSession, d: str) -> DataFrame:
@@ -575,6 +617,15 @@ add("apng_validity", _clip_validity, f"{_AN} SELECT DISTINCT image_id, image_id
 add("apng_headers", lambda s, d: images.headers(_clip_files(s, d)).select("image_id", "width", "height", "has_alpha", "n_frames", "n_plays", F.array_join("warnings", "").alias("warnings"), "error"), f"{_AN} SELECT image_id, 8 AS width, 8 AS height, true AS has_alpha, CAST(max(frame) + 1 AS INTEGER) AS n_frames, 0 AS n_plays, '' AS warnings, CAST(NULL AS VARCHAR) AS error FROM ap GROUP BY image_id")
 
 
+def _clips_with_chunks(s: SparkSession, d: str) -> DataFrame:
+    """The chunks of animated files that hold a private chunk, a text or a gamma beside their frames."""
+    frames, p = fx.clips(s, d)
+    return images.chunks(apng.encode(frames, _clip_rows(p), 2, chunks=_named(s, d))).select("image_id", "seq", "type", "pos", "crc_ok")
+
+
+add("apng_with_chunks", _clips_with_chunks, f"{_CLIPS}, i AS (SELECT DISTINCT image_id FROM fo), w AS (SELECT image_id, part, 0 AS n, type FROM i, (VALUES (0, 'IHDR'), (2, 'acTL'), (3, 'fcTL'), (4, 'IDAT'), (7, 'IEND')) c(part, type) UNION ALL SELECT image_id, 1, 0, 'gAMA' FROM i WHERE image_id % 3 = 2 UNION ALL SELECT image_id, 6, 0, ['prVt', 'tEXt'][image_id % 3 + 1] FROM i WHERE image_id % 3 < 2 UNION ALL SELECT image_id, 5, 2 * frame + k, ['fcTL', 'fdAT'][k + 1] FROM fo, range(2) t(k) WHERE frame > 0) SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY part, n) - 1 AS INTEGER) AS seq, type, CASE WHEN part < 4 THEN 'after_IHDR' ELSE 'after_IDAT' END AS pos, true AS crc_ok FROM w")
+
+
 def _cropped(s: SparkSession, d: str) -> DataFrame:
     frames, p = fx.clips(s, d)
     moved = frames.withColumns({"x_off": F.col("frame") % 17 - 8, "y_off": F.col("frame") % 13 - 6})

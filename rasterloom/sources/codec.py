@@ -151,6 +151,8 @@ def decode_png(content: bytes, only_metadata: bool = False, skip_ancillary: bool
     for kind, body, ok in chunks_of(content, skip_crc):
         if ended:
             raise ChunkError("a chunk after IEND")
+        if kind == "CgBI":
+            raise ChunkError("CgBI: a file of another format that poses as PNG")
         if im is None and kind != "IHDR":
             raise ChunkError("IHDR comes first")
         critical = kind[:1].isupper()

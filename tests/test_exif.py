@@ -65,6 +65,16 @@ def test_fields_of_both_byte_orders(spark, order):
     assert ex.fields(df, names={"GPS_IFD": {1: "GPSLatitudeRef"}}).where("ifd = 'GPS_IFD'").first().name == "GPSLatitudeRef"
 
 
+def test_thumbnails_of_written_blocks(spark):
+    df = spark.createDataFrame([(1, b"JPEG" * 50, 6), (2, b"", 1), (3, None, 6)], "id long, t binary, c int")
+    main, sub = [(274, 3, F.lit(1), ex.uint(F.lit(3), 2))], [(40961, 3, F.lit(1), ex.uint(F.lit(1), 2))]
+    for exif in ((), sub):
+        made = df.select("id", ex.block(main, exif, F.col("t"), F.col("c")).alias("data"))
+        assert sorted((r.id, r.compression, bytes(r.thumbnail)) for r in ex.thumbnails(made, "id").collect()) == [(1, 6, b"JPEG" * 50), (2, 1, b"")]
+        assert {(r.id, r.ifd, r.tag) for r in ex.fields(made).collect()} >= {(1, "IFD0", 274), (1, "IFD1", 259), (2, "IFD1", 513)}
+        assert ex.fields(made).where("ifd = 'ExifIFD' and tag = 40961").count() == (2 if exif else 0)
+
+
 def test_broken_blocks_give_no_or_null_fields(spark):
     whole = block("<")
     bad = [None, b"", b"II", b"II*\0", b"JUNKJUNKJUNK", b"II*\0\xff\xff\xff\xff", whole[:60], b"MM\0*\0\0\0\x08\xff\xff"]

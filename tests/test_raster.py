@@ -4,8 +4,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rasterloom.functions import chunks as ch
+from rasterloom.functions import registry
 from rasterloom.operators import animation as an
 from rasterloom.operators import geometry as geo
 from rasterloom.operators import pixels as px
@@ -439,3 +441,32 @@ def test_files_with_chunks_from_tables(spark):
     assert {r.has_alpha for r in images.headers(files).collect()} == {True, False} and images.encode(rows, 1, chunks=chunks, skip_ancillary=True).where("image_id = 7").first().content == codec.encode_png(np.array([[[1.0], [2.0]]]))
     rgba = spark.createDataFrame([(1, 0, [100.0, 100.0, 100.0, 0.0])], "image_id long, y long, vals array<double>")
     assert images.rows(images.encode(rgba, 4, "bmp", background=[1, 2, 3])).first()["vals"] == [1, 2, 3]
+
+
+def test_blob_windows(spark):
+    img = spark.createDataFrame([(i, y, x, 10.0 * y + x, 7.0) for i in (1, 2) for y in range(3) for x in range(2 + i)], "image_id long, y long, x long, c0 double, c1 double")
+    got = lambda *a, **k: {r.image_id: r.vals for r in rel.to_blob(img, *a, **k).collect()}
+    assert got(-1, 1, alpha=False) == {1: [12.0, 22.0], 2: [13.0, 23.0]}
+    assert got(4, 0, 1, 1) == {1: [1.0, 7.0], 2: [0.0, 7.0]}
+    assert got(0, 0, 0, 2) == {}
+    with pytest.raises(Exception, match="beyond the image"):
+        got(0, 0, 4, 1)
+    with pytest.raises(ValueError):
+        rel.to_blob(img, 0, 0, -1, 1)
+    wide = spark.createDataFrame([(1, 0, 0, 1.0)], "image_id long, y long, x long, c0 double").select("*", F.lit(1).alias("h"), F.lit(1).alias("w"))
+    assert rel.to_blob(wide, alpha=False).first().vals == [1.0] and rel.to_blob(wide.limit(0)).count() == 0
+
+
+def test_name_conflicts_agree_with_kinds(spark):
+    names = ["prVt", "PrVt", "prvt", "prVT", "PRVT", "pRVt", "abc", "", None, "a1Bc", "abcde"]
+    rows = [(n, a, p, f) for n in names for a in (True, False) for p in (True, False) for f in (True, False)]
+    df = spark.createDataFrame(rows, "n string, a boolean, p boolean, f boolean")
+    for r in df.select("*", registry.conflict(F.col("n"), F.col("a"), F.col("p"), F.col("f")).alias("told")).collect():
+        try:
+            registry.ChunkKind(r.n or "", lambda d: d, r.a, r.p, r.f)
+            want = None
+        except ValueError as e:
+            want = str(e)
+        assert (r.told is None) == (want is None), r
+        if want and "letter of" in want:
+            assert r.told == want
