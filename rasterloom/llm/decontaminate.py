@@ -28,11 +28,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from .common import broadcast_if, materialize, mix64, release, slices
 
 WIDTH = 5
 MATCHES = "doc_id long, item_id long, containment double, n_shared long, n_shingles long"
@@ -93,6 +94,38 @@ def hashed_shingles(words: np.ndarray, row: np.ndarray, width: int = WIDTH) -> t
     return mix64(total[whole]), row[:n][whole]
 
 
+def slot_seeds(slots: int, seed: int = 42) -> np.ndarray:
+    return mix64(np.arange(1, slots + 1, dtype=np.uint64) * np.uint64(seed) * _BASE)
+
+
+def _slot(hashes: np.ndarray, seed: np.uint64) -> np.ndarray:
+    x = (hashes ^ seed) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def window_minima(hashes: np.ndarray, rows: np.ndarray, classes: list[int], seeds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(class, slot, row of each window, minimum in each window) of rows laid out in the windows of each class."""
+    least = min(classes)
+    docs, first = np.unique(rows, return_index=True)
+    inside = np.arange(len(rows)) - np.repeat(first, np.diff([*first, len(rows)]))
+    starts = np.flatnonzero(inside % (1 << least) == 0)
+    of = rows[starts]
+    layout = {}
+    for c in classes:
+        _, head = np.unique(of, return_index=True)
+        number = np.arange(len(of)) - np.repeat(head, np.diff([*head, len(of)]))
+        blocks = np.flatnonzero(number % (1 << (c - least)) == 0)
+        layout[c] = blocks, of[blocks]
+    for k, seed in enumerate(seeds):
+        low = np.minimum.reduceat(_slot(hashes, seed), starts)
+        for c in classes:
+            blocks, owner = layout[c]
+            window = np.minimum.reduceat(low, blocks)
+            if len(window) > 1:
+                window[:-1] = np.where(owner[:-1] == owner[1:], np.minimum(window[:-1], window[1:]), window[:-1])
+            yield c, k, owner, window
+
+
 class Sketches:
     """Minima of the items' shingles in each slot, by size class, and hashes to look short items up by."""
 
@@ -100,7 +133,7 @@ class Sketches:
         found = [(i, t, s) for i, t in items if (s := item_shingles(t))]
         self.items, self.threshold = [(i, s) for i, _, s in found], threshold
         self.widths = np.array([len(next(iter(s))) for _, s in self.items], np.int64)
-        self.seeds = mix64(np.arange(1, slots + 1, dtype=np.uint64) * np.uint64(seed) * _BASE)
+        self.seeds = slot_seeds(slots, seed)
         own: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(found)
         for width in sorted(set(self.widths.tolist())):
             at = np.flatnonzero(self.widths == width)
@@ -112,7 +145,7 @@ class Sketches:
         long = np.flatnonzero(sizes >= _SHORT)
         classes = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)
         lists = [np.concatenate([own[i] for i in long]), np.cumsum([0, *(len(own[i]) for i in long)])[:-1]] if len(long) else None
-        minima = [np.minimum.reduceat(self.slot(lists[0], k), lists[1]) for k in range(slots)] if lists else []
+        minima = [np.minimum.reduceat(_slot(lists[0], self.seeds[k]), lists[1]) for k in range(slots)] if lists else []
         self.by_class: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for c in sorted(set(classes[long].tolist())):
             here = np.flatnonzero(classes[long] == c)
@@ -131,10 +164,6 @@ class Sketches:
             maybe[(probes[:, 0] & np.uint64(0xFFFFF)).astype(np.int64)] = True
             self.probes[width] = probes[:, 0], probes[:, 1], maybe
 
-    def slot(self, hashes: np.ndarray, k: int) -> np.ndarray:
-        x = (hashes ^ self.seeds[k]) * np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(32))
-
     def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
         """(row, item, shared) of each text and item of which at least the threshold's share of shingles stands in the text."""
         row_of, have = None, {}
@@ -159,84 +188,205 @@ class Sketches:
         hashes, rows = hashed_shingles(words, of_word)
         if not len(hashes) or not self.by_class:
             return found
-        least = min(self.by_class)
-        docs, first = np.unique(rows, return_index=True)
-        inside = np.arange(len(rows)) - np.repeat(first, np.diff([*first, len(rows)]))
-        starts = np.flatnonzero(inside % (1 << least) == 0)
-        of = rows[starts]
-        layout = {}
-        for c in self.by_class:
-            _, head = np.unique(of, return_index=True)
-            number = np.arange(len(of)) - np.repeat(head, np.diff([*head, len(of)]))
-            blocks = np.flatnonzero(number % (1 << (c - least)) == 0)
-            layout[c] = blocks, of[blocks]
-        for k in range(len(self.seeds)):
-            low = np.minimum.reduceat(self.slot(hashes, k), starts)
-            for c, slots in self.by_class.items():
-                blocks, owner = layout[c]
-                window = np.minimum.reduceat(low, blocks)
-                if len(window) > 1:
-                    window[:-1] = np.where(owner[:-1] == owner[1:], np.minimum(window[:-1], window[1:]), window[:-1])
-                values, order, maybe = slots[k]
-                for w in np.flatnonzero(maybe[(window & np.uint64(0xFFFF)).astype(np.int64)]):
-                    a, b = np.searchsorted(values, window[w], "left"), np.searchsorted(values, window[w], "right")
-                    found.update((int(owner[w]), int(i)) for i in order[a:b])
+        for c, k, owner, window in window_minima(hashes, rows, list(self.by_class), self.seeds):
+            values, order, maybe = self.by_class[c][k]
+            for w in np.flatnonzero(maybe[(window & np.uint64(0xFFFF)).astype(np.int64)]):
+                a, b = np.searchsorted(values, window[w], "left"), np.searchsorted(values, window[w], "right")
+                found.update((int(owner[w]), int(i)) for i in order[a:b])
         return found
 
 
-def _sketches(items: DataFrame, threshold: float, slots: int, block: int, block_bytes: int) -> Iterator[Sketches]:
-    """Sketches of all items, of at most about `block` items or block_bytes of text at once."""
+def _sent(items: DataFrame, threshold: float, slots: int, block: int, block_bytes: int) -> Sketches | None:
+    """Sketches of all items if they are at most `block` rows and block_bytes of text."""
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    passes = max(1, -(-size["n"] // block), -(-size["bytes"] // block_bytes))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
-    for p in range(passes):
-        yield Sketches([tuple(r) for r in items.where(part == p).select(F.col("item_id").cast("long"), "text").collect()], slots, threshold=threshold)
+    if size["n"] > block or size["bytes"] > block_bytes:
+        return None
+    return Sketches([tuple(r) for r in items.select(F.col("item_id").cast("long"), "text").collect()], slots, threshold=threshold)
+
+
+_KEYS = ["__d0", "__d1"]
+_SALTS = 16
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"__d0": F.xxhash64("text"), "__d1": F.xxhash64(F.lit(7), "text")})
+
+
+def _tokens(kind: int, values: np.ndarray) -> np.ndarray:
+    return mix64(values + np.uint64(kind) * _BASE).view(np.int64)
+
+
+def _bitmap(tokens: DataFrame, n: int) -> np.ndarray:
+    """Two bits for each of about n tokens, in a bitmap of 16 bits a token, but at most 64 MB. It is put together by tasks."""
+    parts = 1 << min(14, max(0, math.ceil(math.log2(max(1, n) * 16 / (1 << 15)))))
+    bit = F.explode(F.array("token", F.shiftrightunsigned("token", 32))).alias("bit")
+    at = tokens.select(bit).select(F.col("bit").bitwiseAND(F.lit((parts << 15) - 1)).alias("bit"))
+    made = at.groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    out = np.zeros((parts, 1 << 12), np.uint8)
+    for part, bits in made.toLocalIterator():
+        out[part] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _probed(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Whether tokens may be among those of the bitmap."""
+    t, most = tokens.view(np.uint64), np.uint64(len(bitmap) * 8 - 1)
+    a, b = (t & most).astype(np.int64), ((t >> np.uint64(32)) & most).astype(np.int64)
+    return ((bitmap[a >> 3] >> (a & 7)) & (bitmap[b >> 3] >> (b & 7)) & 1).astype(bool)
+
+
+def _parted(docs: DataFrame, keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of keyed docs whose keys may be among n given ones, and the rest, told by a bitmap."""
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(keys.select(F.col("__d0").alias("token")), n))
+    maybe = F.pandas_udf(lambda t: pd.Series(_probed(sent.value, t.to_numpy(np.int64))), "boolean")
+    return docs.where(maybe("__d0")), docs.where(~maybe("__d0"))
+
+
+def _item_sketches(items: DataFrame, threshold: float, slots: int) -> DataFrame:
+    """(kind, token, key) of distinct item texts: a token for each slot's minimum of its class, or for each hash that a short item is looked up by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key")
+            s = Sketches(list(enumerate(batch.column("text").to_pylist())), slots, threshold=threshold)
+            rows = np.array([i for i, _ in s.items], np.int64)
+            parts = [(c * _MOST + k, low, of) for c, lists in s.by_class.items() for k, (low, of, _) in enumerate(lists)]
+            parts += [(-width, values, of.astype(np.int64)) for width, (values, of, _) in s.probes.items()]
+            for kind, values, of in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), kind, np.int32)), pa.array(_tokens(kind & 0xFFFFFFFF, values)), keys.take(pa.array(rows[of]))], ["kind", "token", "key"])
+
+    return items.mapInArrow(run, "kind int, token long, key string")
+
+
+def _hits(docs: DataFrame, kinds: list[int], slots: int, bitmap: np.ndarray) -> DataFrame:
+    """(d0, d1, token) of keyed docs: tokens of their windows and shingles that items may have."""
+    widths, classes = sorted(-k for k in kinds if k < 0), sorted({k // _MOST for k in kinds if k >= 0})
+    seeds, sent = slot_seeds(slots), docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def told(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        words, of_word = hashed_words(texts)
+        for width in widths:
+            hashes, rows = hashed_shingles(words, of_word, width)
+            yield rows, _tokens(-width & 0xFFFFFFFF, hashes)
+        hashes, rows = hashed_shingles(words, of_word)
+        if classes and len(hashes):
+            for c, k, owner, low in window_minima(hashes, rows, classes, seeds):
+                yield owner, _tokens(c * _MOST + k, low)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in slices(batch, "text", 1 << 20):
+                found = [np.zeros((0, 2), np.int64)]
+                for rows, tokens in told(cut.column("text").to_pylist()):
+                    near = _probed(sent.value, tokens)
+                    found.append(np.stack([rows[near], tokens[near]], 1))
+                pairs = np.unique(np.concatenate(found), axis=0)
+                at = pa.array(pairs[:, 0])
+                yield pa.RecordBatch.from_arrays([cut.column("__d0").take(at), cut.column("__d1").take(at), pa.array(pairs[:, 1])], ["d0", "d1", "token"])
+
+    return docs.select(*_KEYS, "text").mapInArrow(run, "d0 long, d1 long, token long").withColumnsRenamed({"d0": "__d0", "d1": "__d1"})
+
+
+def _verified(threshold: float):
+    """Rows in the order of texts and salts: each text, then the items to be sought in it. One text's shingles are held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, have = None, {}
+        for batch in batches:
+            found = []
+            for d0, d1, key, body in zip(*(batch.column(c).to_pylist() for c in (*_KEYS, "key", "text"))):
+                if key is None:
+                    text, have = body, {}
+                    continue
+                wanted = item_shingles(body)
+                width = len(next(iter(wanted)))
+                if width not in have:
+                    have[width] = shingles_of(text, width)
+                if (shared := len(wanted & have[width])) >= threshold * len(wanted):
+                    found.append((d0, d1, key, shared, len(wanted)))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else [[]] * 5, kinds)], [*_KEYS, "key", "n_shared", "n_shingles"])
+
+    return run
+
+
+def _joined(docs: DataFrame, items: DataFrame, threshold: float, slots: int) -> DataFrame:
+    """(d0, d1, key, n_shared, n_shingles) of keyed docs' distinct texts and items (key, text) of any number.
+
+    Items' tokens lie in a table. Documents send only the tokens that a bitmap of the
+    items' may hold; where tokens meet, the text and the item are brought together once,
+    the items of one text in up to 16 tasks. docs are read twice, whatever the items' number.
+    """
+    sketches = materialize(_item_sketches(items, threshold, slots), "item-sketches")
+    kinds = [r.kind for r in sketches.select(F.when(F.col("kind") < 0, F.col("kind")).otherwise(F.expr(f"kind div {_MOST} * {_MOST}")).cast("int").alias("kind")).distinct().collect()]  # sizes in powers of two, widths
+    n = sketches.count()
+    hits = _hits(docs, kinds, slots, _bitmap(sketches, n))
+    met = hits.join(broadcast_if(sketches.select("token", "key"), n, 80), "token").select(*_KEYS, "key").distinct()
+    pairs = materialize(met.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(_SALTS)).cast("int")), "item-candidates")
+    some, _ = _parted(docs, pairs, pairs.count())
+    texts = some.select(*_KEYS, "text").dropDuplicates(_KEYS).join(pairs.select(*_KEYS, "salt").distinct().hint("merge"), _KEYS)
+    sought = pairs.join(items.hint("merge"), "key").select(*_KEYS, "text", "salt", "key")
+    rows = texts.withColumn("key", F.lit(None).cast("string")).unionByName(sought).repartition(*_KEYS, "salt").sortWithinPartitions(*_KEYS, "salt", F.col("key").asc_nulls_first())
+    out = materialize(rows.mapInArrow(_verified(threshold), "__d0 long, __d1 long, key string, n_shared long, n_shingles long"), "item-matches")
+    release(sketches, pairs)
+    return out
+
+
+def _by_key(items: DataFrame) -> DataFrame:
+    return items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.md5("text").alias("key"), "text")
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, slots: int = 32, block: int = 20_000, block_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, item_id, containment, n_shared, n_shingles) for items of which at least threshold of the distinct shingles stand in a document.
 
-    items (item_id, text) is the query set: up to `block` items or block_bytes of them are
-    sent to the tasks at once, and more of them make further passes over docs. Shingles
-    are of five words, those of an item of fewer words of all its words. Texts without
-    words and null texts match nothing; null ids are kept; repeated rows give repeated
-    results; further columns are not read.
+    items (item_id, text) is the query set: up to `block` items and block_bytes of them are
+    sent to the tasks; more of them lie in a table that the documents' windows are joined
+    with, with equal results. Shingles are of five words, those of an item of fewer words of
+    all its words. Texts without words and null texts match nothing; null ids are kept;
+    repeated rows give repeated results; further columns are not read.
     """
     names = re.findall(r"(\w+) \w+(?:, |$)", MATCHES)
     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-    out = None
-    for sketches in _sketches(items, threshold, slots, block, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(sketches)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known = sent.value
-            for batch in batches:
-                for cut in slices(batch, "text", 1 << 20):
-                    ids = cut.column("doc_id")
-                    found = [(ids[row].as_py(), known.items[item][0], shared / len(known.items[item][1]), shared, len(known.items[item][1])) for row, item, shared in known.matches(cut.column("text").to_pylist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else [[]] * 5, kinds)], names)
-
-        here = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCHES)
-        out = here if out is None else out.unionByName(here)
-    return out
+    sketches = _sent(items, threshold, slots, block, block_bytes)
+    if sketches is None:
+        own, keyed = _by_key(items), _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"))
+        found = _joined(keyed, own.select("key", "text").dropDuplicates(["key"]), threshold, slots)
+        told = found.join(own.select("key", "item_id").hint("merge"), "key")
+        some, _ = _parted(keyed, found, found.count())
+        return some.select("doc_id", *_KEYS).join(told.hint("merge"), _KEYS).select("doc_id", "item_id", (F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shared", "n_shingles")
+    sent = docs.sparkSession.sparkContext.broadcast(sketches)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            for cut in slices(batch, "text", 1 << 20):
+                ids = cut.column("doc_id")
+                found = [(ids[row].as_py(), known.items[item][0], shared / len(known.items[item][1]), shared, len(known.items[item][1])) for row, item, shared in known.matches(cut.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else [[]] * 5, kinds)], names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, MATCHES)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, slots: int = 32, block: int = 20_000, block_bytes: int = 64 << 20) -> DataFrame:
     """The documents that hold no item, as `contained` tells it, with all their columns.
 
-    Each row is judged by its own text in its own task, whatever its doc_id, and nothing is
-    shuffled; rows with a null or wordless text stay.
+    Each row is judged by its own text, whatever its doc_id; rows with a null or wordless
+    text stay. With items that are sent to the tasks nothing is shuffled; with more, only
+    rows that may hold an item are.
     """
-    out = docs
-    for sketches in _sketches(items, threshold, slots, block, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(sketches)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for cut in slices(batch, "text", 1 << 20):
-                    clean = np.ones(cut.num_rows, bool)
-                    clean[[row for row, _, _ in sent.value.matches(cut.column("text").to_pylist())]] = False
-                    yield cut.filter(pa.array(clean))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    sketches = _sent(items, threshold, slots, block, block_bytes)
+    if sketches is None:
+        keyed = _keyed(docs)
+        found = _joined(keyed.where("text is not null"), _by_key(items).select("key", "text").dropDuplicates(["key"]), threshold, slots)
+        some, rest = _parted(keyed, found, found.count())
+        return rest.unionByName(some.join(found.select(*_KEYS).distinct().hint("merge"), _KEYS, "left_anti")).select(*docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(sketches)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in slices(batch, "text", 1 << 20):
+                clean = np.ones(cut.num_rows, bool)
+                clean[[row for row, _, _ in sent.value.matches(cut.column("text").to_pylist())]] = False
+                yield cut.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -84,3 +84,17 @@ def test_stage_drops_leaks_and_keeps_the_rest(spark):
         assert sorted((r.doc_id or -1, r.item_id or "") for r in d.without_leaks(docs, items, block=block).collect()) == [(-1, ""), (2, "y"), (3, ""), (5, "z")]
     assert d.without_leaks(docs, items).columns == docs.columns
     assert d.contained(docs.limit(0), items).count() == 0 and d.contained(docs, items.limit(0)).count() == 0
+
+
+def test_items_in_a_table_give_what_items_sent_to_tasks_give(spark):
+    """One document that holds very many items, copies of it, and documents that hold one or none."""
+    rng = random.Random(5)
+    items = [(i, " ".join(words(rng, rng.choice([2, 5, 9, 15, 40])))) for i in range(150)]
+    items += [(i + 1000, t) for i, t in items[:20]] + [(None, items[3][1])]
+    whole = " and then ".join(t for _, t in items[:120])
+    docs = [(k, whole) for k in range(6)] + [(10 + k, " ".join(words(rng, 200)) + " " + items[k][1]) for k in range(30)] + [(90, "clean"), (91, None)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    few, many = (sorted(map(str, d.contained(df, it, block=b).collect())) for b in (20_000, 10))
+    assert few == many and len(few) >= 6 * 140 + 30
+    assert many == sorted(map(str, d.contained(df, it, block_bytes=100).collect()))
+    assert {r.doc_id for r in d.without_leaks(df, it, block=10).collect()} == {r.doc_id for r in d.without_leaks(df, it).collect()} == {90, 91}
