@@ -71,11 +71,11 @@ def power(a: DataFrame, b: Operand) -> DataFrame:
 
 
 def divide(a: DataFrame, b: Operand) -> DataFrame:
-    """Quotients; by zero they are infinite, or NaN for 0 / 0."""
+    """Quotients; by zero they are infinite, or NaN for 0 / 0 and where the dividend is null. Other quotients of nulls, and by null, are null."""
     inf = float("inf")
 
     def f(x: Column, y: Column) -> Column:
-        return F.when(y != 0, F.try_divide(x, y)).when(x == 0, F.lit(float("nan"))).otherwise(F.when(x > 0, inf).otherwise(-inf))
+        return F.when((y != 0) | y.isNull(), F.try_divide(x, y)).when(x > 0, inf).when(x < 0, -inf).otherwise(F.lit(float("nan")))
 
     return binary(a, b, f)
 

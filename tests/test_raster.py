@@ -134,6 +134,14 @@ def test_move_pick_paste_and_errors(spark):
         px.get_channel(img, 1)
 
 
+def test_quotients_of_nulls(spark):
+    df = spark.createDataFrame([(0, 0, x, v) for x, v in enumerate([5.0, -5.0, 0.0, None, float("nan")])], "image_id long, y long, x long, c0 double")
+    by_zero = [r.c0 for r in px.divide(df, 0).orderBy("x").collect()]
+    assert by_zero[:2] == [np.inf, -np.inf] and np.isnan(by_zero[2:4]).all() and by_zero[4] == np.inf
+    assert [r.c0 for r in px.divide(df, 2).where("x < 4").orderBy("x").collect()] == [2.5, -2.5, 0, None]
+    assert [r.c0 for r in px.divide(px.set_channel(df, 0, 3), df).where("x < 4").orderBy("x").collect()] == [3 / 5, -3 / 5, np.inf, None]
+
+
 def test_sizes_and_places_outside_raise(spark):
     img, other = image(spark, [[1, 2], [3, 4]]), image(spark, [[1, 2, 3], [4, 5, 6]])
     for f in (px.add, px.sub, px.mul, px.power, px.divide, px.atan2, lambda a, b: px.compare(a, b, "gt"), lambda a, b: px.set_channel(a, 0, b), px.stack):
