@@ -35,23 +35,23 @@ def _bytes(data: Column, at: Column, n: Column) -> Column:
     return F.when(inside, F.substr(data, (at + 1).try_cast("int"), n.try_cast("int")))
 
 
+def _unsigned(raw: Column, n: int, little: Column) -> Column:
+    """All of up to 4 bytes as an unsigned number."""
+    swapped = raw if n == 1 else F.concat(*(F.substr(raw, F.lit(k), F.lit(1)) for k in range(n, 0, -1)))
+    return F.conv(F.hex(raw if n == 1 else F.when(little, swapped).otherwise(raw)), 16, 10).cast("bigint")
+
+
 def _number(data: Column, at: Column, n: int, little: Column) -> Column:
-    """Up to 4 bytes as an unsigned number."""
-    digits = F.hex(_bytes(data, at, F.lit(n).cast("bigint")))
-    swapped = F.reverse(F.regexp_replace(digits, "(.)(.)", "$2$1"))
-    return F.conv(F.when(little, swapped).otherwise(digits), 16, 10).cast("bigint")
+    """Up to 4 bytes from a 0-based place as an unsigned number; null where the block doesn't hold them all."""
+    return _unsigned(_bytes(data, at, F.lit(n).cast("bigint")), n, little)
 
 
 def _entries(data: Column, at: Column, little: Column) -> Column:
-    """The entries of the directory at a place, as many as the block holds."""
+    """The 1-based places of the entries of the directory at a place, as many as the block holds."""
     room = F.floor((F.length(data) - at - 2) / 12)
     n = F.least(_number(data, at, 2, little), room.cast("bigint"))
-
-    def entry(i: Column) -> Column:
-        start = at + 2 + i * 12
-        return F.struct(_number(data, start, 2, little).alias("tag"), _number(data, start + 2, 2, little).alias("type"), _number(data, start + 4, 4, little).alias("count"), (start + 8).alias("place"))
-
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), entry))
+    first = (at + 3).try_cast("int")
+    return F.when(n > 0, F.sequence(first, first + (n.try_cast("int") - 1) * 12, F.lit(12)))
 
 
 def _float(sign: Column, exponent: Column, fraction: Column, bias: int) -> Column:
@@ -62,8 +62,8 @@ def _float(sign: Column, exponent: Column, fraction: Column, bias: int) -> Colum
 
 
 def _value(raw: Column, kind: Column, i: Column, little: Column) -> Column:
-    """The i-th number of a value's bytes; a rational with denominator 0 is null."""
-    part = lambda n, at=0, step=None: _number(raw, i * (step or n) + at, n, little)
+    """The i-th number, an int from 0 on, of a value's bytes, which hold it; a rational with denominator 0 is null."""
+    part = lambda n, at=0, step=None: _unsigned(F.substr(raw, i * (step or n) + at + 1, F.lit(n)), n, little)
     signed = lambda v, n: F.when(v >= 1 << (8 * n - 1), v - (1 << (8 * n))).otherwise(v)
     one, two, four, a, b = part(1), part(2), part(4), part(4, 0, 8), part(4, 4, 8)
     high, low = F.when(little, b).otherwise(a), F.when(little, a).otherwise(b)
@@ -123,25 +123,38 @@ def fields(blocks: DataFrame, data: str = "data", names: dict[str, dict[int, str
     """
     own = ["ifd", "seq", "tag", "name", "type", "count", "numbers", "text", "raw"]
     rest = [F.col(f"`{c}`") for c in blocks.columns if c != data and c not in own]
-    head = F.hex(F.substring(F.col(data), 1, 4))
-    at = blocks.where(head.isin("49492A00", "4D4D002A")).select(F.struct(*rest, F.lit(0).alias("_")).alias("_rest"), F.col(data).alias("_d"), (head == "49492A00").alias("_le"))
-    d, le = F.col("_d"), F.col("_le")
+    d, le, e = F.col("_d"), F.col("_le"), F.col("_e")
+    # A filter on the header would be pushed below the column of blocks and compute each block twice.
+    head = F.hex(F.substring(d, 1, 4))
+    at = blocks.select(F.struct(*rest, F.lit(0).alias("_")).alias("_rest"), F.col(data).alias("_d")).withColumn("_le", F.when(head == "49492A00", True).when(head == "4D4D002A", False))
     at = at.withColumn("_first", _number(d, F.lit(4).cast("bigint"), 4, le)).withColumn("_main", _entries(d, F.col("_first"), le))
-    pointer = lambda tag: _number(d, F.get(F.filter("_main", lambda e: e["tag"] == tag), F.lit(0))["place"], 4, le)
+
+    def pointer(tag: int) -> Column:
+        big = tag.to_bytes(2, "big")
+        wanted = F.when(le, F.lit(bytearray(big[::-1]))).otherwise(F.lit(bytearray(big)))
+        found = F.get(F.filter("_main", lambda p: F.substr(d, p, F.lit(2)) == wanted), F.lit(0))
+        return _unsigned(F.substr(d, found + 8, F.lit(4)), 4, le)
+
     following = _number(d, F.col("_first") + 2 + 12 * _number(d, F.col("_first"), 2, le), 4, le)
     place = lambda name, offset: F.struct(F.lit(name).alias("ifd"), offset.alias("at"))
-    places = F.array(place("IFD0", F.col("_first")), place("ExifIFD", pointer(EXIF_POINTER)), place("GPS_IFD", pointer(GPS_POINTER)), place("IFD1", following))
-    at = at.select("_rest", "_d", "_le", F.explode(places).alias("_i")).where("_i.at > 0")
-    at = at.select("_rest", "_d", "_le", F.col("_i.ifd").alias("ifd"), F.posexplode(_entries(d, F.col("_i.at"), le)).alias("seq", "_e"))
-    width = F.get(F.array(*map(F.lit, WIDTHS)), F.col("_e.type").cast("int")).cast("bigint")
-    size = F.col("_e.count") * width
-    start = F.when(size <= 4, F.col("_e.place")).otherwise(_number(d, F.col("_e.place"), 4, le))
-    at = at.select("_rest", "_le", "ifd", F.col("seq").cast("bigint").alias("seq"), F.col("_e.tag").alias("tag"), F.col("_e.type").alias("type"), F.col("_e.count").alias("count"), _bytes(d, start, size).alias("raw"))
+    at = at.withColumns({"_exif": pointer(EXIF_POINTER), "_gps": pointer(GPS_POINTER), "_next": following})
+    places = F.array(place("IFD0", F.col("_first")), place("ExifIFD", F.col("_exif")), place("GPS_IFD", F.col("_gps")), place("IFD1", F.col("_next")))
+    at = at.select("_rest", "_d", "_le", F.explode(F.when(le.isNotNull(), places)).alias("_i")).where("_i.at > 0")
+    at = at.select("_rest", "_d", "_le", F.col("_i.ifd").alias("ifd"), F.posexplode(_entries(d, F.col("_i.at"), le)).alias("seq", "_p"))
+    part = lambda k, n: _unsigned(F.substr(e, F.lit(k), F.lit(n)), n, le)
+    at = at.withColumn("_e", F.substr(d, F.col("_p"), F.lit(12))).select("_rest", "_d", "_le", "ifd", F.col("seq").cast("bigint").alias("seq"), "_p", "_e", part(1, 2).alias("tag"), part(3, 2).alias("type"), part(5, 4).alias("count"))
+    width = F.get(F.array(*map(F.lit, WIDTHS)), F.col("type").cast("int")).cast("bigint")
+    at = at.withColumn("_size", F.col("count") * width)
+    at = at.withColumn("_start", F.when(F.col("_size") <= 4, F.col("_p").cast("bigint") + 7).otherwise(part(9, 4)))
+    at = at.select("_rest", "_le", "ifd", "seq", "tag", "type", "count", _bytes(d, F.col("_start"), F.col("_size")).alias("raw"))
     some = F.col("raw").isNotNull() & (F.col("count") > 0) & (F.col("type") != 2)
-    at = at.withColumn("numbers", F.when(some, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1), lambda i: _value(F.col("raw"), F.col("type"), i, le))))
+    at = at.withColumn("numbers", F.when(some, F.transform(F.sequence(F.lit(0), F.col("count").try_cast("int") - 1), lambda i: _value(F.col("raw"), F.col("type"), i, le))))
     known = {ifd: NAMES.get(ifd, {}) | {t: n for (i, t), (n, _) in _ADDED.items() if i == ifd} | (names or {}).get(ifd, {}) for ifd in ("IFD0", "ExifIFD", "GPS_IFD", "IFD1")}
-    named = F.create_map(*[F.lit(x) for ifd, tags in known.items() for t, n in tags.items() for x in (f"{ifd} {t}", n)])
-    name = F.coalesce(F.try_element_at(named, F.concat_ws(" ", "ifd", F.col("tag").cast("string"))), F.concat(F.lit("Unknown "), F.col("tag").cast("string")))
+    name = F.concat(F.lit("Unknown "), F.col("tag").cast("string"))
+    for ifd, tags in known.items():
+        if tags:
+            named = F.create_map(*[x for t, n in tags.items() for x in (F.lit(t).cast("bigint"), F.lit(n))])
+            name = F.when(F.col("ifd") == ifd, F.coalesce(F.try_element_at(named, F.col("tag")), F.concat(F.lit("Unknown "), F.col("tag").cast("string")))).otherwise(name)
     text = _text(F.col("tag"), F.col("type"), F.col("raw"), F.col("numbers"), le)
     for (ifd, tag), (_, decode) in _ADDED.items():
         if decode is not None:

@@ -84,6 +84,15 @@ def test_broken_blocks_give_no_or_null_fields(spark):
     assert ex.fields(df.limit(0)).count() == 0
 
 
+def test_blocks_are_computed_once(spark):
+    told = F.encode(F.sha2(F.col("id").cast("string").cast("binary"), 256), "US-ASCII")
+    blocks = spark.range(40).select("id", ex.block([(271, ASCII, F.length(told), told)], [(37385, SHORT, F.lit(1), ex.uint(F.col("id"), 2))]).alias("data"))
+    got = ex.fields(blocks).where("tag <> 34665")
+    plan = got._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert len([line for line in plan if "sha2" in line]) == 1  # no filter computes the blocks as well
+    assert sorted((r.id, r.tag, r.numbers) for r in got.where("tag = 37385").collect()) == [(i, 37385, [float(i)]) for i in range(40)]
+
+
 def test_compressed_texts(spark):
     raw = b"Key\0\0" + zlib.compress("héllo".encode("latin-1"))
     df = spark.createDataFrame([(1, bytearray(raw)), (2, bytearray(b"Key\0\0junk")), (3, bytearray(b"nozero")), (4, None)], "id long, data binary")
