@@ -39,11 +39,13 @@ def chunk_map(chunks: DataFrame) -> DataFrame:
 
 
 def add_chunk(chunks: DataFrame, new: DataFrame) -> DataFrame:
-    """chunks with those of new (image_id, type, data) after each image's others, at the place of their kind."""
-    last = chunks.groupBy("image_id").agg(F.max("seq").alias("_last"))
-    number = F.row_number().over(Window.partitionBy("image_id").orderBy("type", "data"))
-    more = new.withColumn("_n", number).join(last, "image_id", "left").select("image_id", (F.coalesce("_last", F.lit(-1)) + F.col("_n")).cast("int").alias("seq"), "type", "data", registry.position(F.col("type")).alias("pos"))
-    return chunks.select(*COLUMNS).unionByName(more)
+    """chunks with those of new (image_id, type, data) after each image's others, at the place of their kind. One shuffle; neither table is computed twice."""
+    fresh, own = new.select("image_id", F.lit(None).cast("int").alias("seq"), "type", "data", registry.position(F.col("type")).alias("pos"), F.lit(True).alias("_new")), Window.partitionBy("image_id")
+    both = chunks.select(*COLUMNS, F.lit(False).alias("_new")).unionByName(fresh)
+    number = F.row_number().over(own.orderBy(F.desc("_new"), "type", "data"))  # new ones first
+    last = F.max(F.when(~F.col("_new"), F.col("seq"))).over(own)
+    seq = F.when(F.col("_new"), (F.coalesce(F.col("_last"), F.lit(-1)) + F.col("_n")).cast("int")).otherwise(F.col("seq")).alias("seq")
+    return both.withColumns({"_n": number, "_last": last}).select("image_id", seq, "type", "data", "pos")
 
 
 def add_text(chunks: DataFrame, texts: DataFrame, compressed: bool = False, international: bool = False) -> DataFrame:
@@ -58,8 +60,8 @@ def add_text(chunks: DataFrame, texts: DataFrame, compressed: bool = False, inte
 
 def texts(chunks: DataFrame) -> DataFrame:
     """(image_id, rank, seq, type, keyword, text, language, translated_keyword): Latin-1 texts, then compressed, then international ones, each by seq."""
-    d = F.col("data")
-    plain, packed, wide = ch.parse_text_chunk(d), ch.parse_ztext_chunk(d), ch.parse_itext_chunk(d)
+    only = lambda kind: F.when(F.col("type") == kind, F.col("data"))  # noqa: E731  Python functions get all rows, whatever stands around them
+    plain, packed, wide = ch.parse_text_chunk(only("tEXt")), ch.parse_ztext_chunk(only("zTXt")), ch.parse_itext_chunk(only("iTXt"))
     by_kind = lambda *v: F.when(F.col("type") == "tEXt", v[0]).when(F.col("type") == "zTXt", v[1]).otherwise(v[2])
     none = F.lit(None).cast("string")
     return chunks.where(F.col("type").isin(*TEXT_KINDS)).select(

@@ -24,6 +24,18 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("image_id"), "path", "content")
 
 
+#: Bytes of files that a Python task holds at a time as objects, beside the Arrow batch that they come in.
+SLICE_BYTES = 1 << 20
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in views of about SLICE_BYTES, at least a row each. What a task makes of one is handed on before the next."""
+    for batch in batches:
+        n = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.get_total_buffer_size()))
+        for at in range(0, max(1, batch.num_rows), n):
+            yield batch.slice(at, n)
+
+
 def formats(files: DataFrame) -> DataFrame:
     return files.select("image_id", file_type(F.col("content")).alias("format"))
 
@@ -52,7 +64,7 @@ def headers(files: DataFrame, skip_crc: bool = False, skip_ancillary: bool = Fal
     kinds = [pa.int64(), pa.string(), *[pa.int32()] * 6, pa.bool_(), *[pa.int32()] * 2, pa.list_(pa.int32()), pa.list_(pa.string()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for i, im, error in _decoded(batch.column(1).to_pylist(), only_metadata=True, skip_crc=skip_crc, skip_ancillary=skip_ancillary):
                 told = [None] * 12 if im is None else [im.format, im.width, im.height, im.bit_depth, im.color_type, codec.CHANNELS[im.color_type], im.interlace, im.has_alpha, im.n_frames, im.n_plays, im.background, im.warnings]
@@ -67,7 +79,7 @@ def chunks(files: DataFrame, skip_ancillary: bool = False, skip_crc: bool = Fals
     mode = _mode(errors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = [(batch.column(0)[i].as_py(), k, *c) for i, im, _ in _decoded(batch.column(1).to_pylist(), mode, only_metadata=True, skip_ancillary=skip_ancillary, skip_crc=skip_crc) for k, c in enumerate(im.chunks)]
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], [x.split()[0] for x in CHUNKS.split(", ")])
@@ -125,7 +137,7 @@ def encode(
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "content binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out, pixels, ys, more = [], *(batch.column(len(by) + k) for k in range(2)), batch.column(len(by) + 2).to_pylist()
             for i in range(batch.num_rows):
                 lines = pixels[i].values

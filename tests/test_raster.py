@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import chunks as ch
 from rasterloom.functions import registry
 from rasterloom.operators import animation as an
+from rasterloom.operators import chunk_tables as ct
 from rasterloom.operators import geometry as geo
 from rasterloom.operators import pixels as px
 from rasterloom.operators import relations as rel
@@ -134,6 +135,24 @@ def test_move_pick_paste_and_errors(spark):
         px.get_channel(img, 1)
 
 
+def test_chunks_that_are_added_to_are_computed_once(spark):
+    none = spark.createDataFrame([], "image_id long, seq int, type string, data binary, pos string")
+    docs = spark.range(6).select((F.col("id") % 3).alias("image_id"), F.lit("key").alias("keyword"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    added = ct.add_text(ct.add_text(none, docs, compressed=True), docs)
+    plan = added._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+    assert sorted((r.image_id, r.seq, r.type) for r in added.collect()) == [(i, k, t) for i in range(3) for k, t in enumerate(["zTXt", "zTXt", "tEXt", "tEXt"])]
+    assert sorted((r.image_id, r.text) for r in ct.texts(added).collect()) == sorted((k % 3, f"text {k}") for k in range(6) for _ in range(2))
+
+
+def test_files_are_held_in_slices_of_a_batch():
+    import pyarrow as pa
+
+    whole = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array([bytes([k]) * (1 << 20) for k in range(8)])], ["image_id", "content"])
+    parts = list(images._slices(iter([whole, whole.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) == 1 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([whole]))
+
+
 def test_quotients_of_nulls(spark):
     df = spark.createDataFrame([(0, 0, x, v) for x, v in enumerate([5.0, -5.0, 0.0, None, float("nan")])], "image_id long, y long, x long, c0 double")
     by_zero = [r.c0 for r in px.divide(df, 0).orderBy("x").collect()]
