@@ -10,6 +10,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -131,11 +132,30 @@ def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _ARROW[t]) for n, t in fields], [n for n, _ in fields])
 
 
+#: A batch of rows of many files goes on with so many rows, or bytes of data.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
+
+
+def _batches(files: Iterator[list[dict]], schema: str) -> Iterator[pa.RecordBatch]:
+    """The rows of one file after another, in batches of bounded size."""
+    rows, size = [], 0
+    for told in files:
+        rows += told
+        size += sum(len(r.get("data") or b"") for r in told)
+        if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield _batch(rows, schema)
+            rows, size = [], 0
+    yield _batch(rows, schema)
+
+
 class HeaderReader(_FileReader):
     def weight(self, info: fs.FileInfo) -> int:
         return 4096  # a seek costs more than the bytes that are read
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        return _batches(self._told(partition), HEADERS)
+
+    def _told(self, partition: Files) -> Iterator[list[dict]]:
         store, _ = fs.FileSystem.from_uri(self.path)
         for path in partition.paths:
             with store.open_input_file(path) as file:
@@ -144,7 +164,7 @@ class HeaderReader(_FileReader):
                     told = _header(ranges)
                 except (ValueError, struct.error) as e:
                     told = {"error": str(e)}
-                yield _batch([{"path": path, "read_bytes": ranges.bytes, **told}], HEADERS)
+                yield [{"path": path, "read_bytes": ranges.bytes, **told}]
 
 
 class ChunkReader(_FileReader):
@@ -166,6 +186,9 @@ class ChunkReader(_FileReader):
                 yield f
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        return _batches(self._told(partition), self.schema)
+
+    def _told(self, partition: Files) -> Iterator[list[dict]]:
         store, _ = fs.FileSystem.from_uri(self.path)
         for path in partition.paths:
             rows = []
@@ -188,7 +211,11 @@ class ChunkReader(_FileReader):
                     if self.errors == "raise":
                         raise
                     rows = []
-            yield _batch(rows, self.schema)
+            yield rows
+
+
+#: Tasks whose files are moved to their places at a time.
+MOVES = 16
 
 
 @dataclass
@@ -208,6 +235,8 @@ class RasterWriter(DataSourceWriter):
             raise ValueError("files have a name or an image_id, and content")
         self.named = "name" in columns
         self.staging = f"_staging-{uuid.uuid4().hex}"
+        store, root = self._store()
+        store.create_dir(f"{root}/{self.staging}", recursive=True)
 
     def _store(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.path)
@@ -215,17 +244,19 @@ class RasterWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         store, root = self._store()
         folder = f"{self.staging}/{TaskContext.get().taskAttemptId()}"
-        store.create_dir(f"{root}/{folder}", recursive=True)
+        store.create_dir(f"{root}/{folder}", recursive=False)  # a task that starts after the job was given up makes no folder anew
         names: list[str] = []
+        taken: set[str] = set()
         out = None
         for row in rows:
             name = row.name if self.named else f"{row.image_id}.{self.kind}"
             if not names or names[-1] != name:  # parts of a file come after one another
-                if name in names or "/" in name or name.startswith(("_", ".")):
+                if name in taken or "/" in name or name.startswith(("_", ".")):
                     raise ValueError(f"{name} is no name of a file, or its parts don't come together")
                 if out is not None:
                     out.close()
                 names.append(name)
+                taken.add(name)
                 out = store.open_output_stream(f"{root}/{folder}/{name}")
             out.write(bytes(row.content))
         if out is not None:
@@ -242,9 +273,9 @@ class RasterWriter(DataSourceWriter):
             for info in store.get_file_info(fs.FileSelector(root)):
                 if info.type == fs.FileType.File:
                     store.delete_file(info.path)
-        for m in messages:
-            for n in m.names:
-                store.move(f"{root}/{m.folder}/{n}", f"{root}/{n}")
+        with ThreadPoolExecutor(MOVES) as pool:
+            for _ in pool.map(lambda m: [store.move(f"{root}/{m.folder}/{n}", f"{root}/{n}") for n in m.names], messages):
+                pass
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:

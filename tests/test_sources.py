@@ -59,6 +59,16 @@ def test_chunks_are_stepped_over(spark, tmp_path):
     assert spark.read.format("raster_chunks").option("errors", "skip").load(at).count() == 5
 
 
+def test_rows_of_many_files_come_in_few_batches(tmp_path):
+    at = saved(tmp_path, **{f"f{k:03}": png(2, 2, [("tEXt", b"k\0%d" % k, "after_IHDR")]) for k in range(300)})
+    reader = datasource.ChunkReader({"path": "file://" + at}, datasource.CHUNKS)
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert len(batches) == 2 and sum(b.num_rows for b in batches) == 1200
+    assert [d for b in batches for d, t in zip(b.column(6).to_pylist(), b.column(2).to_pylist()) if t == "tEXt"] == [b"k\0%d" % k for k in range(300)]
+    heads = datasource.HeaderReader({"path": "file://" + at})
+    assert [b.num_rows for p in heads.partitions() for b in heads.read(p)] == [300]
+
+
 def test_a_failed_write_leaves_no_file(spark, tmp_path):
     datasource.register(spark)
     files = spark.range(40).select(F.col("id").alias("image_id"), F.lit(bytearray(png(2, 2))).alias("content")).repartition(4)
